@@ -34,6 +34,7 @@ def load_all() -> None:
     """Import every catalogue module so their queries register."""
     from quarry.plans import (  # noqa: F401
         queries_keyword,
+        queries_text,
     )
 
 

@@ -111,7 +111,7 @@ def e2_bm25_batch_rank(spark, sf_dir):
 
 
 @register("d1_term_frequency", f"""WITH {SQL_INDEX}
-SELECT post.term, post.path, post.tf, dls.dl FROM post JOIN dls USING (path)""")
+SELECT post.term, post.path, post.tf, CAST(dls.dl AS INTEGER) AS dl FROM post JOIN dls USING (path)""")
 def d1_term_frequency(spark, sf_dir):
     idx = bm25.build_index(documents_corpus(spark, sf_dir))
     return idx.postings.select("term", "path", "tf", F.col("dl").cast("int").alias("dl"))
