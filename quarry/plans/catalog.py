@@ -35,6 +35,7 @@ def load_all() -> None:
     from quarry.plans import (  # noqa: F401
         queries_keyword,
         queries_text,
+        queries_vectors,
     )
 
 
