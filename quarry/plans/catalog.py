@@ -36,6 +36,7 @@ def load_all() -> None:
         queries_keyword,
         queries_text,
         queries_vectors,
+        queries_runs,
     )
 
 
