@@ -211,3 +211,16 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     qids = query_terms(queries, qid_col, query_col).select("qid").distinct()
     return rank_with_zero_fill(scored, index.doc_stats, qids, k, digits).select(
         "qid", "path", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def overlap_search(index: Bm25Index, queries: DataFrame, k: int, qid_col: str = "qid",
+                   query_col: str = "query") -> DataFrame:
+    """Second, simpler ranking: number of distinct query terms a document
+    holds (matched documents only), ties by path; ``(qid, path, score, rank)``."""
+    qterms = query_terms(queries, qid_col, query_col)
+    qt = bounded_broadcast(qterms.select("qid", "term"), known_rows=qterms.count())
+    s = (index.postings.select("term", "path").join(qt, "term")
+         .groupBy("qid", "path").agg(F.count(F.lit(1)).cast("double").alias("score")))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
+    return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))

@@ -37,6 +37,7 @@ def load_all() -> None:
         queries_text,
         queries_vectors,
         queries_runs,
+        queries_experiments,
     )
 
 
