@@ -43,6 +43,14 @@ class Bm25Index:
     def lengths(self) -> DataFrame:
         return self.doc_lengths if self.doc_lengths is not None else self.doc_stats.select("path", "dl")
 
+    def materialize(self) -> "Bm25Index":
+        """Reliable checkpoint of the index tables (cuts lineage; survives
+        executor loss, unlike a local checkpoint)."""
+        from quarry.session import cut_lineage
+        lengths = cut_lineage(self.lengths)
+        return Bm25Index(cut_lineage(self.postings), cut_lineage(self.doc_stats),
+                         cut_lineage(self.term_stats), lengths)
+
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the three tables; postings sorted by term so a term filter
         skips row groups. Returns an index that reads the written tables."""

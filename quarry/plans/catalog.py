@@ -38,6 +38,7 @@ def load_all() -> None:
         queries_vectors,
         queries_runs,
         queries_experiments,
+        queries_index,
     )
 
 
