@@ -32,24 +32,43 @@ B = 0.75
 EPSILON = 0.25
 DEFAULT_K = 50
 
+# Marker term of the per-document row that carries the document length. It
+# can never be a token (tokens are runs of [A-Za-z0-9_]).
+LENGTH_MARKER = "\u0000"
+
+
 @dataclass
 class Bm25Index:
     postings: DataFrame
     doc_stats: DataFrame          # path, dl, prank (1-based ordinal in path order)
     term_stats: DataFrame
     doc_lengths: DataFrame | None = None   # path, dl without the ordinal (cheaper for N, avgdl)
+    combined: DataFrame | None = None      # postings + one length row per document (build output)
 
     @property
     def lengths(self) -> DataFrame:
         return self.doc_lengths if self.doc_lengths is not None else self.doc_stats.select("path", "dl")
 
+    @classmethod
+    def from_combined(cls, combined: DataFrame) -> "Bm25Index":
+        """Split the single build aggregate into postings and document lengths
+        and derive the statistics from them."""
+        postings = combined.filter(F.col("term") != LENGTH_MARKER)
+        lengths = combined.filter(F.col("term") == LENGTH_MARKER).select("path", "dl")
+        return cls(postings, with_path_ordinal(lengths), term_stats_of(postings, lengths), lengths, combined)
+
     def materialize(self) -> "Bm25Index":
-        """Reliable checkpoint of the index tables (cuts lineage; survives
-        executor loss, unlike a local checkpoint)."""
+        """Reliable checkpoint of the index (cuts lineage, survives executor
+        loss, unlike a local checkpoint). The corpus is tokenised and
+        aggregated once; statistics are then derived from the checkpoint."""
         from quarry.session import cut_lineage
-        lengths = cut_lineage(self.lengths)
-        return Bm25Index(cut_lineage(self.postings), cut_lineage(self.doc_stats),
-                         cut_lineage(self.term_stats), lengths)
+        if self.combined is not None:
+            base = Bm25Index.from_combined(cut_lineage(self.combined))
+            postings, lengths = base.postings, base.doc_lengths
+        else:
+            base = self
+            postings, lengths = cut_lineage(self.postings), cut_lineage(self.lengths)
+        return Bm25Index(postings, cut_lineage(base.doc_stats), cut_lineage(base.term_stats), lengths)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the three tables; postings sorted by term so a term filter
@@ -92,13 +111,19 @@ def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text"
 
 
 def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text") -> Bm25Index:
+    """Lazy index over a corpus; call ``materialize()`` (or ``write``) before
+    running several queries on it.
+
+    One tokenisation pass and one aggregation: each document emits its tokens
+    plus one marker row, so the aggregate holds the postings *and* one
+    (marker, path, dl) row per document. Map-side partial aggregation combines
+    a document's repeated tokens before the shuffle, so only distinct
+    (term, path) pairs cross the network.
+    """
     toks = doc_tokens(corpus, path_col, text_col)
-    # Map-side partial aggregation combines a document's repeated tokens before
-    # the shuffle, so only distinct (term, path) pairs cross the network.
-    postings = (toks.select("path", "dl", F.explode("tokens").alias("term"))
+    combined = (toks.select("path", "dl", F.explode(F.array_insert("tokens", 1, F.lit(LENGTH_MARKER))).alias("term"))
                 .groupBy("term", "path", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    lengths = toks.select("path", "dl")
-    return Bm25Index(postings, with_path_ordinal(lengths), term_stats_of(postings, lengths), lengths)
+    return Bm25Index.from_combined(combined)
 
 
 def with_path_ordinal(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -211,7 +236,7 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     floating-point summation across partitions.
     """
     index = (corpus_or_index if isinstance(corpus_or_index, Bm25Index)
-             else build_index(corpus_or_index, path_col, text_col))
+             else build_index(corpus_or_index, path_col, text_col).materialize())
     spark = index.postings.sparkSession
     if k <= 0:  # the reference clamps k to max(0, min(k, N))
         return spark.createDataFrame([], "qid long, path string, score double, rank int")

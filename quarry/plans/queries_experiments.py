@@ -135,7 +135,7 @@ def _bench_queries(spark, sf_dir):
 
 
 def _rankings(spark, sf_dir, depth=20):
-    idx = bm25.build_index(documents_corpus(spark, sf_dir))
+    idx = bm25.build_index(documents_corpus(spark, sf_dir)).materialize()
     q = _bench_queries(spark, sf_dir)
     a = bm25.bm25_search(idx, q, k=depth).withColumnRenamed("path", "id")
     b = bm25.overlap_search(idx, q, k=depth).withColumnRenamed("path", "id")
