@@ -96,7 +96,7 @@ def _term_stats_from_df(df: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def refresh(prev: KeywordIndexState, corpus: DataFrame, config: dict | None = None,
             compare: str = "stat") -> tuple[KeywordIndexState, DataFrame]:
-    """New state and the change table (path, status)."""
+    """New state and the change table (path, status) from a full current listing."""
     spark = corpus.sparkSession
     config = config or default_config()
     if prev.config != config:            # I2: full invalidation
@@ -104,9 +104,35 @@ def refresh(prev: KeywordIndexState, corpus: DataFrame, config: dict | None = No
     cur = listing(corpus)
     changes = diff(prev.manifest, cur, prev.index.lengths.select("path"), compare)
     touched = changes.filter(F.col("status").isin(*TOUCHED)).select("path")
+    new_docs = cur.join(touched, "path", "left_semi")
+    manifest = _manifest(prev, cur, changes)
+    return KeywordIndexState(manifest, _apply(prev, changes, new_docs), config), changes
+
+
+def apply_changes(prev: KeywordIndexState, updates: DataFrame) -> tuple[KeywordIndexState, DataFrame]:
+    """Apply a change feed ``(path, text, mtime_ns, size, deleted)`` (upserts
+    and deletes, e.g. one streaming micro-batch) without a full listing."""
+    upd = updates.select("path", "text", F.col("mtime_ns").cast("long").alias("mtime_ns"),
+                         F.coalesce(F.col("size"), F.octet_length("text")).cast("long").alias("size"),
+                         F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"))
+    known = prev.manifest.select("path", F.lit(True).alias("_known"))
+    live = bm25.indexable_documents(upd.filter(~F.col("deleted")))
+    changes = (upd.join(known, "path", "left")
+               .join(live.select("path", F.lit(True).alias("_live")), "path", "left")
+               .select("path", F.when(~F.coalesce("_live", F.lit(False)),
+                                      F.when(F.col("_known").isNotNull(), "removed").otherwise("ignored"))
+                       .when(F.col("_known").isNotNull(), "changed").otherwise("added").alias("status"))
+               .filter(F.col("status") != "ignored"))
+    new_docs = live.select("path", "mtime_ns", "size", "text")
+    manifest = (prev.manifest.join(changes.select("path"), "path", "left_anti")
+                .unionByName(new_docs.select("path", "mtime_ns", "size", content_hash("text").alias("hash"))))
+    return KeywordIndexState(manifest, _apply(prev, changes, new_docs), prev.config), changes
+
+
+def _apply(prev: KeywordIndexState, changes: DataFrame, new_docs: DataFrame) -> bm25.Bm25Index:
+    """Index after dropping every non-unchanged path and adding ``new_docs``."""
     gone = changes.filter(F.col("status") != "unchanged").select("path")
-
-    fresh = bm25.build_index(cur.join(touched, "path", "left_semi"))
+    fresh = bm25.build_index(new_docs)
     kept_postings = prev.index.postings.join(gone, "path", "left_anti")
     postings = kept_postings.unionByName(fresh.postings.select(*kept_postings.columns))
     lengths = prev.index.lengths.join(gone, "path", "left_anti").unionByName(fresh.lengths)
@@ -119,14 +145,15 @@ def refresh(prev: KeywordIndexState, corpus: DataFrame, config: dict | None = No
           .select("term", (F.coalesce("df", F.lit(0)) - F.coalesce("_minus", F.lit(0))
                            + F.coalesce("_plus", F.lit(0))).alias("df"))
           .filter(F.col("df") > 0))
-    index = bm25.Bm25Index(postings, bm25.with_path_ordinal(lengths), _term_stats_from_df(df, lengths), lengths)
+    return bm25.Bm25Index(postings, bm25.with_path_ordinal(lengths), _term_stats_from_df(df, lengths), lengths)
+
 
+def _manifest(prev: KeywordIndexState, cur: DataFrame, changes: DataFrame) -> DataFrame:
     prev_hash = prev.manifest.select("path", F.col("hash").alias("_ph"))
-    manifest = (cur.join(changes.select("path", "status"), "path").join(prev_hash, "path", "left")
-                .select("path", "mtime_ns", "size",
-                        F.when(F.col("status") == "unchanged", F.col("_ph"))
-                        .otherwise(content_hash("text")).alias("hash")))
-    return KeywordIndexState(manifest, index, config), changes
+    return (cur.join(changes.select("path", "status"), "path").join(prev_hash, "path", "left")
+            .select("path", "mtime_ns", "size",
+                    F.when(F.col("status") == "unchanged", F.col("_ph"))
+                    .otherwise(content_hash("text")).alias("hash")))
 
 
 def changed_flag(changes: DataFrame) -> DataFrame:

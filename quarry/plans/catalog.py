@@ -39,6 +39,7 @@ def load_all() -> None:
         queries_runs,
         queries_experiments,
         queries_index,
+        queries_misc,
     )
 
 

@@ -29,12 +29,13 @@ def _sql_values() -> str:
 
 
 # DuckDB CTEs computing the same index by brute force.
-SQL_INDEX = f"""
+def sql_index(extra_where: str = "") -> str:
+    return f"""
 docs AS (
-  SELECT {SQL_DOC_PATH} AS path, text FROM documents
+  SELECT * FROM (SELECT {SQL_DOC_PATH} AS path, text FROM documents)
   WHERE strlen(text) <= 512000 AND NOT contains(text, chr(0))
-    AND NOT regexp_matches({SQL_DOC_PATH}, '(^|/)[.]')
-    AND regexp_matches(text, '[A-Za-z0-9_]')),
+    AND NOT regexp_matches(path, '(^|/)[.]')
+    AND regexp_matches(text, '[A-Za-z0-9_]') {extra_where}),
 toks AS (SELECT path, {sql_tokens('text')} AS tokens FROM docs),
 dls AS (SELECT path, len(tokens) AS dl FROM toks),
 post AS (SELECT term, path, CAST(count(*) AS INTEGER) AS tf
@@ -46,6 +47,9 @@ idf AS (SELECT term, df, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf)
                           ELSE raw_idf END AS idf FROM raw)"""
 
 
+SQL_INDEX = sql_index()
+
+
 def _sql_scores(queries_sql: str) -> str:
     return f"""
 q AS ({queries_sql}),
@@ -58,9 +62,9 @@ scores AS (
   GROUP BY qt.qid, post.path)"""
 
 
-def _sql_topk(queries_sql: str, k: int) -> str:
+def _sql_topk(queries_sql: str, k: int, index_sql: str | None = None) -> str:
     # Brute force: every query against every document, unmatched = 0.
-    return f"""WITH {SQL_INDEX}, {_sql_scores(queries_sql)},
+    return f"""WITH {index_sql or SQL_INDEX}, {_sql_scores(queries_sql)},
 allq AS (SELECT DISTINCT qid FROM qt),
 full_rank AS (
   SELECT a.qid, d.path, round(coalesce(s.score, 0), 6) AS score
