@@ -94,18 +94,6 @@ class _Reader(DataSourceReader):
         self.max_bytes = int(cap) if cap is not None else None
         self.type_eq = None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (LessThanOrEqual, LessThan)) and f.attribute == ("size",):
-                bound = int(f.value) - (1 if isinstance(f, LessThan) else 0)
-                self.max_bytes = bound if self.max_bytes is None else min(self.max_bytes, bound)
-                # Directories have a null size; Spark would drop them too.
-                self.type_eq = "file"
-            elif isinstance(f, EqualTo) and f.attribute == ("type",):
-                self.type_eq = f.value
-            else:
-                yield f
-
     def partitions(self):
         entries = []
         for rel, typ, size, mtime in list_tree(self.root):
@@ -138,6 +126,22 @@ class _Reader(DataSourceReader):
             yield (rel, typ, size, mtime, content)
 
 
+class _PushdownReader(_Reader):
+    """Same reader, also taking ``size`` bounds and ``type`` equality from the plan."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (LessThanOrEqual, LessThan)) and f.attribute == ("size",):
+                bound = int(f.value) - (1 if isinstance(f, LessThan) else 0)
+                self.max_bytes = bound if self.max_bytes is None else min(self.max_bytes, bound)
+                # Directories have a null size; Spark would drop them too.
+                self.type_eq = "file"
+            elif isinstance(f, EqualTo) and f.attribute == ("type",):
+                self.type_eq = f.value
+            else:
+                yield f
+
+
 class CorpusFiles(DataSource):
     @classmethod
     def name(cls):
@@ -147,6 +151,8 @@ class CorpusFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema):
+        if str(self.options.get("pushdown", "false")).lower() == "true":
+            return _PushdownReader(self.options)
         return _Reader(self.options)
 
 
@@ -160,7 +166,9 @@ def read_tree(spark: SparkSession, root: str, content: bool = True,
     if not os.path.isdir(root):
         raise FileNotFoundError(f"root-missing: {root}")
     register(spark)
-    r = spark.read.format(FORMAT).option("path", root).option("content", str(content).lower())
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    r = (spark.read.format(FORMAT).option("path", root).option("content", str(content).lower())
+         .option("pushdown", pushdown))
     if max_bytes is not None:
         r = r.option("max_bytes", str(max_bytes))
     return r.load()
