@@ -32,8 +32,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(l2_normalize(a), l2_normalize(b))
 
 
-def check_dimension(v: Column | str, dim: int) -> Column:
-    """Null when the vector has ``dim`` entries; fails the task otherwise."""
+def checked_vector(v: Column | str, dim: int) -> Column:
+    """The vector itself when it has ``dim`` entries; fails the task otherwise.
+    (The check is part of the output value, so column pruning cannot drop it.)"""
     c = _col(v)
-    return F.assert_true(c.isNotNull() & (F.size(c) == dim),
-                         F.lit(f"vector dimension mismatch: expected {dim}"))
+    return F.when(c.isNotNull() & (F.size(c) == dim), c).otherwise(
+        F.raise_error(F.lit(f"vector dimension mismatch: expected {dim}")))

@@ -21,9 +21,9 @@ TRACE_CALLS = "array<struct<name:string,params:string,result_summary:string,late
 def validate_run_ids(runs: DataFrame) -> DataFrame:
     """Adds ``sanitised_id``; fails the job on the first refused run id."""
     problem = R.run_id_problem("run_id")
-    return (runs.withColumn("_chk", F.when(problem.isNotNull(),
-                                           F.raise_error(F.concat(problem, F.lit(": "), F.coalesce(F.col("run_id"), F.lit("null"))))))
-            .withColumn("sanitised_id", R.sanitise_run_id("run_id")).drop("_chk"))
+    # The check is part of the output column, so column pruning cannot drop it.
+    return runs.withColumn("sanitised_id", F.when(problem.isNull(), R.sanitise_run_id("run_id")).otherwise(
+        F.raise_error(F.concat(problem, F.lit(": "), F.coalesce(F.col("run_id"), F.lit("null"))))))
 
 
 def log_runs(runs: DataFrame, path: str) -> None:

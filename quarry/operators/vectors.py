@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.vectors import NORM_EPS, check_dimension, l2_norm
+from quarry.functions.vectors import NORM_EPS, checked_vector, l2_norm
 
 MAX_QUERIES_PER_PASS = 4096
 ROUND_DIGITS = 6
@@ -25,8 +25,7 @@ _TIE_MARGIN = 2e-6   # keep near-ties locally; the exact cut is made by Spark
 
 def build_vectors(df: DataFrame, dim: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(id, embedding, norm) with every vector checked to have ``dim`` entries."""
-    return (df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-            .withColumn("_chk", check_dimension("embedding", dim))
+    return (df.select(F.col(id_col).alias("id"), checked_vector(vec_col, dim).alias("embedding"))
             .select("id", "embedding", l2_norm("embedding").alias("norm")))
 
 
@@ -43,9 +42,8 @@ def save_vectors(index: DataFrame, path: str, mode: str = "overwrite") -> None:
 def load_vectors(spark, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     # The id/vector count check of a positional store becomes "no null id or vector".
-    return df.withColumn("_chk", F.assert_true(F.col("id").isNotNull() & F.col("embedding").isNotNull(),
-                                               F.lit("identifier count does not match index entries"))
-                         ).drop("_chk")
+    return df.withColumn("id", F.when(F.col("id").isNotNull() & F.col("embedding").isNotNull(), F.col("id"))
+                         .otherwise(F.raise_error(F.lit("identifier count does not match index entries"))))
 
 
 def _normalise(mat: np.ndarray) -> np.ndarray:

@@ -31,14 +31,10 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id")
 
 
-def check_unique_paths(corpus: DataFrame, path_col: str = "path") -> DataFrame:
-    """Fail the job if a path occurs twice (paths are the document key).
-
-    Adds no shuffle of its own when the caller already groups by path; the
-    check runs as ``assert_true`` inside the plan, not on the driver.
-    """
-    dup = corpus.groupBy(path_col).agg(F.count(F.lit(1)).alias("_n"))
-    return dup.select(F.assert_true(F.col("_n") == 1, F.concat(F.lit("duplicate path: "), F.col(path_col))))
+def duplicate_paths(corpus: DataFrame, path_col: str = "path") -> DataFrame:
+    """Paths that occur more than once (paths are the document key); empty
+    for a valid corpus. One aggregate, partial per task before the shuffle."""
+    return (corpus.groupBy(path_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
 
 
 def read_dimensions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -48,14 +44,13 @@ def read_dimensions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     to 1.0.
     """
     doc = spark.read.schema(schemas.TUNING_DOC).option("multiLine", True).json(path)
-    checked = doc.select(
-        F.assert_true(F.col("baseline_score").isNotNull() & F.col("dimensions").isNotNull()
-                      & (F.size("dimensions") > 0),
-                      F.lit("dataset must define baseline_score and at least one dimension")).alias("_ok"),
-        "baseline_score", "dimensions")
-    baseline = checked.select(F.col("baseline_score").cast("double").alias("baseline_score"), "_ok")
-    dims = checked.select(F.explode("dimensions").alias("d"), "_ok").select(
+    ok = F.col("baseline_score").isNotNull() & F.col("dimensions").isNotNull() & (F.size("dimensions") > 0)
+    fail = F.raise_error(F.lit("dataset must define baseline_score and at least one dimension"))
+    checked = doc.select(F.when(ok, F.col("baseline_score")).otherwise(fail).alias("baseline_score"),
+                         F.when(ok, F.col("dimensions")).otherwise(fail).alias("dimensions"))
+    baseline = checked.select(F.col("baseline_score").cast("double").alias("baseline_score"))
+    dims = checked.select(F.explode("dimensions").alias("d")).select(
         F.col("d.name").alias("name"), F.col("d.low").cast("double").alias("low"),
         F.col("d.high").cast("double").alias("high"), F.col("d.target").cast("double").alias("target"),
         F.coalesce(F.col("d.weight").cast("double"), F.lit(1.0)).alias("weight"))
-    return baseline.drop("_ok"), dims
+    return baseline, dims

@@ -3,7 +3,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+_REPO = os.path.dirname(_HERE)
+sys.path.insert(0, _REPO)
+# Python workers must import the package and test helpers pickled by reference.
+os.environ["PYTHONPATH"] = os.pathsep.join([_REPO, _HERE] + [p for p in [os.environ.get("PYTHONPATH")] if p])
 
 
 @pytest.fixture(scope="session")
