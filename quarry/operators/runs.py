@@ -48,7 +48,9 @@ def parse_runs(runs: DataFrame) -> DataFrame:
     parsed = runs.select(
         "*",
         R.trace_is_valid(t).alias("_valid"),
-        F.try_variant_get(F.try_parse_json(t), "$.calls", TRACE_CALLS).alias("_calls"))
+        # from_json keeps nested objects as their raw text (stored key order),
+        # which the first-three-items summary depends on; VARIANT sorts keys.
+        F.from_json(t, f"struct<calls:{TRACE_CALLS}>")["calls"].alias("_calls"))
     calls = F.transform(F.coalesce("_calls", F.array().cast(TRACE_CALLS)), lambda c: F.struct(
         c["name"].alias("name"), c["params"].alias("params"), c["result_summary"].alias("result_summary"),
         c["latency_ms"].try_cast("double").cast("long").alias("latency_ms")))
