@@ -111,6 +111,12 @@ def _call_ok(c: Column) -> Column:
             & _latency_ok(g("$.latency_ms")))
 
 
+def call_is_valid(call_json: Column | str) -> Column:
+    """One ToolCall object (JSON text) against its rules: name string, params
+    and result_summary objects, integral latency (numeric strings accepted)."""
+    return F.coalesce(_call_ok(F.try_parse_json(_col(call_json))), F.lit(False))
+
+
 def trace_is_valid(trace: Column | str) -> Column:
     """Validity of a trace document against FlowTrace(run_id: str,
     calls: list[ToolCall] = [], metrics: dict[str, float] = {}).

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import MAX_FILE_BYTES, has_nul, is_hidden_path, tokenize
+from quarry.plans.ordinal import global_ordinal
 from quarry.plans.sizing import bounded_broadcast
 
 # Fixed values of the ranking function.
@@ -127,26 +128,8 @@ def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text
 
 
 def with_path_ordinal(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add ``prank``, the 1-based position of each path in path order.
-
-    Distributed: range-partition by path, sort inside each range, number rows
-    with ``monotonically_increasing_id`` (partition index in the high bits,
-    row index in the low 33), then add the sizes of all earlier ranges from a
-    one-row-per-partition table. One shuffle of (path, dl); no single task
-    sees more than one range.
-    """
-    spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = (docs.repartitionByRange(parts, "path").sortWithinPartitions("path")
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_lrank", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    # offsets has one row per partition: a proven bound for the broadcast.
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(*[c for c in docs.columns], (F.col("_lrank") + F.col("_off")).alias("prank")))
+    """Add ``prank``, the 1-based position of each path in path order."""
+    return global_ordinal(docs, ["path"], "prank", partitions)
 
 
 def corpus_stats(doc_stats: DataFrame) -> tuple[Column, Column]:

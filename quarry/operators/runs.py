@@ -75,45 +75,80 @@ def latest_runs(runs: DataFrame, order_col: str = "logged_at") -> DataFrame:
     return runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def run_overview(parsed: DataFrame) -> DataFrame:
-    """run_id, number of calls, metric text (D11)."""
-    return parsed.select("run_id", F.size("calls").alias("calls"),
-                         R.metric_text("metrics_map").alias("metrics"))
+CALL_FIELDS = "struct<name:string,params:string,result_summary:string,latency_ms:string>"
 
 
-def call_table(parsed: DataFrame) -> DataFrame:
-    """One row per call: step from 1 (E3), tool, latency, summary."""
+def call_rows(parsed: DataFrame) -> DataFrame:
+    """Normalised call rows of parsed runs: (run_id, step, name, params,
+    result_summary, latency_ms). ``step`` counts from 1 in trace order (E3);
+    each trace is one row already, so this is a per-row ``posexplode``."""
     return (parsed.select("run_id", F.posexplode("calls").alias("pos", "c"))
             .select("run_id", (F.col("pos") + 1).cast("int").alias("step"),
-                    F.col("c.name").alias("tool"), F.col("c.latency_ms").alias("latency_ms"),
+                    F.col("c.name").alias("name"), F.col("c.params").alias("params"),
                     F.col("c.result_summary").alias("result_summary"),
-                    R.summary_text(F.col("c.result_summary")).alias("summary")))
-
-
-def flow_nodes(parsed: DataFrame) -> DataFrame:
-    """Nodes ``step_i`` with their labels; a run without calls has ``no_calls``."""
-    ex = parsed.select("run_id", F.posexplode_outer("calls").alias("pos", "c"))
-    step = (F.col("pos") + 1).cast("int")
-    return ex.select(
-        "run_id",
-        F.when(F.col("pos").isNull(), F.lit("no_calls")).otherwise(F.concat(F.lit("step_"), step.cast("string"))).alias("node"),
-        F.when(F.col("pos").isNull(), F.lit("No tool calls recorded")).otherwise(
-            R.call_label(step, F.col("c.name"), F.col("c.latency_ms"), R.summary_text(F.col("c.result_summary")))
-        ).alias("label"))
-
-
-def flow_edges(parsed: DataFrame) -> DataFrame:
-    """Edge from each call to the next (E4). Computed per row from the call
-    array (no window, no shuffle): step i -> step i+1."""
-    n = F.size("calls")
-    return (parsed.filter(n > 1)
-            .select("run_id", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
-            .select("run_id", F.concat(F.lit("step_"), F.col("i").cast("string")).alias("src"),
-                    F.concat(F.lit("step_"), (F.col("i") + 1).cast("string")).alias("dst")))
-
-
-def latency_totals(parsed: DataFrame) -> DataFrame:
-    """Total latency per run (D12), computed inside the row."""
-    return parsed.select("run_id", F.aggregate("calls", F.lit(0).cast("long"),
-                                               lambda acc, c: acc + F.coalesce(c["latency_ms"], F.lit(0))
-                                               ).alias("total_latency_ms"))
+                    F.col("c.latency_ms").alias("latency_ms")))
+
+
+def calls_from_json(df: DataFrame, call_col: str = "call") -> DataFrame:
+    """Call rows from one JSON call object per row (run_id, step, call):
+    adds the parsed fields and ``valid`` (the ToolCall rules of the trace)."""
+    c = F.from_json(F.col(call_col), CALL_FIELDS)
+    return df.select("run_id", F.col("step").cast("int").alias("step"),
+                     c["name"].alias("name"), c["params"].alias("params"),
+                     c["result_summary"].alias("result_summary"),
+                     c["latency_ms"].try_cast("double").cast("long").alias("latency_ms"),
+                     R.call_is_valid(F.col(call_col)).alias("valid"))
+
+
+def run_validity(calls: DataFrame) -> DataFrame:
+    """(run_id, valid, n_calls): a run is valid when all its calls are; one
+    partial aggregate, so a run holding a third of all calls is no hot task."""
+    return calls.groupBy("run_id").agg(F.bool_and("valid").alias("valid"),
+                                       F.count(F.lit(1)).cast("int").alias("n_calls"))
+
+
+def valid_calls(calls: DataFrame) -> DataFrame:
+    ok = run_validity(calls).filter("valid").select("run_id")
+    return calls.join(ok, "run_id", "left_semi").drop("valid")
+
+
+def run_overview(runs: DataFrame, calls: DataFrame) -> DataFrame:
+    """run_id, number of calls, metric text (D11). ``runs`` has run_id and
+    ``metrics_map``; call counts come from a per-run aggregate."""
+    counts = calls.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("calls"))
+    return (runs.select("run_id", "metrics_map").join(counts, "run_id", "left")
+            .select("run_id", F.coalesce("calls", F.lit(0)).alias("calls"),
+                    R.metric_text("metrics_map").alias("metrics")))
+
+
+def call_table(calls: DataFrame) -> DataFrame:
+    """One row per call: step, tool, latency, summary (first three scalar items)."""
+    return calls.select("run_id", "step", F.col("name").alias("tool"), "latency_ms", "result_summary",
+                        R.summary_text(F.col("result_summary")).alias("summary"))
+
+
+def flow_nodes(calls: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Nodes ``step_i`` with labels; runs without calls get ``no_calls``."""
+    nodes = calls.select(
+        "run_id", F.concat(F.lit("step_"), F.col("step").cast("string")).alias("node"),
+        R.call_label(F.col("step"), F.col("name"), F.col("latency_ms"),
+                     R.summary_text(F.col("result_summary"))).alias("label"))
+    if runs is not None:
+        empty = runs.select("run_id").join(calls.select("run_id"), "run_id", "left_anti")
+        nodes = nodes.unionByName(empty.select("run_id", F.lit("no_calls").alias("node"),
+                                               F.lit("No tool calls recorded").alias("label")))
+    return nodes
+
+
+def flow_edges(calls: DataFrame) -> DataFrame:
+    """Edge from each call to the next (E4): steps are dense positions, so
+    every call after the first has exactly one incoming edge — a per-row
+    projection, no window and no self-join."""
+    return (calls.filter(F.col("step") > 1)
+            .select("run_id", F.concat(F.lit("step_"), (F.col("step") - 1).cast("string")).alias("src"),
+                    F.concat(F.lit("step_"), F.col("step").cast("string")).alias("dst")))
+
+
+def latency_totals(calls: DataFrame) -> DataFrame:
+    """Total latency per run (D12): partial aggregate per run."""
+    return calls.groupBy("run_id").agg(F.sum(F.coalesce("latency_ms", F.lit(0))).cast("long").alias("total_latency_ms"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import runs as RO
 from quarry.operators import symbols as S
 from quarry.plans.catalog import register
-from quarry.plans.chain import run_steps
+from quarry.plans.chain import run_steps, trace_to_run
 from quarry.plans.queries_keyword import _sql_topk, sql_index
 from quarry.sources.tables import documents_corpus
 
@@ -42,6 +43,30 @@ def k10_chain_trace(spark, sf_dir):
     return trace
 
 
+SQL_CHAIN_COUNTS = """
+WITH f AS (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents
+           WHERE regexp_matches(lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt', '^en/')),
+g AS (SELECT path, unnest(CASE WHEN text = '' THEN []::VARCHAR[]
+                              ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END) AS line FROM f),
+gl AS (SELECT * FROM g WHERE regexp_matches(line, 'License')),
+kw AS (SELECT count(DISTINCT path) AS n FROM gl),
+counts AS (
+  SELECT 1 AS step, 'find' AS tool, (SELECT count(*) FROM f) AS results
+  UNION ALL SELECT 2, 'grep', (SELECT count(*) FROM gl)
+  UNION ALL SELECT 3, 'keyword', (SELECT least(n, 10) FROM kw))"""
+
+
+@register("k6_chain_run_record", SQL_CHAIN_COUNTS + """
+SELECT 'chain-1' AS run_id, CAST(step AS INTEGER) AS step, tool, CAST(0 AS BIGINT) AS latency_ms,
+       'results=' || CAST(results AS VARCHAR) AS summary FROM counts""")
+def k6_chain_run_record(spark, sf_dir):
+    """The chain's trace as a run-log row (trace JSON), parsed back and shown
+    as the call table: the JSON round trip of the run log."""
+    _, trace = run_steps(documents_corpus(spark, sf_dir), CHAIN, run_id="chain-1")
+    parsed = RO.parse_runs(trace_to_run(trace))
+    return RO.call_table(RO.call_rows(parsed)).select("run_id", "step", "tool", "latency_ms", "summary")
+
+
 @register("k5_symbol_index_documents")
 def k5_symbol_index_documents(spark, sf_dir):
     """Every document handed to the Python symbol extractor (as ``*.txt``

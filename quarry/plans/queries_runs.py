@@ -1,9 +1,11 @@
 """Run-log queries: conversations and events turned into run records.
 
 conversations -> one run per conversation: run_id ``conv-<id>``, one call per
-turn (name = role, latency = text length as a numeric *string*, summary =
-chars/lines/role); turns of role ``system`` carry latency ``n/a``, which
-makes that trace invalid, so the loader must skip those runs.
+turn as a JSON call object (name = role, latency = text length as a numeric
+*string*, summary = chars/lines/role); turns of role ``system`` carry latency
+``n/a``, which makes that call and so the run invalid, so it is skipped.
+Calls stay normalised rows (run_id, step, ...): no run is gathered into one
+row, whatever its size.
 events -> one call-less run per event: run id from event type and user,
 metrics = the event's ``props`` JSON.
 """
@@ -16,41 +18,39 @@ from quarry.functions import runs as R
 from quarry.functions.text import split_lines
 from quarry.operators import runs as RO
 from quarry.plans.catalog import register
+from quarry.plans.ordinal import group_ordinal
 from quarry.sources.tables import table
 
 
-def conversation_runs(spark, sf_dir):
-    """(run_id, params, metrics, trace) JSON text rows, one per conversation.
-
-    A trace is one document per run (the data model of the run log); its
-    calls are the run's turns, gathered per conversation.
-    """
+def conversation_calls(spark, sf_dir):
+    """Call rows (run_id, step, name, params, result_summary, latency_ms, valid):
+    one JSON call object per turn, validated like a trace's calls. Steps are
+    positions by turn from a distributed ordinal (no per-run window), and no
+    run is ever gathered into one row."""
     c = table(spark, sf_dir, "conversations")
-    call = F.struct(
-        F.col("turn"),
+    call = F.to_json(F.struct(
         F.col("role").alias("name"),
         F.struct(F.col("turn").alias("turn")).alias("params"),
         F.struct(F.length("text").alias("chars"), F.size(split_lines("text")).alias("lines"),
                  F.col("role").alias("role")).alias("result_summary"),
         F.when(F.col("role") == "system", F.lit("n/a"))
-         .otherwise(F.length("text").cast("string")).alias("latency_ms"))
+         .otherwise(F.length("text").cast("string")).alias("latency_ms")))
+    rows = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("run_id"), "turn",
+                    call.alias("call"))
+    return RO.calls_from_json(group_ordinal(rows, "run_id", ["turn"], "step"), "call")
+
+
+def conversation_runs(spark, sf_dir):
+    """Run rows (run_id, params, metrics) from per-conversation aggregates."""
+    c = table(spark, sf_dir, "conversations")
     g = c.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(call)).alias("turns"),
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"),
+        F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"),
         F.min_by("role", "turn").alias("first_role"),
         F.max(F.col("role") == "system").alias("has_system"))
-    run_id = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"))
-    calls = F.transform("turns", lambda t: F.struct(t["name"].alias("name"), t["params"].alias("params"),
-                                                    t["result_summary"].alias("result_summary"),
-                                                    t["latency_ms"].alias("latency_ms")))
     return g.select(
-        run_id.alias("run_id"),
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("run_id"),
         F.to_json(F.struct(F.col("conv_id"), F.lit("conversations").alias("source"))).alias("params"),
-        F.to_json(F.struct(F.col("n").alias("turns"), F.col("chars"), F.col("first_role"),
-                           F.col("has_system"))).alias("metrics"),
-        F.to_json(F.struct(run_id.alias("run_id"), calls.alias("calls"),
-                           F.struct(F.col("n").cast("double").alias("turns"),
-                                    F.col("chars").cast("double").alias("chars")).alias("metrics"))).alias("trace"))
+        F.to_json(F.struct("turns", "chars", "first_role", "has_system")).alias("metrics"))
 
 
 def event_run_id():
@@ -73,8 +73,8 @@ def event_runs(spark, sf_dir):
                     F.to_json(F.struct(rid.alias("run_id"))).alias("trace"))
 
 
-def _parsed_conv(spark, sf_dir):
-    return RO.parse_runs(conversation_runs(spark, sf_dir))
+def _valid_calls(spark, sf_dir):
+    return RO.valid_calls(conversation_calls(spark, sf_dir))
 
 
 SQL_VALID_CONV = """valid AS (
@@ -92,22 +92,23 @@ turns AS (
 SELECT run_id, CAST(count(*) AS INTEGER) AS n_calls, CAST(sum(chars) AS BIGINT) AS total_latency_ms
 FROM turns GROUP BY run_id""")
 def k6_parsed_runs(spark, sf_dir):
-    p = _parsed_conv(spark, sf_dir)
-    return RO.latency_totals(p).join(p.select("run_id", F.size("calls").alias("n_calls")), "run_id")
+    calls = _valid_calls(spark, sf_dir)
+    counts = calls.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("n_calls"))
+    return RO.latency_totals(calls).join(counts, "run_id")
 
 
 @register("h16_trace_validation", """
 SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS run_id, NOT bool_or(role = 'system') AS valid
 FROM conversations GROUP BY conv_id""")
 def h16_trace_validation(spark, sf_dir):
-    r = conversation_runs(spark, sf_dir)
-    return r.select("run_id", R.trace_is_valid("trace").alias("valid"))
+    """A run is valid when every call validates (system turns carry latency "n/a")."""
+    return RO.run_validity(conversation_calls(spark, sf_dir)).select("run_id", "valid")
 
 
 @register("b12_valid_run_rows", f"""WITH {SQL_VALID_CONV}
 SELECT run_id FROM valid""")
 def b12_valid_run_rows(spark, sf_dir):
-    return _parsed_conv(spark, sf_dir).select("run_id")
+    return RO.run_validity(conversation_calls(spark, sf_dir)).filter("valid").select("run_id")
 
 
 @register("d11_run_overview", f"""WITH {SQL_VALID_CONV}
@@ -116,20 +117,23 @@ SELECT run_id, CAST(count(*) AS INTEGER) AS calls,
        || ', has_system=0.0' AS metrics
 FROM turns GROUP BY run_id""")
 def d11_run_overview(spark, sf_dir):
-    return RO.run_overview(_parsed_conv(spark, sf_dir))
+    calls = _valid_calls(spark, sf_dir)
+    runs = (conversation_runs(spark, sf_dir).join(calls.select("run_id").distinct(), "run_id", "left_semi")
+            .withColumn("metrics_map", R.coerce_metrics("metrics")))
+    return RO.run_overview(runs, calls)
 
 
 @register("e3_call_steps", f"""WITH {SQL_VALID_CONV}
 SELECT run_id, step, role AS tool, CAST(chars AS BIGINT) AS latency_ms FROM turns""")
 def e3_call_steps(spark, sf_dir):
-    return RO.call_table(_parsed_conv(spark, sf_dir)).select("run_id", "step", "tool", "latency_ms")
+    return RO.call_table(_valid_calls(spark, sf_dir)).select("run_id", "step", "tool", "latency_ms")
 
 
 @register("f7_summary_text", f"""WITH {SQL_VALID_CONV}
 SELECT run_id, step, 'chars=' || CAST(chars AS VARCHAR) || ', lines=' || CAST(lines AS VARCHAR) || ', role=' || role AS summary
 FROM turns""")
 def f7_summary_text(spark, sf_dir):
-    return RO.call_table(_parsed_conv(spark, sf_dir)).select("run_id", "step", "summary")
+    return RO.call_table(_valid_calls(spark, sf_dir)).select("run_id", "step", "summary")
 
 
 @register("h18_call_label", f"""WITH {SQL_VALID_CONV}
@@ -138,20 +142,20 @@ SELECT run_id, 'step_' || CAST(step AS VARCHAR) AS node,
        || 'chars=' || CAST(chars AS VARCHAR) || ', lines=' || CAST(lines AS VARCHAR) || ', role=' || role AS label
 FROM turns""")
 def h18_call_label(spark, sf_dir):
-    return RO.flow_nodes(_parsed_conv(spark, sf_dir))
+    return RO.flow_nodes(_valid_calls(spark, sf_dir))
 
 
 @register("e4_flow_edges", f"""WITH {SQL_VALID_CONV}
 SELECT run_id, 'step_' || CAST(step - 1 AS VARCHAR) AS src, 'step_' || CAST(step AS VARCHAR) AS dst
 FROM turns WHERE step > 1""")
 def e4_flow_edges(spark, sf_dir):
-    return RO.flow_edges(_parsed_conv(spark, sf_dir))
+    return RO.flow_edges(_valid_calls(spark, sf_dir))
 
 
 @register("d12_latency_totals", f"""WITH {SQL_VALID_CONV}
 SELECT run_id, CAST(sum(chars) AS BIGINT) AS total_latency_ms FROM turns GROUP BY run_id""")
 def d12_latency_totals(spark, sf_dir):
-    return RO.latency_totals(_parsed_conv(spark, sf_dir))
+    return RO.latency_totals(_valid_calls(spark, sf_dir))
 
 
 @register("e4_flow_nodes_no_calls", """
@@ -160,7 +164,8 @@ SELECT event_type || ' #' || CAST(user_id AS VARCHAR) AS run_id, 'no_calls' AS n
 FROM events GROUP BY ALL""")
 def e4_flow_nodes_no_calls(spark, sf_dir):
     """Event runs have no calls: each gets the single node ``no_calls``."""
-    nodes = RO.flow_nodes(RO.parse_runs(event_runs(spark, sf_dir)))
+    parsed = RO.parse_runs(event_runs(spark, sf_dir))
+    nodes = RO.flow_nodes(RO.call_rows(parsed), parsed.select("run_id"))
     return nodes.groupBy("run_id", "node", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -39,7 +39,7 @@ def test_sanitised_names_and_refused_ids(spark, tmp_path):
 
 
 def test_edges_nodes_and_labels(spark):
-    p = RO.parse_runs(runs_df(spark, [row("run-1", TRACE)]))
+    p = RO.call_rows(RO.parse_runs(runs_df(spark, [row("run-1", TRACE)])))
     edges = [(r.src, r.dst) for r in RO.flow_edges(p).collect()]
     assert edges == [("step_1", "step_2")]
     nodes = {r.node: r.label for r in RO.flow_nodes(p).collect()}
@@ -51,9 +51,34 @@ def test_edges_nodes_and_labels(spark):
 
 
 def test_no_calls_node(spark):
-    p = RO.parse_runs(runs_df(spark, [row("r", {"run_id": "r"})]))
-    assert [(r.node, r.label) for r in RO.flow_nodes(p).collect()] == [("no_calls", "No tool calls recorded")]
-    assert RO.flow_edges(p).count() == 0
+    parsed = RO.parse_runs(runs_df(spark, [row("r", {"run_id": "r"})]))
+    calls = RO.call_rows(parsed)
+    assert [(r.node, r.label) for r in RO.flow_nodes(calls, parsed).collect()] == [("no_calls", "No tool calls recorded")]
+    assert RO.flow_edges(calls).count() == 0
+    ov = RO.run_overview(parsed, calls).first()
+    assert (ov.calls, ov.metrics) == (0, "m=1.0")
+
+
+def test_call_rows_from_json_and_validity(spark):
+    good = json.dumps({"name": "a", "params": {}, "result_summary": {"x": 1}, "latency_ms": "7"})
+    bad = json.dumps({"name": "b", "params": {}, "result_summary": {}, "latency_ms": "n/a"})
+    df = spark.createDataFrame([("r1", 1, good), ("r1", 2, good), ("r2", 1, good), ("r2", 2, bad)],
+                               "run_id string, step int, call string")
+    calls = RO.calls_from_json(df, "call")
+    v = {r.run_id: (r.valid, r.n_calls) for r in RO.run_validity(calls).collect()}
+    assert v == {"r1": (True, 2), "r2": (False, 2)}
+    assert sorted(r.run_id for r in RO.valid_calls(calls).collect()) == ["r1", "r1"]
+    assert RO.latency_totals(RO.valid_calls(calls)).first().total_latency_ms == 14
+
+
+def test_group_ordinal_dense_per_group(spark):
+    from quarry.plans.ordinal import group_ordinal
+    rows = [("hot", t) for t in range(0, 200, 3)] + [("cold", 5), ("cold", 1)]
+    df = spark.createDataFrame(rows, "run_id string, turn int").repartition(5)
+    got = group_ordinal(df, "run_id", ["turn"], "step").collect()
+    for rid in ("hot", "cold"):
+        mine = sorted((r.turn, r.step) for r in got if r.run_id == rid)
+        assert [s for _, s in mine] == list(range(1, len(mine) + 1))
 
 
 @pytest.mark.parametrize("trace,valid", [
