@@ -104,14 +104,21 @@ def indexable_documents(corpus: DataFrame, path_col: str = "path", text_col: str
     return corpus.filter(cond)
 
 
-def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, tokens, dl) for indexable documents; narrow, no shuffle."""
+def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
+               tokenizer=tokenize) -> DataFrame:
+    """(path, tokens, dl) for indexable documents; narrow, no shuffle.
+
+    ``tokenizer`` is a Column -> ARRAY<STRING> function (J3); the default is
+    the built-in ``[A-Za-z0-9_]+`` + lower-case rule. A custom tokenizer should
+    come with its own ``token_pattern`` in the index config so stored indexes
+    built with another tokenizer are invalidated."""
     docs = indexable_documents(corpus, path_col, text_col)
-    return (docs.select(F.col(path_col).alias("path"), tokenize(text_col).alias("tokens"))
+    return (docs.select(F.col(path_col).alias("path"), tokenizer(F.col(text_col)).alias("tokens"))
             .withColumn("dl", F.size("tokens")))
 
 
-def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text") -> Bm25Index:
+def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
+                tokenizer=tokenize) -> Bm25Index:
     """Lazy index over a corpus; call ``materialize()`` (or ``write``) before
     running several queries on it.
 
@@ -121,7 +128,7 @@ def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text
     a document's repeated tokens before the shuffle, so only distinct
     (term, path) pairs cross the network.
     """
-    toks = doc_tokens(corpus, path_col, text_col)
+    toks = doc_tokens(corpus, path_col, text_col, tokenizer)
     combined = (toks.select("path", "dl", F.explode(F.array_insert("tokens", 1, F.lit(LENGTH_MARKER))).alias("term"))
                 .groupBy("term", "path", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
     return Bm25Index.from_combined(combined)
@@ -148,17 +155,18 @@ def term_stats_of(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
                       .otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def query_terms(queries: DataFrame, qid_col: str = "qid", query_col: str = "query") -> DataFrame:
+def query_terms(queries: DataFrame, qid_col: str = "qid", query_col: str = "query",
+                tokenizer=tokenize) -> DataFrame:
     """(qid, term, qtf): a query token repeated n times counts n times."""
-    return (queries.select(F.col(qid_col).alias("qid"), F.explode(tokenize(query_col)).alias("term"))
+    return (queries.select(F.col(qid_col).alias("qid"), F.explode(tokenizer(F.col(query_col))).alias("term"))
             .groupBy("qid", "term").agg(F.count(F.lit(1)).cast("int").alias("qtf")))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
-                query_col: str = "query", query_rows: int | None = None) -> DataFrame:
+                query_col: str = "query", query_rows: int | None = None, tokenizer=tokenize) -> DataFrame:
     """(qid, path, score) for every document matching at least one query term."""
     _, avgdl = corpus_stats(index.lengths)
-    qterms = query_terms(queries, qid_col, query_col)
+    qterms = query_terms(queries, qid_col, query_col, tokenizer)
     # The query side is bounded by the query table (counted here, before the
     # join with term_stats, so the count reads only the queries). It is
     # broadcast so postings stream once without a shuffle on term, and a hot
@@ -211,7 +219,7 @@ def rank_with_zero_fill(scored: DataFrame, doc_stats: DataFrame, qids: DataFrame
 
 def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: int = DEFAULT_K,
                 qid_col: str = "qid", query_col: str = "query", path_col: str = "path",
-                text_col: str = "text", digits: int = 6) -> DataFrame:
+                text_col: str = "text", digits: int = 6, tokenizer=tokenize) -> DataFrame:
     """Ranked hits ``(qid, path, score, rank)``; at most ``k`` per query.
 
     Scores are rounded to ``digits`` decimals before ranking so that exact
@@ -219,12 +227,12 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     floating-point summation across partitions.
     """
     index = (corpus_or_index if isinstance(corpus_or_index, Bm25Index)
-             else build_index(corpus_or_index, path_col, text_col).materialize())
+             else build_index(corpus_or_index, path_col, text_col, tokenizer).materialize())
     spark = index.postings.sparkSession
     if k <= 0:  # the reference clamps k to max(0, min(k, N))
         return spark.createDataFrame([], "qid long, path string, score double, rank int")
-    scored = bm25_scores(index, queries, qid_col, query_col)
-    qids = query_terms(queries, qid_col, query_col).select("qid").distinct()
+    scored = bm25_scores(index, queries, qid_col, query_col, tokenizer=tokenizer)
+    qids = query_terms(queries, qid_col, query_col, tokenizer).select("qid").distinct()
     return rank_with_zero_fill(scored, index.doc_stats, qids, k, digits).select(
         "qid", "path", "score", F.col("rank").cast("int").alias("rank"))
 

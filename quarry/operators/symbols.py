@@ -68,6 +68,13 @@ def _extract(batches):
             names=["kind", "path", "line", "text", "message"])
 
 
+def merge_rule_overrides(defaults, overrides):
+    """Rule text per kind (MAP<STRING,STRING>) with overrides winning by key
+    (G5), independent of the session's map-key dedup policy."""
+    keep = F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(overrides), k))
+    return F.map_concat(keep, overrides)
+
+
 def missing_languages(languages: list[str]) -> list[str]:
     """Requested minus available languages, sorted."""
     return sorted(set(languages) - set(AVAILABLE_LANGUAGES))

@@ -205,3 +205,32 @@ def h3_hidden_path(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     rel = F.regexp_replace("url", "^[a-z]+://", "")
     return p.select("page_id", is_hidden_path(rel).alias("hidden"))
+
+
+@register("d6_result_counts", f"""WITH {SQL_INDEX},
+q AS ({BENCH_QUERIES_SQL}),
+qt AS (SELECT qid, unnest({sql_tokens('query')}) AS term FROM q),
+nq AS (SELECT qid, count(*) AS query_tokens FROM qt GROUP BY qid),
+m AS (SELECT qid, count(DISTINCT post.path) AS matched FROM qt JOIN post USING (term) GROUP BY qid)
+SELECT nq.qid, (SELECT count(*) FROM dls) AS documents, nq.query_tokens, coalesce(m.matched, 0) AS matched_documents
+FROM nq LEFT JOIN m USING (qid)""")
+def d6_result_counts(spark, sf_dir):
+    """Result metadata per query: indexed documents, query tokens, documents matched."""
+    idx = bm25.build_index(documents_corpus(spark, sf_dir))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    n_docs, _ = bm25.corpus_stats(idx.lengths)
+    qt = q.select("qid", F.explode(tokenize("query")).alias("term"))
+    nq = qt.groupBy("qid").agg(F.count(F.lit(1)).alias("query_tokens"))
+    matched = (idx.postings.select("term", "path").join(F.broadcast(qt.distinct()), "term")
+               .select("qid", "path").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("matched")))
+    return nq.join(matched, "qid", "left").select(
+        "qid", n_docs.alias("documents"), "query_tokens",
+        F.coalesce("matched", F.lit(0)).alias("matched_documents"))
+
+
+@register("a10_root_id", """
+SELECT page_id, sha1(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS root_id FROM pages""")
+def a10_root_id(spark, sf_dir):
+    """Index key per root: sha1 of the root (here the page's host)."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.sha1(F.expr("parse_url(url, 'HOST')")).alias("root_id"))

@@ -174,6 +174,12 @@ def read_tree(spark: SparkSession, root: str, content: bool = True,
     return r.load()
 
 
+def root_id(root: str) -> str:
+    """Index location key of a root: hex sha1 of its resolved path (A10)."""
+    import hashlib
+    return hashlib.sha1(os.path.realpath(root).encode()).hexdigest()
+
+
 def with_text(corpus: DataFrame) -> DataFrame:
     """Adds ``text``: UTF-8 decoded content with invalid bytes dropped (A5)."""
     return corpus.withColumn("text", decode_utf8_ignore("content"))

@@ -132,3 +132,12 @@ def test_plan_broadcasts_query_terms_and_limits_per_query(spark):
     plan = bm25.bm25_search(idx, q, k=2)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_custom_tokenizer(spark):
+    from pyspark.sql import functions as F
+    words = lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != "")
+    docs = {"a.txt": "Foo-bar baz", "b.txt": "foo bar", "c.txt": "qux", "d.txt": "foo"}
+    q = spark.createDataFrame([(0, "foo-bar")], "qid long, query string")
+    got = bm25.bm25_search(corpus_df(spark, docs), q, k=1, tokenizer=words).first()
+    assert got.path == "a.txt" and got.score > 0

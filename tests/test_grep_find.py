@@ -131,3 +131,8 @@ def test_language_files(spark):
     c = corpus_df(spark, {"a.py": "x", "b.txt": "y"})
     got = sorted((r.language, r.path) for r in P.select_language_files(c, ["python", "cobol"]).collect())
     assert got == [("cobol", "a.py"), ("cobol", "b.txt"), ("python", "a.py")]
+
+
+def test_root_id_is_sha1_of_resolved_root(tmp_path):
+    import hashlib
+    assert FS.root_id(str(tmp_path)) == hashlib.sha1(os.path.realpath(tmp_path).encode()).hexdigest()

@@ -131,3 +131,16 @@ def test_latest_per_sanitised_id(spark):
                                "run_id string, logged_at int, v string")
     got = sorted((r.sanitised_id, r.v) for r in RO.latest_runs(df).collect())
     assert got == [("other", "c"), ("run_1", "b")]
+
+
+def test_load_runs_newest_file_first_and_skips_bad_files(spark, tmp_path):
+    import os
+    import time
+    d = tmp_path / "runs"
+    RO.log_runs(runs_df(spark, [row("old", dict(TRACE, run_id="old"))]), str(d / "a"))
+    time.sleep(1.1)
+    RO.log_runs(runs_df(spark, [row("new", dict(TRACE, run_id="new"))]), str(d / "b"))
+    (d / "junk.parquet").write_text("not parquet")
+    got = [r.run_id for r in RO.load_runs(spark, str(d)).collect()]
+    assert got == ["new", "old"]
+    assert os.path.exists(d / "junk.parquet")

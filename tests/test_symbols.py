@@ -51,3 +51,11 @@ def test_lookup_summary_unresolved(spark):
     summ = {r.text: (r.defs, r.refs) for r in S.symbol_summary(f).collect()}
     assert summ == {"foo": (1, 2), "bar": (1, 0), "print": (0, 1)}
     assert [r.text for r in S.unresolved_references(f).collect()] == ["print"]
+
+
+def test_rule_override_merge(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([({"def": "d0", "ref": "r0"}, {"ref": "r1", "note": "n1"})],
+                               "d map<string,string>, o map<string,string>")
+    got = df.select(S.merge_rule_overrides(F.col("d"), F.col("o")).alias("m")).first().m
+    assert got == {"def": "d0", "ref": "r1", "note": "n1"}

@@ -121,3 +121,11 @@ def test_vector_index_build_then_reuse(spark, tmp_path):
     v3 = IX.ensure_vector_index(spark, base, c, Other())      # different embedder -> rebuild
     assert v3.count() == 3
     assert spark.read.parquet(base + "/registry").first()["embedder"] == "other"
+
+
+def test_replace_overwrites(spark, tmp_path):
+    a = V.build_vectors(vec_df(spark, [("a", [1, 0])]), 2)
+    b = V.build_vectors(vec_df(spark, [("b", [0, 1])]), 2)
+    V.save_vectors(a, str(tmp_path / "v"))
+    V.save_vectors(b, str(tmp_path / "v"), mode="overwrite")
+    assert [r.id for r in V.load_vectors(spark, str(tmp_path / "v")).collect()] == ["b"]
