@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import MAX_FILE_BYTES, has_nul, is_hidden_path, tokenize
 from quarry.plans.ordinal import global_ordinal
-from quarry.plans.sizing import bounded_broadcast
+from quarry.plans.sizing import bounded_broadcast, spread_small_input
 
 # Fixed values of the ranking function.
 K1 = 1.5
@@ -112,7 +112,7 @@ def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text"
     the built-in ``[A-Za-z0-9_]+`` + lower-case rule. A custom tokenizer should
     come with its own ``token_pattern`` in the index config so stored indexes
     built with another tokenizer are invalidated."""
-    docs = indexable_documents(corpus, path_col, text_col)
+    docs = spread_small_input(indexable_documents(corpus, path_col, text_col))
     return (docs.select(F.col(path_col).alias("path"), tokenizer(F.col(text_col)).alias("tokens"))
             .withColumn("dl", F.size("tokens")))
 
@@ -181,60 +181,65 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
             .groupBy("qid", "path").agg(F.sum(contrib).alias("score")))
 
 
-def rank_with_zero_fill(scored: DataFrame, doc_stats: DataFrame, qids: DataFrame, k: int,
-                        digits: int = 6) -> DataFrame:
-    """Top-k per query over *all* documents, unmatched ones scoring 0.
-
-    Only queries with fewer than k positive scores need zero-score rows; for
-    them the fill is the first ``k - n_pos`` documents by path that have no
-    non-zero score. Those lie among the first ``(k - n_pos) + n_nonzero``
-    documents in path order (``prank``), so each under-filled query reads a
-    bounded prefix of the path order instead of pairing with every document.
-    """
-    s = scored.withColumn("score", F.round("score", digits))
-    nonzero = s.filter(F.col("score") != 0)
-    per_q = (qids.join(nonzero.groupBy("qid").agg(
-        F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"),
-        F.count(F.lit(1)).alias("n_nonzero")), "qid", "left")
-        .select("qid", F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
-                F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero")))
-    under = (per_q.filter(F.col("n_pos") < k)
-             .select("qid", (F.lit(k) - F.col("n_pos")).alias("need"),
-                     (F.lit(k) - F.col("n_pos") + F.col("n_nonzero")).alias("reach")))
-    max_reach = under.select(F.max("reach")).scalar()
-    leading = doc_stats.select("path", "prank").filter(F.col("prank") <= max_reach)
-    # (qid, prank) slots: their number is the sum of reach over under-filled
-    # queries, i.e. at most k per query plus that query's own matched rows.
-    slots = under.select("qid", "need", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("prank"))
-    fill = (slots.join(leading, "prank")
-            .join(nonzero.select("qid", "path"), ["qid", "path"], "left_anti")
-            .withColumn("fr", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
-            .filter(F.col("fr") <= F.col("need"))
-            .select("qid", "path", F.lit(0.0).alias("score")))
-    candidates = nonzero.select("qid", "path", "score").unionByName(fill)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
-    return (candidates.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+def _nonzero(scored: DataFrame, digits: int) -> DataFrame:
+    return scored.withColumn("score", F.round("score", digits)).filter(F.col("score") != 0)
 
 
 def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: int = DEFAULT_K,
                 qid_col: str = "qid", query_col: str = "query", path_col: str = "path",
                 text_col: str = "text", digits: int = 6, tokenizer=tokenize) -> DataFrame:
-    """Ranked hits ``(qid, path, score, rank)``; at most ``k`` per query.
+    """Ranked hits ``(qid, path, score, rank)``; at most ``k`` per query,
+    over *all* documents (unmatched ones score 0, ties by path).
+
+    1. Score every query, keep the best k non-zero scores per query
+       (row_number with a partial limit before the shuffle) and checkpoint
+       that list: at most k rows per query.
+    2. A query is under-filled when fewer than k of those are positive (zero
+       and negative scores rank below all positive ones). Only those queries
+       are scored again to get their full non-zero set, which is small unless
+       the corpus has negative idf floors.
+    3. Their fill is the first ``k - n_pos`` documents by path without a
+       non-zero score; those lie among the first ``(k - n_pos) + n_nonzero``
+       documents of the path order (``prank``), so an under-filled query reads
+       a bounded prefix of the path order instead of pairing with every
+       document.
 
     Scores are rounded to ``digits`` decimals before ranking so that exact
     ties (frequent: equal tf and dl) are ranked by path whatever the order of
     floating-point summation across partitions.
     """
+    from quarry.session import cut_lineage
     index = (corpus_or_index if isinstance(corpus_or_index, Bm25Index)
              else build_index(corpus_or_index, path_col, text_col, tokenizer).materialize())
     spark = index.postings.sparkSession
     if k <= 0:  # the reference clamps k to max(0, min(k, N))
         return spark.createDataFrame([], "qid long, path string, score double, rank int")
-    scored = bm25_scores(index, queries, qid_col, query_col, tokenizer=tokenizer)
-    qids = query_terms(queries, qid_col, query_col, tokenizer).select("qid").distinct()
-    return rank_with_zero_fill(scored, index.doc_stats, qids, k, digits).select(
-        "qid", "path", "score", F.col("rank").cast("int").alias("rank"))
+    q = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("query"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
+    top = cut_lineage(_nonzero(bm25_scores(index, q, tokenizer=tokenizer), digits)
+                      .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                      .select("qid", "path", "score"))
+    qids = query_terms(q, tokenizer=tokenizer).select("qid").distinct()
+    pos = top.groupBy("qid").agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"))
+    under = (qids.join(pos, "qid", "left").select("qid", F.coalesce("n_pos", F.lit(0)).alias("n_pos"))
+             .filter(F.col("n_pos") < k))
+    taken = _nonzero(bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"), tokenizer=tokenizer),
+                     digits).select("qid", "path")
+    n_nonzero = taken.groupBy("qid").agg(F.count(F.lit(1)).alias("n_nonzero"))
+    reach = (under.join(n_nonzero, "qid", "left")
+             .select("qid", (F.lit(k) - F.col("n_pos")).alias("need"),
+                     (F.lit(k) - F.col("n_pos") + F.coalesce("n_nonzero", F.lit(0))).alias("reach")))
+    max_reach = reach.select(F.max("reach")).scalar()
+    leading = index.doc_stats.select("path", "prank").filter(F.col("prank") <= max_reach)
+    # (qid, prank) slots: at most k per under-filled query plus its own matches.
+    slots = reach.select("qid", "need", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("prank"))
+    fill = (slots.join(leading, "prank")
+            .join(taken, ["qid", "path"], "left_anti")
+            .withColumn("fr", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
+            .filter(F.col("fr") <= F.col("need"))
+            .select("qid", "path", F.lit(0.0).alias("score")))
+    return (top.unionByName(fill).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
 
 
 def overlap_search(index: Bm25Index, queries: DataFrame, k: int, qid_col: str = "qid",

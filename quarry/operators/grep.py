@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import java_regex, split_lines
+from quarry.plans.sizing import spread_small_input
 
 # Constructs whose meaning changes when a pattern is tried on a whole document
 # instead of one line; patterns containing them skip the document prefilter.
@@ -61,11 +62,11 @@ def grep(corpus: DataFrame, pattern: str | None = None,
     """Matching lines ``(pid, path, line, text)``; unordered (grep promises no order)."""
     pats = normalise_patterns(pattern, patterns)
     java = {pid: java_regex(p) for pid, p in pats.items()}
-    docs = corpus
+    docs = spread_small_input(corpus)
     if prefilter and all(not _LINE_SENSITIVE.search(p) for p in pats.values()):
         # A line can only match if its document matches with ^/$ at line ends.
         combined = "(?m)" + "|".join(f"(?:{j})" for j in java.values())
-        docs = corpus.filter(F.col(text_col).rlike(combined))
+        docs = docs.filter(F.col(text_col).rlike(combined))
     ls = lines(docs, path_col, text_col, line_mode)
     if len(java) == 1:
         (pid, j), = java.items()

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from quarry.operators.bm25 import indexable_documents
 from quarry.operators.vectors import vector_search
+from quarry.plans.sizing import spread_small_input
 
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 
@@ -65,7 +66,7 @@ def embed_texts(df: DataFrame, embedder: Embedder, id_col: str, text_col: str) -
                 pa.list_(pa.field("item", pa.float32(), nullable=False)))
             yield pa.RecordBatch.from_arrays([batch.column(0), emb], names=["id", "embedding"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(fn, schema)
+    return spread_small_input(df.select(F.col(id_col), F.col(text_col))).mapInArrow(fn, schema)
 
 
 def semantic_search(corpus: DataFrame, queries: DataFrame, embedder: Embedder, k: int,

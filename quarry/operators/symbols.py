@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import any_glob_match
 from quarry.operators.paths import DEFAULT_LANGUAGE_GLOBS
+from quarry.plans.sizing import spread_small_input
 
 VALID_KINDS = ("def", "ref", "call", "note")
 AVAILABLE_LANGUAGES = ("python",)
@@ -100,7 +101,7 @@ def symbol_index(corpus: DataFrame, languages: list[str] | None = None,
     sel = files.filter(any_glob_match("path", [g for lang in available for g in globs.get(lang, ["*"])]))
     if scope_globs:
         sel = sel.filter(any_glob_match("path", scope_globs))
-    raw = sel.mapInArrow(_extract, _OUT)
+    raw = spread_small_input(sel).mapInArrow(_extract, _OUT)
     findings = raw.filter(F.col("kind").isin(*VALID_KINDS))
     if symbol:   # exact, case-sensitive; empty or None = all
         findings = findings.filter(F.col("text") == symbol)

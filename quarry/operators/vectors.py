@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.vectors import NORM_EPS, checked_vector, l2_norm
+from quarry.plans.sizing import spread_small_input
 
 MAX_QUERIES_PER_PASS = 4096
 ROUND_DIGITS = 6
@@ -134,7 +135,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int | Non
     for start in range(0, len(qids), MAX_QUERIES_PER_PASS):
         chunk_ids = qids[start:start + MAX_QUERIES_PER_PASS]
         bc = spark.sparkContext.broadcast(qmat[start:start + MAX_QUERIES_PER_PASS])
-        parts.append(v.mapInArrow(_partial_topk_fn(chunk_ids, bc, k, dim, id_arrow), out_schema))
+        parts.append(spread_small_input(v).mapInArrow(_partial_topk_fn(chunk_ids, bc, k, dim, id_arrow), out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     partial = parts[0]

@@ -21,3 +21,34 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     """
     n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+# Inputs whose estimated size is at most this many bytes are spread over all
+# cores before heavy per-row work (tokenising, regex, embedding, parsing).
+# Small tables often come as one Parquet row group, i.e. one scan task; a
+# round-robin shuffle of at most this size buys the missing parallelism. Large
+# inputs keep the scan's own partitioning (one task per file split) and are
+# never shuffled here.
+SPREAD_MAX_BYTES = 512 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (None when unavailable)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: treat as large
+        return None
+
+
+def spread_small_input(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores if it is small, else unchanged."""
+    spark = df.sparkSession
+    limit = max_bytes if max_bytes is not None else int(
+        spark.conf.get("quarry.spread.maxBytes", str(SPREAD_MAX_BYTES)))
+    size = estimated_bytes(df)
+    if size is None or size > limit:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores and size > (64 << 20):
+        return df
+    return df.repartition(cores)
