@@ -131,8 +131,11 @@ def apply_changes(prev: KeywordIndexState, updates: DataFrame) -> tuple[KeywordI
 
 def _apply(prev: KeywordIndexState, changes: DataFrame, new_docs: DataFrame) -> bm25.Bm25Index:
     """Index after dropping every non-unchanged path and adding ``new_docs``."""
+    from quarry.session import cut_lineage
     gone = changes.filter(F.col("status") != "unchanged").select("path")
-    fresh = bm25.build_index(new_docs)
+    # Tokenise and aggregate the touched documents once (checkpointed);
+    # their postings, lengths and df deltas are all read from that table.
+    fresh = bm25.Bm25Index.from_combined(cut_lineage(bm25.build_index(new_docs).combined))
     kept_postings = prev.index.postings.join(gone, "path", "left_anti")
     postings = kept_postings.unionByName(fresh.postings.select(*kept_postings.columns))
     lengths = prev.index.lengths.join(gone, "path", "left_anti").unionByName(fresh.lengths)
@@ -156,6 +159,12 @@ def _manifest(prev: KeywordIndexState, cur: DataFrame, changes: DataFrame) -> Da
                     .otherwise(content_hash("text")).alias("hash")))
 
 
+def materialize_state(state: KeywordIndexState) -> KeywordIndexState:
+    """Checkpoint manifest and index (reliable checkpoint in the shared folder)."""
+    from quarry.session import cut_lineage
+    return KeywordIndexState(cut_lineage(state.manifest), state.index.materialize(), state.config)
+
+
 def changed_flag(changes: DataFrame) -> DataFrame:
     """One row: ``changed`` = any status other than unchanged, plus counts per
     status (``changed_docs`` counts the status ``changed``)."""
