@@ -69,7 +69,10 @@ class Bm25Index:
         else:
             base = self
             postings, lengths = cut_lineage(self.postings), cut_lineage(self.lengths)
-        return Bm25Index(postings, cut_lineage(base.doc_stats), cut_lineage(base.term_stats), lengths)
+        # doc_stats is stored in prank order, so the zero-score fill's
+        # ``prank <= n`` filter skips all but the first row groups.
+        doc_stats = cut_lineage(with_path_ordinal(lengths).sortWithinPartitions("prank"))
+        return Bm25Index(postings, doc_stats, cut_lineage(base.term_stats), lengths)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the three tables; postings sorted by term so a term filter
@@ -229,8 +232,14 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     reach = (under.join(n_nonzero, "qid", "left")
              .select("qid", (F.lit(k) - F.col("n_pos")).alias("need"),
                      (F.lit(k) - F.col("n_pos") + F.coalesce("n_nonzero", F.lit(0))).alias("reach")))
-    max_reach = reach.select(F.max("reach")).scalar()
-    leading = index.doc_stats.select("path", "prank").filter(F.col("prank") <= max_reach)
+    # One small action: the deepest prefix any under-filled query needs.
+    max_reach = reach.agg(F.max("reach")).first()[0]
+    final_w = w
+    if not max_reach:
+        return (top.withColumn("rank", F.row_number().over(final_w)).filter(F.col("rank") <= k)
+                .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
+    # A literal bound, so the filter reaches the (stored) doc_stats scan.
+    leading = index.doc_stats.select("path", "prank").filter(F.col("prank") <= F.lit(int(max_reach)))
     # (qid, prank) slots: at most k per under-filled query plus its own matches.
     slots = reach.select("qid", "need", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("prank"))
     fill = (slots.join(leading, "prank")
