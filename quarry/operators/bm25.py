@@ -45,6 +45,7 @@ class Bm25Index:
     term_stats: DataFrame
     doc_lengths: DataFrame | None = None   # path, dl without the ordinal (cheaper for N, avgdl)
     combined: DataFrame | None = None      # postings + one length row per document (build output)
+    ordinal_stored: bool = False           # doc_stats read from storage, sorted by prank
 
     @property
     def lengths(self) -> DataFrame:
@@ -69,10 +70,9 @@ class Bm25Index:
         else:
             base = self
             postings, lengths = cut_lineage(self.postings), cut_lineage(self.lengths)
-        # doc_stats is stored in prank order, so the zero-score fill's
-        # ``prank <= n`` filter skips all but the first row groups.
-        doc_stats = cut_lineage(with_path_ordinal(lengths).sortWithinPartitions("prank"))
-        return Bm25Index(postings, doc_stats, cut_lineage(base.term_stats), lengths)
+        # The path ordinal stays lazy here (a one-shot search rarely needs it);
+        # ``write`` stores it sorted by prank for repeated searches.
+        return Bm25Index(postings, with_path_ordinal(lengths), cut_lineage(base.term_stats), lengths)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the three tables; postings sorted by term so a term filter
@@ -88,7 +88,7 @@ class Bm25Index:
 def read_index(spark, base: str) -> Bm25Index:
     return Bm25Index(spark.read.parquet(f"{base}/postings"),
                      spark.read.parquet(f"{base}/doc_stats"),
-                     spark.read.parquet(f"{base}/term_stats"))
+                     spark.read.parquet(f"{base}/term_stats"), ordinal_stored=True)
 
 
 def indexable_documents(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
@@ -184,6 +184,22 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
             .groupBy("qid", "path").agg(F.sum(contrib).alias("score")))
 
 
+# Up to this many leading documents an unstored path order is taken with one
+# ordered limit (per-task top-n, merged in one task); beyond it, or when the
+# index stores its ordinal, the ``prank`` column is used.
+FILL_PREFIX_MAX = 1_000_000
+
+
+def leading_paths(index: Bm25Index, n: int) -> DataFrame:
+    """(path, prank) of the first ``n`` documents in path order."""
+    if index.ordinal_stored or n > FILL_PREFIX_MAX:
+        # A literal bound: on a stored index (sorted by prank) the filter is
+        # pushed into the scan and skips all but the first row groups.
+        return index.doc_stats.select("path", "prank").filter(F.col("prank") <= F.lit(n))
+    return (index.lengths.select("path").orderBy("path").limit(n)
+            .withColumn("prank", F.row_number().over(Window.orderBy("path"))))
+
+
 def _nonzero(scored: DataFrame, digits: int) -> DataFrame:
     return scored.withColumn("score", F.round("score", digits)).filter(F.col("score") != 0)
 
@@ -238,8 +254,7 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     if not max_reach:
         return (top.withColumn("rank", F.row_number().over(final_w)).filter(F.col("rank") <= k)
                 .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
-    # A literal bound, so the filter reaches the (stored) doc_stats scan.
-    leading = index.doc_stats.select("path", "prank").filter(F.col("prank") <= F.lit(int(max_reach)))
+    leading = leading_paths(index, int(max_reach))
     # (qid, prank) slots: at most k per under-filled query plus its own matches.
     slots = reach.select("qid", "need", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("prank"))
     fill = (slots.join(leading, "prank")

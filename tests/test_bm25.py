@@ -141,3 +141,9 @@ def test_custom_tokenizer(spark):
     q = spark.createDataFrame([(0, "foo-bar")], "qid long, query string")
     got = bm25.bm25_search(corpus_df(spark, docs), q, k=1, tokenizer=words).first()
     assert got.path == "a.txt" and got.score > 0
+
+
+def test_fill_with_distributed_ordinal(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "FILL_PREFIX_MAX", 0)     # force the prank path
+    docs = {f"d{i:02d}.txt": ("rare" if i == 7 else "common words here") for i in range(12)}
+    assert search(spark, docs, ["rare"], 5)[0] == model(docs, "rare", 5)
