@@ -79,16 +79,29 @@ def grep(corpus: DataFrame, pattern: str | None = None,
 
 def grep_summary(corpus: DataFrame, pattern: str | None = None,
                  patterns: dict[int, str] | list[str] | None = None, **kw) -> DataFrame:
-    """Per pattern: matching lines and exit status (0 = hits, 1 = none).
+    """Per pattern: matching lines and exit status — 0 = hits, 1 = none,
+    2 = invalid pattern (that pattern only; the others still run).
 
     Zero-hit patterns are kept via a left join from the pattern list; the
     count is a partial (map-side) aggregate, so a pattern hitting a third of
     all lines is still one small row per task before the shuffle.
     """
     pats = normalise_patterns(pattern, patterns)
+    valid, invalid = {}, {}
+    for pid, p in pats.items():
+        try:
+            java_regex(p)
+            valid[pid] = p
+        except ValueError:
+            invalid[pid] = p
     spark = corpus.sparkSession
-    plist = spark.createDataFrame([(pid, p) for pid, p in pats.items()], "pid long, pattern string")
-    counts = grep(corpus, patterns=pats, **kw).groupBy("pid").agg(F.count(F.lit(1)).alias("matches"))
+    plist = spark.createDataFrame([(pid, p, pid in invalid) for pid, p in pats.items()],
+                                  "pid long, pattern string, bad boolean")
+    if valid:
+        counts = grep(corpus, patterns=valid, **kw).groupBy("pid").agg(F.count(F.lit(1)).alias("matches"))
+    else:
+        counts = spark.createDataFrame([], "pid long, matches long")
     return (F.broadcast(plist).join(counts, "pid", "left")
-            .select("pid", "pattern", F.coalesce("matches", F.lit(0)).alias("matches"))
-            .withColumn("exit_code", F.when(F.col("matches") > 0, 0).otherwise(1)))
+            .select("pid", "pattern", F.coalesce("matches", F.lit(0)).alias("matches"), "bad")
+            .withColumn("exit_code", F.when(F.col("bad"), 2).when(F.col("matches") > 0, 0).otherwise(1))
+            .drop("bad"))

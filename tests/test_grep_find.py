@@ -12,8 +12,8 @@ def test_grep_hit_and_status(spark):
     c = corpus_df(spark, {"sample.txt": "TODO: write more tests"})
     hits = G.grep(c, "TODO").collect()
     assert [(h.path, h.line, h.text) for h in hits] == [("sample.txt", 1, "TODO: write more tests")]
-    s = G.grep_summary(c, patterns={1: "TODO", 2: "nothing here"}).orderBy("pid").collect()
-    assert [(r.pid, r.matches, r.exit_code) for r in s] == [(1, 1, 0), (2, 0, 1)]
+    s = G.grep_summary(c, patterns={1: "TODO", 2: "nothing here", 3: "(bad"}).orderBy("pid").collect()
+    assert [(r.pid, r.matches, r.exit_code) for r in s] == [(1, 1, 0), (2, 0, 1), (3, 0, 2)]
 
 
 def test_grep_lines_numbered_from_one_and_one_row_per_line(spark):
