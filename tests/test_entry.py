@@ -56,3 +56,14 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(cols) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _canon(cols, rows) == _canon(ocols, orows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_no_query_plans_a_cross_join(spark):
+    """No registered query pairs every row with every row: no Cartesian
+    product and no broadcast nested-loop join in any plan or subquery."""
+    bad = []
+    for name, fn in sorted(E.queries().items()):
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        bad += [(name, m) for m in ("CartesianProduct", "BroadcastNestedLoopJoin") if m in plan]
+    assert bad == []
