@@ -1,51 +1,46 @@
 """Structured Streaming ingest of document changes into the keyword index.
 
 A change feed ``(path, text, mtime_ns, size, deleted)`` arrives as Parquet
-files in a folder. Each micro-batch is applied to the stored index state
-with ``apply_changes`` (same result as a rebuild) and written as a new state
-version under ``<state_base>/v=<epoch>``; a tiny ``versions`` table records
-the committed epochs, so a restarted query resumes from its checkpoint and
-reads the last committed state. Executor loss inside a batch only re-runs
-that batch's tasks; the state written by a batch is complete before its
-epoch is recorded.
+files in a folder. Each micro-batch is committed to a bucketed index store
+(``quarry.operators.index_store``): only the buckets the batch touches are
+rewritten, plus the vocabulary-sized statistics. The commit is staged per
+batch id and can be repeated, so a batch re-run after a failure (the
+streaming checkpoint replays it) leaves the same state. Executor loss inside a
+batch only re-runs that batch's tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.operators import index as IX
+from quarry.operators import index_store as ST
+from quarry.operators.index import KeywordIndexState
 
 FEED_SCHEMA = "path string, text string, mtime_ns long, size long, deleted boolean"
 
 
-def latest_state(spark: SparkSession, state_base: str) -> IX.KeywordIndexState:
-    try:
-        v = spark.read.parquet(f"{state_base}/versions").agg(F.max("epoch")).first()[0]
-    except Exception:  # noqa: BLE001 - no committed version yet
-        v = None
-    if v is None:
-        return IX.empty_state(spark)
-    return IX.read_state(spark, f"{state_base}/v={v}")
+def latest_state(spark: SparkSession, store_base: str) -> KeywordIndexState:
+    return ST.open_store(spark, store_base)
 
 
-def _apply_batch(state_base: str):
+def _commit_batch(store_base: str, stream_key: str):
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = latest_state(spark, state_base)
-        new_state, _ = IX.apply_changes(prev, batch)
-        IX.write_state(new_state, f"{state_base}/v={epoch_id}")
-        spark.createDataFrame([(int(epoch_id),)], "epoch long").write.mode("append").parquet(
-            f"{state_base}/versions")
+        ST.commit(batch.sparkSession, store_base, batch, f"{stream_key}-{int(epoch_id)}")
     return fn
 
 
-def start_index_stream(spark: SparkSession, feed_dir: str, state_base: str, checkpoint: str,
-                       available_now: bool = True):
+def start_index_stream(spark: SparkSession, feed_dir: str, store_base: str, checkpoint: str,
+                       available_now: bool = True, buckets: int = ST.BUCKETS):
     """Start the ingest query; ``available_now`` processes what is there and stops."""
+    try:
+        spark.read.parquet(f"{store_base}/config").first()
+    except Exception:  # noqa: BLE001 - no store yet: create an empty one
+        ST.empty_store(spark, store_base, buckets=buckets)
+    key = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     stream = spark.readStream.schema(FEED_SCHEMA).parquet(feed_dir)
-    writer = (stream.writeStream.foreachBatch(_apply_batch(state_base))
+    writer = (stream.writeStream.foreachBatch(_commit_batch(store_base, key))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
