@@ -2,14 +2,6 @@
 
 from pyspark.sql import types as T
 
-CORPUS = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("type", T.StringType(), False),        # file | directory
-    T.StructField("size", T.LongType(), True),
-    T.StructField("mtime_ns", T.LongType(), True),
-    T.StructField("content", T.BinaryType(), True),
-])
-
 MANIFEST = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("mtime_ns", T.LongType(), True),
@@ -17,39 +9,6 @@ MANIFEST = T.StructType([
     T.StructField("hash", T.StringType(), True),
 ])
 
-VECTORS = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
-])
-
-FINDINGS = T.StructType([
-    T.StructField("kind", T.StringType(), False),
-    T.StructField("path", T.StringType(), False),
-    T.StructField("line", T.IntegerType(), False),
-    T.StructField("text", T.StringType(), False),
-])
-
-PARSE_ERRORS = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("message", T.StringType(), True),
-])
-
-RUNS = T.StructType([
-    T.StructField("run_id", T.StringType(), True),
-    T.StructField("params", T.StringType(), True),
-    T.StructField("metrics", T.StringType(), True),
-    T.StructField("trace", T.StringType(), True),
-])
-
-# Trace as read for validation: nested objects are kept as raw JSON text and
-# latency as text so that numeric strings can be accepted like the reference.
-TRACE_CALL = T.StructType([
-    T.StructField("name", T.StringType(), True),
-    T.StructField("params", T.StringType(), True),
-    T.StructField("result_summary", T.StringType(), True),
-    T.StructField("latency_ms", T.StringType(), True),
-])
-
 DIMENSION = T.StructType([
     T.StructField("name", T.StringType(), True),
     T.StructField("low", T.DoubleType(), True),
