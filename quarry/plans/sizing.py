@@ -48,7 +48,6 @@ def spread_small_input(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     size = estimated_bytes(df)
     if size is None or size > limit:
         return df
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores and size > (64 << 20):
-        return df
-    return df.repartition(cores)
+    # Planning only: no partition count is asked of ``df`` (with AQE that
+    # would run the shuffle stages of its plan).
+    return df.repartition(spark.sparkContext.defaultParallelism)
