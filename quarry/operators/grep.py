@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import java_regex, split_lines
+from quarry.functions.text import has_nul, is_hidden_path, java_regex, split_lines
 from quarry.plans.sizing import spread_small_input
 
 # Constructs whose meaning changes when a pattern is tried on a whole document
@@ -58,11 +58,21 @@ def lines(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
 def grep(corpus: DataFrame, pattern: str | None = None,
          patterns: dict[int, str] | list[str] | None = None,
          path_col: str = "path", text_col: str = "text", line_mode: str = "newline",
-         prefilter: bool = True) -> DataFrame:
-    """Matching lines ``(pid, path, line, text)``; unordered (grep promises no order)."""
+         prefilter: bool = True, include_hidden: bool = False, skip_binary: bool = True) -> DataFrame:
+    """Matching lines ``(pid, path, line, text)``; unordered (grep promises no order).
+
+    Defaults follow the reference's primary search program: hidden paths and
+    binary (NUL-containing) files are skipped; ``include_hidden=True,
+    skip_binary=False`` gives its fallback search, which reads every file.
+    """
     pats = normalise_patterns(pattern, patterns)
     java = {pid: java_regex(p) for pid, p in pats.items()}
-    docs = spread_small_input(corpus)
+    docs = corpus
+    if not include_hidden:
+        docs = docs.filter(~is_hidden_path(path_col))
+    if skip_binary:
+        docs = docs.filter(~has_nul(text_col))
+    docs = spread_small_input(docs)
     if prefilter and all(not _LINE_SENSITIVE.search(p) for p in pats.values()):
         # A line can only match if its document matches with ^/$ at line ends.
         combined = "(?m)" + "|".join(f"(?:{j})" for j in java.values())

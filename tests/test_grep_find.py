@@ -117,7 +117,15 @@ def test_find_regex_type_and_errors(spark, tmp_path):
 def test_grep_over_tree_skips_link_outside(spark, tmp_path):
     root = _tree(tmp_path)
     c = FS.with_text(FS.read_tree(spark, str(root)).filter("type = 'file'"))
-    assert sorted(h.path for h in G.grep(c, "TODO").collect()) == [".hid/secret.txt", "nested/keep_match.txt"]
+    assert sorted(h.path for h in G.grep(c, "TODO").collect()) == ["nested/keep_match.txt"]
+    every = G.grep(c, "TODO", include_hidden=True, skip_binary=False)
+    assert sorted(h.path for h in every.collect()) == [".hid/secret.txt", "nested/keep_match.txt"]
+
+
+def test_grep_skips_binary_by_default(spark):
+    c = corpus_df(spark, {"bin.dat": "TODO\x00x", "a.txt": "TODO"})
+    assert [h.path for h in G.grep(c, "TODO").collect()] == ["a.txt"]
+    assert sorted(h.path for h in G.grep(c, "TODO", skip_binary=False).collect()) == ["a.txt", "bin.dat"]
 
 
 def test_table_entries_directories(spark):
