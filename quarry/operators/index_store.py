@@ -92,12 +92,16 @@ def _ready(spark: SparkSession, staging: str) -> bool:
 
 def commit(spark: SparkSession, base: str, updates: DataFrame, batch_id: str) -> DataFrame:
     """Apply a change feed to the store; returns the change table (path, status)."""
-    from quarry.session import cut_lineage, ensure_checkpoint_dir
+    from quarry.session import cut_lineage, delete_path, ensure_checkpoint_dir
     staging = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-staging/{base.strip('/').replace('/', '_')}/{batch_id}"
     if not _ready(spark, staging):
         _stage(spark, base, updates, staging, cut_lineage)
     _publish(spark, base, staging)
-    return spark.read.parquet(f"{staging}/changes")
+    changes = cut_lineage(spark.read.parquet(f"{staging}/changes"))
+    # Fully published: the staging is no longer needed for a repeat (a repeat
+    # of this batch now recomputes the same changes against the new state).
+    delete_path(spark, staging)
+    return changes
 
 
 def _stage(spark, base, updates, staging, cut_lineage) -> None:

@@ -86,3 +86,17 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out, "quarry"), "zip", os.path.dirname(pkg_dir), "quarry")
     sc.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Recursive delete through the Hadoop file system of the path's scheme
+    (works for local, HDFS and object-store folders alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_lineage_tables(spark: SparkSession) -> None:
+    """Remove the tables ``cut_lineage`` wrote for this application. Call it
+    when no DataFrame built from them is needed any more."""
+    delete_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables")

@@ -15,6 +15,8 @@ def spark():
     from quarry.session import get_session
     s = get_session("local[4]", 8, app_name="quarry-tests")
     yield s
+    from quarry.session import drop_lineage_tables
+    drop_lineage_tables(s)
     s.stop()
 
 
