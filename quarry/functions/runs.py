@@ -45,14 +45,24 @@ def _is_number_type(t: Column) -> Column:
     return t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
 
 
+# Decimal literal with digit-group underscores, as Python's float() reads it.
+_UNDERSCORED = r"^\s*[+-]?([0-9]+(_[0-9]+)*)?(\.([0-9]+(_[0-9]+)*)?)?([eE][+-]?[0-9]+(_[0-9]+)*)?\s*$"
+
+
+def text_to_double(s: Column) -> Column:
+    """Python ``float(str)`` on a string column: Spark-only spellings (suffix
+    d/f) are refused; underscores between digits are accepted."""
+    cleaned = F.when(s.contains("_") & s.rlike(_UNDERSCORED), F.regexp_replace(s, "_", "")).otherwise(s)
+    return F.when(~F.trim(s).rlike("[dDfF]$"), cleaned.try_cast("double"))
+
+
 def variant_to_double(v: Column) -> Column:
     """float(value) of the reference: numbers and booleans convert, strings
-    when they parse as a float, everything else (null, objects, arrays) is null.
-    Spark-only float spellings (suffix d/f) are refused like Python does."""
+    when they parse as a float, everything else (null, objects, arrays) is null."""
     t = _vtype(v)
     s = F.try_variant_get(v, "$", "string")
     return (F.when(_is_number_type(t) | (t == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
-            .when((t == "STRING") & ~F.trim(s).rlike("[dDfF]$"), s.try_cast("double")))
+            .when(t == "STRING", text_to_double(s)))
 
 
 def coerce_metrics(text: Column | str) -> Column:

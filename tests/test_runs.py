@@ -112,13 +112,28 @@ def test_invalid_rows_skipped(spark):
 
 def test_metric_coercion(spark):
     m = json.dumps({"a": "1.5", "b": True, "c": "x", "d": None, "e": [1], "f": 3, "g": " 2 ", "h": "1.5d",
-                    "i": "true"})
-    got = spark.createDataFrame([(m,)], "m string").select(R.coerce_metrics("m").alias("c")).first().c
-    assert got == {"a": 1.5, "b": 1.0, "f": 3.0, "g": 2.0}
-    assert list(got.keys()) == ["a", "b", "f", "g"]
+                    "i": "true", "j": "1_000.5", "k": "1__0", "l": "_1"})
+    row = spark.createDataFrame([(m,)], "m string").select(
+        R.coerce_metrics("m").alias("c"), F.map_keys(R.coerce_metrics("m")).alias("keys")).first()
+    assert row.c == {"a": 1.5, "b": 1.0, "f": 3.0, "g": 2.0, "j": 1000.5}
+    assert row["keys"] == ["a", "b", "f", "g", "j"]          # stored order (a dict from collect() is unordered)
+
+
+def test_text_to_double_matches_python_float(spark):
+    samples = ["1.5", " 2 ", "1_000", "1_0.2_5", "1e3", "1_e3", "1__0", "_1", "1_", ".5", "5.", "inf", "-inf",
+               "abc", "", "1.5d", "2f", "0x10", "1e", "+3", "-0.0"]
+    df = spark.createDataFrame([(x,) for x in samples], "s string")
+    got = [r[0] for r in df.select(R.text_to_double(F.col("s"))).collect()]
+
+    def py(x):
+        try:
+            return float(x)
+        except ValueError:
+            return None
+    assert got == [py(x) for x in samples]
     txt = spark.createDataFrame([(m,), ("{}",), ("bad",)], "m string").select(
         R.metric_text(R.coerce_metrics("m")).alias("t")).collect()
-    assert [r.t for r in txt] == ["a=1.5, b=1.0, f=3.0, g=2.0", "-", "-"]
+    assert [r.t for r in txt] == ["a=1.5, b=1.0, f=3.0, g=2.0, j=1000.5", "-", "-"]
 
 
 def test_json_decode_non_objects(spark):
