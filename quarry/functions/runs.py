@@ -53,7 +53,8 @@ def text_to_double(s: Column) -> Column:
     """Python ``float(str)`` on a string column: Spark-only spellings (suffix
     d/f) are refused; underscores between digits are accepted."""
     cleaned = F.when(s.contains("_") & s.rlike(_UNDERSCORED), F.regexp_replace(s, "_", "")).otherwise(s)
-    return F.when(~F.trim(s).rlike("[dDfF]$"), cleaned.try_cast("double"))
+    spark_only = F.trim(s).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]$")
+    return F.when(~spark_only, cleaned.try_cast("double"))
 
 
 def variant_to_double(v: Column) -> Column:
