@@ -166,8 +166,11 @@ def query_terms(queries: DataFrame, qid_col: str = "qid", query_col: str = "quer
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
-                query_col: str = "query", query_rows: int | None = None, tokenizer=tokenize) -> DataFrame:
-    """(qid, path, score) for every document matching at least one query term."""
+                query_col: str = "query", query_rows: int | None = None, tokenizer=tokenize,
+                with_overlap: bool = False) -> DataFrame:
+    """(qid, path, score) for every document matching at least one query term;
+    ``with_overlap`` adds ``matched``, the number of distinct query terms the
+    document holds (same join, same aggregate)."""
     _, avgdl = corpus_stats(index.lengths)
     qterms = query_terms(queries, qid_col, query_col, tokenizer)
     # The query side is bounded by the query table (counted here, before the
@@ -180,8 +183,10 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
     tf = F.col("tf")
     contrib = (F.col("qtf") * F.col("idf") * tf * F.lit(K1 + 1)
                / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)))
-    return (index.postings.join(qt, "term")
-            .groupBy("qid", "path").agg(F.sum(contrib).alias("score")))
+    aggs = [F.sum(contrib).alias("score")]
+    if with_overlap:
+        aggs.append(F.count(F.lit(1)).cast("double").alias("matched"))
+    return index.postings.join(qt, "term").groupBy("qid", "path").agg(*aggs)
 
 
 # Up to this many leading documents an unstored path order is taken with one
@@ -206,7 +211,8 @@ def _nonzero(scored: DataFrame, digits: int) -> DataFrame:
 
 def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: int = DEFAULT_K,
                 qid_col: str = "qid", query_col: str = "query", path_col: str = "path",
-                text_col: str = "text", digits: int = 6, tokenizer=tokenize) -> DataFrame:
+                text_col: str = "text", digits: int = 6, tokenizer=tokenize,
+                scored: DataFrame | None = None) -> DataFrame:
     """Ranked hits ``(qid, path, score, rank)``; at most ``k`` per query,
     over *all* documents (unmatched ones score 0, ties by path).
 
@@ -225,7 +231,8 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
 
     Scores are rounded to ``digits`` decimals before ranking so that exact
     ties (frequent: equal tf and dl) are ranked by path whatever the order of
-    floating-point summation across partitions.
+    floating-point summation across partitions. ``scored`` may pass
+    precomputed (qid, path, score) rows of these queries (e.g. stored).
     """
     from quarry.session import cut_lineage
     index = (corpus_or_index if isinstance(corpus_or_index, Bm25Index)
@@ -235,15 +242,19 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
         return spark.createDataFrame([], "qid long, path string, score double, rank int")
     q = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("query"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
-    top = cut_lineage(_nonzero(bm25_scores(index, q, tokenizer=tokenizer), digits)
+    all_scores = scored if scored is not None else bm25_scores(index, q, tokenizer=tokenizer)
+    top = cut_lineage(_nonzero(all_scores.select("qid", "path", "score"), digits)
                       .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                       .select("qid", "path", "score"))
     qids = query_terms(q, tokenizer=tokenizer).select("qid").distinct()
     pos = top.groupBy("qid").agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"))
     under = (qids.join(pos, "qid", "left").select("qid", F.coalesce("n_pos", F.lit(0)).alias("n_pos"))
              .filter(F.col("n_pos") < k))
-    taken = _nonzero(bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"), tokenizer=tokenizer),
-                     digits).select("qid", "path")
+    if scored is not None:
+        under_scores = scored.join(under.select("qid"), "qid", "left_semi")
+    else:
+        under_scores = bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"), tokenizer=tokenizer)
+    taken = _nonzero(under_scores.select("qid", "path", "score"), digits).select("qid", "path")
     n_nonzero = taken.groupBy("qid").agg(F.count(F.lit(1)).alias("n_nonzero"))
     reach = (under.join(n_nonzero, "qid", "left")
              .select("qid", (F.lit(k) - F.col("n_pos")).alias("need"),
@@ -266,6 +277,14 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
             .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
 
 
+def overlap_ranking(scored: DataFrame, k: int) -> DataFrame:
+    """Top-k by ``matched`` (distinct query terms held) from ``bm25_scores(with_overlap=True)``."""
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
+    return (scored.select("qid", "path", F.col("matched").alias("score"))
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
+
+
 def overlap_search(index: Bm25Index, queries: DataFrame, k: int, qid_col: str = "qid",
                    query_col: str = "query") -> DataFrame:
     """Second, simpler ranking: number of distinct query terms a document

@@ -20,6 +20,9 @@ from quarry.functions.vectors import NORM_EPS, checked_vector, l2_norm
 from quarry.plans.sizing import spread_small_input
 
 MAX_QUERIES_PER_PASS = 4096
+# Query vectors are collected and broadcast (size-checked); larger query sets
+# must be split by the caller, which keeps the driver's share bounded.
+MAX_QUERIES = 1 << 18
 ROUND_DIGITS = 6
 _TIE_MARGIN = 2e-6   # keep near-ties locally; the exact cut is made by Spark
 
@@ -130,7 +133,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int | Non
         id_field = T.StringType()
     out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", id_field),
                                T.StructField("score", T.DoubleType())])
-    qids, qmat = _collect_queries(queries, dim, limit=1 << 22)
+    qids, qmat = _collect_queries(queries, dim, limit=MAX_QUERIES)
     parts = []
     for start in range(0, len(qids), MAX_QUERIES_PER_PASS):
         chunk_ids = qids[start:start + MAX_QUERIES_PER_PASS]

@@ -135,10 +135,14 @@ def _bench_queries(spark, sf_dir):
 
 
 def _rankings(spark, sf_dir, depth=20):
+    """Both rankings from one scoring pass (BM25 sum and matched-term count
+    come from the same join and aggregate)."""
+    from quarry.session import cut_lineage
     idx = bm25.build_index(documents_corpus(spark, sf_dir)).materialize()
     q = _bench_queries(spark, sf_dir)
-    a = bm25.bm25_search(idx, q, k=depth).withColumnRenamed("path", "id")
-    b = bm25.overlap_search(idx, q, k=depth).withColumnRenamed("path", "id")
+    scored = cut_lineage(bm25.bm25_scores(idx, q, with_overlap=True))
+    a = bm25.bm25_search(idx, q, k=depth, scored=scored).withColumnRenamed("path", "id")
+    b = bm25.overlap_ranking(scored, depth).withColumnRenamed("path", "id")
     return a, b
 
 
