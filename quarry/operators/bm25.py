@@ -75,10 +75,14 @@ class Bm25Index:
         return Bm25Index(postings, with_path_ordinal(lengths), cut_lineage(base.term_stats), lengths)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
-        """Persist the three tables; postings sorted by term so a term filter
-        skips row groups. Returns an index that reads the written tables."""
+        """Persist the three tables; postings clustered by term so a term
+        filter skips files and row groups. Range partitioning on (term, path)
+        splits a term held by a large share of all documents over many tasks
+        and files instead of one. Returns an index that reads the written
+        tables."""
         spark = self.postings.sparkSession
-        (self.postings.repartition("term").sortWithinPartitions("term", "path")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        (self.postings.repartitionByRange(parts, "term", "path").sortWithinPartitions("term", "path")
          .write.mode(mode).parquet(f"{base}/postings"))
         self.doc_stats.sortWithinPartitions("prank").write.mode(mode).parquet(f"{base}/doc_stats")
         self.term_stats.write.mode(mode).parquet(f"{base}/term_stats")
