@@ -16,51 +16,59 @@ def _discount(rank):
     return F.lit(1.0) / F.log2(rank + F.lit(1.0))
 
 
-def metrics_from_judged(judged: DataFrame, per_query: DataFrame, ks: list[int]) -> DataFrame:
-    """judged(qid, rank, rel) hits with grades; per_query(qid, n_rel, ideal: array<double>)
-    where ``ideal`` holds the query's best grades in descending order (at least max(ks)).
+def metrics_from_judged(judged: DataFrame, per_query: DataFrame, ks: list[int],
+                        by: list[str] | None = None) -> DataFrame:
+    """judged(by..., qid, rank, rel) hits with grades; per_query(by..., qid,
+    n_rel, ideal: array<double>) where ``ideal`` holds the query's best grades
+    in descending order (at least max(ks)).
 
     Each hit is repeated once per cut-off k it falls within (explode of the
     literal k list), so no join with a k table is needed."""
+    keys = [*(by or []), "qid"]
     klist = F.array(*[F.lit(int(k)) for k in sorted(set(ks))])
-    dcg = (judged.select("qid", "rank", "rel", F.explode(F.filter(klist, lambda k: F.col("rank") <= k)).alias("k"))
-           .groupBy("qid", "k")
+    dcg = (judged.select(*keys, "rank", "rel", F.explode(F.filter(klist, lambda k: F.col("rank") <= k)).alias("k"))
+           .groupBy(*keys, "k")
            .agg(F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).alias("hits"),
                 F.sum(F.col("rel") * _discount(F.col("rank"))).alias("dcg")))
-    ideal = (per_query.select("qid", "n_rel", "ideal", F.explode(klist).alias("k"))
-             .select("qid", "k", "n_rel", F.aggregate(
+    ideal = (per_query.select(*keys, "n_rel", "ideal", F.explode(klist).alias("k"))
+             .select(*keys, "k", "n_rel", F.aggregate(
                  F.transform(F.slice("ideal", 1, F.col("k")), lambda x, i: x * _discount(i + 1)),
                  F.lit(0.0), lambda acc, x: acc + x).alias("idcg")))
     hits = F.coalesce("hits", F.lit(0))
-    return ideal.join(dcg, ["qid", "k"], "left").select(
-        "qid", "k",
+    return ideal.join(dcg, [*keys, "k"], "left").select(
+        *keys, "k",
         hits.cast("long").alias("hits"),
         (hits / F.col("k")).alias("precision"),
         F.when(F.col("n_rel") > 0, hits / F.col("n_rel")).otherwise(F.lit(0.0)).alias("recall"),
         F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
-def evaluate(hits: DataFrame, qrels: DataFrame, ks: list[int], id_col: str = "id") -> DataFrame:
-    """hits(qid, id, rank) and qrels(qid, id, rel) -> (qid, k, hits, precision, recall, ndcg).
+def evaluate(hits: DataFrame, qrels: DataFrame, ks: list[int], id_col: str = "id",
+             by: list[str] | None = None) -> DataFrame:
+    """hits(by..., qid, id, rank) and qrels(qid, id, rel) -> (by..., qid, k,
+    hits, precision, recall, ndcg). ``by`` evaluates several rankings of the
+    same queries at once (e.g. one per sweep trial).
 
     The ideal ranking needs only each query's best max(ks) grades: a
     row_number limit per query (partial limit before the shuffle), so a query
     with a huge judged set never lands whole in one task.
     """
+    by = by or []
     kmax = max(ks)
     rel = qrels.select("qid", F.col(id_col).alias("_id"), F.col("rel").cast("double").alias("rel"))
-    judged = (hits.select("qid", F.col(id_col).alias("_id"), "rank")
-              .join(rel, ["qid", "_id"], "left").select("qid", "rank", F.coalesce("rel", F.lit(0.0)).alias("rel")))
+    judged = (hits.select(*by, "qid", F.col(id_col).alias("_id"), "rank")
+              .join(rel, ["qid", "_id"], "left")
+              .select(*by, "qid", "rank", F.coalesce("rel", F.lit(0.0)).alias("rel")))
     w = Window.partitionBy("qid").orderBy(F.desc("rel"))
     top = (rel.filter(F.col("rel") > 0).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kmax))
     n_rel = rel.filter(F.col("rel") > 0).groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
     ideal = top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("_r"), F.col("rel")))).alias("_t"))
     per_query = (n_rel.join(ideal, "qid")
                  .select("qid", "n_rel", F.transform("_t", lambda s: s["rel"]).alias("ideal")))
-    qids = hits.select("qid").distinct().join(per_query, "qid", "left").select(
-        "qid", F.coalesce("n_rel", F.lit(0)).alias("n_rel"),
+    qids = hits.select(*by, "qid").distinct().join(per_query, "qid", "left").select(
+        *by, "qid", F.coalesce("n_rel", F.lit(0)).alias("n_rel"),
         F.coalesce("ideal", F.array().cast("array<double>")).alias("ideal"))
-    return metrics_from_judged(judged, qids, ks)
+    return metrics_from_judged(judged, qids, ks, by)
 
 
 def evaluate_same_label(hits: DataFrame, query_labels: DataFrame, item_labels: DataFrame,
@@ -79,9 +87,37 @@ def evaluate_same_label(hits: DataFrame, query_labels: DataFrame, item_labels: D
     return metrics_from_judged(judged, per_query, ks)
 
 
-def mean_metrics(per_query: DataFrame) -> DataFrame:
-    """Average per k over queries."""
-    return per_query.groupBy("k").agg(F.count(F.lit(1)).alias("queries"),
+def mean_metrics(per_query: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Average per k (and ``by`` columns) over queries."""
+    return per_query.groupBy(*(by or []), "k").agg(F.count(F.lit(1)).alias("queries"),
                                       F.avg("precision").alias("precision"),
                                       F.avg("recall").alias("recall"),
                                       F.avg("ndcg").alias("ndcg"))
+
+
+def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFrame,
+                      passages: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(qid, path, rel=1) for every document whose text contains the passage.
+
+    Exact without pairing every passage with every document: an interior
+    token of a passage (neither first nor last, so not cut by the passage
+    boundary) is a token of any document containing the passage. Each
+    passage's rarest interior token (lowest df) is equi-joined with the
+    postings to get candidates, which are then verified with ``instr``.
+    Passages with fewer than three tokens have no interior token and get no
+    qrels (their boundary tokens may be cut inside a document's token)."""
+    from quarry.functions.text import tokenize
+    from quarry.plans.sizing import bounded_broadcast
+    toks = passages.select("qid", "text", tokenize("text").alias("t")).filter(F.size("t") >= 3)
+    interior = F.slice("t", 2, F.size("t") - 2)
+    cand_terms = (toks.select("qid", "text", F.explode(F.array_distinct(interior)).alias("term"))
+                  .join(term_stats.select("term", "df"), "term"))
+    w = Window.partitionBy("qid").orderBy(F.asc("df"), F.asc("term"))
+    key = (cand_terms.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+           .select("qid", "term", F.col("text").alias("passage")))
+    # One key row per passage: bounded by the (counted) passage table.
+    cands = postings.select("term", "path").join(bounded_broadcast(key, known_rows=passages.count()), "term")
+    docs = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("doc"))
+    return (cands.join(docs, "path")
+            .filter(F.instr(F.col("doc"), F.col("passage")) > 0)
+            .select("qid", "path", F.lit(1).alias("rel")))

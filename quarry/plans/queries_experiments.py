@@ -9,7 +9,9 @@ from quarry.operators import evaluate as EV
 from quarry.operators import fusion as FU
 from quarry.operators import sweep as SW
 from quarry.plans.catalog import register
+from quarry.plans.catalog import sql_tokens
 from quarry.plans.queries_keyword import BENCH_QUERIES_SQL, SQL_INDEX, _sql_scores
+from quarry.plans.queries_keyword import _sql_topk as _sql_kw_topk
 from quarry.plans.queries_vectors import _search, _sql_topk as _sql_vec_topk, label_queries
 from quarry.sources.tables import documents_corpus, table
 
@@ -192,3 +194,109 @@ SELECT qid, id AS path, score, CAST(rank AS INTEGER) AS rank FROM rb""")
 def k12_overlap_ranking(spark, sf_dir):
     idx = bm25.build_index(documents_corpus(spark, sf_dir))
     return bm25.overlap_search(idx, _bench_queries(spark, sf_dir), k=20)
+
+
+# ------------------------------------------ retrieval evaluation over benchmark
+
+SWEEP_WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+def _passage_qrels(spark, sf_dir, corpus, idx):
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return EV.containment_qrels(idx.postings, idx.term_stats, corpus, passages)
+
+
+SQL_QRELS = f"""{SQL_INDEX},
+psg AS (SELECT item_id AS qid, text FROM benchmark WHERE len({sql_tokens('text')}) >= 3),
+qrels AS (SELECT psg.qid, docs.path, 1 AS rel FROM psg JOIN docs ON contains(docs.text, psg.text))"""
+
+
+@register("d13_containment_qrels", f"""WITH {SQL_QRELS}
+SELECT qid, path, CAST(rel AS INTEGER) AS rel FROM qrels""")
+def d13_containment_qrels(spark, sf_dir):
+    """Relevance labels: documents that contain a benchmark passage verbatim."""
+    corpus = documents_corpus(spark, sf_dir)
+    idx = bm25.build_index(corpus).materialize()
+    return _passage_qrels(spark, sf_dir, corpus, idx)
+
+
+def _sql_metrics(hits_cte: str, ks: list[int], by: str = "") -> str:
+    """per_q CTE: metrics per (by, qid, k) for hits(by, qid, path, rank) against qrels."""
+    b = f"{by}, " if by else ""
+    on_by = f"AND d.{by} = i.{by}" if by else ""
+    return f"""hits AS ({hits_cte}),
+ks AS (SELECT unnest({list(ks)}) AS k),
+judged AS (SELECT {', '.join('h.' + c for c in ([by] if by else []) + ['qid', 'rank'])},
+                  CASE WHEN q.path IS NOT NULL THEN 1.0 ELSE 0.0 END AS rel
+           FROM hits h LEFT JOIN qrels q ON q.qid = h.qid AND q.path = h.path),
+nrel AS (SELECT qid, count(*) AS n_rel FROM qrels GROUP BY qid),
+evalq AS (SELECT DISTINCT {b}qid FROM hits),
+dcg AS (SELECT {b}qid, k, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS hits, sum(rel / log2(rank + 1)) AS dcg
+        FROM judged JOIN ks ON rank <= k GROUP BY ALL),
+ideal AS (SELECT a.*, k, coalesce(n_rel, 0) AS n_rel,
+                 (SELECT coalesce(sum(1.0 / log2(i + 1)), 0) FROM range(1, least(k, coalesce(n_rel, 0)) + 1) t(i)) AS idcg
+          FROM evalq a LEFT JOIN nrel USING (qid) CROSS JOIN ks),
+per_q AS (
+  SELECT {', '.join('i.' + c for c in ([by] if by else []))}{', ' if by else ''}i.qid, CAST(i.k AS INTEGER) AS k,
+         CAST(coalesce(d.hits, 0) AS BIGINT) AS hits,
+         coalesce(d.hits, 0) / i.k AS precision,
+         CASE WHEN i.n_rel > 0 THEN coalesce(d.hits, 0) / i.n_rel ELSE 0.0 END AS recall,
+         CASE WHEN i.idcg > 0 THEN coalesce(d.dcg, 0.0) / i.idcg ELSE 0.0 END AS ndcg
+  FROM ideal i LEFT JOIN dcg d ON d.qid = i.qid AND d.k = i.k {on_by})"""
+
+
+@register("k11_bm25_relevance", f"""WITH {SQL_QRELS},
+{_sql_metrics("SELECT qid, path, rank FROM (" + _sql_kw_topk(BENCH_QUERIES_SQL, 10) + ")", [1, 5, 10])}
+SELECT k, count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(ndcg), 6) AS ndcg FROM per_q GROUP BY k""")
+def k11_bm25_relevance(spark, sf_dir):
+    """BM25 top-10 for every benchmark passage, judged against containment
+    qrels: mean precision/recall/nDCG at 1, 5, 10."""
+    corpus = documents_corpus(spark, sf_dir)
+    idx = bm25.build_index(corpus).materialize()
+    hits = bm25.bm25_search(idx, _bench_queries(spark, sf_dir), k=10).withColumnRenamed("path", "id")
+    qrels = _passage_qrels(spark, sf_dir, corpus, idx).withColumnRenamed("path", "id")
+    m = EV.mean_metrics(EV.evaluate(hits, qrels, [1, 5, 10]))
+    return m.select("k", "queries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")])
+
+
+def _sql_sweep() -> str:
+    trials = ", ".join(f"({i}, {w})" for i, w in enumerate(SWEEP_WEIGHTS))
+    grid = f"""SELECT trial_id, qid, path, rank FROM (
+  SELECT trial_id, qid, path,
+         row_number() OVER (PARTITION BY trial_id, qid ORDER BY score DESC, path) AS rank
+  FROM (SELECT t.trial_id, f.qid, f.id AS path,
+               round(t.w * f.a + (1.0 - t.w) * f.b, 6) AS score
+        FROM (SELECT coalesce(na.qid, nb.qid) AS qid, coalesce(na.id, nb.id) AS id,
+                     coalesce(na.s, 0.0) AS a, coalesce(nb.s, 0.0) AS b
+              FROM (SELECT qid, id, {MINMAX} AS s FROM ra) na
+              FULL OUTER JOIN (SELECT qid, id, {MINMAX} AS s FROM rb) nb ON na.qid = nb.qid AND na.id = nb.id) f
+        CROSS JOIN (SELECT CAST(trial_id AS BIGINT) AS trial_id, CAST(w AS DOUBLE) AS w
+                    FROM (VALUES {trials}) v(trial_id, w)) t))
+WHERE rank <= 10"""
+    return f"""{SQL_RANKINGS},
+psg AS (SELECT item_id AS qid, text FROM benchmark WHERE len({sql_tokens('text')}) >= 3),
+qrels AS (SELECT psg.qid, docs.path, 1 AS rel FROM psg JOIN docs ON contains(docs.text, psg.text)),
+{_sql_metrics(grid, [10], by="trial_id")}
+SELECT p.trial_id, CAST(v.w AS DOUBLE) AS w_bm25, count(*) AS queries, round(avg(ndcg), 6) AS ndcg
+FROM per_q p JOIN (VALUES {trials}) v(trial_id, w) ON v.trial_id = p.trial_id
+GROUP BY p.trial_id, v.w"""
+
+
+@register("k8_fusion_weight_sweep", _sql_sweep())
+def k8_fusion_weight_sweep(spark, sf_dir):
+    """Sweep of the BM25/overlap fusion weight, every trial in one plan,
+    scored by mean nDCG@10 against containment qrels."""
+    from quarry.session import cut_lineage
+    corpus = documents_corpus(spark, sf_dir)
+    idx = bm25.build_index(corpus).materialize()
+    q = _bench_queries(spark, sf_dir)
+    scored = cut_lineage(bm25.bm25_scores(idx, q, with_overlap=True))
+    a = bm25.bm25_search(idx, q, k=20, scored=scored).withColumnRenamed("path", "id")
+    b = bm25.overlap_ranking(scored, 20).withColumnRenamed("path", "id")
+    grid = FU.fuse_weight_grid(a, b, 10, SWEEP_WEIGHTS, "minmax")
+    qrels = _passage_qrels(spark, sf_dir, corpus, idx).withColumnRenamed("path", "id")
+    per = EV.evaluate(grid.select("trial_id", "qid", "id", "rank"), qrels, [10], by=["trial_id"])
+    weights = grid.select("trial_id", F.col("w_a").alias("w_bm25")).distinct()
+    m = EV.mean_metrics(per, by=["trial_id"]).join(weights, "trial_id")
+    return m.select("trial_id", "w_bm25", "queries", F.round("ndcg", 6).alias("ndcg"))

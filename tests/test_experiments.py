@@ -96,3 +96,38 @@ def test_fusion_minmax_and_rrf(spark):
     assert [r.id for r in rr] == ["y", "x"]
     with pytest.raises(ValueError):
         FU.fuse(a, b, 2, method="nope")
+
+
+def test_containment_qrels_match_brute_force(spark):
+    from conftest import corpus_df
+    from quarry.operators import bm25
+    docs = {"a.txt": "the quick brown fox jumps over", "b.txt": "a quickbrown fox jumps overall",
+            "c.txt": "xthe quick brown fox jumps overt", "d.txt": "nothing here"}
+    corpus = corpus_df(spark, docs)
+    idx = bm25.build_index(corpus)
+    passages = {1: "quick brown fox jumps", 2: "he quick brown fox jumps ove", 3: "fox", 4: "not in any document"}
+    p = spark.createDataFrame(list(passages.items()), "qid long, text string")
+    got = sorted((r.qid, r.path) for r in EV.containment_qrels(idx.postings, idx.term_stats, corpus, p).collect())
+    want = sorted((q, path) for q, t in passages.items() for path, d in docs.items()
+                  if t in d and len(t.split()) >= 3)
+    assert got == want and (2, "c.txt") in got      # boundary tokens cut inside document tokens
+
+
+def test_weight_grid_equals_single_fusions(spark):
+    a = spark.createDataFrame([(1, "x", 3.0, 1), (1, "y", 1.0, 2), (2, "u", 2.0, 1)],
+                              "qid long, id string, score double, rank int")
+    b = spark.createDataFrame([(1, "y", 5.0, 1), (1, "z", 4.0, 2), (2, "u", 1.0, 1)],
+                              "qid long, id string, score double, rank int")
+    weights = [0.0, 0.3, 1.0]
+    grid = FU.fuse_weight_grid(a, b, 2, weights).collect()
+    for t, w in enumerate(weights):
+        single = sorted((r.qid, r.id, r.score, r["rank"]) for r in FU.fuse(a, b, 2, (w, 1 - w)).collect())
+        mine = sorted((r.qid, r.id, r.score, r["rank"]) for r in grid if r.trial_id == t)
+        assert mine == single
+
+
+def test_evaluate_by_group(spark):
+    hits = spark.createDataFrame([(0, 1, "a", 1), (1, 1, "b", 1)], "t long, qid long, id string, rank int")
+    qrels = spark.createDataFrame([(1, "a", 1)], "qid long, id string, rel int")
+    got = {r.t: r.hits for r in EV.evaluate(hits, qrels, [1], by=["t"]).collect()}
+    assert got == {0: 1, 1: 0}
