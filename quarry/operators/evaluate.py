@@ -117,7 +117,10 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
            .select("qid", "term", F.col("text").alias("passage")))
     # One key row per passage: bounded by the (counted) passage table.
     cands = postings.select("term", "path").join(bounded_broadcast(key, known_rows=passages.count()), "term")
+    # Candidates (a few per passage: the df of its rarest interior token) go
+    # to the corpus scan by broadcast when their counted size allows, so the
+    # corpus text is never shuffled; above the bound a shuffle join is used.
     docs = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("doc"))
-    return (cands.join(docs, "path")
+    return (docs.join(bounded_broadcast(cands.select("qid", "path", "passage")), "path")
             .filter(F.instr(F.col("doc"), F.col("passage")) > 0)
             .select("qid", "path", F.lit(1).alias("rel")))

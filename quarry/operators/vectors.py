@@ -67,6 +67,13 @@ def _collect_queries(queries: DataFrame, dim: int, limit: int) -> tuple[list, np
     return qids, _normalise(mat)
 
 
+class _Local:
+    """Stand-in for a broadcast variable on sessions without a SparkContext."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 def _partial_topk_fn(qids, qmat_bc, k: int, dim: int, id_type):
     def fn(batches):
         qmat = qmat_bc.value
@@ -137,7 +144,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int | Non
     parts = []
     for start in range(0, len(qids), MAX_QUERIES_PER_PASS):
         chunk_ids = qids[start:start + MAX_QUERIES_PER_PASS]
-        bc = spark.sparkContext.broadcast(qmat[start:start + MAX_QUERIES_PER_PASS])
+        from quarry.session import _context
+        sc = _context(spark)
+        chunk = qmat[start:start + MAX_QUERIES_PER_PASS]
+        bc = sc.broadcast(chunk) if sc is not None else _Local(chunk)
         parts.append(spread_small_input(v).mapInArrow(_partial_topk_fn(chunk_ids, bc, k, dim, id_arrow), out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))

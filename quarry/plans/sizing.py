@@ -50,4 +50,7 @@ def spread_small_input(df: DataFrame, max_bytes: int | None = None) -> DataFrame
         return df
     # Planning only: no partition count is asked of ``df`` (with AQE that
     # would run the shuffle stages of its plan).
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    from quarry.session import _context
+    sc = _context(spark)
+    cores = sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(cores)

@@ -39,6 +39,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session, None for a remote (Connect) one."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no context
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
@@ -46,15 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is only created when the session has none (local tests).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if sc is None:
+        return configured or tempfile.mkdtemp(prefix="quarry-ckpt-")
+    current = sc.getCheckpointDir()
     if current:
         return current
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
     local = tempfile.mkdtemp(prefix="quarry-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -74,26 +85,32 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``quarry`` importable in Python workers (``mapInArrow`` and data
-    source code): zip the package once per application and ``addPyFile`` it,
-    which Spark distributes to every executor."""
+    source code): zip the package once per application and ship it with the
+    session (``addPyFile``; ``addArtifacts`` on a remote session)."""
     import shutil
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else f"remote-{id(spark)}"
+    if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="quarry-pkg-")
     archive = shutil.make_archive(os.path.join(out, "quarry"), "zip", os.path.dirname(pkg_dir), "quarry")
-    sc.addPyFile(archive)
-    _SHIPPED.add(app)
+    if sc is not None:
+        sc.addPyFile(archive)
+    else:
+        spark.addArtifacts(archive, pyfile=True)
+    _SHIPPED.add(key)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> bool:
     """Recursive delete through the Hadoop file system of the path's scheme
-    (works for local, HDFS and object-store folders alike)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    (works for local, HDFS and object-store folders alike). Returns False
+    where the session offers no file system handle (remote sessions)."""
+    sc = _context(spark)
+    if sc is None:
+        return False
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True))
 
 
 def drop_lineage_tables(spark: SparkSession) -> None:
