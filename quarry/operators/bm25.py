@@ -125,7 +125,7 @@ def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text"
 
 
 def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
-                tokenizer=tokenize) -> Bm25Index:
+                tokenizer=tokenize, check_unique: bool = False) -> Bm25Index:
     """Lazy index over a corpus; call ``materialize()`` (or ``write``) before
     running several queries on it.
 
@@ -135,6 +135,9 @@ def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text
     a document's repeated tokens before the shuffle, so only distinct
     (term, path) pairs cross the network.
     """
+    if check_unique:   # paths are the document key: two rows of one path would merge
+        from quarry.sources.tables import require_unique_paths
+        require_unique_paths(corpus, path_col)
     toks = doc_tokens(corpus, path_col, text_col, tokenizer)
     combined = (toks.select("path", "dl", F.explode(F.array_insert("tokens", 1, F.lit(LENGTH_MARKER))).alias("term"))
                 .groupBy("term", "path", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))

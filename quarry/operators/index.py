@@ -109,26 +109,6 @@ def refresh(prev: KeywordIndexState, corpus: DataFrame, config: dict | None = No
     return KeywordIndexState(manifest, _apply(prev, changes, new_docs), config), changes
 
 
-def apply_changes(prev: KeywordIndexState, updates: DataFrame) -> tuple[KeywordIndexState, DataFrame]:
-    """Apply a change feed ``(path, text, mtime_ns, size, deleted)`` (upserts
-    and deletes, e.g. one streaming micro-batch) without a full listing."""
-    upd = updates.select("path", "text", F.col("mtime_ns").cast("long").alias("mtime_ns"),
-                         F.coalesce(F.col("size"), F.octet_length("text")).cast("long").alias("size"),
-                         F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"))
-    known = prev.manifest.select("path", F.lit(True).alias("_known"))
-    live = bm25.indexable_documents(upd.filter(~F.col("deleted")))
-    changes = (upd.join(known, "path", "left")
-               .join(live.select("path", F.lit(True).alias("_live")), "path", "left")
-               .select("path", F.when(~F.coalesce("_live", F.lit(False)),
-                                      F.when(F.col("_known").isNotNull(), "removed").otherwise("ignored"))
-                       .when(F.col("_known").isNotNull(), "changed").otherwise("added").alias("status"))
-               .filter(F.col("status") != "ignored"))
-    new_docs = live.select("path", "mtime_ns", "size", "text")
-    manifest = (prev.manifest.join(changes.select("path"), "path", "left_anti")
-                .unionByName(new_docs.select("path", "mtime_ns", "size", content_hash("text").alias("hash"))))
-    return KeywordIndexState(manifest, _apply(prev, changes, new_docs), prev.config), changes
-
-
 def _apply(prev: KeywordIndexState, changes: DataFrame, new_docs: DataFrame) -> bm25.Bm25Index:
     """Index after dropping every non-unchanged path and adding ``new_docs``."""
     from quarry.session import cut_lineage
@@ -159,12 +139,6 @@ def _manifest(prev: KeywordIndexState, cur: DataFrame, changes: DataFrame) -> Da
                     .otherwise(content_hash("text")).alias("hash")))
 
 
-def materialize_state(state: KeywordIndexState) -> KeywordIndexState:
-    """Checkpoint manifest and index (reliable checkpoint in the shared folder)."""
-    from quarry.session import cut_lineage
-    return KeywordIndexState(cut_lineage(state.manifest), state.index.materialize(), state.config)
-
-
 def changed_flag(changes: DataFrame) -> DataFrame:
     """One row: ``changed`` = any status other than unchanged, plus counts per
     status (``changed_docs`` counts the status ``changed``)."""

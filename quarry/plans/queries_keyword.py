@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import content_hash, is_hidden_path, tokenize
 from quarry.operators import bm25
 from quarry.plans.catalog import SQL_DOC_PATH, register, sql_tokens
-from quarry.sources.tables import documents_corpus, table
+from quarry.sources.tables import documents_corpus, duplicate_paths, table
 
 # Query set used by the literal-query entries: a common-word query, a
 # two-rare-term query (fewer than k matches, so zero-score documents fill the
@@ -234,3 +234,10 @@ def a10_root_id(spark, sf_dir):
     """Index key per root: sha1 of the root (here the page's host)."""
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.sha1(F.expr("parse_url(url, 'HOST')")).alias("root_id"))
+
+
+@register("a1_duplicate_paths", f"""
+SELECT path, count(*) AS n FROM (SELECT {SQL_DOC_PATH} AS path FROM documents) GROUP BY path HAVING count(*) > 1""")
+def a1_duplicate_paths(spark, sf_dir):
+    """The corpus key check: paths occurring more than once (none expected)."""
+    return duplicate_paths(documents_corpus(spark, sf_dir))

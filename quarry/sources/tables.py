@@ -32,9 +32,18 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_paths(corpus: DataFrame, path_col: str = "path") -> DataFrame:
-    """Paths that occur more than once (paths are the document key); empty
-    for a valid corpus. One aggregate, partial per task before the shuffle."""
-    return (corpus.groupBy(path_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    """(path, n) for paths that occur more than once (paths are the document
+    key); empty for a valid corpus. One aggregate, partial per task."""
+    return (corpus.groupBy(F.col(path_col).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > 1))
+
+
+def require_unique_paths(corpus: DataFrame, path_col: str = "path") -> None:
+    """Fail loudly when a path occurs twice (one small job, nothing collected
+    but the first offending path)."""
+    dup = duplicate_paths(corpus, path_col).first()
+    if dup is not None:
+        raise ValueError(f"duplicate path in corpus: {dup['path']} ({dup['n']} rows)")
 
 
 def read_dimensions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -147,3 +147,10 @@ def test_fill_with_distributed_ordinal(spark, monkeypatch):
     monkeypatch.setattr(bm25, "FILL_PREFIX_MAX", 0)     # force the prank path
     docs = {f"d{i:02d}.txt": ("rare" if i == 7 else "common words here") for i in range(12)}
     assert search(spark, docs, ["rare"], 5)[0] == model(docs, "rare", 5)
+
+
+def test_duplicate_paths_fail_loudly(spark):
+    df = spark.createDataFrame([("a.txt", "x y"), ("a.txt", "z"), ("b.txt", "w")], "path string, text string")
+    with pytest.raises(ValueError, match="duplicate path in corpus: a.txt"):
+        bm25.build_index(df, check_unique=True)
+    assert bm25.build_index(corpus_df(spark, RANKING), check_unique=True).postings.count() > 0
