@@ -241,3 +241,25 @@ def e5_latest_run(spark, sf_dir):
     r = event_runs(spark, sf_dir)
     r = r.withColumn("logged_at", F.struct("ts", "event_id"))
     return RO.latest_runs(r).select("sanitised_id", "event_id")
+
+
+@register("a12_run_log_round_trip", """
+SELECT event_type || ' #' || CAST(user_id AS VARCHAR) AS run_id,
+       event_type || '_' || CAST(user_id AS VARCHAR) AS sanitised_id,
+       '{"event_id":' || CAST(event_id AS VARCHAR) || '}' AS params,
+       'k=' || CAST(CAST(json_extract(props, '$.k') AS DOUBLE) AS VARCHAR) AS metrics,
+       CAST(0 AS INTEGER) AS calls
+FROM events""")
+def a12_run_log_round_trip(spark, sf_dir):
+    """Every event logged as a run (appended Parquet run log in the shared
+    folder), loaded back from the files, parsed and shown as the overview."""
+    from quarry.session import scratch_path
+    path = scratch_path(spark, "runs")
+    RO.log_runs(event_runs(spark, sf_dir).select("run_id", "params", "metrics", "trace"), path)
+    parsed = RO.load_runs(spark, path)
+    overview = RO.run_overview(parsed, RO.call_rows(parsed))
+    # run ids repeat (one run per event), so rows are matched on the file's params
+    return (parsed.select("run_id", "sanitised_id", "params", "metrics_map")
+            .withColumn("metrics", R.metric_text("metrics_map"))
+            .join(overview.select("run_id", "calls").distinct(), "run_id")
+            .select("run_id", "sanitised_id", "params", "metrics", "calls"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators.semantic import HashingEmbedder, semantic_search
-from quarry.operators.vectors import append_vectors, build_vectors, vector_search
+from quarry.operators.vectors import append_vectors, build_vectors, load_vectors, save_vectors, vector_search
 from quarry.plans.catalog import SQL_DOC_PATH, register
 from quarry.plans.sizing import bounded_broadcast
 from quarry.sources.tables import documents_corpus, table
@@ -126,3 +126,15 @@ def k4_semantic_search(spark, sf_dir):
     """Every benchmark passage against every document, hashing embedder, top 5."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return semantic_search(documents_corpus(spark, sf_dir), q, HashingEmbedder(64), 5)
+
+
+@register("a8_vector_store_round_trip", _sql_topk(10))
+def a8_vector_store_round_trip(spark, sf_dir):
+    """Store round trip: save an index of labels < 5, replace it with the full
+    index (overwrite), load it back and search: same answers as in memory."""
+    from quarry.session import scratch_path
+    emb = table(spark, sf_dir, "embeddings")
+    path = scratch_path(spark, "vectors")
+    save_vectors(build_vectors(emb.filter(F.col("label") < 5), DIM, id_col="vec_id"), path)
+    save_vectors(build_vectors(emb, DIM, id_col="vec_id"), path, mode="overwrite")
+    return _search(spark, sf_dir, 10, load_vectors(spark, path))

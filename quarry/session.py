@@ -68,6 +68,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (for tables a job
+    writes and reads back)."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table into the shared
     checkpoint folder and reading it back (survives executor loss, unlike a
