@@ -9,7 +9,7 @@ from quarry.operators import symbols as S
 from quarry.plans.catalog import register
 from quarry.plans.chain import run_steps, trace_to_run
 from quarry.plans.queries_keyword import _sql_topk, sql_index
-from quarry.sources.tables import documents_corpus
+from quarry.sources.tables import documents_corpus, table
 
 CHAIN = [
     {"tool": "find", "pattern": "^en/"},
@@ -80,3 +80,66 @@ def k5_symbol_index_documents(spark, sf_dir):
     return f.join(e, "folder", "full_outer").select(
         "folder", F.coalesce("findings", F.lit(0)).alias("findings"),
         F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"))
+
+
+# Python modules derived from ``part`` rows, one file per part:
+#   line 1  def <name>_<partkey>():          -> def
+#   line 5  class Part<partkey>:             -> def
+#   line 9  brand_<n>(<partkey>)             -> ref (call of a name)
+#   line 10 obj.method_<type>()              -> ref (call of an attribute)
+def part_modules(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name = F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_"))
+    brand = F.regexp_extract("p_brand", "([0-9]+)", 1)
+    key = F.col("p_partkey").cast("string")
+    text = F.concat_ws("\n",
+                       F.concat(F.lit("def "), name, F.lit("_"), key, F.lit("():")),
+                       F.concat(F.lit("    return "), F.col("p_size").cast("string")),
+                       F.lit(""), F.lit(""),
+                       F.concat(F.lit("class Part"), key, F.lit(":")),
+                       F.lit("    pass"), F.lit(""), F.lit(""),
+                       F.concat(F.lit("brand_"), brand, F.lit("("), key, F.lit(")")),
+                       F.concat(F.lit("obj.method_"), F.lower(F.regexp_replace("p_type", "[^A-Za-z0-9]+", "_")),
+                                F.lit("()")),
+                       F.lit(""))
+    path = F.concat(F.lit("parts/brand"), brand, F.lit("/"), key, F.lit(".py"))
+    return p.select(path.alias("path"), text.alias("text"))
+
+
+SQL_PART_FINDINGS = """pf AS (
+  SELECT *, regexp_extract(p_brand, '([0-9]+)', 1) AS brand,
+         'parts/brand' || regexp_extract(p_brand, '([0-9]+)', 1) || '/' || CAST(p_partkey AS VARCHAR) || '.py' AS path
+  FROM part),
+part_findings AS (
+  SELECT 'def' AS kind, path, 1 AS line, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')) || '_' || CAST(p_partkey AS VARCHAR) AS text FROM pf
+  UNION ALL SELECT 'def', path, 5, 'Part' || CAST(p_partkey AS VARCHAR) FROM pf
+  UNION ALL SELECT 'ref', path, 9, 'brand_' || brand FROM pf
+  UNION ALL SELECT 'ref', path, 10, 'method_' || lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')) FROM pf)"""
+
+
+@register("k5_symbol_index_parts", f"""WITH {SQL_PART_FINDINGS}
+SELECT kind, path, CAST(line AS INTEGER) AS line, text FROM part_findings""")
+def k5_symbol_index_parts(spark, sf_dir):
+    """Definitions and references of the Python modules derived from ``part``."""
+    findings, _ = S.symbol_index(part_modules(spark, sf_dir), ["python"])
+    return findings
+
+
+@register("b10_symbol_filter_scoped", f"""WITH {SQL_PART_FINDINGS}
+SELECT kind, path, CAST(line AS INTEGER) AS line, text FROM part_findings
+WHERE text = 'brand_1' AND path GLOB 'parts/brand1*/*'""")
+def b10_symbol_filter_scoped(spark, sf_dir):
+    """Exact symbol filter inside a scope glob."""
+    findings, _ = S.symbol_index(part_modules(spark, sf_dir), ["python"], scope_globs=["parts/brand1*/*"],
+                                 symbol="brand_1")
+    return findings
+
+
+@register("c7_symbol_summary", f"""WITH {SQL_PART_FINDINGS}
+SELECT text, CAST(sum(CASE WHEN kind = 'def' THEN 1 ELSE 0 END) AS BIGINT) AS defs,
+       CAST(sum(CASE WHEN kind = 'ref' THEN 1 ELSE 0 END) AS BIGINT) AS refs
+FROM part_findings GROUP BY text""")
+def c7_symbol_summary(spark, sf_dir):
+    """Definitions and references per name (no def x ref pairs)."""
+    findings, _ = S.symbol_index(part_modules(spark, sf_dir), ["python"], sort=False)
+    return S.symbol_summary(findings)
