@@ -41,7 +41,7 @@ LENGTH_MARKER = "\u0000"
 @dataclass
 class Bm25Index:
     postings: DataFrame
-    doc_stats: DataFrame          # path, dl, prank (1-based ordinal in path order)
+    doc_stats: DataFrame | None   # path, dl, prank (1-based ordinal in path order); None = derive on use
     term_stats: DataFrame
     doc_lengths: DataFrame | None = None   # path, dl without the ordinal (cheaper for N, avgdl)
     combined: DataFrame | None = None      # postings + one length row per document (build output)
@@ -51,13 +51,20 @@ class Bm25Index:
     def lengths(self) -> DataFrame:
         return self.doc_lengths if self.doc_lengths is not None else self.doc_stats.select("path", "dl")
 
+    def ordinal(self) -> DataFrame:
+        """doc_stats with ``prank``; derived from the lengths on first use
+        (two small jobs for the bucket bounds), stored indexes carry it."""
+        if self.doc_stats is None:
+            self.doc_stats = with_path_ordinal(self.lengths)
+        return self.doc_stats
+
     @classmethod
     def from_combined(cls, combined: DataFrame) -> "Bm25Index":
         """Split the single build aggregate into postings and document lengths
         and derive the statistics from them."""
         postings = combined.filter(F.col("term") != LENGTH_MARKER)
         lengths = combined.filter(F.col("term") == LENGTH_MARKER).select("path", "dl")
-        return cls(postings, with_path_ordinal(lengths), term_stats_of(postings, lengths), lengths, combined)
+        return cls(postings, None, term_stats_of(postings, lengths), lengths, combined)
 
     def materialize(self) -> "Bm25Index":
         """Reliable checkpoint of the index (cuts lineage, survives executor
@@ -70,9 +77,9 @@ class Bm25Index:
         else:
             base = self
             postings, lengths = cut_lineage(self.postings), cut_lineage(self.lengths)
-        # The path ordinal stays lazy here (a one-shot search rarely needs it);
-        # ``write`` stores it sorted by prank for repeated searches.
-        return Bm25Index(postings, with_path_ordinal(lengths), cut_lineage(base.term_stats), lengths)
+        # The path ordinal is derived only when a search needs it (rare for a
+        # one-shot search); ``write`` stores it sorted by prank.
+        return Bm25Index(postings, None, cut_lineage(base.term_stats), lengths)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the three tables; postings clustered by term so a term
@@ -84,7 +91,7 @@ class Bm25Index:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         (self.postings.repartitionByRange(parts, "term", "path").sortWithinPartitions("term", "path")
          .write.mode(mode).parquet(f"{base}/postings"))
-        self.doc_stats.sortWithinPartitions("prank").write.mode(mode).parquet(f"{base}/doc_stats")
+        self.ordinal().sortWithinPartitions("prank").write.mode(mode).parquet(f"{base}/doc_stats")
         self.term_stats.write.mode(mode).parquet(f"{base}/term_stats")
         return read_index(spark, base)
 
@@ -207,7 +214,7 @@ def leading_paths(index: Bm25Index, n: int) -> DataFrame:
     if index.ordinal_stored or n > FILL_PREFIX_MAX:
         # A literal bound: on a stored index (sorted by prank) the filter is
         # pushed into the scan and skips all but the first row groups.
-        return index.doc_stats.select("path", "prank").filter(F.col("prank") <= F.lit(n))
+        return index.ordinal().select("path", "prank").filter(F.col("prank") <= F.lit(n))
     return (index.lengths.select("path").orderBy("path").limit(n)
             .withColumn("prank", F.row_number().over(Window.orderBy("path"))))
 

@@ -128,7 +128,7 @@ def _apply(prev: KeywordIndexState, changes: DataFrame, new_docs: DataFrame) ->
           .select("term", (F.coalesce("df", F.lit(0)) - F.coalesce("_minus", F.lit(0))
                            + F.coalesce("_plus", F.lit(0))).alias("df"))
           .filter(F.col("df") > 0))
-    return bm25.Bm25Index(postings, bm25.with_path_ordinal(lengths), _term_stats_from_df(df, lengths), lengths)
+    return bm25.Bm25Index(postings, None, _term_stats_from_df(df, lengths), lengths)
 
 
 def _manifest(prev: KeywordIndexState, cur: DataFrame, changes: DataFrame) -> DataFrame:

@@ -77,8 +77,7 @@ def open_store(spark: SparkSession, base: str) -> KeywordIndexState:
     cfg = _config(spark, base)
     postings = _read(spark, base, "postings").drop("bucket")
     lengths = _read(spark, base, "lengths").drop("bucket")
-    idx = bm25.Bm25Index(postings, bm25.with_path_ordinal(lengths),
-                         spark.read.parquet(f"{base}/term_stats"), lengths)
+    idx = bm25.Bm25Index(postings, None, spark.read.parquet(f"{base}/term_stats"), lengths)
     cfg.pop("buckets", None)
     return KeywordIndexState(_read(spark, base, "manifest").drop("bucket"), idx, cfg)
 

@@ -1,39 +1,74 @@
-"""Row positions without single-partition windows (skew-proof ordinals)."""
+"""Row positions without single-partition windows (skew-proof ordinals).
+
+The position of a row in a global order is computed from a *deterministic*
+bucketing of the order key: bucket bounds are quantiles of a seeded sample
+(at most ``SAMPLES_PER_BUCKET * buckets`` keys reach the driver), a row's
+bucket is a pure function of its key, rows are numbered inside their bucket
+(buckets are balanced by the quantiles) and every bucket adds the sizes of
+all earlier buckets. Any part of the plan may be evaluated more than once —
+a retried stage, a subquery, a second use of the same DataFrame — and still
+yields the same numbers (Spark's own range partitioning samples with a seed
+that changes per evaluation, so it is not used here).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLES_PER_BUCKET = 20
+SAMPLE_SEED = 17
+
+
+def _key(order_cols: list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in order_cols])
+
+
+def _bounds(df: DataFrame, order_cols: list[str], buckets: int) -> list:
+    """Up to ``buckets - 1`` ascending bound keys from a seeded sample."""
+    want = SAMPLES_PER_BUCKET * buckets
+    total = df.count()
+    if total == 0 or buckets <= 1:
+        return []
+    frac = min(1.0, want / total)
+    sample = df.select(*order_cols).sample(fraction=frac, seed=SAMPLE_SEED).collect() if frac < 1.0 \
+        else df.select(*order_cols).collect() if total <= want else []
+    keys = sorted(tuple(r) for r in sample)
+    if not keys:
+        return []
+    step = len(keys) / buckets
+    picked = sorted({keys[int(i * step)] for i in range(1, buckets) if int(i * step) < len(keys)})
+    return picked
+
 
 def global_ordinal(df: DataFrame, order_cols: list[str], name: str,
                    partitions: int | None = None) -> DataFrame:
-    """Add ``name``: the 1-based position of each row in ``order_cols`` order.
-
-    Distributed, no single-partition window: range-partition by the order
-    columns, sort inside each range, number rows with
-    ``monotonically_increasing_id`` (partition index in the high bits, row
-    index in the low 33), then add the sizes of all earlier ranges from a
-    one-row-per-partition table. One shuffle; no task sees more than its range.
-    """
+    """Add ``name``: the 1-based position of each row in ``order_cols`` order
+    (ties keep an arbitrary but fixed order only when the keys are unique)."""
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_lrank", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    # offsets has one row per partition: a proven bound for the broadcast.
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(*df.columns, (F.col("_lrank") + F.col("_off")).alias(name)))
+    buckets = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    bounds = _bounds(df, order_cols, buckets)
+    key = _key(order_cols)
+    if bounds:
+        lits = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(b, order_cols)]) for b in bounds])
+        bucket = F.aggregate(lits, F.lit(0), lambda acc, b: acc + F.when(key >= b, 1).otherwise(0))
+    else:
+        bucket = F.lit(0)
+    keyed = df.withColumn("_bucket", bucket)
+    local = keyed.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_bucket").orderBy(*[F.col(c).asc() for c in order_cols])))
+    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    # offsets has one row per bucket: a proven bound for the broadcast.
+    return (local.join(F.broadcast(offsets), "_bucket")
+            .select(*df.columns, (F.col("_local") + F.col("_off")).alias(name)))
 
 
 def group_ordinal(df: DataFrame, group_col: str, order_cols: list[str], name: str) -> DataFrame:
     """1-based position within each ``group_col`` group, without a window per
     group: global ordinal minus the group's first ordinal. A group holding a
-    third of all rows is spread over many ranges instead of one task."""
+    third of all rows is spread over many buckets instead of one task."""
     g = global_ordinal(df, [group_col, *order_cols], "_g")
     first = g.groupBy(group_col).agg(F.min("_g").alias("_first"))
     return g.join(first, group_col).select(*df.columns, (F.col("_g") - F.col("_first") + 1).alias(name))

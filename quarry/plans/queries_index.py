@@ -47,7 +47,7 @@ def _refreshed(spark, sf_dir, drop_lang=None):
         lost = prev_corpus.filter(F.col("lang") == drop_lang).select("path")
         idx = prev.index
         prev = IX.KeywordIndexState(prev.manifest, bm25.Bm25Index(
-            idx.postings.join(lost, "path", "left_anti"), idx.doc_stats.join(lost, "path", "left_anti"),
+            idx.postings.join(lost, "path", "left_anti"), None,
             idx.term_stats, idx.lengths.join(lost, "path", "left_anti")), prev.config)
     return IX.refresh(prev, snapshot_cur(spark, sf_dir))
 

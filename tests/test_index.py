@@ -16,7 +16,7 @@ def snapshot(spark, docs, mtimes):
 def tables(idx):
     post = sorted(tuple(r) for r in idx.postings.select("term", "path", "tf", "dl").collect())
     ts = sorted((r.term, r.df, round(r.idf, 9)) for r in idx.term_stats.collect())
-    ds = sorted(tuple(r) for r in idx.doc_stats.select("path", "dl", "prank").collect())
+    ds = sorted(tuple(r) for r in idx.ordinal().select("path", "dl", "prank").collect())
     return post, ts, ds
 
 

@@ -159,3 +159,16 @@ def test_load_runs_newest_file_first_and_skips_bad_files(spark, tmp_path):
     got = [r.run_id for r in RO.load_runs(spark, str(d)).collect()]
     assert got == ["new", "old"]
     assert os.path.exists(d / "junk.parquet")
+
+
+def test_ordinal_is_deterministic_across_evaluations(spark):
+    from quarry.plans.ordinal import global_ordinal
+    rows = [(f"k{(i * 7919) % 1000:04d}", i) for i in range(1000)]
+    a = global_ordinal(spark.createDataFrame(rows, "k string, v int").repartition(7), ["k"], "o", partitions=9)
+    b = global_ordinal(spark.createDataFrame(rows, "k string, v int").repartition(3), ["k"], "o", partitions=9)
+    # the same DataFrame used twice in one plan, and a differently partitioned input
+    joined = a.alias("x").join(a.alias("y"), "k").join(b.alias("z"), "k")
+    bad = joined.filter((F.col("x.o") != F.col("y.o")) | (F.col("x.o") != F.col("z.o"))).count()
+    assert bad == 0
+    assert sorted(r.o for r in a.collect()) == list(range(1, 1001))
+    assert [r.k for r in a.orderBy("o").collect()] == sorted(k for k, _ in rows)
