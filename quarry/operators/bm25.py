@@ -46,6 +46,14 @@ class Bm25Index:
     doc_lengths: DataFrame | None = None   # path, dl without the ordinal (cheaper for N, avgdl)
     combined: DataFrame | None = None      # postings + one length row per document (build output)
     ordinal_stored: bool = False           # doc_stats read from storage, sorted by prank
+    n_docs: int | None = None              # N and avgdl as literals once known (materialised index)
+    avgdl: float | None = None
+
+    def stats(self) -> tuple[Column, Column]:
+        """(N, avgdl): literals for a materialised index, scalar subqueries otherwise."""
+        if self.n_docs is not None:
+            return F.lit(self.n_docs), F.lit(self.avgdl)
+        return corpus_stats(self.lengths)
 
     @property
     def lengths(self) -> DataFrame:
@@ -77,9 +85,13 @@ class Bm25Index:
         else:
             base = self
             postings, lengths = cut_lineage(self.postings), cut_lineage(self.lengths)
+        # N and avgdl once, as literals for every later plan (one small job).
+        st = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        n_docs, avgdl = int(st["n"]), (float(st["avgdl"]) if st["avgdl"] is not None else None)
+        term_stats = cut_lineage(term_stats_of(postings, lengths, n_docs=n_docs))
         # The path ordinal is derived only when a search needs it (rare for a
         # one-shot search); ``write`` stores it sorted by prank.
-        return Bm25Index(postings, None, cut_lineage(base.term_stats), lengths)
+        return Bm25Index(postings, None, term_stats, lengths, n_docs=n_docs, avgdl=avgdl)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the three tables; postings clustered by term so a term
@@ -163,8 +175,8 @@ def corpus_stats(doc_stats: DataFrame) -> tuple[Column, Column]:
     return n, avgdl
 
 
-def term_stats_of(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    n, _ = corpus_stats(doc_stats)
+def term_stats_of(postings: DataFrame, doc_stats: DataFrame, n_docs: int | None = None) -> DataFrame:
+    n = F.lit(n_docs) if n_docs is not None else corpus_stats(doc_stats)[0]
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.select(F.avg("raw_idf")).scalar()
@@ -185,7 +197,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
     """(qid, path, score) for every document matching at least one query term;
     ``with_overlap`` adds ``matched``, the number of distinct query terms the
     document holds (same join, same aggregate)."""
-    _, avgdl = corpus_stats(index.lengths)
+    _, avgdl = index.stats()
     qterms = query_terms(queries, qid_col, query_col, tokenizer)
     # The query side is bounded by the query table (counted here, before the
     # join with term_stats, so the count reads only the queries). It is
@@ -256,7 +268,8 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
         return spark.createDataFrame([], "qid long, path string, score double, rank int")
     q = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("query"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
-    all_scores = scored if scored is not None else bm25_scores(index, q, tokenizer=tokenizer)
+    n_terms = query_terms(q, tokenizer=tokenizer).count()   # bounds every query-side broadcast below
+    all_scores = scored if scored is not None else bm25_scores(index, q, query_rows=n_terms, tokenizer=tokenizer)
     top = cut_lineage(_nonzero(all_scores.select("qid", "path", "score"), digits)
                       .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                       .select("qid", "path", "score"))
@@ -267,7 +280,8 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     if scored is not None:
         under_scores = scored.join(under.select("qid"), "qid", "left_semi")
     else:
-        under_scores = bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"), tokenizer=tokenizer)
+        under_scores = bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"),
+                                   query_rows=n_terms, tokenizer=tokenizer)
     taken = _nonzero(under_scores.select("qid", "path", "score"), digits).select("qid", "path")
     n_nonzero = taken.groupBy("qid").agg(F.count(F.lit(1)).alias("n_nonzero"))
     reach = (under.join(n_nonzero, "qid", "left")
