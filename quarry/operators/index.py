@@ -101,8 +101,11 @@ def refresh(prev: KeywordIndexState, corpus: DataFrame, config: dict | None = No
     config = config or default_config()
     if prev.config != config:            # I2: full invalidation
         prev = empty_state(spark, config)
+    from quarry.session import cut_lineage
     cur = listing(corpus)
-    changes = diff(prev.manifest, cur, prev.index.lengths.select("path"), compare)
+    # The change table feeds the fresh build, the dropped postings, the df
+    # deltas and the manifest: computed once (one row per path).
+    changes = cut_lineage(diff(prev.manifest, cur, prev.index.lengths.select("path"), compare))
     touched = changes.filter(F.col("status").isin(*TOUCHED)).select("path")
     new_docs = cur.join(touched, "path", "left_semi")
     manifest = _manifest(prev, cur, changes)
