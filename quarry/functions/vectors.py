@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NORM_EPS = 1e-9   # added to the L2 norm before dividing (zero vectors score 0)
+# Fixed value: added to the L2 norm before dividing (zero vectors score 0).
+NORM_EPS = 1e-9
 
 
 def _col(c):

@@ -19,7 +19,8 @@ from quarry.plans.sizing import spread_small_input
 # instead of one line; patterns containing them skip the document prefilter.
 _LINE_SENSITIVE = re.compile(r"\\[AzZGn]|\(\?<?[=!]|\(\?[a-zA-Z]*[ms]")
 
-# Line ends of Python's str.splitlines (the reference's fallback search).
+# Fixed value: the line ends of Python's str.splitlines (the fallback search's
+# line mode).
 UNIVERSAL_LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 

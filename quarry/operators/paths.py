@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import any_glob_match, java_regex
 
+# The entry types find accepts, and the default file globs per
+# language (any other language selects every file).
 SUPPORTED_TYPES = ("file", "directory")
-
-# Default file globs per language; any other language selects every file.
 DEFAULT_LANGUAGE_GLOBS = {"python": ["*.py"]}
 
 

@@ -17,6 +17,11 @@ from quarry.functions import runs as R
 
 TRACE_CALLS = "array<struct<name:string,params:string,result_summary:string,latency_ms:string>>"
 
+# Fixed values of the flow graph: node names and the label of a run without calls.
+STEP_PREFIX = "step_"
+NO_CALLS_NODE = "no_calls"
+NO_CALLS_LABEL = "No tool calls recorded"
+
 
 def validate_run_ids(runs: DataFrame) -> DataFrame:
     """Adds ``sanitised_id``; fails the job on the first refused run id."""
@@ -130,13 +135,13 @@ def call_table(calls: DataFrame) -> DataFrame:
 def flow_nodes(calls: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Nodes ``step_i`` with labels; runs without calls get ``no_calls``."""
     nodes = calls.select(
-        "run_id", F.concat(F.lit("step_"), F.col("step").cast("string")).alias("node"),
+        "run_id", F.concat(F.lit(STEP_PREFIX), F.col("step").cast("string")).alias("node"),
         R.call_label(F.col("step"), F.col("name"), F.col("latency_ms"),
                      R.summary_text(F.col("result_summary"))).alias("label"))
     if runs is not None:
         empty = runs.select("run_id").join(calls.select("run_id"), "run_id", "left_anti")
-        nodes = nodes.unionByName(empty.select("run_id", F.lit("no_calls").alias("node"),
-                                               F.lit("No tool calls recorded").alias("label")))
+        nodes = nodes.unionByName(empty.select("run_id", F.lit(NO_CALLS_NODE).alias("node"),
+                                               F.lit(NO_CALLS_LABEL).alias("label")))
     return nodes
 
 
@@ -145,8 +150,8 @@ def flow_edges(calls: DataFrame) -> DataFrame:
     every call after the first has exactly one incoming edge — a per-row
     projection, no window and no self-join."""
     return (calls.filter(F.col("step") > 1)
-            .select("run_id", F.concat(F.lit("step_"), (F.col("step") - 1).cast("string")).alias("src"),
-                    F.concat(F.lit("step_"), F.col("step").cast("string")).alias("dst")))
+            .select("run_id", F.concat(F.lit(STEP_PREFIX), (F.col("step") - 1).cast("string")).alias("src"),
+                    F.concat(F.lit(STEP_PREFIX), F.col("step").cast("string")).alias("dst")))
 
 
 def latency_totals(calls: DataFrame) -> DataFrame:

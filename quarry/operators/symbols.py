@@ -25,6 +25,8 @@ from quarry.functions.text import any_glob_match
 from quarry.operators.paths import DEFAULT_LANGUAGE_GLOBS
 from quarry.plans.sizing import spread_small_input
 
+# The finding kinds a rule may produce, and the languages with
+# an extractor here.
 VALID_KINDS = ("def", "ref", "call", "note")
 AVAILABLE_LANGUAGES = ("python",)
 _OUT = "kind string, path string, line int, text string, message string"
