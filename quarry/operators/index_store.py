@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash
@@ -106,10 +106,16 @@ def commit(spark: SparkSession, base: str, updates: DataFrame, batch_id: str) ->
 def _stage(spark, base, updates, staging, cut_lineage) -> None:
     cfg = _config(spark, base)
     nb = int(cfg.get("buckets", BUCKETS))
+    # The latest change of each path in the batch wins (by mtime_ns; a delete
+    # wins a tie); row_number with a partial limit, so a path changed many
+    # times in one batch is no hot task.
+    latest = Window.partitionBy("path").orderBy(F.desc("mtime_ns"), F.desc("deleted"))
     upd = cut_lineage(updates.select(
         "path", "text", F.col("mtime_ns").cast("long").alias("mtime_ns"),
         F.coalesce(F.col("size"), F.octet_length("text")).cast("long").alias("size"),
-        F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted")).withColumn("bucket", bucket_of("path", nb)))
+        F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"))
+        .withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") == 1).drop("_n")
+        .withColumn("bucket", bucket_of("path", nb)))
     touched = sorted(r[0] for r in upd.select("bucket").distinct().collect())   # at most B values
     man_t = _read(spark, base, "manifest", touched)
     post_t = _read(spark, base, "postings", touched)

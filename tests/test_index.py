@@ -135,3 +135,15 @@ def test_store_commits_touch_only_their_buckets_and_match_rebuild(spark, tmp_pat
             assert tables(state.index) == tables(fresh)
         stats = spark.read.parquet(base + "/stats").first()
         assert stats.n == len([t for t in docs.values() if t.strip()])
+
+
+
+def test_store_applies_latest_change_per_path(spark, tmp_path):
+    from quarry.operators import index_store as ST
+    base = str(tmp_path / "store")
+    ST.empty_store(spark, base, buckets=4)
+    feed = [("a.txt", "old words", 1, None, False), ("a.txt", "new words here", 3, None, False),
+            ("b.txt", "keep me", 1, None, False), ("b.txt", None, 2, None, True)]
+    ST.commit(spark, base, spark.createDataFrame(feed, ingest.FEED_SCHEMA), "dup-1")
+    state = ST.open_store(spark, base)
+    assert tables(state.index) == tables(bm25.build_index(corpus_df(spark, {"a.txt": "new words here"})))
