@@ -204,8 +204,10 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
     # broadcast so postings stream once without a shuffle on term, and a hot
     # term held by a third of all documents makes no skewed partition.
     n_qterms = query_rows if query_rows is not None else qterms.count()
-    qt = bounded_broadcast(qterms.join(index.term_stats.select("term", "idf"), "term"),
-                           known_rows=n_qterms)
+    # Both joins stream the large side: the counted query terms are the build
+    # side against the vocabulary, and the result against the postings.
+    qt = bounded_broadcast(bounded_broadcast(qterms, known_rows=n_qterms)
+                           .join(index.term_stats.select("term", "idf"), "term"), known_rows=n_qterms)
     tf = F.col("tf")
     contrib = (F.col("qtf") * F.col("idf") * tf * F.lit(K1 + 1)
                / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)))

@@ -110,13 +110,16 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     from quarry.plans.sizing import bounded_broadcast
     toks = passages.select("qid", "text", tokenize("text").alias("t")).filter(F.size("t") >= 3)
     interior = F.slice("t", 2, F.size("t") - 2)
-    cand_terms = (toks.select("qid", "text", F.explode(F.array_distinct(interior)).alias("term"))
-                  .join(term_stats.select("term", "df"), "term"))
+    n_passages = passages.count()
+    # Interior tokens of the passages (counted), broadcast against the
+    # vocabulary-sized term_stats when within the bound.
+    interior_terms = toks.select("qid", "text", F.explode(F.array_distinct(interior)).alias("term"))
+    cand_terms = bounded_broadcast(interior_terms).join(term_stats.select("term", "df"), "term")
     w = Window.partitionBy("qid").orderBy(F.asc("df"), F.asc("term"))
     key = (cand_terms.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
            .select("qid", "term", F.col("text").alias("passage")))
     # One key row per passage: bounded by the (counted) passage table.
-    cands = postings.select("term", "path").join(bounded_broadcast(key, known_rows=passages.count()), "term")
+    cands = postings.select("term", "path").join(bounded_broadcast(key, known_rows=n_passages), "term")
     # Candidates (a few per passage: the df of its rarest interior token) go
     # to the corpus scan by broadcast when their counted size allows, so the
     # corpus text is never shuffled; above the bound a shuffle join is used.
