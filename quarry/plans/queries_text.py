@@ -42,9 +42,8 @@ def b5_grep_lines(spark, sf_dir):
 
 
 def _sql_multi():
-    cases = " UNION ALL ".join(
-        f"SELECT CAST({pid} AS BIGINT) AS pid, '{p.replace(chr(92), chr(92))}' AS pattern" for pid, p in GREP_PATTERNS.items())
-    return cases
+    return " UNION ALL ".join(
+        f"SELECT CAST({pid} AS BIGINT) AS pid, '{p}' AS pattern" for pid, p in GREP_PATTERNS.items())
 
 
 @register("b6_multi_pattern_grep", f"""WITH {sql_doc_lines()}, pats AS ({_sql_multi()})
