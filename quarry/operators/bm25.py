@@ -199,10 +199,10 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
     document holds (same join, same aggregate)."""
     _, avgdl = index.stats()
     qterms = query_terms(queries, qid_col, query_col, tokenizer)
-    # The query side is bounded by the query table (counted here, before the
-    # join with term_stats, so the count reads only the queries). It is
-    # broadcast so postings stream once without a shuffle on term, and a hot
-    # term held by a third of all documents makes no skewed partition.
+    # The query side is bounded by the query table (counted on the queries
+    # alone unless the caller passes the count). It is broadcast so postings
+    # stream once without a shuffle on term, and a hot term held by a third of
+    # all documents makes no skewed partition.
     n_qterms = query_rows if query_rows is not None else qterms.count()
     # Both joins stream the large side: the counted query terms are the build
     # side against the vocabulary, and the result against the postings.
@@ -291,9 +291,8 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
                      (F.lit(k) - F.col("n_pos") + F.coalesce("n_nonzero", F.lit(0))).alias("reach")))
     # One small action: the deepest prefix any under-filled query needs.
     max_reach = reach.agg(F.max("reach")).first()[0]
-    final_w = w
     if not max_reach:
-        return (top.withColumn("rank", F.row_number().over(final_w)).filter(F.col("rank") <= k)
+        return (top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
     leading = leading_paths(index, int(max_reach))
     # (qid, prank) slots: at most k per under-filled query plus its own matches.
