@@ -1,7 +1,7 @@
 """Row positions without single-partition windows (skew-proof ordinals).
 
 The position of a row in a global order is computed from a *deterministic*
-bucketing of the order key: bucket bounds are quantiles of a seeded sample
+bucketing of the order key: bucket bounds are quantiles of a hash sample
 (at most ``SAMPLES_PER_BUCKET * buckets`` keys reach the driver), a row's
 bucket is a pure function of its key, rows are numbered inside their bucket
 (buckets are balanced by the quantiles) and every bucket adds the sizes of
@@ -25,20 +25,20 @@ def _key(order_cols: list[str]) -> Column:
 
 
 def _bounds(df: DataFrame, order_cols: list[str], buckets: int) -> list:
-    """Up to ``buckets - 1`` ascending bound keys from a seeded sample."""
-    want = SAMPLES_PER_BUCKET * buckets
-    total = df.count()
-    if total == 0 or buckets <= 1:
+    """Up to ``buckets - 1`` ascending bound keys from a hash sample: the
+    ``SAMPLES_PER_BUCKET * buckets`` keys with the smallest ``xxhash64`` (a
+    per-task top-n merged in one task — one small job, independent of the
+    input's partitioning)."""
+    if buckets <= 1:
         return []
-    frac = min(1.0, want / total)
-    sample = df.select(*order_cols).sample(fraction=frac, seed=SAMPLE_SEED).collect() if frac < 1.0 \
-        else df.select(*order_cols).collect() if total <= want else []
+    want = SAMPLES_PER_BUCKET * buckets
+    sample = (df.select(*order_cols, F.xxhash64(*order_cols, F.lit(SAMPLE_SEED)).alias("_h"))
+              .orderBy("_h", *order_cols).limit(want).select(*order_cols).collect())
     keys = sorted(tuple(r) for r in sample)
     if not keys:
         return []
     step = len(keys) / buckets
-    picked = sorted({keys[int(i * step)] for i in range(1, buckets) if int(i * step) < len(keys)})
-    return picked
+    return sorted({keys[int(i * step)] for i in range(1, buckets) if int(i * step) < len(keys)})
 
 
 def global_ordinal(df: DataFrame, order_cols: list[str], name: str,
