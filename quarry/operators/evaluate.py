@@ -117,13 +117,16 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     cand_terms = bounded_broadcast(interior_terms).join(term_stats.select("term", "df"), "term")
     w = Window.partitionBy("qid").orderBy(F.asc("df"), F.asc("term"))
     key = (cand_terms.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-           .select("qid", "term", F.col("text").alias("passage")))
+           .select("qid", "term", "df", F.col("text").alias("passage")))
+    # Candidate pairs = sum of the key terms' document frequencies (exact, read
+    # from the small key table, no postings scan to count them).
+    n_cands = key.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     # One key row per passage: bounded by the (counted) passage table.
-    cands = postings.select("term", "path").join(bounded_broadcast(key, known_rows=n_passages), "term")
+    cands = postings.select("term", "path").join(bounded_broadcast(key.drop("df"), known_rows=n_passages), "term")
     # Candidates (a few per passage: the df of its rarest interior token) go
     # to the corpus scan by broadcast when their counted size allows, so the
     # corpus text is never shuffled; above the bound a shuffle join is used.
     docs = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("doc"))
-    return (docs.join(bounded_broadcast(cands.select("qid", "path", "passage")), "path")
+    return (docs.join(bounded_broadcast(cands.select("qid", "path", "passage"), known_rows=int(n_cands)), "path")
             .filter(F.instr(F.col("doc"), F.col("passage")) > 0)
             .select("qid", "path", F.lit(1).alias("rel")))
