@@ -270,7 +270,9 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
         return spark.createDataFrame([], "qid long, path string, score double, rank int")
     q = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("query"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
-    n_terms = query_terms(q, tokenizer=tokenizer).count()   # bounds every query-side broadcast below
+    # One count bounds every query-side broadcast below (not needed when the
+    # scores are given).
+    n_terms = query_terms(q, tokenizer=tokenizer).count() if scored is None else None
     all_scores = scored if scored is not None else bm25_scores(index, q, query_rows=n_terms, tokenizer=tokenizer)
     top = cut_lineage(_nonzero(all_scores.select("qid", "path", "score"), digits)
                       .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
