@@ -154,3 +154,10 @@ def test_duplicate_paths_fail_loudly(spark):
     with pytest.raises(ValueError, match="duplicate path in corpus: a.txt"):
         bm25.build_index(df, check_unique=True)
     assert bm25.build_index(corpus_df(spark, RANKING), check_unique=True).postings.count() > 0
+
+
+def test_stored_index_pushes_prefix_bound_into_scan(spark, tmp_path):
+    stored = bm25.build_index(corpus_df(spark, RANKING)).write(str(tmp_path / "idx"))
+    plan = bm25.leading_paths(stored, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(prank,2)" in plan
+    assert [r.path for r in bm25.leading_paths(stored, 2).orderBy("prank").collect()] == ["alpha.txt", "beta.txt"]

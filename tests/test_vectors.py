@@ -129,3 +129,9 @@ def test_replace_overwrites(spark, tmp_path):
     V.save_vectors(a, str(tmp_path / "v"))
     V.save_vectors(b, str(tmp_path / "v"), mode="overwrite")
     assert [r.id for r in V.load_vectors(spark, str(tmp_path / "v")).collect()] == ["b"]
+
+
+def test_vector_search_limits_per_task_before_shuffle(spark):
+    idx = V.build_vectors(vec_df(spark, [(f"v{i}", [float(i), 1.0]) for i in range(50)]), 2)
+    plan = V.vector_search(idx, q_df(spark, [(0, [1, 0])]), 3, dim=2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "MapInArrow" in plan
