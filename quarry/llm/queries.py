@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import decontaminate, minhash_dedup
+from quarry.llm import decontaminate, jobs, minhash_dedup, orc_tokens, packing, substring_dedup
 from quarry.llm.registry import read, register
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -17,6 +17,13 @@ def _sql_words(column: str, pattern: str) -> str:
     return f"regexp_extract_all({_LOWER.format(x=column)}, '{pattern}')"
 
 
+@register("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op2_minhash_near_dedup", sql=f"""
     WITH RECURSIVE w AS (
       SELECT doc_id, {_sql_words("coalesce(text, '')", _SPACED)} AS ws FROM documents),
@@ -37,6 +44,13 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@register("op3_orc_token_output")
+def op3_orc_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = jobs.fresh_path(spark, "orc")
+    orc_tokens.write_tokens(read(spark, sf_dir, "documents"), path)
+    return orc_tokens.digests(orc_tokens.read_tokens(spark, path))
+
+
 @register("op4_winnowing_decontamination", sql=f"""
     WITH d AS (SELECT doc_id, {_sql_words("coalesce(text, '')", _ALNUM)} AS ws FROM documents),
     b AS (SELECT item_id, {_sql_words("coalesce(text, '')", _ALNUM)} AS ws FROM benchmark),
@@ -58,3 +72,8 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items",
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
