@@ -88,7 +88,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit (words inside any hit
+    """One row per document row: doc_id, text_hash (xxhash64), n_words, n_hit (words inside any hit
     window), n_items, items (their ids as sorted strings), spans (hit runs of
     words as (start, end)), contaminated."""
     spark = docs.sparkSession
@@ -124,12 +124,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                 hits = pa.StructArray.from_arrays(
                     [pa.array((pos - bounds[rows[pos]]).astype(np.int64)), pa.array(size), pa.array(B.as_long(a)), pa.array(B.as_long(b))],
                     names=["pos", "n", "h1", "h2"])
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)),
-                                       pa.ListArray.from_arrays(pa.array(ends), hits)], names=["doc_id", "n_words", "hits"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds)),
+                                       pa.ListArray.from_arrays(pa.array(ends), hits)], names=["doc_id", "text_hash", "n_words", "hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {kind}, n_words long, hits array<struct<pos:long,n:int,h1:long,h2:long>>")
+    scanned = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        scan, f"doc_id {kind}, text_hash long, n_words long, hits array<struct<pos:long,n:int,h1:long,h2:long>>")
     base = jobs.table(scanned.withColumn("rid", F.monotonically_increasing_id()), "scan")
     hits = base.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
     found = hits.join(wins.select("n", "h1", "h2", "item_id").distinct(), ["n", "h1", "h2"])
@@ -144,9 +144,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     per_doc = found.groupBy("rid").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     return (base.join(per_doc, "rid", "left")
-            .select("doc_id", "n_words",
+            .select("doc_id", "text_hash", "n_words",
                     F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]), F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                     F.coalesce("spans", none).alias("spans"),
                     F.col("spans").isNotNull().alias("contaminated")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The documents that no benchmark window hits, with all their columns."""
+    bad = contamination(docs, benchmark, window, gram).where("contaminated").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"])
+    return docs.join(bad, same, "left_anti")

@@ -4,8 +4,8 @@ estimate their similarity, full shingle sets confirm it.
 Documents with the same shingle set form one class. A class gets ``HASHES``
 MinHash values; ``BANDS`` bands of them are join keys, and the values are also
 folded into an odd sketch (a parity bitmap whose XOR population count tells how
-many values differ). At similarity 0.85 a pair shares no band with
-probability (1 - 0.85**4)**32 < 1e-10.
+many values differ). A pair shares no band with probability
+(1 - 0.85**4)**32 < 1e-10 at similarity 0.85, < 1e-7 at 0.8.
 
 Candidates are never expanded to all pairs of a bucket. First every class is
 checked against the smallest class of each of its buckets (a star), and the
@@ -13,6 +13,7 @@ confirmed links are joined into components. Only buckets that still hold
 several components are looked at again, in square blocks of bounded size, and
 only pairs of different components whose sketches allow the threshold go on.
 
+A doc_id names one document: rows that repeat it are taken to repeat its text.
 Defined cases: null, empty or wordless texts have an empty set and stay alone;
 rows with a null doc_id are returned with a null component and kept; repeated
 rows are one class; an empty table gives no rows; extra columns are ignored.
@@ -112,7 +113,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, hashes: int = HASHES,
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes: int = HASHES,
                     bands: int = BANDS, bits: int = SKETCH_BITS) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest
     doc_id reachable over links), kept (doc_id = component_id). Two documents

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import decontaminate, jobs, minhash_dedup, orc_tokens, packing, substring_dedup
+from quarry.llm import decontaminate, jobs, minhash_dedup, orc_tokens, packing, quality, substring_dedup
 from quarry.llm.registry import read, register
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,7 +41,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
     FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 @register("op3_orc_token_output")
@@ -77,3 +77,16 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @register("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"),
+                      F.col("accepted").alias("kept"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -351,9 +351,11 @@ def merge_spans(pairs: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, replace: bool = False) -> DataFrame:
     """The documents' columns plus kept (binary: the text's bytes that no
-    repeated string covers), spans (the removed byte runs) and n_bytes."""
+    repeated string covers), spans (the removed byte runs) and n_bytes. With
+    ``replace``, only the documents' columns: text becomes the kept bytes,
+    without the pieces of a character that a cut left (null stays null)."""
     src = _keyed(docs)
     spans = jobs.table(repeated_spans(docs, length), "spans")
     per = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("__cut"))
@@ -376,5 +378,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([*batch.columns[:len(names)], pa.array(kept, pa.binary()), pa.array(spans_out, kind), pa.array(sizes, pa.int64())],
                                   names=[*names, "kept", "spans", "n_bytes"])
 
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches):
+            known = batch.column(text_at).is_valid().to_pylist()
+            text = pa.array([kept.decode("utf-8", "ignore") if k else None
+                             for kept, k in zip(batch.column(len(names)).to_pylist(), known)], pa.string())
+            yield pa.record_batch([*batch.columns[:text_at], text, *batch.columns[text_at + 1:len(names)]], names=names)
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    if replace:
+        return joined.mapInArrow(swap, schema)
     return joined.mapInArrow(cut, schema + ", kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
