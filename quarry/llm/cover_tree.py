@@ -126,9 +126,9 @@ def _plain(queries, query_ids, data, data_ids, k) -> tuple[list, list, list]:
     """The same with Python's integers, where scores pass 2**53."""
     out_q, out_i, out_s = [], [], []
     for q, qid in zip(queries, query_ids):
-        best = sorted((-sum(int(a) * int(b) for a, b in zip(q, x)), int(i)) for x, i in zip(data, data_ids) if i != qid)[:k]
-        for s, i in best:
-            out_q.append(int(qid)), out_i.append(i), out_s.append(min(max(-s, _LEAST), np.iinfo(np.int64).max))
+        sums = ((sum(int(a) * int(b) for a, b in zip(q, x)), int(i)) for x, i in zip(data, data_ids) if i != qid)
+        for s, i in sorted((-min(max(s, _LEAST), -_LEAST), i) for s, i in sums)[:k]:
+            out_q.append(int(qid)), out_i.append(i), out_s.append(-s)
     return out_q, out_i, out_s
 
 
