@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import chat, cover_tree, decontaminate, jobs, minhash_dedup, orc_tokens, packing, quality, substring_dedup
+from quarry.llm import chat, cover_tree, decontaminate, jobs, licenses, minhash_dedup, orc_tokens, packing, quality, substring_dedup, wrappers
 from quarry.llm.registry import read, register
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,6 +74,22 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def _sql_list(values) -> str:
+    return ", ".join("('" + "', '".join(v) + "')" for v in values)
+
+
+@register("op5_license_scan", sql=f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_ALNUM}') AS ws FROM documents),
+    t AS (SELECT license, regexp_extract_all(lower(text), '{_ALNUM}') AS ws FROM (VALUES {_sql_list(licenses.NOTICES.items())}) n(license, text)),
+    g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
+    u AS (SELECT DISTINCT license, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM t),
+    n AS (SELECT license, count(*) AS n_shingles FROM u GROUP BY license)
+    SELECT doc_id, license, count(*) AS n_matched, any_value(n_shingles) AS n_shingles
+    FROM g JOIN u USING (s) JOIN n USING (license) GROUP BY doc_id, license HAVING count(*) >= 0.8 * any_value(n_shingles)""")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 @register("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
@@ -107,6 +123,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("accepted").alias("kept"))
 
 
+@register("op10_wrapper_main_text")
+def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrappers.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
