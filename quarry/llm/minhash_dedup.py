@@ -2,10 +2,12 @@
 estimate their similarity, full shingle sets confirm it.
 
 Documents with the same shingle set form one class. A class gets ``HASHES``
-MinHash values; ``BANDS`` bands of them are join keys, and the values are also
-folded into an odd sketch (a parity bitmap whose XOR population count tells how
-many values differ). A pair shares no band with probability
-(1 - 0.85**4)**32 < 1e-10 at similarity 0.85, < 1e-7 at 0.8.
+MinHash values, whose ``BANDS`` bands are join keys: a pair shares none with
+probability (1 - 0.85**4)**32 < 1e-10 at similarity 0.85, < 1e-7 at 0.8. Its
+one-permutation MinHash samples (the minimum of each of ``BINS`` hash ranges)
+are folded into an odd sketch, a parity bitmap: the XOR population count of two
+sketches tells how many samples differ, and is never above that number, so a
+bound on it (:func:`most_bits`) precedes the check of the full sets.
 
 Candidates are never expanded to all pairs of a bucket. First every class is
 checked against the smallest class of each of its buckets (a star), and the
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import blocks as B, jobs
 
-HASHES, BANDS, SKETCH_BITS = 128, 32, 512
+HASHES, BANDS, SKETCH_BITS = 128, 32, 4096
+BINS = 1 << 14
 CHUNK = 2048
 
 
@@ -69,18 +72,27 @@ def signatures(vals: np.ndarray, bounds: np.ndarray, hashes: int, bits: int) ->
     if len(full):
         for j, m in enumerate(B.seeds(hashes, 99)):
             sig[:, j] = np.minimum.reduceat(vals * m, first)
-    where = (B.mix64(sig + B.seeds(hashes, 5)[None, :]) % np.uint64(bits)).astype(np.int64)
-    flat = np.bincount((np.arange(len(full))[:, None] * bits + where).ravel(), minlength=len(full) * bits)
+    # Values are sorted within a text, so each range's minimum is its first.
+    owner = np.repeat(np.arange(len(full)), np.diff(bounds)[full])
+    bin_of = vals >> np.uint64(64 - BINS.bit_length() + 1)
+    lead = np.ones(len(vals), dtype=bool)
+    lead[1:] = (bin_of[1:] != bin_of[:-1]) | (owner[1:] != owner[:-1])
+    where = (B.mix64(vals[lead]) % np.uint64(bits)).astype(np.int64)
+    flat = np.bincount(owner[lead] * bits + where, minlength=len(full) * bits)
     return sig, np.packbits((flat & 1).astype(np.uint8).reshape(len(full), bits), axis=1)
 
 
-def most_bits(percent: int, hashes: int, bits: int) -> int:
-    """Most differing sketch bits that a pair at the threshold may show (six
-    standard deviations above the expected number of differing values)."""
-    miss = 1 - percent / 100
-    worst = hashes * miss + 6 * (hashes * miss * (1 - miss)) ** 0.5
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * worst))
-    return int(np.ceil(expected + 6 * (bits / 4) ** 0.5 * min(1.0, 2 * worst / bits)))
+def most_bits(total: np.ndarray, percent: int, bits: int) -> np.ndarray:
+    """Most differing sketch bits that a pair at the threshold may show, by the
+    sum of its set sizes. At most d = total * (100 - percent) / (100 + percent)
+    shingles are in one set only. One that is alone in its range makes one
+    sample differ; one that shares its range makes two or none differ, one at
+    most on average (six standard deviations are allowed for those). Samples
+    meeting in one bit only lower the count."""
+    d = total * ((100 - percent) / (100 + percent))
+    samples = d + 6 * np.sqrt(d * np.minimum(1.0, total / BINS))
+    likely = bits / 2 * (1 - np.exp(-2 * samples / bits)) + 3 * bits ** 0.5
+    return np.ceil(np.minimum(samples, likely))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -152,8 +164,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes:
     # One class per shingle set; its id is the smallest doc_id that has it.
     named = base.where("set_key is not null and doc_id is not null")
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("cid"))
-    owners = jobs.table(named.select("doc_id", "set_key", "bands", "odd").join(classes, "set_key")
-                        .where("doc_id = cid").select("cid", "bands", "odd").dropDuplicates(["cid"]), "classes")
+    owners = jobs.table(named.select("doc_id", "n_shingles", "set_key", "bands", "odd").join(classes, "set_key")
+                        .where("doc_id = cid").select("cid", "n_shingles", "bands", "odd").dropDuplicates(["cid"]), "classes")
     spread = owners.select("cid", F.explode("bands").alias("band"))
     heads = spread.groupBy("band").agg(F.min("cid").alias("head"), F.count("*").alias("size")).where("size > 1")
     buckets = jobs.table(spread.join(heads, "band"), "buckets")
@@ -171,22 +183,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes:
     mixed = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("cid"), chunks).cast("int")
-    split = (member.join(mixed, "band").join(owners.select("cid", "odd"), "cid")
+    split = (member.join(mixed, "band").join(owners.select("cid", "n_shingles", "odd"), "cid")
              .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-             .select("band", F.least("mine", "other").alias("ca"), F.greatest("mine", "other").alias("cb"), "mine", "cid", "root", "odd"))
-    limit = most_bits(percent, hashes, bits)
+             .select("band", F.least("mine", "other").alias("ca"), F.greatest("mine", "other").alias("cb"), "mine", "cid", "root", "n_shingles", "odd"))
 
     def block(tab: pa.Table) -> pa.Table:
         cid, root = tab["cid"].to_numpy(), tab["root"].to_numpy()
         mine = tab["mine"].to_numpy()
         odd = np.frombuffer(b"".join(tab["odd"].to_pylist()), dtype=np.uint64).reshape(len(cid), -1)
         ca, cb = tab["ca"][0].as_py(), tab["cb"][0].as_py()
+        n = tab["n_shingles"].to_numpy()
         out_a, out_b = [], []
         for i in np.flatnonzero(mine == ca):
-            diff = np.bitwise_count(odd ^ odd[i]).sum(axis=1, dtype=np.int64)
-            ok = (diff <= limit) & (root != root[i]) & ((cid > cid[i]) if ca == cb else (mine == cb))
-            out_b.append(cid[ok])
-            out_a.append(np.full(int(ok.sum()), cid[i]))
+            may = (root != root[i]) & ((cid > cid[i]) if ca == cb else (mine == cb))
+            may &= (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+            j = np.flatnonzero(may)
+            diff = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64)
+            j = j[diff <= most_bits(n[j] + n[i], percent, bits)]
+            out_b.append(cid[j])
+            out_a.append(np.full(len(j), cid[i]))
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
