@@ -37,9 +37,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokens.public_path(tokenizer))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                raws = [enc.encode(t) + end for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                raws = [raw + end for raw in enc.encode_all(part.column(1).to_pylist())]
                 sizes = np.array([len(r) // 4 for r in raws], dtype=np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(raws))])

@@ -107,6 +107,11 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, total, capacity)] if total else []
 
 
+def _encoded(enc, texts: pa.Array) -> Iterator[bytes]:
+    for lo in range(0, len(texts), 500):
+        yield from enc.encode_all(texts.slice(lo, 500).to_pylist())
+
+
 def document_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = SEQUENCE,
                     with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids binary]) of every piece."""
@@ -117,8 +122,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity:
         enc = tokens.encoder(tokens.public_path(tokenizer))
         for batch in batches:
             row, piece, start, size, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = enc.encode(text) + end
+            for i, raw in enumerate(_encoded(enc, batch.column(1))):
+                raw += end
                 for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
                     part = raw[4 * s:4 * (s + n)]
                     row.append(i), piece.append(k), start.append(s), size.append(n), crc.append(zlib.crc32(part))
