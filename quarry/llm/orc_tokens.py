@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     ordered = (docs.select("doc_id", "text").repartitionByRange(jobs.partitions(spark), "doc_id")
                .sortWithinPartitions("doc_id"))
     (tokenised(ordered, tokenizer, end_id).withColumn("part", F.spark_partition_id())
-     .write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(STRIPE_BYTES))
+     .write.option("orc.compress", "SNAPPY").option("orc.stripe.size", str(STRIPE_BYTES))
      .option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("orc.create.index", "true")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP)).orc(path))
 

@@ -17,11 +17,16 @@ import gc
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 CACHE_PIECES = 600_000
 JOINED = 200
+SPACE = "\u0120"  # a space in byte-level vocabularies
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit integers")
 
 # A space between two characters that are certainly no white space: printable
 # ASCII and Latin letters.
@@ -38,13 +43,21 @@ def _is_plain(text: str) -> bool:
     return text.isascii() or _UNICODE_SPACE.search(text) is None
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Pieces(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers, in two
     generations: a full one is put aside and asked before encoding anew."""
 
-    def __init__(self, tokenizer, gap: str, mark: str):
+    def __init__(self, tokenizer, gap: str, mark: str, lowers: bool):
         super().__init__()
-        self.tokenizer, self.gap, self.mark = tokenizer, gap, mark
+        self.tokenizer, self.gap, self.mark, self.lowers = tokenizer, gap, mark, lowers
         self.old: dict = {}
         self.stop = self._ids(mark)
 
@@ -87,7 +100,18 @@ class _Pieces(dict):
             self._learn_all(pieces)
 
     def _learn_all(self, pieces: set) -> None:
-        plain = [p for p in pieces if self.mark not in p]
+        # ASCII words are one unit to the pre-tokenizers and pass them unchanged
+        # but for the space before them, so the file's merges apply directly.
+        merge = self.tokenizer.model.tokenize
+        rest = []
+        for p in pieces:
+            word = p[1:] if p[:1] == " " else p
+            if word.isascii() and word.isalpha() and (not self.lowers or word.islower()):
+                self[p] = array("I", [t.id for t in merge(p if word is p else SPACE + word)]).tobytes()
+            else:
+                rest.append(p)
+        plain = [p for p in rest if self.mark not in p]
+        pieces = set(rest)
         for p in pieces.difference(plain):
             self[p] = self._ids(p).tobytes()
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
@@ -120,14 +144,19 @@ class PieceEncoder:
         keeps_lead = steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not conf.get("normalizer")
         if not (self.drops_space or keeps_lead):
             raise ValueError("unknown pre-tokenizer: pieces can't be encoded one by one")
+        # Lower-casing Latin-1 texts first is what this normaliser does anyway.
+        norm = conf.get("normalizer") or {}
+        self.lowers = self.drops_space and any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
         # Separators: a bar between spaces, and a line feed; a piece that holds
         # the mark itself is encoded alone.
-        self.pieces = _Pieces(tok, " | ", "|") if self.drops_space else _Pieces(tok, "\n", "\n")
+        self.pieces = _Pieces(tok, " | ", "|", self.lowers) if self.drops_space else _Pieces(tok, "\n", "\n", False)
 
     def _cut(self, text: str | None) -> list[str]:
         if not text:
             return []
         if self.drops_space:
+            if self.lowers and _is_latin(text):
+                text = text.lower()
             if _is_plain(text):
                 return text.replace("\n", " ").split(" ")
             return [p for p in _ASCII_SPACE.split(text) if p]
