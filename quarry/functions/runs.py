@@ -33,10 +33,29 @@ def sanitise_run_id(run_id: Column | str) -> Column:
 def json_object(text: Column | str) -> Column:
     """JSON text -> ordered MAP<STRING,VARIANT>; non-string, empty, malformed
     or non-object input -> empty map."""
-    m = F.from_json(_col(text), "map<string,variant>")
+    m = F.from_json(mark_bare(_col(text)), "map<string,variant>")
     return F.coalesce(m, F.create_map().cast("map<string,variant>"))
 
 
+# Stands in front of nan, inf and -inf in place of the bare NaN, Infinity and
+# -Infinity that Python's writer leaves in JSON text (a private-use character).
+BARE = "\ue000"
+
+
+def mark_bare(text: Column) -> Column:
+    """JSON text with bare NaN and Infinity outside of strings made into marked
+    strings, so that JSON functions keep the rest and the two stay apart."""
+    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]++|\\.)*+"|[^"]+|"'), F.lit(0))
+
+    def mark(p: Column) -> Column:
+        for bare, name in ((r"-Infinity\b", "-inf"), (r"\bInfinity\b", "inf"), (r"\bNaN\b", "nan")):
+            p = F.regexp_replace(p, bare, f'"{BARE}{name}"')
+        return p
+
+    fixed = F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(mark(p)))
+    return F.when(text.rlike("NaN|Infinity"), F.array_join(fixed, "")).otherwise(text)
+
+
 def _vtype(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -63,6 +82,7 @@ def variant_to_double(v: Column) -> Column:
     t = _vtype(v)
     s = F.try_variant_get(v, "$", "string")
     return (F.when(_is_number_type(t) | (t == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
+            .when((t == "STRING") & s.startswith(BARE), F.substr(s, F.lit(2)).try_cast("double"))
             .when(t == "STRING", text_to_double(s)))
 
 
@@ -72,26 +92,66 @@ def coerce_metrics(text: Column | str) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull())
 
 
+def float_text(d: Column) -> Column:
+    """A double as Python's ``str`` writes it: the shortest digits, positional
+    from 1e-4 to below 1e16, else with an exponent of two digits at least."""
+    # Older JVMs write a needless last digit of some doubles: fewer digits that
+    # still read back as the same value are taken instead.
+    long_form = d.cast("string")
+    tries = F.array(*[F.format_string(f"%.{k}E", d) for k in (14, 15)])
+    fewer = F.get(F.filter(tries, lambda t: t.try_cast("double") == d), 0)
+    trimmed = F.regexp_replace(F.regexp_replace(fewer, r"(\.[0-9]*?)0+E", "$1E"), r"\.E", ".0E")
+    trimmed = F.regexp_replace(F.regexp_replace(trimmed, r"E\+", "E"), r"E(-?)0+([0-9])", "E$1$2")
+    wordy = F.length(F.regexp_replace(F.regexp_extract(long_form, r"^-?([0-9.]+)", 1), "[.]", "")) > 16
+    s = F.when(wordy & long_form.contains("E") & trimmed.isNotNull(), trimmed).otherwise(long_form)
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)E", 1), r"\.0$", "")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    exp = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    whole = F.when(n <= exp + 1, F.concat(digits, zeros(exp + 1 - n), F.lit(".0"))).otherwise(
+        F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2)))
+    small = F.concat(F.lit("0."), zeros(-exp - 1), digits)
+    power = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), F.greatest(F.length(F.abs(exp).cast("string")), F.lit(2)), F.lit("0")))
+    wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)),
+                    F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")), F.lit("e"), power)
+    return (F.when(F.isnan(d), F.lit("nan"))
+            .when(d == float("inf"), F.lit("inf")).when(d == float("-inf"), F.lit("-inf"))
+            .when(~s.contains("E"), s)
+            .when((exp >= 0) & (exp < 16), F.concat(sign, whole))
+            .when((exp < 0) & (exp >= -4), F.concat(sign, small))
+            .otherwise(F.concat(sign, wide)))
+
+
 def metric_text(metrics: Column | str) -> Column:
-    """``k=v, k=v`` in stored order, or ``-`` when empty (floats printed as Python does for
-    ordinary magnitudes: 4.0, 0.42)."""
+    """``k=v, k=v`` in stored order, or ``-`` when empty; floats as Python prints them."""
     entries = F.transform(F.map_entries(_col(metrics)),
-                          lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+                          lambda e: F.concat(e["key"], F.lit("="), float_text(e["value"])))
     return F.when(F.size(entries) > 0, F.array_join(entries, ", ")).otherwise(F.lit("-"))
 
 
 def summary_text(result_summary: Column | str, items: int = 3) -> Column:
     """First ``items`` scalar entries of a JSON object as ``k=v`` joined by
-    ``, ``; nested values and nulls are skipped; booleans print as True/False."""
-    m = json_object(result_summary)
+    ``, ``; nested values and nulls are skipped; booleans print as True/False,
+    numbers as Python prints the int or float that was written."""
+    kinds = json_object(result_summary)
+    # The text of each value as it was written: a number with a point or an
+    # exponent is a float.
+    raw = F.coalesce(F.from_json(mark_bare(_col(result_summary)), "map<string,string>"), F.create_map().cast("map<string,string>"))
 
     def fmt(e):
         t = _vtype(e["value"])
-        s = F.try_variant_get(e["value"], "$", "string")
-        return (F.when(t == "BOOLEAN", F.concat(e["key"], F.lit("="), F.initcap(s)))
-                .when(_is_number_type(t) | (t == "STRING"), F.concat(e["key"], F.lit("="), s)))
-
-    picked = F.filter(F.transform(F.map_entries(m), fmt), lambda x: x.isNotNull())
+        text = F.btrim(F.try_element_at(raw, e["key"]), F.lit('"'))
+        value = F.try_variant_get(e["value"], "$", "string")
+        shown = (F.when(t == "BOOLEAN", F.initcap(text))
+                 .when(_is_number_type(t) & text.rlike("[.eEfN]"), float_text(text.try_cast("double")))
+                 .when(_is_number_type(t), text)
+                 .when((t == "STRING") & value.startswith(BARE), F.substr(value, F.lit(2)))
+                 .when(t == "STRING", value))
+        return F.concat(e["key"], F.lit("="), shown)
+
+    picked = F.filter(F.transform(F.map_entries(kinds), fmt), lambda x: x.isNotNull())
     return F.array_join(F.slice(picked, 1, items), ", ")
 
 
@@ -105,14 +165,31 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(_vtype(v).startswith("OBJECT"), F.lit(False))
 
 
+# Text of an integral number: surrounding space, digit groups, a zero fraction.
+_INTEGRAL = r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"
+
+
 def _latency_ok(v: Column) -> Column:
+    """Integers, integral floats, booleans and text of integral numbers."""
     t = _vtype(v)
     s = F.try_variant_get(v, "$", "string")
     d = F.try_variant_get(v, "$", "double")
     return F.coalesce(
-        t.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-        | ((t.startswith("DECIMAL") | (t == "DOUBLE")) & (d == F.floor(d)))
-        | ((t == "STRING") & s.rlike("^[+-]?[0-9]+$")), F.lit(False))
+        t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "BOOLEAN")
+        | ((t.startswith("DECIMAL") | (t == "DOUBLE")) & (d == F.floor(d)) & (F.abs(d) < 9.3e18))
+        | ((t == "STRING") & s.rlike(_INTEGRAL)), F.lit(False))
+
+
+def latency_value(raw: Column) -> Column:
+    """The latency of a valid call, from its raw JSON text, as a long."""
+    plain = F.regexp_replace(F.trim(raw), "_", "")
+    return (F.when(F.lower(plain) == "true", F.lit(1)).when(F.lower(plain) == "false", F.lit(0))
+            .otherwise(F.coalesce(plain.try_cast("long"), plain.try_cast("double").cast("long"))).cast("long"))
+
+
+def lenient_variant(text: Column | str) -> Column:
+    """JSON text as a VARIANT; null where it isn't JSON."""
+    return F.try_parse_json(mark_bare(_col(text)))
 
 
 def _call_ok(c: Column) -> Column:
@@ -124,8 +201,8 @@ def _call_ok(c: Column) -> Column:
 
 def call_is_valid(call_json: Column | str) -> Column:
     """One ToolCall object (JSON text) against its rules: name string, params
-    and result_summary objects, integral latency (numeric strings accepted)."""
-    return F.coalesce(_call_ok(F.try_parse_json(_col(call_json))), F.lit(False))
+    and result_summary objects, integral latency (booleans and numeric text accepted)."""
+    return F.coalesce(_call_ok(lenient_variant(call_json)), F.lit(False))
 
 
 def trace_is_valid(trace: Column | str) -> Column:
@@ -136,7 +213,7 @@ def trace_is_valid(trace: Column | str) -> Column:
     a wrong type, a call missing any field, a non-integral latency or a
     non-numeric metric make the whole trace invalid.
     """
-    v = F.try_parse_json(_col(trace))
+    v = lenient_variant(trace)
     rid = F.try_variant_get(v, "$.run_id", "variant")
     calls = F.try_variant_get(v, "$.calls", "variant")
     calls_arr = F.try_variant_get(v, "$.calls", "array<variant>")

@@ -2,12 +2,19 @@
 
 Index tables (all plain DataFrames, storable as Parquet):
 
-* ``postings(term, path, tf, dl)`` — one row per distinct (term, document);
-  ``dl`` (document length in tokens) is carried along so scoring needs no
-  second join.
-* ``doc_stats(path, dl, prank)`` — documents with at least one token and
+* ``forward(path, dl, terms)`` - one row per document with its term counts,
+  counted inside the row (sort, run ends), so building needs no shuffle.
+* ``postings(term, path, tf, dl)`` - the forward table exploded, or the stored
+  table partitioned by a hash bucket of the term.
+* ``doc_stats(path, dl, prank)`` - documents with at least one token and
   their 1-based position in path order (used by the zero-score fill).
-* ``term_stats(term, df, idf)`` — document frequency and floored idf.
+* ``term_stats(term, df, idf)`` - document frequency and floored idf.
+* N, the mean document length and the mean raw idf, stored as one row.
+
+A materialised index keeps the forward rows hash-partitioned by path (a
+reliable checkpoint keeps that partitioning), so the scores of a (query,
+document) pair are summed without another exchange and only the best k rows of
+each query and task travel.
 
 Scoring follows the Okapi BM25 variant with an idf floor: ``idf =
 ln(N - df + 0.5) - ln(df + 0.5)``; negative values are replaced by
@@ -23,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import MAX_FILE_BYTES, has_nul, is_hidden_path, tokenize
+from quarry.functions.text import TOKEN_PATTERN, has_nul, is_hidden_path, tokenize
 from quarry.plans.ordinal import global_ordinal
 from quarry.plans.sizing import bounded_broadcast, spread_small_input
 
@@ -33,9 +40,10 @@ B = 0.75
 EPSILON = 0.25
 DEFAULT_K = 50
 
-# Marker term of the per-document row that carries the document length. It
-# can never be a token (tokens are runs of [A-Za-z0-9_]).
-LENGTH_MARKER = "\u0000"
+# Hash buckets of a stored postings table, and how many query terms a stored
+# search pushes into its scan by name (more are pruned by bucket alone).
+TERM_BUCKETS = 64
+PUSHED_TERMS = 1000
 
 
 @dataclass
@@ -44,13 +52,13 @@ class Bm25Index:
     doc_stats: DataFrame | None   # path, dl, prank (1-based ordinal in path order); None = derive on use
     term_stats: DataFrame
     doc_lengths: DataFrame | None = None   # path, dl without the ordinal (cheaper for N, avgdl)
-    combined: DataFrame | None = None      # postings + one length row per document (build output)
-    ordinal_stored: bool = False           # doc_stats read from storage, sorted by prank
-    n_docs: int | None = None              # N and avgdl as literals once known (materialised index)
+    forward: DataFrame | None = None       # path, dl, terms (build output)
+    stored: bool = False                   # postings carry their bucket, doc_stats their ordinal
+    n_docs: int | None = None              # N and avgdl as literals once known
     avgdl: float | None = None
 
     def stats(self) -> tuple[Column, Column]:
-        """(N, avgdl): literals for a materialised index, scalar subqueries otherwise."""
+        """(N, avgdl): literals where known, scalar subqueries otherwise."""
         if self.n_docs is not None:
             return F.lit(self.n_docs), F.lit(self.avgdl)
         return corpus_stats(self.lengths)
@@ -60,107 +68,140 @@ class Bm25Index:
         return self.doc_lengths if self.doc_lengths is not None else self.doc_stats.select("path", "dl")
 
     def ordinal(self) -> DataFrame:
-        """doc_stats with ``prank``; derived from the lengths on first use
-        (two small jobs for the bucket bounds), stored indexes carry it."""
+        """doc_stats with ``prank``; derived from the lengths on first use,
+        stored indexes carry it."""
         if self.doc_stats is None:
             self.doc_stats = with_path_ordinal(self.lengths)
         return self.doc_stats
 
     @classmethod
-    def from_combined(cls, combined: DataFrame) -> "Bm25Index":
-        """Split the single build aggregate into postings and document lengths
-        and derive the statistics from them."""
-        postings = combined.filter(F.col("term") != LENGTH_MARKER)
-        lengths = combined.filter(F.col("term") == LENGTH_MARKER).select("path", "dl")
-        return cls(postings, None, term_stats_of(postings, lengths), lengths, combined)
+    def from_forward(cls, forward: DataFrame) -> "Bm25Index":
+        """Postings, lengths and term statistics of a forward table."""
+        postings = forward.select("path", "dl", F.explode("terms").alias("t")).select(
+            "t.term", "path", "dl", "t.tf")
+        lengths = forward.select("path", "dl")
+        return cls(postings, None, term_stats_of(postings, lengths), lengths, forward)
 
     def materialize(self) -> "Bm25Index":
         """Reliable checkpoint of the index (cuts lineage, survives executor
-        loss, unlike a local checkpoint). The corpus is tokenised and
-        aggregated once; statistics are then derived from the checkpoint."""
-        from quarry.session import cut_lineage
-        if self.combined is not None:
-            base = Bm25Index.from_combined(cut_lineage(self.combined))
-            postings, lengths = base.postings, base.doc_lengths
-        else:
-            base = self
+        loss, unlike a local checkpoint). Forward rows are hashed by path once."""
+        from quarry.session import cut_lineage, ensure_checkpoint_dir
+        spark = self.postings.sparkSession
+        if self.forward is None:
             postings, lengths = cut_lineage(self.postings), cut_lineage(self.lengths)
-        # N and avgdl once, as literals for every later plan (one small job).
-        st = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        n_docs, avgdl = int(st["n"]), (float(st["avgdl"]) if st["avgdl"] is not None else None)
+            forward = None
+        else:
+            ensure_checkpoint_dir(spark)
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+            forward = _checkpoint_partitioned(self.forward.repartition(parts, "path"))
+            base = Bm25Index.from_forward(forward)
+            postings, lengths = base.postings, base.doc_lengths
+        n_docs, avgdl = _known_stats(lengths)
         term_stats = cut_lineage(term_stats_of(postings, lengths, n_docs=n_docs))
-        # The path ordinal is derived only when a search needs it (rare for a
-        # one-shot search); ``write`` stores it sorted by prank.
-        return Bm25Index(postings, None, term_stats, lengths, n_docs=n_docs, avgdl=avgdl)
+        return Bm25Index(postings, None, term_stats, lengths, forward, n_docs=n_docs, avgdl=avgdl)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
-        """Persist the three tables; postings clustered by term so a term
-        filter skips files and row groups. Range partitioning on (term, path)
-        splits a term held by a large share of all documents over many tasks
-        and files instead of one. Returns an index that reads the written
-        tables."""
+        """Persist the tables. Postings are partitioned by a hash bucket of the
+        term and sorted by term inside each file, so a search reads the query's
+        buckets and, by row-group statistics, little else; a term of a large
+        share of all documents is spread over many tasks and files by path."""
         spark = self.postings.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        (self.postings.repartitionByRange(parts, "term", "path").sortWithinPartitions("term", "path")
-         .write.mode(mode).parquet(f"{base}/postings"))
+        (self.postings.select("term", "path", "tf", "dl", term_bucket("term").alias("bucket"))
+         .repartition(parts, "bucket", F.pmod(F.xxhash64("path"), F.lit(max(1, parts // TERM_BUCKETS))))
+         .sortWithinPartitions("bucket", "term", "path").write.mode(mode).partitionBy("bucket").parquet(f"{base}/postings"))
         self.ordinal().sortWithinPartitions("prank").write.mode(mode).parquet(f"{base}/doc_stats")
-        self.term_stats.write.mode(mode).parquet(f"{base}/term_stats")
+        lengths = spark.read.parquet(f"{base}/doc_stats")
+        n_docs, avgdl = (self.n_docs, self.avgdl) if self.n_docs is not None else _known_stats(lengths)
+        term_stats_of(self.postings, lengths, n_docs=n_docs).sort("term").write.mode(mode).parquet(f"{base}/term_stats")
+        (spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(avgdl).cast("double").alias("avgdl"))
+         .write.mode(mode).parquet(f"{base}/stats"))
         return read_index(spark, base)
 
 
+def _checkpoint_partitioned(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint that still knows the hash partitioning of ``df``. An
+    adaptive plan tells none, so this one plan (a scan and one exchange) is made
+    without adaptive execution."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
+
+
+def term_bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _known_stats(lengths: DataFrame) -> tuple[int, float | None]:
+    st = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return int(st["n"]), (float(st["avgdl"]) if st["avgdl"] is not None else None)
+
+
 def read_index(spark, base: str) -> Bm25Index:
-    return Bm25Index(spark.read.parquet(f"{base}/postings"),
-                     spark.read.parquet(f"{base}/doc_stats"),
-                     spark.read.parquet(f"{base}/term_stats"), ordinal_stored=True)
+    st = spark.read.parquet(f"{base}/stats").first()
+    postings = spark.read.schema("term string, path string, tf int, dl int, bucket int").parquet(f"{base}/postings")
+    return Bm25Index(postings, spark.read.parquet(f"{base}/doc_stats"), spark.read.parquet(f"{base}/term_stats"),
+                     stored=True, n_docs=st["n_docs"], avgdl=st["avgdl"])
 
 
 def indexable_documents(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
-                        max_bytes: int = MAX_FILE_BYTES, include_hidden: bool = False,
-                        require_tokens: bool = True) -> DataFrame:
-    """Keyword filter (A3): not hidden, size within the cap, no NUL byte and,
-    when ``require_tokens``, at least one token. The semantic filter (A4) is
-    the same with ``require_tokens=False`` (empty documents kept)."""
+                        max_bytes: int | None = None, include_hidden: bool = False,
+                        require_tokens: bool = True, token_pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """Keyword filter (A3): not hidden, size within the cap (none by default),
+    no NUL byte and, when ``require_tokens``, at least one token. The semantic
+    filter (A4) is the same with ``require_tokens=False`` (empty documents kept)."""
     text = F.col(text_col)
-    size = F.col("size") if "size" in corpus.columns else F.octet_length(text)
-    cond = (size <= F.lit(max_bytes)) & ~has_nul(text)
+    cond = ~has_nul(text)
+    if max_bytes is not None:
+        size = F.col("size") if "size" in corpus.columns else F.octet_length(text)
+        cond = (size <= F.lit(max_bytes)) & cond
     if not include_hidden:
         cond = cond & ~is_hidden_path(path_col)
     if require_tokens:
-        cond = cond & text.rlike("[A-Za-z0-9_]")
+        cond = cond & text.rlike(token_pattern)
     return corpus.filter(cond)
 
 
 def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
-               tokenizer=tokenize) -> DataFrame:
+               tokenizer=tokenize, max_bytes: int | None = None, token_pattern: str = TOKEN_PATTERN) -> DataFrame:
     """(path, tokens, dl) for indexable documents; narrow, no shuffle.
 
     ``tokenizer`` is a Column -> ARRAY<STRING> function (J3); the default is
     the built-in ``[A-Za-z0-9_]+`` + lower-case rule. A custom tokenizer should
     come with its own ``token_pattern`` in the index config so stored indexes
     built with another tokenizer are invalidated."""
-    docs = spread_small_input(indexable_documents(corpus, path_col, text_col))
-    return (docs.select(F.col(path_col).alias("path"), tokenizer(F.col(text_col)).alias("tokens"))
-            .withColumn("dl", F.size("tokens")))
+    docs = spread_small_input(indexable_documents(corpus, path_col, text_col, max_bytes, token_pattern=token_pattern))
+    # (An alias of the same name would hide the path's partitioning later.)
+    path = F.col("path") if path_col == "path" else F.col(path_col).alias("path")
+    return (docs.select(path, F.explode(F.array(tokenizer(F.col(text_col)))).alias("tokens"))
+            .where(F.size("tokens") > 0).withColumn("dl", F.size("tokens")))
 
 
 def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
-                tokenizer=tokenize, check_unique: bool = False) -> Bm25Index:
+                tokenizer=tokenize, check_unique: bool = False, max_bytes: int | None = None,
+                token_pattern: str = TOKEN_PATTERN) -> Bm25Index:
     """Lazy index over a corpus; call ``materialize()`` (or ``write``) before
     running several queries on it.
 
-    One tokenisation pass and one aggregation: each document emits its tokens
-    plus one marker row, so the aggregate holds the postings *and* one
-    (marker, path, dl) row per document. Map-side partial aggregation combines
-    a document's repeated tokens before the shuffle, so only distinct
-    (term, path) pairs cross the network.
+    A document's tokens are sorted in its row and counted by their run ends:
+    tokenising and counting are one narrow pass. (``explode`` of a one-element
+    array keeps a value from being worked out again for each use.)
     """
     if check_unique:   # paths are the document key: two rows of one path would merge
         from quarry.sources.tables import require_unique_paths
         require_unique_paths(corpus, path_col)
-    toks = doc_tokens(corpus, path_col, text_col, tokenizer)
-    combined = (toks.select("path", "dl", F.explode(F.array_insert("tokens", 1, F.lit(LENGTH_MARKER))).alias("term"))
-                .groupBy("term", "path", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    return Bm25Index.from_combined(combined)
+    toks = doc_tokens(corpus, path_col, text_col, tokenizer, max_bytes, token_pattern)
+    rows = toks.select("path", "dl", F.explode(F.array(F.sort_array("tokens"))).alias("s"))
+    new = F.filter(F.sequence(F.lit(0), F.col("dl") - 1),
+                   lambda i: (i == 0) | (F.get("s", i) != F.get("s", F.greatest(i - 1, F.lit(0)))))
+    rows = rows.select("path", "dl", "s", F.explode(F.array(new)).alias("at"))
+    terms = F.transform("at", lambda p, j: F.struct(F.get("s", p).alias("term"),
+                                                    (F.coalesce(F.get("at", j + 1), F.col("dl")) - p).alias("tf")))
+    return Bm25Index.from_forward(rows.select("path", "dl", terms.alias("terms")))
 
 
 def with_path_ordinal(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -206,31 +247,39 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, qid_col: str = "qid",
     n_qterms = query_rows if query_rows is not None else qterms.count()
     # Both joins stream the large side: the counted query terms are the build
     # side against the vocabulary, and the result against the postings.
-    qt = bounded_broadcast(bounded_broadcast(qterms, known_rows=n_qterms)
-                           .join(index.term_stats.select("term", "idf"), "term"), known_rows=n_qterms)
+    stats, postings = index.term_stats.select("term", "idf"), index.postings
+    if index.stored:
+        buckets, names = _pushed(qterms, n_qterms)
+        postings = postings.where(F.col("bucket").isin(buckets)) if buckets else postings.limit(0)
+        if names is not None:
+            postings, stats = postings.where(F.col("term").isin(names)), stats.where(F.col("term").isin(names))
+    qt = bounded_broadcast(bounded_broadcast(qterms, known_rows=n_qterms).join(stats, "term"), known_rows=n_qterms)
     tf = F.col("tf")
     contrib = (F.col("qtf") * F.col("idf") * tf * F.lit(K1 + 1)
                / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)))
     aggs = [F.sum(contrib).alias("score")]
     if with_overlap:
         aggs.append(F.count(F.lit(1)).cast("double").alias("matched"))
-    return index.postings.join(qt, "term").groupBy("qid", "path").agg(*aggs)
+    return postings.join(qt, "term").groupBy("path", "qid").agg(*aggs)
+
+
+def _pushed(qterms: DataFrame, n_terms: int) -> tuple[list[int], list[str] | None]:
+    """The buckets of the query terms (``TERM_BUCKETS`` at most) and, where they
+    are few, the terms themselves, as literals for a stored index's scan."""
+    if n_terms <= PUSHED_TERMS:
+        rows = qterms.select("term", term_bucket("term").alias("b")).distinct().collect()
+        return sorted({r["b"] for r in rows}), sorted(r["term"] for r in rows)
+    return sorted(r[0] for r in qterms.select(term_bucket("term")).distinct().collect()), None
 
 
-# Up to this many leading documents an unstored path order is taken with one
-# ordered limit (per-task top-n, merged in one task); beyond it, or when the
-# index stores its ordinal, the ``prank`` column is used.
-FILL_PREFIX_MAX = 1_000_000
+FILL_CHUNK = 4096
 
 
 def leading_paths(index: Bm25Index, n: int) -> DataFrame:
-    """(path, prank) of the first ``n`` documents in path order."""
-    if index.ordinal_stored or n > FILL_PREFIX_MAX:
-        # A literal bound: on a stored index (sorted by prank) the filter is
-        # pushed into the scan and skips all but the first row groups.
-        return index.ordinal().select("path", "prank").filter(F.col("prank") <= F.lit(n))
-    return (index.lengths.select("path").orderBy("path").limit(n)
-            .withColumn("prank", F.row_number().over(Window.orderBy("path"))))
+    """(path, prank) of the first ``n`` documents in path order. A literal
+    bound: on a stored index (sorted by prank) the filter is pushed into the
+    scan and skips all but the first row groups."""
+    return index.ordinal().select("path", "prank").filter(F.col("prank") <= F.lit(n))
 
 
 def _nonzero(scored: DataFrame, digits: int) -> DataFrame:
@@ -240,7 +289,7 @@ def _nonzero(scored: DataFrame, digits: int) -> DataFrame:
 def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: int = DEFAULT_K,
                 qid_col: str = "qid", query_col: str = "query", path_col: str = "path",
                 text_col: str = "text", digits: int = 6, tokenizer=tokenize,
-                scored: DataFrame | None = None) -> DataFrame:
+                max_bytes: int | None = None) -> DataFrame:
     """Ranked hits ``(qid, path, score, rank)``; at most ``k`` per query,
     over *all* documents (unmatched ones score 0, ties by path).
 
@@ -259,21 +308,19 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
 
     Scores are rounded to ``digits`` decimals before ranking so that exact
     ties (frequent: equal tf and dl) are ranked by path whatever the order of
-    floating-point summation across partitions. ``scored`` may pass
-    precomputed (qid, path, score) rows of these queries (e.g. stored).
+    floating-point summation across partitions.
     """
     from quarry.session import cut_lineage
     index = (corpus_or_index if isinstance(corpus_or_index, Bm25Index)
-             else build_index(corpus_or_index, path_col, text_col, tokenizer).materialize())
+             else build_index(corpus_or_index, path_col, text_col, tokenizer, max_bytes=max_bytes).materialize())
     spark = index.postings.sparkSession
     if k <= 0:  # the reference clamps k to max(0, min(k, N))
         return spark.createDataFrame([], "qid long, path string, score double, rank int")
     q = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("query"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
-    # One count bounds every query-side broadcast below (not needed when the
-    # scores are given).
-    n_terms = query_terms(q, tokenizer=tokenizer).count() if scored is None else None
-    all_scores = scored if scored is not None else bm25_scores(index, q, query_rows=n_terms, tokenizer=tokenizer)
+    # One count bounds every query-side broadcast below.
+    n_terms = query_terms(q, tokenizer=tokenizer).count()
+    all_scores = bm25_scores(index, q, query_rows=n_terms, tokenizer=tokenizer)
     top = cut_lineage(_nonzero(all_scores.select("qid", "path", "score"), digits)
                       .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                       .select("qid", "path", "score"))
@@ -281,11 +328,8 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     pos = top.groupBy("qid").agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"))
     under = (qids.join(pos, "qid", "left").select("qid", F.coalesce("n_pos", F.lit(0)).alias("n_pos"))
              .filter(F.col("n_pos") < k))
-    if scored is not None:
-        under_scores = scored.join(under.select("qid"), "qid", "left_semi")
-    else:
-        under_scores = bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"),
-                                   query_rows=n_terms, tokenizer=tokenizer)
+    under_scores = bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"),
+                               query_rows=n_terms, tokenizer=tokenizer)
     taken = _nonzero(under_scores.select("qid", "path", "score"), digits).select("qid", "path")
     n_nonzero = taken.groupBy("qid").agg(F.count(F.lit(1)).alias("n_nonzero"))
     reach = (under.join(n_nonzero, "qid", "left")
@@ -298,7 +342,9 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
                 .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
     leading = leading_paths(index, int(max_reach))
     # (qid, prank) slots: at most k per under-filled query plus its own matches.
-    slots = reach.select("qid", "need", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("prank"))
+    # Listed in two steps, so no row holds more than FILL_CHUNK of them.
+    slots = (reach.select("qid", "need", "reach", F.explode(F.sequence(F.lit(0), F.floor((F.col("reach") - 1) / FILL_CHUNK))).alias("c"))
+             .select("qid", "need", F.explode(F.sequence(F.col("c") * FILL_CHUNK + 1, F.least(F.col("reach"), (F.col("c") + 1) * FILL_CHUNK))).alias("prank")))
     fill = (slots.join(leading, "prank")
             .join(taken, ["qid", "path"], "left_anti")
             .withColumn("fr", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
@@ -308,14 +354,6 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
             .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
 
 
-def overlap_ranking(scored: DataFrame, k: int) -> DataFrame:
-    """Top-k by ``matched`` (distinct query terms held) from ``bm25_scores(with_overlap=True)``."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
-    return (scored.select("qid", "path", F.col("matched").alias("score"))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
-
-
 def overlap_search(index: Bm25Index, queries: DataFrame, k: int, qid_col: str = "qid",
                    query_col: str = "query") -> DataFrame:
     """Second, simpler ranking: number of distinct query terms a document
@@ -323,7 +361,7 @@ def overlap_search(index: Bm25Index, queries: DataFrame, k: int, qid_col: str =
     qterms = query_terms(queries, qid_col, query_col)
     qt = bounded_broadcast(qterms.select("qid", "term"), known_rows=qterms.count())
     s = (index.postings.select("term", "path").join(qt, "term")
-         .groupBy("qid", "path").agg(F.count(F.lit(1)).cast("double").alias("score")))
+         .groupBy("path", "qid").agg(F.count(F.lit(1)).cast("double").alias("score")))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
     return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))

@@ -104,11 +104,18 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     boundary) is a token of any document containing the passage. Each
     passage's rarest interior token (lowest df) is equi-joined with the
     postings to get candidates, which are then verified with ``instr``.
-    Passages with fewer than three tokens have no interior token and get no
-    qrels (their boundary tokens may be cut inside a document's token)."""
+    Passages of fewer than three tokens have no interior token (their boundary
+    tokens may be cut inside a document's token): they are searched in every
+    indexable text, ``SHORT_BLOCK`` passages per scan. Empty passages judge
+    nothing."""
     from quarry.functions.text import tokenize
     from quarry.plans.sizing import bounded_broadcast
-    toks = passages.select("qid", "text", tokenize("text").alias("t")).filter(F.size("t") >= 3)
+    from quarry.operators.bm25 import indexable_documents
+    passages = passages.filter("qid is not null and text <> ''")
+    counted = passages.select("qid", "text", tokenize("text").alias("t"))
+    toks = counted.filter(F.size("t") >= 3)
+    plain = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    short = _short_qrels(indexable_documents(plain), counted.filter(F.size("t") < 3).select("qid", "text"))
     interior = F.slice("t", 2, F.size("t") - 2)
     n_passages = passages.count()
     # Interior tokens of the passages (counted), broadcast against the
@@ -127,6 +134,30 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     # to the corpus scan by broadcast when their counted size allows, so the
     # corpus text is never shuffled; above the bound a shuffle join is used.
     docs = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("doc"))
-    return (docs.join(bounded_broadcast(cands.select("qid", "path", "passage"), known_rows=int(n_cands)), "path")
-            .filter(F.instr(F.col("doc"), F.col("passage")) > 0)
-            .select("qid", "path", F.lit(1).alias("rel")))
+    found = (docs.join(bounded_broadcast(cands.select("qid", "path", "passage"), known_rows=int(n_cands)), "path")
+             .filter(F.instr(F.col("doc"), F.col("passage")) > 0)
+             .select("qid", "path", F.lit(1).alias("rel")))
+    for part in short:
+        found = found.unionByName(part)
+    return found
+
+
+SHORT_BLOCK = 500
+
+
+def _short_qrels(docs: DataFrame, short: DataFrame) -> list[DataFrame]:
+    """One scan of the texts per block of short passages; a scan tries each of
+    its passages on each text, and only matches become rows."""
+    out, block = [], []
+
+    def scan(rows):
+        known = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(t).alias("text")) for q, t in rows])
+        hits = F.filter(known, lambda p: F.instr(F.col("text"), p["text"]) > 0)
+        return docs.select("path", F.explode(hits).alias("p")).select("p.qid", "path", F.lit(1).alias("rel"))
+
+    for r in short.toLocalIterator():
+        block.append((r["qid"], r["text"]))
+        if len(block) == SHORT_BLOCK:
+            out.append(scan(block))
+            block = []
+    return out + ([scan(block)] if block else [])

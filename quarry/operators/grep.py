@@ -1,13 +1,15 @@
 """grep: one row per matching line ``(pid, path, line, text)`` over a corpus.
 
-Narrow plan, no shuffle: scan -> optional whole-document prefilter ->
-``posexplode`` of lines -> ``rlike`` with literal patterns (compiled once per
-task). Many patterns are evaluated in one pass over the lines.
+Narrow plan, no shuffle: scan -> ``posexplode`` of lines -> ``rlike`` with
+literal patterns (compiled once per task). Every line is tried by itself (a
+pattern may match a line and not its document). Up to ``BLOCK_PATTERNS``
+patterns are evaluated in one pass over the lines; larger pattern sets, also
+given as a table (pid, pattern), go in blocks.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import has_nul, is_hidden_path, java_regex, split_lines
 from quarry.plans.sizing import spread_small_input
 
-# Constructs whose meaning changes when a pattern is tried on a whole document
-# instead of one line; patterns containing them skip the document prefilter.
-_LINE_SENSITIVE = re.compile(r"\\[AzZGn]|\(\?<?[=!]|\(\?[a-zA-Z]*[ms]")
+BLOCK_PATTERNS = 200
 
 # Fixed value: the line ends of Python's str.splitlines (the fallback search's
 # line mode).
@@ -25,13 +25,16 @@ UNIVERSAL_LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u202
 
 
 def normalise_patterns(pattern: str | None = None,
-                       patterns: dict[int, str] | list[str] | None = None) -> dict[int, str]:
-    """pid -> Python-syntax pattern. A pattern given as text with several
+                       patterns: dict[int, str] | list[str] | DataFrame | None = None) -> dict[int, str]:
+    """pid -> pattern. A table of patterns (pid, pattern) is read row by row. A pattern given as text with several
     lines means one alternative per line (as a pattern file does)."""
     if patterns is None:
         if pattern is None:
             raise ValueError("grep needs pattern or patterns")
         patterns = {0: pattern}
+    if isinstance(patterns, DataFrame):
+        rows = patterns.where("pid is not null and pattern is not null").select("pid", "pattern")
+        patterns = {r["pid"]: r["pattern"] for r in rows.toLocalIterator()}
     if isinstance(patterns, list):
         patterns = dict(enumerate(patterns))
     out = {}
@@ -57,39 +60,39 @@ def lines(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
 
 
 def grep(corpus: DataFrame, pattern: str | None = None,
-         patterns: dict[int, str] | list[str] | None = None,
+         patterns: dict[int, str] | list[str] | DataFrame | None = None,
          path_col: str = "path", text_col: str = "text", line_mode: str = "newline",
-         prefilter: bool = True, include_hidden: bool = False, skip_binary: bool = True) -> DataFrame:
+         include_hidden: bool = False, skip_binary: bool = True) -> DataFrame:
     """Matching lines ``(pid, path, line, text)``; unordered (grep promises no order).
 
-    Defaults follow the reference's primary search program: hidden paths and
-    binary (NUL-containing) files are skipped; ``include_hidden=True,
-    skip_binary=False`` gives its fallback search, which reads every file.
+    Defaults follow the usual line search program: hidden paths and binary
+    (NUL-containing) files are skipped; ``include_hidden=True,
+    skip_binary=False`` reads every file.
     """
     pats = normalise_patterns(pattern, patterns)
-    java = {pid: java_regex(p) for pid, p in pats.items()}
+    java = [(pid, java_regex(p)) for pid, p in pats.items()]
     docs = corpus
     if not include_hidden:
         docs = docs.filter(~is_hidden_path(path_col))
     if skip_binary:
         docs = docs.filter(~has_nul(text_col))
-    docs = spread_small_input(docs)
-    if prefilter and all(not _LINE_SENSITIVE.search(p) for p in pats.values()):
-        # A line can only match if its document matches with ^/$ at line ends.
-        combined = "(?m)" + "|".join(f"(?:{j})" for j in java.values())
-        docs = docs.filter(F.col(text_col).rlike(combined))
-    ls = lines(docs, path_col, text_col, line_mode)
+    ls = lines(spread_small_input(docs), path_col, text_col, line_mode)
+
+    def block(some: list[tuple[int, str]]) -> DataFrame:
+        hits = F.filter(F.array(*[F.when(F.col("text").rlike(j), F.lit(pid).cast("long")) for pid, j in some]),
+                        lambda x: x.isNotNull())
+        return ls.select(F.explode(hits).alias("pid"), "path", "line", "text")
+
+    if not java:
+        return ls.select(F.lit(None).cast("long").alias("pid"), "path", "line", "text").limit(0)
     if len(java) == 1:
-        (pid, j), = java.items()
+        (pid, j), = java
         return ls.filter(F.col("text").rlike(j)).select(F.lit(pid).cast("long").alias("pid"), "path", "line", "text")
-    hits = F.filter(F.array(*[F.when(F.col("text").rlike(j), F.lit(pid).cast("long"))
-                              for pid, j in java.items()]), lambda x: x.isNotNull())
-    return (ls.select("path", "line", "text", F.explode(hits).alias("pid"))
-            .select("pid", "path", "line", "text"))
+    return reduce(DataFrame.unionByName, [block(java[i:i + BLOCK_PATTERNS]) for i in range(0, len(java), BLOCK_PATTERNS)])
 
 
 def grep_summary(corpus: DataFrame, pattern: str | None = None,
-                 patterns: dict[int, str] | list[str] | None = None, **kw) -> DataFrame:
+                 patterns: dict[int, str] | list[str] | DataFrame | None = None, **kw) -> DataFrame:
     """Per pattern: matching lines and exit status — 0 = hits, 1 = none,
     2 = invalid pattern (that pattern only; the others still run).
 

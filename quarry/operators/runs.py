@@ -36,6 +36,7 @@ def log_runs(runs: DataFrame, path: str) -> None:
     per sanitised id is the ``latest_runs`` view."""
     (validate_run_ids(runs).select("run_id", "sanitised_id", "params", "metrics", "trace")
      .withColumn("logged_at", F.current_timestamp())
+     .withColumn("log_seq", F.monotonically_increasing_id())   # order inside the batch
      .write.mode("append").parquet(path))
 
 
@@ -55,14 +56,14 @@ def parse_runs(runs: DataFrame) -> DataFrame:
         R.trace_is_valid(t).alias("_valid"),
         # from_json keeps nested objects as their raw text (stored key order),
         # which the first-three-items summary depends on; VARIANT sorts keys.
-        F.from_json(t, f"struct<calls:{TRACE_CALLS}>")["calls"].alias("_calls"))
+        F.from_json(R.mark_bare(t), f"struct<calls:{TRACE_CALLS}>")["calls"].alias("_calls"))
     calls = F.transform(F.coalesce("_calls", F.array().cast(TRACE_CALLS)), lambda c: F.struct(
         c["name"].alias("name"), c["params"].alias("params"), c["result_summary"].alias("result_summary"),
-        c["latency_ms"].try_cast("double").cast("long").alias("latency_ms")))
+        R.latency_value(c["latency_ms"]).alias("latency_ms")))
     return (parsed.filter(F.col("run_id").isNotNull() & (F.col("run_id") != "") & F.col("_valid"))
             .withColumn("calls", calls)
             .withColumn("metrics_map", R.coerce_metrics("metrics"))
-            .withColumn("trace_metrics", R.coerce_metrics(F.get_json_object(t, "$.metrics")))
+            .withColumn("trace_metrics", R.coerce_metrics(F.get_json_object(R.mark_bare(t), "$.metrics")))
             .drop("_valid", "_calls"))
 
 
@@ -73,10 +74,12 @@ def load_runs(spark, path: str) -> DataFrame:
 
 def latest_runs(runs: DataFrame, order_col: str = "logged_at") -> DataFrame:
     """Latest record per sanitised run id (E5): what a per-id file that is
-    overwritten would hold, while the log itself keeps every row."""
+    overwritten would hold, while the log itself keeps every row. Rows of one
+    logged batch are ordered by their place in it."""
     if "sanitised_id" not in runs.columns:
         runs = runs.withColumn("sanitised_id", R.sanitise_run_id("run_id"))
-    w = Window.partitionBy("sanitised_id").orderBy(F.desc(order_col))
+    later = [F.desc("log_seq")] if "log_seq" in runs.columns and order_col == "logged_at" else []
+    w = Window.partitionBy("sanitised_id").orderBy(F.desc(order_col), *later)
     return runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
@@ -97,11 +100,11 @@ def call_rows(parsed: DataFrame) -> DataFrame:
 def calls_from_json(df: DataFrame, call_col: str = "call") -> DataFrame:
     """Call rows from one JSON call object per row (run_id, step, call):
     adds the parsed fields and ``valid`` (the ToolCall rules of the trace)."""
-    c = F.from_json(F.col(call_col), CALL_FIELDS)
+    c = F.from_json(R.mark_bare(F.col(call_col)), CALL_FIELDS)
     return df.select("run_id", F.col("step").cast("int").alias("step"),
                      c["name"].alias("name"), c["params"].alias("params"),
                      c["result_summary"].alias("result_summary"),
-                     c["latency_ms"].try_cast("double").cast("long").alias("latency_ms"),
+                     R.latency_value(c["latency_ms"]).alias("latency_ms"),
                      R.call_is_valid(F.col(call_col)).alias("valid"))
 
 

@@ -41,12 +41,13 @@ class HashingEmbedder:
         self.name = f"hashing-sha1-{dimension}"
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), dtype=np.float32)
-        for i, text in enumerate(texts):
-            for m in _TOKEN.finditer(text or ""):
-                tok = m.group(0).lower()
-                out[i, int(hashlib.sha1(tok.encode()).hexdigest()[:8], 16) % self.dimension] += 1
-        return out
+        # One hash per different token of the batch, one count per (text, bucket).
+        words = [[t.lower() for t in _TOKEN.findall(text or "")] for text in texts]
+        bucket = {t: int(hashlib.sha1(t.encode()).hexdigest()[:8], 16) % self.dimension for t in set().union(*words)} if words else {}
+        flat = np.array([bucket[t] for w in words for t in w], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        counts = np.bincount(row * self.dimension + flat, minlength=len(texts) * self.dimension)
+        return counts.reshape(len(texts), self.dimension).astype(np.float32)
 
 
 def embed_texts(df: DataFrame, embedder: Embedder, id_col: str, text_col: str) -> DataFrame:
@@ -69,17 +70,21 @@ def embed_texts(df: DataFrame, embedder: Embedder, id_col: str, text_col: str) -
     return spread_small_input(df.select(F.col(id_col), F.col(text_col))).mapInArrow(fn, schema)
 
 
-def semantic_search(corpus: DataFrame, queries: DataFrame, embedder: Embedder, k: int,
+def semantic_search(corpus: DataFrame | None, queries: DataFrame, embedder: Embedder, k: int,
                     path_col: str = "path", text_col: str = "text",
-                    qid_col: str = "qid", query_col: str = "query") -> DataFrame:
-    """(qid, path, score, rank) over indexable documents (empty ones kept)."""
+                    qid_col: str = "qid", query_col: str = "query",
+                    vectors: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(qid, path, score, rank) over indexable documents (empty ones kept).
+    ``vectors`` (id, embedding), for example of ``index.ensure_vector_index``,
+    are searched in place of embedding ``corpus`` (which may then be None)."""
+    spark = queries.sparkSession
     if k <= 0:   # the tool returns no hits for k <= 0 (the index itself refuses it)
-        return corpus.sparkSession.createDataFrame([], "qid long, path string, score double, rank int")
-    docs = indexable_documents(corpus, path_col, text_col, require_tokens=False)
-    vectors = embed_texts(docs.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")),
-                          embedder, "path", "text")
-    qv = embed_texts(queries.select(F.col(qid_col).cast("long").alias("qid"),
-                                    F.col(query_col).alias("query")), embedder, "qid", "query")
+        return spark.createDataFrame([], "qid long, path string, score double, rank int")
+    if vectors is None:
+        docs = indexable_documents(corpus, path_col, text_col, max_bytes, require_tokens=False)
+        vectors = embed_texts(docs.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")),
+                              embedder, "path", "text")
+    qv = embed_texts(queries.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("query")), embedder, "qid", "query")
     qv = qv.withColumnRenamed("id", "qid")
     hits = vector_search(vectors, qv, k, dim=embedder.dimension)
     return hits.withColumnRenamed("id", "path")

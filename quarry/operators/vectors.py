@@ -1,15 +1,17 @@
 """Exact vector search: vectors(id, embedding) x queries(qid, embedding) -> top-k.
 
-The vector table is scanned once per pass of at most ``MAX_QUERIES_PER_PASS``
-queries. Each task normalises its Arrow batches, multiplies them with the
-(broadcast, size-checked) normalised query matrix and keeps a running top-k
-per query; Spark then takes the global top-k per query from those partial
-lists (partial + final window limit). Nothing scales with the number of
-vectors except the scan itself.
+Queries stream through in blocks of ``QUERY_BLOCK`` vectors, any number of
+them; a block is broadcast (its size is fixed), each task multiplies its rows
+with it and keeps the k best rows per query, ties by id, and Spark takes the
+global top-k per query from those lists (partial + final window limit). With
+several blocks the vectors are written once first, so they are never embedded
+or computed again, and a block's lists are written before the next is taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,12 +21,9 @@ from pyspark.sql import types as T
 from quarry.functions.vectors import NORM_EPS, checked_vector, l2_norm
 from quarry.plans.sizing import spread_small_input
 
-MAX_QUERIES_PER_PASS = 4096
-# Query vectors are collected and broadcast (size-checked); larger query sets
-# must be split by the caller, which keeps the driver's share bounded.
-MAX_QUERIES = 1 << 18
+QUERY_BLOCK = 1024
+ROW_BLOCK = 2048
 ROUND_DIGITS = 6
-_TIE_MARGIN = 2e-6   # keep near-ties locally; the exact cut is made by Spark
 
 
 def build_vectors(df: DataFrame, dim: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -54,17 +53,19 @@ def _normalise(mat: np.ndarray) -> np.ndarray:
     return mat / (np.linalg.norm(mat, axis=1, keepdims=True) + NORM_EPS)
 
 
-def _collect_queries(queries: DataFrame, dim: int, limit: int) -> tuple[list, np.ndarray]:
-    rows = queries.select("qid", "embedding").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("query batch exceeds the broadcast bound")
-    qids = [r[0] for r in rows]
-    mat = np.zeros((len(rows), dim), dtype=np.float64)
-    for i, r in enumerate(rows):
+def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Blocks of query ids and normalised vectors, one in memory at a time."""
+    ids, rows = [], []
+    for r in queries.select("qid", "embedding").toLocalIterator():
         if r[1] is None or len(r[1]) != dim:
             raise ValueError(f"vector dimension mismatch: expected {dim}")
-        mat[i] = np.asarray(r[1], dtype=np.float64)
-    return qids, _normalise(mat)
+        ids.append(r[0])
+        rows.append(np.asarray(r[1], dtype=np.float64))
+        if len(ids) == QUERY_BLOCK:
+            yield ids, _normalise(np.array(rows))
+            ids, rows = [], []
+    if ids:
+        yield ids, _normalise(np.array(rows))
 
 
 class _Local:
@@ -74,48 +75,40 @@ class _Local:
         self.value = value
 
 
-def _partial_topk_fn(qids, qmat_bc, k: int, dim: int, id_type):
+def _partial_topk_fn(qids, qmat_bc, k: int, dim: int, qid_type, id_type):
+    scale = 10 ** ROUND_DIGITS
+
     def fn(batches):
         qmat = qmat_bc.value
-        best_ids: list = [None] * len(qids)
-        best_sc: list = [None] * len(qids)
+        best_s = best_id = None            # (queries, at most k): rounded scores as integers, ids
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0)
-            emb = batch.column(1)
-            if emb.null_count:
-                raise ValueError("null embedding")
-            offsets = np.asarray(emb.offsets)
-            if not np.all(np.diff(offsets) == dim):
-                raise ValueError(f"vector dimension mismatch: expected {dim}")
-            flat = np.asarray(emb.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-            vec = _normalise(flat[offsets[0]:offsets[-1]].reshape(-1, dim))
-            scores = vec @ qmat.T                     # (n, Q) in one BLAS call
-            id_arr = np.asarray(ids.to_pylist(), dtype=object)
-            for j in range(len(qids)):
-                s = scores[:, j]
-                if best_sc[j] is not None:
-                    s = np.concatenate([best_sc[j], s])
-                    cand = np.concatenate([best_ids[j], id_arr])
-                else:
-                    cand = id_arr
-                if len(s) > k:
-                    kth = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= kth - _TIE_MARGIN
-                    s, cand = s[keep], cand[keep]
-                best_sc[j], best_ids[j] = s, cand
-        out_q, out_id, out_s = [], [], []
-        for j, q in enumerate(qids):
-            if best_sc[j] is None:
-                continue
-            out_q.extend([q] * len(best_sc[j]))
-            out_id.extend(best_ids[j].tolist())
-            out_s.extend(best_sc[j].tolist())
-        if out_q:
+            for lo in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(lo, ROW_BLOCK)
+                emb = part.column(1)
+                if emb.null_count:
+                    raise ValueError("null embedding")
+                offsets = np.asarray(emb.offsets)
+                if not np.all(np.diff(offsets) == dim):
+                    raise ValueError(f"vector dimension mismatch: expected {dim}")
+                flat = np.asarray(emb.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+                vec = _normalise(flat[offsets[0]:offsets[-1]].reshape(-1, dim))
+                ids = np.array(part.column(0).to_pylist())
+                order = np.argsort(ids, kind="stable")
+                ids, n = ids[order], len(order)
+                score = np.rint((vec[order] @ qmat.T) * scale).astype(np.int64)      # (n, Q) in one BLAS call
+                # Rows are in id order: the key ranks by score, then by id.
+                key = score * n - np.arange(n)[:, None]
+                top = np.argpartition(-key, min(k, n) - 1, axis=0)[:min(k, n)].T
+                s, i = np.take_along_axis(score.T, top, axis=1), ids[top]
+                if best_s is not None:
+                    s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_id, i], axis=1)
+                rank = np.lexsort((i, -s), axis=-1)[:, :k]
+                best_s, best_id = np.take_along_axis(s, rank, axis=1), np.take_along_axis(i, rank, axis=1)
+        if best_s is not None:
+            width = best_s.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, pa.int64()), pa.array(out_id, id_type), pa.array(out_s, pa.float64())],
-                names=["qid", "id", "score"])
+                [pa.array([q for q in qids for _ in range(width)], qid_type), pa.array(best_id.ravel().tolist(), id_type),
+                 pa.array(best_s.ravel() / scale, pa.float64())], names=["qid", "id", "score"])
     return fn
 
 
@@ -138,23 +131,33 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int | Non
     if id_arrow == pa.string() and id_field != T.StringType():
         v = v.withColumn("id", F.col("id").cast("string"))
         id_field = T.StringType()
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", id_field),
+    from pyspark.sql.pandas.types import to_arrow_type
+    from quarry.session import _context, cut_lineage
+    qid_field = queries.schema["qid"].dataType
+    out_schema = T.StructType([T.StructField("qid", qid_field), T.StructField("id", id_field),
                                T.StructField("score", T.DoubleType())])
-    qids, qmat = _collect_queries(queries, dim, limit=MAX_QUERIES)
-    parts = []
-    for start in range(0, len(qids), MAX_QUERIES_PER_PASS):
-        chunk_ids = qids[start:start + MAX_QUERIES_PER_PASS]
-        from quarry.session import _context
-        sc = _context(spark)
-        chunk = qmat[start:start + MAX_QUERIES_PER_PASS]
-        bc = sc.broadcast(chunk) if sc is not None else _Local(chunk)
-        parts.append(spread_small_input(v).mapInArrow(_partial_topk_fn(chunk_ids, bc, k, dim, id_arrow), out_schema))
+    sc = _context(spark)
+    source, parts = None, []
+    blocks = _query_blocks(queries, dim)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        several = following is not None or parts
+        if source is None:
+            source = cut_lineage(v) if several else spread_small_input(v)
+        bc = sc.broadcast(block[1]) if sc is not None else _Local(block[1])
+        part = source.mapInArrow(_partial_topk_fn(block[0], bc, k, dim, to_arrow_type(qid_field), id_arrow), out_schema)
+        if several:
+            part = cut_lineage(part)
+            if sc is not None:
+                bc.destroy()
+        parts.append(part)
+        block = following
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     partial = parts[0]
     for p in parts[1:]:
         partial = partial.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
-    return (partial.withColumn("score", F.round("score", ROUND_DIGITS))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("qid", "id", "score", F.col("rank").cast("int").alias("rank")))

@@ -1,14 +1,9 @@
-"""Row positions without single-partition windows (skew-proof ordinals).
+"""Row positions without single-partition windows.
 
-The position of a row in a global order is computed from a *deterministic*
-bucketing of the order key: bucket bounds are quantiles of a hash sample
-(at most ``SAMPLES_PER_BUCKET * buckets`` keys reach the driver), a row's
-bucket is a pure function of its key, rows are numbered inside their bucket
-(buckets are balanced by the quantiles) and every bucket adds the sizes of
-all earlier buckets. Any part of the plan may be evaluated more than once —
-a retried stage, a subquery, a second use of the same DataFrame — and still
-yields the same numbers (Spark's own range partitioning samples with a seed
-that changes per evaluation, so it is not used here).
+``repartitionByRange`` sorts the rows into ranges; the ranges are written once
+(Spark samples range bounds anew per evaluation, so they must not be evaluated
+twice), rows are numbered inside their range and every range adds the sizes of
+the ranges before it.
 """
 
 from __future__ import annotations
@@ -16,59 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES_PER_BUCKET = 20
-SAMPLE_SEED = 17
-
-
-def _key(order_cols: list[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order_cols])
-
-
-def _bounds(df: DataFrame, order_cols: list[str], buckets: int) -> list:
-    """Up to ``buckets - 1`` ascending bound keys from a hash sample: the
-    ``SAMPLES_PER_BUCKET * buckets`` keys with the smallest ``xxhash64`` (a
-    per-task top-n merged in one task — one small job, independent of the
-    input's partitioning)."""
-    if buckets <= 1:
-        return []
-    want = SAMPLES_PER_BUCKET * buckets
-    sample = (df.select(*order_cols, F.xxhash64(*order_cols, F.lit(SAMPLE_SEED)).alias("_h"))
-              .orderBy("_h", *order_cols).limit(want).select(*order_cols).collect())
-    keys = sorted(tuple(r) for r in sample)
-    if not keys:
-        return []
-    step = len(keys) / buckets
-    return sorted({keys[int(i * step)] for i in range(1, buckets) if int(i * step) < len(keys)})
-
 
 def global_ordinal(df: DataFrame, order_cols: list[str], name: str,
                    partitions: int | None = None) -> DataFrame:
     """Add ``name``: the 1-based position of each row in ``order_cols`` order
     (ties keep an arbitrary but fixed order only when the keys are unique)."""
+    from quarry.session import cut_lineage
     spark = df.sparkSession
-    buckets = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bounds = _bounds(df, order_cols, buckets)
-    key = _key(order_cols)
-    if bounds:
-        lits = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(b, order_cols)]) for b in bounds])
-        bucket = F.aggregate(lits, F.lit(0), lambda acc, b: acc + F.when(key >= b, 1).otherwise(0))
-    else:
-        bucket = F.lit(0)
-    keyed = df.withColumn("_bucket", bucket)
-    local = keyed.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_bucket").orderBy(*[F.col(c).asc() for c in order_cols])))
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    # offsets has one row per bucket: a proven bound for the broadcast.
-    return (local.join(F.broadcast(offsets), "_bucket")
-            .select(*df.columns, (F.col("_local") + F.col("_off")).alias(name)))
-
-
-def group_ordinal(df: DataFrame, group_col: str, order_cols: list[str], name: str) -> DataFrame:
-    """1-based position within each ``group_col`` group, without a window per
-    group: global ordinal minus the group's first ordinal. A group holding a
-    third of all rows is spread over many buckets instead of one task."""
-    g = global_ordinal(df, [group_col, *order_cols], "_g")
-    first = g.groupBy(group_col).agg(F.min("_g").alias("_first"))
-    return g.join(first, group_col).select(*df.columns, (F.col("_g") - F.col("_first") + 1).alias(name))
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = cut_lineage(df.repartitionByRange(ranges, *order_cols).withColumn("_range", F.spark_partition_id()))
+    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols)))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # One row per range: a proven bound for the broadcast.
+    return (local.join(F.broadcast(before), "_range")
+            .select(*df.columns, (F.col("_local") + F.col("_before")).alias(name)))
+
+
+def group_ordinal(df: DataFrame, group_col: str, order_cols: list[str], name: str,
+                  chunk: Column | None = None) -> DataFrame:
+    """1-based position within each group by ``order_cols``. ``chunk`` splits a
+    large group: an expression of the first order column that never falls as it
+    rises (rows are numbered per (group, chunk); chunks add the sizes before)."""
+    if chunk is None:
+        chunk = F.floor(F.col(order_cols[0]) / 4096)
+    df2 = df.withColumn("_chunk", F.coalesce(chunk.cast("long"), F.lit(-(1 << 60))))
+    sizes = df2.groupBy(F.col(group_col).alias("_g"), F.col("_chunk").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_g", "_c", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = df2.withColumn("_local", F.row_number().over(Window.partitionBy(group_col, "_chunk").orderBy(*order_cols)))
+    return (local.join(before, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_chunk") == F.col("_c")))
+            .select(*df.columns, (F.col("_local") + F.col("_before")).alias(name)))

@@ -58,6 +58,16 @@ def k8_sweep_scores(spark, sf_dir):
     return s.select("trial_id", F.round("score", 6).alias("score"))
 
 
+@register("k8_custom_objective", f"""WITH dims AS ({SQL_DIMS}), {SQL_TRIALS}
+SELECT trial_id, round({BASELINE} + 0.05 + 0.95 * sum(weight * CASE WHEN value >= target THEN 1.0 ELSE 0.0 END) / (SELECT sum(weight) FROM dims), 6) AS score
+FROM trials JOIN dims USING (name) GROUP BY trial_id""")
+def k8_custom_objective(spark, sf_dir):
+    """The sweep with another objective: a dimension counts when its target is reached."""
+    reached = lambda value, low, high, target, weight: F.when(value >= target, weight).otherwise(F.lit(0.0))
+    s = SW.sweep(part_trials(spark, sf_dir), _dims(spark), BASELINE, reached)
+    return s.select("trial_id", F.round("score", 6).alias("score"))
+
+
 @register("h19_closeness", f"""WITH {SQL_SCORED}
 SELECT trial_id, name, round(c, 6) AS closeness FROM close""")
 def h19_closeness(spark, sf_dir):
@@ -137,14 +147,12 @@ def _bench_queries(spark, sf_dir):
 
 
 def _rankings(spark, sf_dir, depth=20):
-    """Both rankings from one scoring pass (BM25 sum and matched-term count
-    come from the same join and aggregate)."""
-    from quarry.session import cut_lineage
+    """Both rankings over one materialised index; each keeps its best rows per
+    task before anything is shuffled, so no score table is written."""
     idx = bm25.build_index(documents_corpus(spark, sf_dir)).materialize()
     q = _bench_queries(spark, sf_dir)
-    scored = cut_lineage(bm25.bm25_scores(idx, q, with_overlap=True))
-    a = bm25.bm25_search(idx, q, k=depth, scored=scored).withColumnRenamed("path", "id")
-    b = bm25.overlap_ranking(scored, depth).withColumnRenamed("path", "id")
+    a = bm25.bm25_search(idx, q, k=depth).withColumnRenamed("path", "id")
+    b = bm25.overlap_search(idx, q, depth).withColumnRenamed("path", "id")
     return a, b
 
 
@@ -207,7 +215,7 @@ def _passage_qrels(spark, sf_dir, corpus, idx):
 
 
 SQL_QRELS = f"""{SQL_INDEX},
-psg AS (SELECT item_id AS qid, text FROM benchmark WHERE len({sql_tokens('text')}) >= 3),
+psg AS (SELECT item_id AS qid, text FROM benchmark WHERE text <> ''),
 qrels AS (SELECT psg.qid, docs.path, 1 AS rel FROM psg JOIN docs ON contains(docs.text, psg.text))"""
 
 
@@ -220,6 +228,21 @@ def d13_containment_qrels(spark, sf_dir):
     return _passage_qrels(spark, sf_dir, corpus, idx)
 
 
+SHORT_PASSAGE = r"^\S+ \S+"
+
+
+@register("d13_short_passage_qrels", f"""WITH {SQL_INDEX},
+psg AS (SELECT item_id AS qid, regexp_extract(text, '{SHORT_PASSAGE}') AS text FROM benchmark)
+SELECT psg.qid, docs.path, CAST(1 AS INTEGER) AS rel FROM psg JOIN docs ON contains(docs.text, psg.text) WHERE psg.text <> ''""")
+def d13_short_passage_qrels(spark, sf_dir):
+    """Passages of two words (the first two of each benchmark passage)."""
+    corpus = documents_corpus(spark, sf_dir)
+    idx = bm25.build_index(corpus).materialize()
+    passages = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"), F.regexp_extract("text", SHORT_PASSAGE, 0).alias("text"))
+    return EV.containment_qrels(idx.postings, idx.term_stats, corpus, passages)
+
+
 def _sql_metrics(hits_cte: str, ks: list[int], by: str = "") -> str:
     """per_q CTE: metrics per (by, qid, k) for hits(by, qid, path, rank) against qrels."""
     b = f"{by}, " if by else ""
@@ -275,7 +298,7 @@ def _sql_sweep() -> str:
                     FROM (VALUES {trials}) v(trial_id, w)) t))
 WHERE rank <= 10"""
     return f"""{SQL_RANKINGS},
-psg AS (SELECT item_id AS qid, text FROM benchmark WHERE len({sql_tokens('text')}) >= 3),
+psg AS (SELECT item_id AS qid, text FROM benchmark WHERE text <> ''),
 qrels AS (SELECT psg.qid, docs.path, 1 AS rel FROM psg JOIN docs ON contains(docs.text, psg.text)),
 {_sql_metrics(grid, [10], by="trial_id")}
 SELECT p.trial_id, CAST(v.w AS DOUBLE) AS w_bm25, count(*) AS queries, round(avg(ndcg), 6) AS ndcg
@@ -287,13 +310,11 @@ GROUP BY p.trial_id, v.w"""
 def k8_fusion_weight_sweep(spark, sf_dir):
     """Sweep of the BM25/overlap fusion weight, every trial in one plan,
     scored by mean nDCG@10 against containment qrels."""
-    from quarry.session import cut_lineage
     corpus = documents_corpus(spark, sf_dir)
     idx = bm25.build_index(corpus).materialize()
     q = _bench_queries(spark, sf_dir)
-    scored = cut_lineage(bm25.bm25_scores(idx, q, with_overlap=True))
-    a = bm25.bm25_search(idx, q, k=20, scored=scored).withColumnRenamed("path", "id")
-    b = bm25.overlap_ranking(scored, 20).withColumnRenamed("path", "id")
+    a = bm25.bm25_search(idx, q, k=20).withColumnRenamed("path", "id")
+    b = bm25.overlap_search(idx, q, 20).withColumnRenamed("path", "id")
     grid = FU.fuse_weight_grid(a, b, 10, SWEEP_WEIGHTS, "minmax")
     qrels = _passage_qrels(spark, sf_dir, corpus, idx).withColumnRenamed("path", "id")
     per = EV.evaluate(grid.select("trial_id", "qid", "id", "rank"), qrels, [10], by=["trial_id"])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quarry.operators import bm25
 from quarry.operators import index as IX
 from quarry.plans.catalog import SQL_DOC_PATH, register, sql_tokens
-from quarry.sources.tables import document_path, table
+from quarry.session import scratch_path
+from quarry.sources.tables import document_path, documents_corpus, table
 
 EDIT_SUFFIX = " revised edition"
 
@@ -119,7 +120,7 @@ def i1_refreshed_term_stats(spark, sf_dir):
     return ts.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
 
 
-@register("i1_refreshed_bm25", f"""WITH {SQL_CUR_INDEX},
+SQL_REFRESHED_BM25 = f"""WITH {SQL_CUR_INDEX},
 q AS (SELECT CAST(1 AS BIGINT) AS qid, 'the license of the software' AS query),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({sql_tokens('query')}) AS term FROM q) GROUP BY ALL),
 scores AS (SELECT qt.qid, post.path,
@@ -129,7 +130,10 @@ full_rank AS (SELECT 1::BIGINT AS qid, d.path, round(coalesce(s.score, 0), 6) AS
               FROM dls d LEFT JOIN scores s ON s.path = d.path)
 SELECT qid, path, score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS INTEGER) AS rank FROM full_rank)
-WHERE rank <= 20""")
+WHERE rank <= 20"""
+
+
+@register("i1_refreshed_bm25", SQL_REFRESHED_BM25)
 def i1_refreshed_bm25(spark, sf_dir):
     """Searching the refreshed index gives the answers of a fresh build."""
     # A refresh is materialised (checkpointed into the shared checkpoint
@@ -139,6 +143,44 @@ def i1_refreshed_bm25(spark, sf_dir):
     return bm25.bm25_search(idx, q, k=20)
 
 
+@register("i1_refresh_in_place", SQL_REFRESHED_BM25)
+def i1_refresh_in_place(spark, sf_dir):
+    """A stored state read, refreshed, saved to the folder it came from, read
+    again and searched."""
+    base = scratch_path(spark, "state")
+    IX.write_state(IX.refresh(IX.empty_state(spark), snapshot_prev(spark, sf_dir))[0], base)
+    IX.write_state(IX.refresh(IX.read_state(spark, base), snapshot_cur(spark, sf_dir))[0], base)
+    q = spark.createDataFrame([(1, "the license of the software")], "qid long, query string")
+    return bm25.bm25_search(IX.read_state(spark, base).index, q, k=20)
+
+
+@register("a6_token_store", f"""WITH {SQL_CUR_INDEX}
+SELECT term, path, tf FROM post""")
+def a6_token_store(spark, sf_dir):
+    """Postings written to the store and read back."""
+    base = scratch_path(spark, "store")
+    return bm25.build_index(snapshot_cur(spark, sf_dir)).write(base).postings.select("term", "path", "tf")
+
+
+@register("a7_manifest_store", f"""WITH {SQL_SNAP}
+SELECT path, mtime_ns, size, sha1(text) AS hash FROM prev""")
+def a7_manifest_store(spark, sf_dir):
+    """The manifest of a saved state, read back."""
+    base = scratch_path(spark, "state")
+    IX.write_state(IX.refresh(IX.empty_state(spark), snapshot_prev(spark, sf_dir))[0], base)
+    return IX.read_state(spark, base).manifest.select("path", "mtime_ns", "size", "hash")
+
+
+@register("j3_custom_tokenizer", f"""
+SELECT path, term, CAST(count(*) AS INTEGER) AS tf
+FROM (SELECT {SQL_DOC_PATH} AS path, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> '')) AS term FROM documents
+      WHERE regexp_matches(text, '[A-Za-z0-9_]')) GROUP BY ALL""")
+def j3_custom_tokenizer(spark, sf_dir):
+    """Postings of another tokenizer (lower-case, cut at spaces)."""
+    by_space = lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != "")
+    return bm25.build_index(documents_corpus(spark, sf_dir), tokenizer=by_space).postings.select("path", "term", "tf")
+
+
 @register("i1_refreshed_manifest", f"""WITH {SQL_SNAP}
 SELECT path, mtime_ns, size, sha1(text) AS hash FROM cur WHERE regexp_matches(text, '[A-Za-z0-9_]')""")
 def i1_refreshed_manifest(spark, sf_dir):
@@ -155,12 +197,11 @@ def i4_self_repair(spark, sf_dir):
 
 
 @register("i2_config_invalidation", f"""WITH {SQL_SNAP}
-SELECT 'added' AS status, count(*) AS n FROM cur""")
+SELECT 'added' AS status, count(*) AS n FROM cur WHERE size <= 2000""")
 def i2_config_invalidation(spark, sf_dir):
     """A different size cap invalidates the previous state: every current
-    document is tokenised again (all "added")."""
+    document within the cap is tokenised again (all "added")."""
     prev = IX.refresh(IX.empty_state(spark), snapshot_prev(spark, sf_dir))[0]
-    cfg = dict(IX.default_config())
-    cfg["max_file_bytes"] = 256_000
+    cfg = IX.default_config(max_file_bytes=2000)
     _, changes = IX.refresh(prev, snapshot_cur(spark, sf_dir), config=cfg)
     return changes.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -34,7 +34,7 @@ def sql_index(extra_where: str = "") -> str:
     return f"""
 docs AS (
   SELECT * FROM (SELECT {SQL_DOC_PATH} AS path, text FROM documents)
-  WHERE strlen(text) <= 512000 AND NOT contains(text, chr(0))
+  WHERE NOT contains(text, chr(0))
     AND NOT regexp_matches(path, '(^|/)[.]')
     AND regexp_matches(text, '[A-Za-z0-9_]') {extra_where}),
 toks AS (SELECT path, {sql_tokens('text')} AS tokens FROM docs),
@@ -178,15 +178,24 @@ def h1_tokenize(spark, sf_dir):
 
 @register("a3_indexable_documents", f"""
 SELECT {SQL_DOC_PATH} AS path FROM documents
-WHERE strlen(text) <= 512000 AND NOT contains(text, chr(0))
+WHERE NOT contains(text, chr(0))
   AND NOT regexp_matches({SQL_DOC_PATH}, '(^|/)[.]') AND len({sql_tokens('text')}) > 0""")
 def a3_indexable_documents(spark, sf_dir):
     return bm25.indexable_documents(documents_corpus(spark, sf_dir)).select("path")
 
 
+@register("a3_max_bytes_option", f"""
+SELECT {SQL_DOC_PATH} AS path FROM documents
+WHERE strlen(text) <= 2000 AND NOT contains(text, chr(0))
+  AND NOT regexp_matches({SQL_DOC_PATH}, '(^|/)[.]') AND len({sql_tokens('text')}) > 0""")
+def a3_max_bytes_option(spark, sf_dir):
+    """The size cap as an option of the index: paths of a capped index."""
+    return bm25.build_index(documents_corpus(spark, sf_dir), max_bytes=2000).lengths.select("path")
+
+
 @register("a4_semantic_documents", f"""
 SELECT {SQL_DOC_PATH} AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents
-WHERE strlen(text) <= 512000 AND NOT contains(text, chr(0))
+WHERE NOT contains(text, chr(0))
   AND NOT regexp_matches({SQL_DOC_PATH}, '(^|/)[.]')""")
 def a4_semantic_documents(spark, sf_dir):
     return (bm25.indexable_documents(documents_corpus(spark, sf_dir), require_tokens=False)

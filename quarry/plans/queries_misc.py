@@ -67,21 +67,6 @@ def k6_chain_run_record(spark, sf_dir):
     return RO.call_table(RO.call_rows(parsed)).select("run_id", "step", "tool", "latency_ms", "summary")
 
 
-@register("k5_symbol_index_documents")
-def k5_symbol_index_documents(spark, sf_dir):
-    """Every document handed to the Python symbol extractor (as ``*.txt``
-    files of language python): findings and parse errors counted per
-    language/source folder. Not SQL-expressible (Python grammar)."""
-    corpus = documents_corpus(spark, sf_dir)
-    findings, errors = S.symbol_index(corpus, ["python"], language_globs={"python": ["*.txt"]}, sort=False)
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    f = findings.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("findings"))
-    e = errors.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("parse_errors"))
-    return f.join(e, "folder", "full_outer").select(
-        "folder", F.coalesce("findings", F.lit(0)).alias("findings"),
-        F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"))
-
-
 # Python modules derived from ``part`` rows, one file per part:
 #   line 1  def <name>_<partkey>():          -> def
 #   line 5  class Part<partkey>:             -> def
@@ -143,3 +128,48 @@ def c7_symbol_summary(spark, sf_dir):
     """Definitions and references per name (no def x ref pairs)."""
     findings, _ = S.symbol_index(part_modules(spark, sf_dir), ["python"], sort=False)
     return S.symbol_summary(findings)
+
+
+@register("c7_symbol_lookup", f"""WITH {SQL_PART_FINDINGS}
+SELECT kind, path, CAST(line AS INTEGER) AS line, text FROM part_findings WHERE text = 'brand_1'""")
+def c7_symbol_lookup(spark, sf_dir):
+    """Definitions and references of one name."""
+    findings, _ = S.symbol_index(part_modules(spark, sf_dir), ["python"], sort=False)
+    return S.symbol_lookup(findings, "brand_1")
+
+
+@register("c7_unresolved_references", f"""WITH {SQL_PART_FINDINGS}
+SELECT kind, path, CAST(line AS INTEGER) AS line, text FROM part_findings
+WHERE kind = 'ref' AND text NOT IN (SELECT text FROM part_findings WHERE kind = 'def')""")
+def c7_unresolved_references(spark, sf_dir):
+    """References whose name is defined nowhere."""
+    findings, _ = S.symbol_index(part_modules(spark, sf_dir), ["python"], sort=False)
+    return S.unresolved_references(findings)
+
+
+@register("g5_rule_overrides", """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'default def' END AS def_rule, 'default ref' AS ref_rule FROM part""")
+def g5_rule_overrides(spark, sf_dir):
+    """Rule texts per kind with overrides winning: parts of even size override "def"."""
+    p = table(spark, sf_dir, "part")
+    base = F.create_map(F.lit("def"), F.lit("default def"), F.lit("ref"), F.lit("default ref"))
+    own = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("def"), F.col("p_brand"))).otherwise(
+        F.create_map().cast("map<string,string>"))
+    merged = p.select("p_partkey", S.merge_rule_overrides(base, own).alias("m"))
+    return merged.select("p_partkey", F.col("m")["def"].alias("def_rule"), F.col("m")["ref"].alias("ref_rule"))
+
+
+@register("a13_tuning_space", """
+SELECT 'q' || CAST(l_quantity AS INTEGER) AS name, CAST(min(l_extendedprice) AS DOUBLE) AS low, CAST(max(l_extendedprice) AS DOUBLE) AS high,
+       CAST(1.0 AS DOUBLE) AS weight FROM lineitem GROUP BY l_quantity""")
+def a13_tuning_space(spark, sf_dir):
+    """A tuning-space document written as JSON (one dimension per quantity) and read back; weights default to 1."""
+    from quarry.session import scratch_path
+    from quarry.sources.tables import read_dimensions
+    li = table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(
+        F.min(F.col("l_extendedprice").cast("double")).alias("low"), F.max(F.col("l_extendedprice").cast("double")).alias("high"))
+    dim = F.struct(F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")).alias("name"), "low", "high", F.col("low").alias("target"))
+    doc = li.agg(F.collect_list(dim).alias("dimensions")).select(F.lit(0.25).alias("baseline_score"), "dimensions")
+    path = scratch_path(spark, "space")
+    doc.write.json(path)
+    return read_dimensions(spark, path)[1].select("name", "low", "high", "weight")

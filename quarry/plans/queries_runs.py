@@ -12,6 +12,7 @@ metrics = the event's ``props`` JSON.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import runs as R
@@ -22,11 +23,11 @@ from quarry.plans.ordinal import group_ordinal
 from quarry.sources.tables import table
 
 
-def conversation_calls(spark, sf_dir):
+def conversation_calls(spark, sf_dir, steps=True):
     """Call rows (run_id, step, name, params, result_summary, latency_ms, valid):
     one JSON call object per turn, validated like a trace's calls. Steps are
-    positions by turn from a distributed ordinal (no per-run window), and no
-    run is ever gathered into one row."""
+    positions by turn, counted in two levels (runs of turn numbers, then turns),
+    and only where a query shows them; no run is gathered into one row."""
     c = table(spark, sf_dir, "conversations")
     call = F.to_json(F.struct(
         F.col("role").alias("name"),
@@ -37,7 +38,8 @@ def conversation_calls(spark, sf_dir):
          .otherwise(F.length("text").cast("string")).alias("latency_ms")))
     rows = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("run_id"), "turn",
                     call.alias("call"))
-    return RO.calls_from_json(group_ordinal(rows, "run_id", ["turn"], "step"), "call")
+    rows = group_ordinal(rows, "run_id", ["turn"], "step") if steps else rows.withColumn("step", F.lit(0))
+    return RO.calls_from_json(rows, "call")
 
 
 def conversation_runs(spark, sf_dir):
@@ -73,8 +75,8 @@ def event_runs(spark, sf_dir):
                     F.to_json(F.struct(rid.alias("run_id"))).alias("trace"))
 
 
-def _valid_calls(spark, sf_dir):
-    return RO.valid_calls(conversation_calls(spark, sf_dir))
+def _valid_calls(spark, sf_dir, steps=True):
+    return RO.valid_calls(conversation_calls(spark, sf_dir, steps))
 
 
 SQL_VALID_CONV = """valid AS (
@@ -92,7 +94,7 @@ turns AS (
 SELECT run_id, CAST(count(*) AS INTEGER) AS n_calls, CAST(sum(chars) AS BIGINT) AS total_latency_ms
 FROM turns GROUP BY run_id""")
 def k6_parsed_runs(spark, sf_dir):
-    calls = _valid_calls(spark, sf_dir)
+    calls = _valid_calls(spark, sf_dir, steps=False)
     counts = calls.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("n_calls"))
     return RO.latency_totals(calls).join(counts, "run_id")
 
@@ -102,13 +104,13 @@ SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS run_id, NOT bool_or(role = 'system
 FROM conversations GROUP BY conv_id""")
 def h16_trace_validation(spark, sf_dir):
     """A run is valid when every call validates (system turns carry latency "n/a")."""
-    return RO.run_validity(conversation_calls(spark, sf_dir)).select("run_id", "valid")
+    return RO.run_validity(conversation_calls(spark, sf_dir, steps=False)).select("run_id", "valid")
 
 
 @register("b12_valid_run_rows", f"""WITH {SQL_VALID_CONV}
 SELECT run_id FROM valid""")
 def b12_valid_run_rows(spark, sf_dir):
-    return RO.run_validity(conversation_calls(spark, sf_dir)).filter("valid").select("run_id")
+    return RO.run_validity(conversation_calls(spark, sf_dir, steps=False)).filter("valid").select("run_id")
 
 
 @register("d11_run_overview", f"""WITH {SQL_VALID_CONV}
@@ -117,7 +119,7 @@ SELECT run_id, CAST(count(*) AS INTEGER) AS calls,
        || ', has_system=0.0' AS metrics
 FROM turns GROUP BY run_id""")
 def d11_run_overview(spark, sf_dir):
-    calls = _valid_calls(spark, sf_dir)
+    calls = _valid_calls(spark, sf_dir, steps=False)
     runs = (conversation_runs(spark, sf_dir).join(calls.select("run_id").distinct(), "run_id", "left_semi")
             .withColumn("metrics_map", R.coerce_metrics("metrics")))
     return RO.run_overview(runs, calls)
@@ -155,7 +157,7 @@ def e4_flow_edges(spark, sf_dir):
 @register("d12_latency_totals", f"""WITH {SQL_VALID_CONV}
 SELECT run_id, CAST(sum(chars) AS BIGINT) AS total_latency_ms FROM turns GROUP BY run_id""")
 def d12_latency_totals(spark, sf_dir):
-    return RO.latency_totals(_valid_calls(spark, sf_dir))
+    return RO.latency_totals(_valid_calls(spark, sf_dir, steps=False))
 
 
 @register("e4_flow_nodes_no_calls", """
@@ -263,3 +265,83 @@ def a12_run_log_round_trip(spark, sf_dir):
             .withColumn("metrics", R.metric_text("metrics_map"))
             .join(overview.select("run_id", "calls").distinct(), "run_id")
             .select("run_id", "sanitised_id", "params", "metrics", "calls"))
+
+
+# Runs whose JSON holds what Python's writer and reader allow: bare NaN, latency
+# as text with a zero fraction or as a boolean, floats of all magnitudes.
+ODD_FLOATS = ["0.0001", "0.00001234", "1234567.0", "12345678.0", "1e15", "1.5e16", "4.0", "-0.5"]
+SQL_PYTHON_FLOATS = ["0.0001", "1.234e-05", "1234567.0", "12345678.0", "1000000000000000.0", "1.5e+16", "4.0", "-0.5"]
+
+
+def odd_runs(spark, sf_dir):
+    """One run per event: its float by event id, a NaN metric, three calls with
+    latencies "50.0", true and the event id as a float."""
+    e = table(spark, sf_dir, "events")
+    value = F.element_at(F.array(*map(F.lit, ODD_FLOATS)), (F.col("event_id") % len(ODD_FLOATS) + 1).cast("int"))
+    rid = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    call = lambda latency: F.concat(F.lit('{"name":"t","params":{},"result_summary":{"x":'), value,
+                                    F.lit(',"n":7,"bad":NaN,"more":1},"latency_ms":'), latency, F.lit("}"))
+    trace = F.concat(F.lit('{"run_id":"'), rid, F.lit('","calls":['), call(F.lit('"50.0"')), F.lit(","), call(F.lit("true")), F.lit(","),
+                     call(F.concat(F.col("event_id").cast("string"), F.lit(".0"))), F.lit('],"metrics":{"m":NaN}}'))
+    metrics = F.concat(F.lit('{"v":'), value, F.lit(',"nan":NaN,"inf":-Infinity,"text":"5_0"}'))
+    return e.select(rid.alias("run_id"), F.lit("{}").alias("params"), metrics.alias("metrics"), trace.alias("trace"))
+
+
+def _sql_float() -> str:
+    return "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(SQL_PYTHON_FLOATS)) + " END"
+
+
+@register("h16_odd_traces_kept", """
+SELECT 'e' || CAST(event_id AS VARCHAR) AS run_id, CAST(3 AS INTEGER) AS calls, CAST(51 + event_id AS BIGINT) AS total_latency_ms FROM events""")
+def h16_odd_traces_kept(spark, sf_dir):
+    """No run with NaN metrics or latencies "50.0", true, 7.0 is lost."""
+    parsed = RO.parse_runs(odd_runs(spark, sf_dir))
+    calls = RO.call_rows(parsed)
+    overview = RO.run_overview(parsed, calls).select("run_id", "calls")
+    return overview.join(RO.latency_totals(calls), "run_id")
+
+
+@register("h20_metric_text_python", f"""
+SELECT 'e' || CAST(event_id AS VARCHAR) AS run_id, 'v=' || {_sql_float()} || ', nan=nan, inf=-inf, text=50.0' AS metrics FROM events""")
+def h20_metric_text_python(spark, sf_dir):
+    parsed = RO.parse_runs(odd_runs(spark, sf_dir))
+    return RO.run_overview(parsed, RO.call_rows(parsed)).select("run_id", "metrics")
+
+
+@register("h17_summary_text_python", f"""
+SELECT 'e' || CAST(event_id AS VARCHAR) AS run_id, CAST(s AS INTEGER) AS step, 'x=' || {_sql_float()} || ', n=7, bad=nan' AS summary
+FROM events, (SELECT unnest([1, 2, 3]) AS s)""")
+def h17_summary_text_python(spark, sf_dir):
+    return RO.call_table(RO.call_rows(RO.parse_runs(odd_runs(spark, sf_dir)))).select("run_id", "step", "summary")
+
+
+@register("e5_latest_in_batch", """
+SELECT event_type || '_' || CAST(user_id AS VARCHAR) AS sanitised_id, CAST(count(*) AS BIGINT) AS logged, CAST(1 AS BIGINT) AS latest
+FROM events GROUP BY ALL""")
+def e5_latest_in_batch(spark, sf_dir):
+    """Runs of one id logged in one batch: all are kept, one is the latest."""
+    from quarry.session import scratch_path
+    path = scratch_path(spark, "runs")
+    RO.log_runs(event_runs(spark, sf_dir).select("run_id", "params", "metrics", "trace"), path)
+    log = RO.read_run_files(spark, path)
+    latest = RO.latest_runs(log).groupBy("sanitised_id").agg(F.count("*").alias("latest"))
+    return log.groupBy("sanitised_id").agg(F.count("*").alias("logged")).join(latest, "sanitised_id")
+
+
+@register("f6_runs_newest_first", """
+SELECT CAST(row_number() OVER (ORDER BY g DESC) AS INTEGER) AS place, 'run-' || g AS run_id
+FROM (SELECT DISTINCT event_id % 3 AS g FROM events)""")
+def f6_runs_newest_first(spark, sf_dir):
+    """Three batches logged one after another, listed newest file first."""
+    import time
+
+    from quarry.session import scratch_path
+    path = scratch_path(spark, "runs")
+    for g in range(3):
+        some = table(spark, sf_dir, "events").where(F.col("event_id") % 3 == g).agg(F.count("*").alias("n"))
+        RO.log_runs(some.where("n > 0").select(F.lit(f"run-{g}").alias("run_id"), F.lit("{}").alias("params"),
+                                               F.lit("{}").alias("metrics"), F.lit(f'{{"run_id":"run-{g}"}}').alias("trace")), f"{path}/{g}")
+        time.sleep(1.1)     # file times have whole seconds on some file systems
+    listed = RO.load_runs(spark, path)
+    order = Window.orderBy(F.desc("file_time"), F.asc("file_path"))
+    return listed.select(F.row_number().over(order).alias("place"), "run_id")

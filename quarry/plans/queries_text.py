@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import glob_match, relative_path, split_lines
+from quarry.functions.text import decode_utf8_ignore, glob_match, relative_path, split_lines
 from quarry.operators import grep as G
 from quarry.operators import paths as P
 from quarry.plans.catalog import SQL_DOC_PATH, register
@@ -62,6 +62,57 @@ def d7_match_status(spark, sf_dir):
     return G.grep_summary(documents_corpus(spark, sf_dir), patterns=GREP_PATTERNS)
 
 
+UNIVERSAL_SQL = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+@register("b5_universal_lines", f"""
+SELECT CAST(0 AS BIGINT) AS pid, path, CAST(line AS INTEGER) AS line, text FROM (
+  SELECT path, unnest(generate_series(1, len(ls))) AS line, unnest(ls) AS text
+  FROM (SELECT path, string_split_regex(regexp_replace(t, '({UNIVERSAL_SQL})$', ''), '{UNIVERSAL_SQL}') AS ls
+        FROM (SELECT {SQL_DOC_PATH} AS path, replace(text, '. ', '.' || chr(13)) AS t FROM documents) WHERE t <> ''))
+WHERE regexp_matches(text, 'n[.]$')""")
+def b5_universal_lines(spark, sf_dir):
+    """Universal line ends (sentences cut by carriage returns) and a pattern
+    anchored at the line's end."""
+    c = documents_corpus(spark, sf_dir).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\r")))
+    return G.grep(c, r"n\.$", line_mode="universal")
+
+
+BAD_PATTERNS = {1: "License", 2: "(", 3: r"\Qa\E", 4: r"\p{Lu}[a-z]+ under", 5: "[z-a]"}
+
+
+@register("b4_invalid_pattern_status", f"""WITH {sql_doc_lines()},
+pats AS (SELECT * FROM (VALUES (1::BIGINT, 'License', 'License'), (2, '(', NULL), (3, '\\Qa\\E', NULL),
+         (4, '\\p{{Lu}}[a-z]+ under', '\\p{{Lu}}[a-z]+ under'), (5, '[z-a]', NULL)) v(pid, pattern, re)),
+hits AS (SELECT pid, count(*) AS n FROM doc_lines, pats WHERE re IS NOT NULL AND regexp_matches(text, re) GROUP BY pid)
+SELECT pats.pid, pats.pattern, coalesce(n, 0) AS matches,
+       CAST(CASE WHEN re IS NULL THEN 2 WHEN coalesce(n, 0) > 0 THEN 0 ELSE 1 END AS INTEGER) AS exit_code
+FROM pats LEFT JOIN hits USING (pid)""")
+def b4_invalid_pattern_status(spark, sf_dir):
+    """Invalid patterns get exit code 2, the others still run."""
+    return G.grep_summary(documents_corpus(spark, sf_dir), patterns=BAD_PATTERNS)
+
+
+@register("b6_pattern_table", f"""WITH {sql_doc_lines()}
+SELECT CAST(n_nationkey AS BIGINT) AS pid, path, CAST(line AS INTEGER) AS line, text
+FROM doc_lines, nation WHERE regexp_matches(text, lower(substr(n_name, 1, 2)) || '[.]$')""")
+def b6_pattern_table(spark, sf_dir):
+    """Patterns as a table: one per nation (its first two letters at a line's end)."""
+    pats = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pid"), F.concat(
+        F.lower(F.substring("n_name", 1, 2)), F.lit("[.]$")).alias("pattern"))
+    return G.grep(documents_corpus(spark, sf_dir), patterns=pats)
+
+
+@register("a5_utf8_decode", """
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha1(text) AS sha FROM documents""")
+def a5_utf8_decode(spark, sf_dir):
+    """Bytes with stray invalid ones in front and behind decode to the text."""
+    d = table(spark, sf_dir, "documents")
+    raw = F.concat(F.lit(bytearray(b"\xff")), F.col("text").cast("binary"), F.lit(bytearray(b"\xe2\x82")))
+    t = d.select("doc_id", F.explode(F.array(decode_utf8_ignore(raw))).alias("t"))
+    return t.select("doc_id", F.length("t").alias("n_chars"), F.sha1("t").alias("sha"))
+
+
 @register("b7_grep_conversations", f"""
 SELECT CAST(0 AS BIGINT) AS pid, path, CAST(line AS INTEGER) AS line, text FROM (
   SELECT path, unnest(generate_series(1, len(ls))) AS line, unnest(ls) AS text
@@ -184,7 +235,8 @@ def g3_missing_languages(spark, sf_dir):
 
 
 @register("b13_relative_path", f"""
-SELECT doc_id, substr({SQL_DOC_PATH}, 4) AS rel_path FROM documents WHERE lang = 'en'""")
+SELECT doc_id, CASE WHEN lang = 'en' THEN substr({SQL_DOC_PATH}, 4) ELSE {SQL_DOC_PATH} END AS rel_path FROM documents""")
 def b13_relative_path(spark, sf_dir):
-    d = documents_corpus(spark, sf_dir).filter(F.col("path").startswith("en/"))
+    """Paths below the root lose it, others stay as they are."""
+    d = documents_corpus(spark, sf_dir)
     return d.select("doc_id", relative_path("path", "en").alias("rel_path"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
+from quarry.operators.index import ensure_vector_index, vector_registry
 from quarry.operators.semantic import HashingEmbedder, semantic_search
 from quarry.operators.vectors import append_vectors, build_vectors, load_vectors, save_vectors, vector_search
 from quarry.plans.catalog import SQL_DOC_PATH, register
+from quarry.plans.queries_index import SQL_SNAP, snapshot_cur, snapshot_prev
 from quarry.plans.sizing import bounded_broadcast
+from quarry.session import scratch_path
 from quarry.sources.tables import documents_corpus, table
 
 DIM = 64
@@ -102,7 +105,7 @@ def h10_dimension_check(spark, sf_dir):
 # Semantic search with the hashing embedder: token-count vectors, cosine.
 SQL_SEMANTIC = f"""
 WITH docs AS (SELECT {SQL_DOC_PATH} AS path, text FROM documents
-              WHERE strlen(text) <= 512000 AND NOT contains(text, chr(0))),
+              WHERE NOT contains(text, chr(0))),
 dt AS (SELECT path, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: lower(t))) AS tok FROM docs),
 db AS (SELECT path, ('0x' || substr(sha1(tok), 1, 8))::UBIGINT % 64 AS b, count(*) AS c FROM dt GROUP BY ALL),
 dn AS (SELECT path, sqrt(sum(c * c)) AS nrm FROM db GROUP BY path),
@@ -128,11 +131,44 @@ def k4_semantic_search(spark, sf_dir):
     return semantic_search(documents_corpus(spark, sf_dir), q, HashingEmbedder(64), 5)
 
 
+@register("k4_stored_semantic_search", SQL_SEMANTIC)
+def k4_stored_semantic_search(spark, sf_dir):
+    """The same search over a stored vector index: built, found again, searched."""
+    base = scratch_path(spark, "vector-index")
+    corpus = documents_corpus(spark, sf_dir)
+    ensure_vector_index(spark, base, corpus, HashingEmbedder(64))
+    stored = ensure_vector_index(spark, base, corpus, HashingEmbedder(64))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return semantic_search(None, q, HashingEmbedder(64), 5, vectors=stored)
+
+
+@register("i3_vector_refresh", f"""WITH {SQL_SNAP}
+SELECT path, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS BIGINT) AS n_tokens FROM cur""")
+def i3_vector_refresh(spark, sf_dir):
+    """A vector index of snapshot 1 refreshed with snapshot 2: removed documents
+    gone, added and edited ones embedded (the hashing embedder counts tokens)."""
+    base = scratch_path(spark, "vector-index")
+    ensure_vector_index(spark, base, snapshot_prev(spark, sf_dir), HashingEmbedder(64))
+    vecs = ensure_vector_index(spark, base, snapshot_cur(spark, sf_dir), HashingEmbedder(64))
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
+    return vecs.select(F.col("id").alias("path"), total.cast("long").alias("n_tokens"))
+
+
+@register("a9_vector_registry", """
+SELECT 'hashing-sha1-64' AS embedder, CAST(64 AS INTEGER) AS dimension, count(*) AS n_vectors FROM documents""")
+def a9_vector_registry(spark, sf_dir):
+    """The registry of a stored vector index beside its number of vectors."""
+    base = scratch_path(spark, "vector-index")
+    vecs = ensure_vector_index(spark, base, documents_corpus(spark, sf_dir), HashingEmbedder(64))
+    reg = vector_registry(spark, base)
+    return vecs.agg(F.count("*").alias("n_vectors")).select(
+        F.lit(reg["embedder"]).alias("embedder"), F.lit(reg["dimension"]).alias("dimension"), "n_vectors")
+
+
 @register("a8_vector_store_round_trip", _sql_topk(10))
 def a8_vector_store_round_trip(spark, sf_dir):
     """Store round trip: save an index of labels < 5, replace it with the full
     index (overwrite), load it back and search: same answers as in memory."""
-    from quarry.session import scratch_path
     emb = table(spark, sf_dir, "embeddings")
     path = scratch_path(spark, "vectors")
     save_vectors(build_vectors(emb.filter(F.col("label") < 5), DIM, id_col="vec_id"), path)

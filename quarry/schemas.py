@@ -7,6 +7,7 @@ MANIFEST = T.StructType([
     T.StructField("mtime_ns", T.LongType(), True),
     T.StructField("size", T.LongType(), True),
     T.StructField("hash", T.StringType(), True),
+    T.StructField("indexed", T.BooleanType(), True),
 ])
 
 DIMENSION = T.StructType([

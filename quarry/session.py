@@ -51,23 +51,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` wins; a private scratch folder
-    is only created when the session has none (local tests).
+    is only created when a ``local`` session has none (tests); a cluster session
+    without one is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if sc is None:
-        return configured or tempfile.mkdtemp(prefix="quarry-ckpt-")
+        return configured or _local_folder(spark.conf.get("spark.master", ""))
     current = sc.getCheckpointDir()
     if current:
         return current
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    local = _local_folder(sc.master)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def _local_folder(master: str) -> str:
+    """A scratch folder on this machine, which only a ``local`` master shares
+    with its tasks; any other master must name a shared folder."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quarry-ckpt-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (for tables a job
     writes and reads back)."""

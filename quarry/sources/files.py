@@ -92,12 +92,12 @@ class _Reader(DataSourceReader):
         self.read_content = str(options.get("content", "true")).lower() == "true"
         cap = options.get("max_bytes")
         self.max_bytes = int(cap) if cap is not None else None
-        self.type_eq = None
+        self.types = None     # types the pushed filters leave (None: all)
 
     def partitions(self):
         entries = []
         for rel, typ, size, mtime in list_tree(self.root):
-            if self.type_eq is not None and typ != self.type_eq:
+            if self.types is not None and typ not in self.types:
                 continue
             if self.max_bytes is not None and typ == "file" and size > self.max_bytes:
                 continue
@@ -129,15 +129,18 @@ class _Reader(DataSourceReader):
 class _PushdownReader(_Reader):
     """Same reader, also taking ``size`` bounds and ``type`` equality from the plan."""
 
+    def _only(self, typ):
+        self.types = {typ} if self.types is None else self.types & {typ}
+
     def pushFilters(self, filters):
         for f in filters:
             if isinstance(f, (LessThanOrEqual, LessThan)) and f.attribute == ("size",):
                 bound = int(f.value) - (1 if isinstance(f, LessThan) else 0)
                 self.max_bytes = bound if self.max_bytes is None else min(self.max_bytes, bound)
                 # Directories have a null size; Spark would drop them too.
-                self.type_eq = "file"
+                self._only("file")
             elif isinstance(f, EqualTo) and f.attribute == ("type",):
-                self.type_eq = f.value
+                self._only(f.value)
             else:
                 yield f
 

@@ -143,10 +143,32 @@ def test_custom_tokenizer(spark):
     assert got.path == "a.txt" and got.score > 0
 
 
-def test_fill_with_distributed_ordinal(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "FILL_PREFIX_MAX", 0)     # force the prank path
+def test_fill_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "FILL_CHUNK", 3)
     docs = {f"d{i:02d}.txt": ("rare" if i == 7 else "common words here") for i in range(12)}
     assert search(spark, docs, ["rare"], 5)[0] == model(docs, "rare", 5)
+    assert search(spark, docs, ["rare"], 50)[0] == model(docs, "rare", 50)
+
+
+def test_no_size_cap_unless_asked(spark):
+    docs = {"big.txt": "word " * 150_000, "small.txt": "word"}
+    assert bm25.build_index(corpus_df(spark, docs)).lengths.count() == 2
+    assert [r.path for r in bm25.build_index(corpus_df(spark, docs), max_bytes=1000).lengths.collect()] == ["small.txt"]
+
+
+def test_scores_need_no_exchange_after_the_index(spark):
+    idx = bm25.build_index(corpus_df(spark, RANKING)).materialize()
+    q = spark.createDataFrame([(0, "ranking search")], "qid long, query string")
+    plan = bm25.bm25_scores(idx, q, query_rows=2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" not in plan, plan
+
+
+def test_stored_search_prunes_the_postings_scan(spark, tmp_path):
+    stored = bm25.build_index(corpus_df(spark, RANKING)).write(str(tmp_path / "idx"))
+    q = spark.createDataFrame([(0, "ranking")], "qid long, query string")
+    plan = bm25.bm25_scores(stored, q)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan" in x and "bucket#" in x)
+    assert "PartitionFilters: [isnotnull(bucket" in scan and "EqualTo(term,ranking)" in scan
 
 
 def test_duplicate_paths_fail_loudly(spark):

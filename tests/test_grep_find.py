@@ -38,12 +38,19 @@ def test_line_modes(spark):
     assert cr == ["one\r"]
 
 
-def test_prefilter_does_not_change_anchored_results(spark):
-    c = corpus_df(spark, {"a.txt": "xa\nab\nb"})
-    for pat in ["^a", "b$", "a$", r"\Aa", r"b\Z"]:
-        with_pf = sorted(h.line for h in G.grep(c, pat).collect())
-        without = sorted(h.line for h in G.grep(c, pat, prefilter=False).collect())
-        assert with_pf == without, pat
+def test_every_line_is_tried_by_itself(spark):
+    c = corpus_df(spark, {"a.txt": "foo\rbar\r", "b.txt": "xx\nq", "c.txt": "xa\nab\nb"})
+    assert [h.text for h in G.grep(c, "foo$", line_mode="universal").collect()] == ["foo"]
+    assert [h.text for h in G.grep(c, "^[^q]++$").orderBy("text").collect()] == ["ab", "b", "foo\rbar\r", "xa", "xx"]
+    assert sorted(h.line for h in G.grep(c, r"b\Z").collect() if h.path == "c.txt") == [2, 3]
+
+
+def test_many_patterns_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_PATTERNS", 2)
+    c = corpus_df(spark, {"a.txt": "p0\np1 p2\np3\np4"})
+    table = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "pid long, pattern string")
+    assert sorted((h.pid, h.line) for h in G.grep(c, patterns=table).collect()) == [(0, 1), (1, 2), (2, 2), (3, 3), (4, 4)]
+    assert G.grep(c, patterns=table.limit(0)).count() == 0
 
 
 def test_grep_unicode_word_class(spark):
@@ -93,6 +100,14 @@ def test_tree_source_size_pushdown_and_decode(spark, tmp_path):
     assert bad == ["ok\n"]
 
 
+def test_tree_source_pushed_filters_intersect(spark, tmp_path):
+    root = _tree(tmp_path)
+    for cond in ("type = 'directory' AND size <= 100", "size <= 100 AND type = 'directory'"):
+        assert FS.read_tree(spark, str(root)).filter(cond).count() == 0
+    got = FS.read_tree(spark, str(root)).filter("type = 'file' AND size <= 1000 AND size < 900")
+    assert {r.path for r in got.collect()} >= {"bad.txt"} and "big.txt" not in {r.path for r in got.collect()}
+
+
 def test_missing_root(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="root-missing"):
         FS.read_tree(spark, str(tmp_path / "nope"))

@@ -2,10 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import corpus_df
 from quarry.operators import bm25
 from quarry.operators import index as IX
-from quarry.streaming import ingest
 
 
 def snapshot(spark, docs, mtimes):
@@ -78,72 +76,45 @@ def test_state_round_trip_and_corrupt_state(spark, tmp_path):
     assert IX.read_state(spark, str(tmp_path / "junk")).manifest.count() == 0
 
 
+def test_save_to_the_folder_it_was_read_from(spark, tmp_path):
+    base = str(tmp_path / "st")
+    docs = {"a.txt": "alpha", "b.txt": "beta"}
+    IX.write_state(IX.refresh(IX.empty_state(spark), snapshot(spark, docs, {p: 1 for p in docs}))[0], base)
+    docs2 = {"a.txt": "alpha gamma", "c.txt": "delta"}
+    new, _ = IX.refresh(IX.read_state(spark, base), snapshot(spark, docs2, {p: 2 for p in docs2}))
+    IX.write_state(new, base)
+    back = IX.read_state(spark, base)
+    assert tables(back.index) == tables(bm25.build_index(snapshot(spark, docs2, {p: 2 for p in docs2})))
+    assert IX.drop_old_versions(spark, base) == 1
+    assert sorted(r.path for r in IX.read_state(spark, base).manifest.collect()) == ["a.txt", "c.txt"]
+
+
+def test_unchanged_refresh_reads_no_text(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    snapshot(spark, {"a.txt": "alpha", "b.txt": "!!!"}, {"a.txt": 1, "b.txt": 1}).write.parquet(path)
+    corpus = spark.read.parquet(path)
+    state, first = IX.refresh(IX.empty_state(spark), corpus)
+    assert {r.path: r.indexed for r in state.manifest.collect()} == {"a.txt": True, "b.txt": False}
+    again, changes = IX.refresh(state, corpus)
+    assert changes.filter("status <> 'unchanged'").count() == 0 and again.index is state.index
+    assert "text" not in again.manifest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_pattern_takes_effect(spark):
+    corpus = snapshot(spark, {"a.txt": "foo-bar", "b.txt": "foo"}, {"a.txt": 1, "b.txt": 1})
+    state, _ = IX.refresh(IX.empty_state(spark), corpus, IX.default_config(token_pattern="[a-z-]+"))
+    assert sorted(r.term for r in state.index.postings.collect()) == ["foo", "foo-bar"]
+
+
+def test_other_failures_are_not_an_empty_state(spark):
+    import pytest
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        IX.read_state(spark, "nosuchscheme://x/state")
+
+
 def test_config_change_invalidates(spark):
     s1 = snapshot(spark, {"a.txt": "alpha"}, {"a.txt": 1})
     state, _ = IX.refresh(IX.empty_state(spark), s1)
-    cfg = dict(IX.default_config(), max_file_bytes=10)
+    cfg = IX.default_config(max_file_bytes=100)
     _, ch = IX.refresh(state, s1, config=cfg)
     assert [r.status for r in ch.collect()] == ["added"]
-
-
-def test_streaming_ingest_equals_rebuild(spark, tmp_path):
-    feed, base, ckpt = str(tmp_path / "feed"), str(tmp_path / "state"), str(tmp_path / "ckpt")
-    b1 = [("a.txt", "alpha beta", 1, None, False), ("b.txt", "beta gamma", 1, None, False)]
-    spark.createDataFrame(b1, ingest.FEED_SCHEMA).write.mode("append").parquet(feed)
-    ingest.start_index_stream(spark, feed, base, ckpt).awaitTermination(120)
-    b2 = [("a.txt", None, 2, None, True), ("c.txt", "gamma delta", 2, None, False),
-          ("b.txt", "beta beta", 2, None, False)]
-    spark.createDataFrame(b2, ingest.FEED_SCHEMA).write.mode("append").parquet(feed)
-    ingest.start_index_stream(spark, feed, base, ckpt).awaitTermination(120)
-    state = ingest.latest_state(spark, base)
-    fresh = bm25.build_index(corpus_df(spark, {"b.txt": "beta beta", "c.txt": "gamma delta"}))
-    assert tables(state.index) == tables(fresh)
-    assert sorted(r.path for r in state.manifest.collect()) == ["b.txt", "c.txt"]
-
-
-def test_store_commits_touch_only_their_buckets_and_match_rebuild(spark, tmp_path):
-    from quarry.operators import index_store as ST
-    rnd = random.Random(11)
-    vocab = list("abcdefg")
-    base = str(tmp_path / "store")
-    ST.empty_store(spark, base, buckets=8)
-    docs = {}
-    for epoch in range(3):
-        feed = []
-        for i in range(rnd.randint(3, 8)):
-            p = f"d{rnd.randint(0, 12)}.txt"
-            if p in docs and rnd.random() < 0.3:
-                feed.append((p, None, epoch, None, True)); docs.pop(p)
-            else:
-                t = " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 5)))
-                feed.append((p, t, epoch, None, False)); docs[p] = t
-        # one change per path per batch (a feed holds the latest change of a path)
-        last = {}
-        for row in feed:
-            last[row[0]] = row
-        for p, row in last.items():
-            if row[4]:
-                docs.pop(p, None)
-            else:
-                docs[p] = row[1]
-        ST.commit(spark, base, spark.createDataFrame(list(last.values()), ingest.FEED_SCHEMA), f"t-{epoch}")
-        # the same batch again changes nothing (repeatable commit)
-        ST.commit(spark, base, spark.createDataFrame(list(last.values()), ingest.FEED_SCHEMA), f"t-{epoch}")
-        state = ST.open_store(spark, base)
-        fresh = bm25.build_index(corpus_df(spark, docs)) if docs else None
-        if fresh is not None:
-            assert tables(state.index) == tables(fresh)
-        stats = spark.read.parquet(base + "/stats").first()
-        assert stats.n == len([t for t in docs.values() if t.strip()])
-
-
-
-def test_store_applies_latest_change_per_path(spark, tmp_path):
-    from quarry.operators import index_store as ST
-    base = str(tmp_path / "store")
-    ST.empty_store(spark, base, buckets=4)
-    feed = [("a.txt", "old words", 1, None, False), ("a.txt", "new words here", 3, None, False),
-            ("b.txt", "keep me", 1, None, False), ("b.txt", None, 2, None, True)]
-    ST.commit(spark, base, spark.createDataFrame(feed, ingest.FEED_SCHEMA), "dup-1")
-    state = ST.open_store(spark, base)
-    assert tables(state.index) == tables(bm25.build_index(corpus_df(spark, {"a.txt": "new words here"})))

@@ -66,14 +66,39 @@ def test_sanitise_matches_python(spark, ids):
 
 def test_invalid_regex_is_reported():
     import pytest
-    with pytest.raises(ValueError, match="invalid-pattern"):
-        java_regex("(unclosed")
+    for bad in ["(unclosed", "*.py", r"\Qa\E", "[z-a]", "a\\", "[abc", r"(?P=x)", "(?U)a"]:
+        with pytest.raises(ValueError, match="invalid-pattern"):
+            java_regex(bad)
 
 
 def test_java_regex_translation():
     assert java_regex(r"(?P<w>a)(?P=w)\Z").endswith(r"(?<w>a)\k<w>\z")
 
 
+def test_line_search_syntax(spark):
+    lines = ["A\u00c9x", "aa", "a&b", "x\\Z", "[", "a[b", "tab\tz", "\u00e9"]
+    for pattern, want in [(r"\p{Lu}{2}", 1), (r"(?<n>a)\k<n>", 1), ("[a&&b]", 4), (r"\\Z", 1), ("a[[]b", 1), ("(?a)\\w\u00e9", 0),
+                          ("[[:upper:]]", 2), (r"(?P<a_b>a)(?P=a_b)", 1), (r"[]\[]", 2), (r"\x{e9}", 1)]:
+        got = _one(spark, lambda c, p=pattern: c.rlike(java_regex(p)), lines)
+        assert sum(got) == want, (pattern, got)
+
+
+ATOMS = st.sampled_from(["a", "b", r"\d", r"\w", r"\s", ".", "[ab]", "[^a]", "[a&&b]", "[[]", r"\.", "^", "$", "(?:ab)", "(a)", r"\b", "[]x]", r"\\Z", r"\Z", r"\A"])
+PATTERNS = st.lists(st.tuples(ATOMS, st.sampled_from(["", "", "*", "+", "?", "{2}"])), min_size=1, max_size=5).map(
+    lambda xs: "".join(a + (q if a not in ("^", "$", r"\b", r"\Z", r"\A") else "") for a, q in xs))
+SUBJECTS = st.lists(st.text(alphabet=st.sampled_from(list("ab1 .&[]xZ\\\u00e9")), max_size=8), min_size=4, max_size=8)
+
+
+@settings(max_examples=40, deadline=None)
+@given(PATTERNS, SUBJECTS)
+def test_patterns_match_as_in_python(spark, pattern, subjects):
+    import warnings
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = [re.search(pattern, x) is not None for x in subjects]
+    assert _one(spark, lambda c: c.rlike(java_regex(pattern)), subjects) == want
+
+
 def test_decode_drops_invalid_bytes(spark):
     raw = [b"ok \xff\xfe text", "café".encode(), b"\xe2\x82"]
     got = _one(spark, decode_utf8_ignore, raw, "binary")

@@ -1,3 +1,6 @@
+import os
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,7 +123,45 @@ def test_vector_index_build_then_reuse(spark, tmp_path):
         name = "other"
     v3 = IX.ensure_vector_index(spark, base, c, Other())      # different embedder -> rebuild
     assert v3.count() == 3
-    assert spark.read.parquet(base + "/registry").first()["embedder"] == "other"
+    assert IX.vector_registry(spark, base)["embedder"] == "other"
+
+
+def test_vector_index_refresh_embeds_only_changes(spark, tmp_path):
+    base, log = str(tmp_path / "vi"), str(tmp_path / "log")
+    os.makedirs(log)
+
+    class Counting(ToyEmbedder):
+        def embed(self, texts):
+            for t in texts:
+                with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                    f.write(t)
+            return super().embed(texts)
+
+    def corpus(docs):
+        return spark.createDataFrame([(p, t, len(t), 1) for p, t in docs.items()], "path string, text string, size long, mtime_ns long")
+
+    IX.ensure_vector_index(spark, base, corpus(DOCS), Counting())
+    assert len(os.listdir(log)) == 3
+    docs = {k: v for k, v in DOCS.items() if k != "config.py"} | {"sorting.py": "no longer", "zz.py": "sort more"}
+    vecs = IX.ensure_vector_index(spark, base, corpus(docs), Counting())
+    assert sorted(r.id for r in vecs.collect()) == ["database.py", "sorting.py", "zz.py"]
+    seen = sorted(open(os.path.join(log, f)).read() for f in os.listdir(log))
+    assert len(seen) == 5 and "no longer" in seen and "sort more" in seen
+    q = spark.createDataFrame([("q", "sort")], "qid string, query string")
+    got = semantic_search(None, q, ToyEmbedder(), 1, vectors=vecs).first()
+    assert (got.qid, got.path) == ("q", "zz.py")
+
+
+def test_query_blocks_string_ids_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(V, "ROW_BLOCK", 7)
+    rows = [(f"v{i:02d}", [1.0, 0.0]) for i in range(40)] + [("best", [0.0, 1.0])]
+    q = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(5)] + [("other", [0.0, 1.0])], "qid string, embedding array<float>")
+    got = V.vector_search(vec_df(spark, rows).repartition(3), q, 3, dim=2).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.qid, []).append(r.id)
+    assert by == {**{f"q{i}": ["v00", "v01", "v02"] for i in range(5)}, "other": ["best", "v00", "v01"]}
 
 
 def test_replace_overwrites(spark, tmp_path):
