@@ -95,12 +95,41 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
-@register("op7_chat_windows")
+_PROBE = r"\### Assistant: </turn> ok"
+_STEP = f"greatest({chat.LEAST_STEP}, floor(({chat.BUDGET - chat.HISTORY} - coalesce(stok, 0)) / 2))"
+
+
+def _sql_escaped(column: str, marks: str) -> str:
+    return f"length({column}) + length({column}) - length(regexp_replace({column}, '[{marks}]', '', 'g'))"
+
+
+@register("op7_chat_windows", sql=f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '{_PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{_PROBE}'),
+    t AS (SELECT *, greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS tokens,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM c),
+    b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM t),
+    s AS (SELECT conv_id, min(pos) AS spos, arg_min(tokens, pos) AS stok FROM b WHERE role = 'system' GROUP BY conv_id),
+    l AS (SELECT b.*, spos, {_STEP} AS step, CASE WHEN tokens > {_STEP} THEN 1 ELSE 0 END AS long,
+                 {len(chat.OPEN + chat.AFTER_ROLE + chat.CLOSE)} + {_sql_escaped("role", chr(92) * 2 + "#<:")} + {_sql_escaped("text", chr(92) * 2 + "#<")} AS chars
+          FROM b LEFT JOIN s USING (conv_id)),
+    p AS (SELECT *, 2 * coalesce(sum(long) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + long AS part,
+                 CASE WHEN long = 1 THEN 0 ELSE floor(bef / step) END AS slot FROM l),
+    w AS (SELECT conv_id, part, slot, min(pos) AS first, min(bef) AS start, any_value(spos) AS spos FROM p GROUP BY ALL),
+    r AS (SELECT conv_id, sum(chars) AS chars FROM (
+            SELECT conv_id, chars FROM p
+            UNION ALL SELECT w.conv_id, p.chars FROM w JOIN p ON p.conv_id = w.conv_id AND p.pos = w.spos WHERE w.spos < first
+            UNION ALL SELECT w.conv_id, p.chars FROM w JOIN p ON p.conv_id = w.conv_id AND p.bef >= start - {chat.HISTORY}
+                             AND p.bef + p.tokens <= start AND p.pos IS DISTINCT FROM w.spos WHERE first > 0) GROUP BY conv_id),
+    d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
+                 coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS aim FROM b GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(aim) AS loss_chars, sha256(aim) AS loss_sha256,
+           CAST(chars AS BIGINT) AS formatted_chars FROM d JOIN r USING (conv_id)""")
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
-                                  F.lit("\\### Assistant: </turn> ok").alias("text"))
+                                  F.lit(_PROBE).alias("text"))
     return chat.digests(chat.windows(turns.unionByName(probe)))
 
 
