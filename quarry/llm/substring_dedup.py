@@ -239,14 +239,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     cols = f"doc_id {kind}, __th long, bucket long, d1 long, d2 long, first long, count long"
     every = jobs.table(src.select("doc_id", "text", "__th").mapInArrow(scan, cols), "stretches")
-    met = every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    # (Written before the join: with a plain table on either side, a hot bucket's
+    # partition can be split.)
+    met = jobs.table(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "met")
     shared = jobs.table(every.join(met, "bucket"), "shared")
     # One row per stretch text; copies are settled by their number alone.
     texts = shared.groupBy("bucket", "d1", "d2").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "__th", "first", "count")).alias("at"))
     texts = jobs.table(texts, "texts")
     copied = shared.join(texts.where("copies > 1").select("d1", "d2", "bucket"), ["bucket", "d1", "d2"])
-    sizes = texts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    sizes = jobs.table(texts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
     todo = texts.join(sizes, "bucket").select("at.*", "bucket", "k", "copies")
     listed = todo.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "count", "bucket", "k", "copies")).alias("want"))
 
