@@ -15,12 +15,23 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: What a worker process keeps between tasks of one operator; the next operator
+#: that runs in the same process drops it.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    for cache in CACHES:
+        cache.clear()
+
+
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
 def utf8_blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) with offsets[0] = 0."""
+    release()
     if pa.types.is_null(col.type):
         col = col.cast(pa.string())
     if col.null_count:

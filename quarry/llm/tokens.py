@@ -22,6 +22,8 @@ from array import array
 
 import numpy as np
 
+from quarry.llm import blocks as B
+
 CACHE_PIECES = 600_000
 JOINED = 200
 SPACE = "\u0120"  # a space in byte-level vocabularies
@@ -180,6 +182,7 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
+B.CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> PieceEncoder:

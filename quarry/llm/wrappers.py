@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quarry.llm import jobs
+from quarry.llm import blocks as B, jobs
 
 SAMPLE_PAGES = 16
 BROADCAST_CHARS = 32 << 20
@@ -347,6 +347,7 @@ def main_text(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     keep = [f for f in pages.schema if f.name not in ("html", "text")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.release()
         known: dict[str | None, list[str] | None] = {None: None}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
