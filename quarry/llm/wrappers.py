@@ -42,12 +42,13 @@ MAIN_SHARE = 0.6
 MAX_DEPTH = 200  # what is nested deeper hangs on the element at that depth
 
 # HTML element names and words of class names by their role.
-RAW = frozenset("script style noscript template iframe object svg math textarea select title xmp noembed noframes".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())  # text up to the end tag
+HOLDERS = frozenset("noscript template object svg select".split())  # elements inside, none of them main text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot
     th thead tr ul""".split())
-FURNITURE = frozenset("nav footer aside form menu dialog button head header".split()) | RAW
+FURNITURE = frozenset("nav footer aside form menu dialog button head header".split())
 FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment
     comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter
     notice notification pager pagination paywall popup promo promotion related respond search share sharing sidebar signup skip social
@@ -55,6 +56,7 @@ FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising a
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), frozenset("article-body articlebody article-content entry-content post-content main-content".split())
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "option", "optgroup"}
+ENDS_SELECT = BLOCKS - {"option", "optgroup", "hr"}
 SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
                 "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
                 "option": ({"option"}, {"select"})}
@@ -67,11 +69,11 @@ _WORD = re.compile(r"[a-z0-9-]+")
 
 class Element:
     """An element of a page: signature, tag, attributes and children (elements
-    and decoded texts)."""
-    __slots__ = ("sig", "tag", "attrs", "kids")
+    and decoded texts). ``closed`` is false if its end tag is missing."""
+    __slots__ = ("sig", "tag", "attrs", "kids", "closed")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.closed = tag, attrs, [], True
         self.sig = " ".join([tag, *(f"{k}={attrs[k]}" for k in ("class", "id", "role") if attrs.get(k))])[:120]
 
 
@@ -84,10 +86,13 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(source: str | None) -> Element:
     """Elements of a page. Unclosed paragraphs, list items and cells end where
     the next begins; an end tag closes up to its element; scripts, styles and
-    comments leave nothing."""
+    comments leave nothing. An unclosed script ends where its parent does, an
+    unclosed select where a block begins; other unclosed elements hold page text
+    (``is_dropped``)."""
     source = source or ""
     root = Element("#page", {})
     stack, at, n = [root], 0, len(source)
+    endless: set[str] = set()  # elements without an end tag from here on
 
     def text(upto: int) -> None:
         if upto > at:
@@ -112,11 +117,17 @@ def parse(source: str | None) -> Element:
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == name:
+                    stack[depth].closed = True
                     del stack[depth:]
                     break
                 if name not in BLOCKS and stack[depth].tag in BLOCKS:
                     break
             continue
+        if name in ENDS_SELECT:
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth].tag == "select":
+                    del stack[depth:]
+                    break
         if name in CLOSES_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
@@ -135,18 +146,32 @@ def parse(source: str | None) -> Element:
                         break
         el = Element(name, _attributes(m[3]))
         stack[-1].kids.append(el)
-        if name in RAW:
+        end = None
+        if name in RAW and name not in endless:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = look = end.end() if end else n
+            if end is None:
+                endless.add(name)
+        if end:
+            at = look = end.end()
+        elif name in ("script", "style"):
+            end = re.compile(rf"</{re.escape(stack[-1].tag)}\s*>", re.I).search(source, at)
+            at = look = end.start() if end else n
         elif name not in VOID and not (m[3] or "").endswith("/") and len(stack) < MAX_DEPTH:
+            el.closed = name == "select" or name not in RAW | HOLDERS
             stack.append(el)
     text(n)
     return root
 
 
+def is_dropped(el: Element) -> bool:
+    """Scripts, styles, selections and the like. Without an end tag the element
+    isn't known to hold what follows, so that stays."""
+    return el.closed and (el.tag in RAW or el.tag in HOLDERS)
+
+
 def is_furniture(el: Element) -> bool:
     """Menus, headers, notices, adverts and the like, by name alone."""
-    if el.tag in FURNITURE or el.attrs.get("role") in FURNITURE_ROLES:
+    if is_dropped(el) or el.tag in FURNITURE or el.attrs.get("role") in FURNITURE_ROLES:
         return True
     if "hidden" in el.attrs or el.attrs.get("aria-hidden") == "true" or "display:none" in el.attrs.get("style", "").replace(" ", ""):
         return True
@@ -181,7 +206,7 @@ def _fold(el: Element) -> Group:
     words = " ".join(" ".join(k.split()) for k in el.kids if isinstance(k, str)).strip()
     g.text, g.slot_chars = words, len(words)
     for kid in el.kids:
-        if isinstance(kid, Element) and kid.tag not in RAW:
+        if isinstance(kid, Element) and not is_dropped(kid):
             one = _fold(kid)
             if g.kids and g.kids[-1].sig == one.sig:
                 g.kids[-1] = _align(g.kids[-1], one)

@@ -76,3 +76,12 @@ def test_given_pages(spark, sf):
 def test_broken_markup_is_linear():
     for source in ["<a \"" * 20000, "<" * 50000, "<p" * 20000 + ">", "<div>" * 3000 + "x", "<!--" * 5000, "<script>" * 2000, "</p>" * 20000]:
         X.extract(source, None)
+
+
+@pytest.mark.parametrize("odd, want", [
+    ('<svg viewBox="0 0 1 1"/>', "A\n\nB"), ("<svg><title>t</title><text>no</text></svg>", "A\n\nB"), ("<math/>", "A\n\nB"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "A\n\nso x=2 holds\n\nB"), ("<object data=x />", "A\n\nB"),
+    ("<object data=x>", "A\n\nB"), ("<div><noscript>on</div>", "A\n\non\n\nB"), ("<noscript>no</noscript>", "A\n\nB"),
+    ("<select><option>no", "A\n\nB"), ("<textarea>", "A\n\nB"), ("<div><script>no</div>", "A\n\nB")])
+def test_unclosed_and_self_closed_elements_cut_nothing_else(odd, want):
+    assert X.extract(f"<body><article><p>A</p>{odd}<p>B</p></article><footer>F</footer></body>", None) == want
