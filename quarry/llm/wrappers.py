@@ -9,9 +9,9 @@ wrapper is inferred by aligning the streams of its pages one after another:
   subsequence of signatures),
 * texts that differ become *slots*; texts that never differ stay constants.
 
-The wrapper tells which group holds the article - the template's own article
-or main element, else the smallest group that holds most of the slots' text
-outside of links and page furniture - and each page of the host is cut along
+The wrapper tells which group holds the article - the smallest that holds all
+text of the template's own article and main elements, else the smallest that
+holds all of the slots' text outside of links and page furniture - and each page of the host is cut along
 it. Wrappers are fitted on ``SAMPLE_PAGES`` pages a host at most (by hash
 order); every page is extracted. Pages without a fitted group fall back to
 their own text.
@@ -38,7 +38,6 @@ from quarry.llm import blocks as B, jobs
 
 SAMPLE_PAGES = 16
 BROADCAST_CHARS = 32 << 20
-MAIN_SHARE = 0.6
 MAX_DEPTH = 200  # what is nested deeper hangs on the element at that depth
 
 # HTML element names and words of class names by their role.
@@ -53,6 +52,9 @@ FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising a
     comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter
     notice notification pager pagination paywall popup promo promotion related respond search share sharing sidebar signup skip social
     sponsor sponsored subscribe toolbar topbar widget widgets""".split())
+# Names beside these words that only say where a box stands ("ad-box", "site-header").
+PLACE_WORDS = frozenset("""area bar block bottom box buttons container content fixed global icons inner item left link links list
+    main outer page panel primary right secondary section site slot sticky top unit wrap wrapper""".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), frozenset("article-body articlebody article-content entry-content post-content main-content".split())
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "option", "optgroup"}
@@ -169,16 +171,24 @@ def is_dropped(el: Element) -> bool:
     return el.closed and (el.tag in RAW or el.tag in HOLDERS)
 
 
-def is_furniture(el: Element) -> bool:
-    """Menus, headers, notices, adverts and the like, by name alone."""
-    if is_dropped(el) or el.tag in FURNITURE or el.attrs.get("role") in FURNITURE_ROLES:
+def is_furniture(el: Element, within: bool = False) -> bool:
+    """Menus, headers, notices, adverts and the like, by name alone. A name
+    counts if it is furniture as a whole: 'ad-box' is, 'ad-hoc' isn't. ``within``
+    an article, header elements and names belong to it."""
+    if is_dropped(el) or el.tag in FURNITURE and not (within and el.tag == "header") or el.attrs.get("role") in FURNITURE_ROLES:
         return True
     if "hidden" in el.attrs or el.attrs.get("aria-hidden") == "true" or "display:none" in el.attrs.get("style", "").replace(" ", ""):
         return True
     names = f"{el.attrs.get('class', '')} {el.attrs.get('id', '')}"
     if names == " " or el.tag in ("body", "html", *MAIN_TAGS):
         return False
-    return any(w in FURNITURE_WORDS or any(p in FURNITURE_WORDS for p in w.split("-")) for w in _WORD.findall(names.replace("_", "-")))
+    return any(_furniture_name(w, within) for w in _WORD.findall(names.replace("_", "-")))
+
+
+def _furniture_name(name: str, within: bool) -> bool:
+    parts = [p for p in name.split("-") if p]
+    named = [p for p in parts if p in FURNITURE_WORDS and not (within and p == "header")]
+    return bool(named) and all(p in named or p in PLACE_WORDS for p in parts)
 
 
 def is_main(el: Element) -> bool:
@@ -198,16 +208,17 @@ class Group:
         self.slot_chars, self.kids = 0, []
 
 
-def _fold(el: Element) -> Group:
+def _fold(el: Element, within: bool = False) -> Group:
     """The expression of one page's element: runs of siblings of one signature
     become a repeated group."""
     g = Group(el.sig)
-    g.main, g.furniture, g.link = is_main(el), is_furniture(el), el.tag == "a"
+    g.main, g.furniture, g.link = is_main(el), is_furniture(el, within), el.tag == "a"
+    within = within or g.main and not g.furniture
     words = " ".join(" ".join(k.split()) for k in el.kids if isinstance(k, str)).strip()
     g.text, g.slot_chars = words, len(words)
     for kid in el.kids:
         if isinstance(kid, Element) and not is_dropped(kid):
-            one = _fold(kid)
+            one = _fold(kid, within)
             if g.kids and g.kids[-1].sig == one.sig:
                 g.kids[-1] = _align(g.kids[-1], one)
                 g.kids[-1].repeated = True
@@ -276,14 +287,21 @@ def main_path(wrapper: Group, pages: int) -> list[str]:
             seek(kid, [*path, kid.sig])
 
     seek(wrapper, [])
-    if found and max(found)[0]:
+    found = [f for f in found if f[0]]
+    if found:
+        shared = found[0][2]
+        for _, _, path in found[1:]:
+            same = next((i for i, (x, y) in enumerate(zip(shared, path)) if x != y), min(len(shared), len(path)))
+            shared = shared[:same]
         most = max(found)[0]
-        return max((f for f in found if f[0] >= MAIN_SHARE * most), key=lambda f: (-f[1], f[0]))[2]
+        whole = [f for f in found if f[0] == most]
+        held = sum(f[0] for f in found if not any(o is not f and f[2][:len(o[2])] == o[2] for o in found))  # by the outermost
+        return max(whole, key=lambda f: len(f[2]))[2] if most == held else shared
     path, at = [], wrapper
     total = _slot_text(wrapper, pages > 1)
     while total:
         nxt = max(at.kids, key=lambda k: _slot_text(k, pages > 1), default=None)
-        if nxt is None or nxt.repeated or _slot_text(nxt, pages > 1) < MAIN_SHARE * total:
+        if nxt is None or nxt.repeated or _slot_text(nxt, pages > 1) < total:
             break
         path, at = [*path, nxt.sig], nxt
     return path
@@ -308,21 +326,22 @@ def blocks_of(el: Element) -> list[str]:
             out.append(words)
         line.clear()
 
-    def walk(e: Element) -> None:
+    def walk(e: Element, within: bool) -> None:
+        within = within or is_main(e)
         for kid in e.kids:
             if isinstance(kid, str):
                 line.append(kid)
             elif kid.tag == "br":
                 line.append(" ")
-            elif not is_furniture(kid):
+            elif not is_furniture(kid, within):
                 block = kid.tag in BLOCKS
                 if block:
                     flush()
-                walk(kid)
+                walk(kid, within)
                 if block:
                     flush()
 
-    walk(el)
+    walk(el, False)
     flush()
     return out
 

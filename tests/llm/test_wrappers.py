@@ -85,3 +85,18 @@ def test_broken_markup_is_linear():
     ("<select><option>no", "A\n\nB"), ("<textarea>", "A\n\nB"), ("<div><script>no</div>", "A\n\nB")])
 def test_unclosed_and_self_closed_elements_cut_nothing_else(odd, want):
     assert X.extract(f"<body><article><p>A</p>{odd}<p>B</p></article><footer>F</footer></body>", None) == want
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<main><article><p>" + "a" * 60 + "</p></article><section><p>" + "b" * 40 + "</p></section></main>", ["a" * 60, "b" * 40]),
+    ("<main><header><h1>T</h1></header><article><p>a</p></article></main>", ["T", "a"]),
+    ("<article class=x><header class=header><h1>T</h1></header><p>a</p></article>", ["T", "a"]),
+    ("<div class=intro><p>" + "i" * 35 + "</p></div><div class=rest><p>" + "r" * 65 + "</p></div><footer>no</footer>", ["i" * 35, "r" * 65]),
+    ("<article class=a><p>one</p></article><article class=b><p>two</p></article><nav>no</nav>", ["one", "two"]),
+    ("<main><article><p>a</p></article><article><p>b</p></article></main>", ["a", "b"]),
+    ("<header>Site</header><div class=intro><p>i</p></div><div class=rest><p>r</p></div>", ["i", "r"]),
+    ("<article><p>a</p><p class=ad-box>no</p><p class=site-footer>no</p></article><div class=comments>no</div>", ["a"]),
+    *(f"<article><p>a</p><div class={c}><p>b</p></div></article>|a b".split("|") for c in
+      "related-work search-method notice-period social-history ad-hoc form-factor header".split())])
+def test_all_of_the_main_text(source, want):
+    assert X.extract(f"<body>{source}</body>", None) == "\n\n".join(want if isinstance(want, list) else want.split())
