@@ -99,9 +99,14 @@ def letter_values(lower: bool, salt: int = 7) -> np.ndarray:
 def prefix_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Prefix sums P of value * base**position: a range's hash is
     (P[end] - P[start]) * base**-start."""
-    pw, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(values[data] * pw[:len(data)], out=out[1:])
+    return prefix_sums(values[data])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """The same of given 64-bit values, one per position."""
+    pw, _ = powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum(values * pw[:len(values)], out=out[1:])
     return out
 
 

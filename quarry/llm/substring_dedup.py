@@ -19,6 +19,10 @@ bucket, and consecutive windows of one bucket form a *stretch* of text.
    passage in very many contexts) is not gathered: its windows become rows and
    an aggregate on their 128-bit hashes finds the repeats.
 
+Texts are read as symbols of a fixed width: bytes (:data:`BYTES`), or words
+(:data:`WORDS`, a 64-bit hash each, so that a window is ``length`` consecutive
+words whatever white space is between them).
+
 Memory per task is bounded by a block; no bucket, document set or digest list
 reaches the driver. Defined cases: null text counts as empty, texts shorter
 than ``length`` have no windows, repeated rows repeat each other, null doc_ids
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +46,49 @@ GRAM = 64
 BUCKET_STRETCHES = 2000
 SORT_BYTES = 1 << 19
 
-# A perfect difference set modulo 31 (every residue is a
-# difference of two members).
-COVER_MOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+
+
+@dataclass(frozen=True)
+class Symbols:
+    """What texts are made of: symbols of ``width`` bytes. ``modulus`` and
+    ``cover`` are a perfect difference set (every residue is a difference of two
+    members); the 64-bit keys at the ``lead`` offsets span the modulus, and one
+    key spans ``step`` symbols."""
+    width: int
+    modulus: int
+    cover: tuple[int, ...]
+    lead: tuple[int, ...]
+    step: int
+
+    def array(self, raw) -> np.ndarray:
+        return np.frombuffer(raw, dtype=np.uint8 if self.width == 1 else np.uint64)
+
+    def values(self, text: np.ndarray, salt: int = 7) -> np.ndarray:
+        """A 64-bit value of each symbol, to be hashed."""
+        return B.letter_values(False, salt)[text] if self.width == 1 else B.mix64(text + np.uint64(salt))
+
+    def keys(self, text: np.ndarray) -> np.ndarray:
+        """The ``step`` symbols from each position as one number."""
+        if self.width > 1:
+            return text
+        out = np.zeros(len(text) - 8, dtype=np.uint64)
+        for i in range(8):
+            out = (out << np.uint64(8)) | text[i:len(text) - 8 + i]
+        return out
+
+    def shifts(self) -> np.ndarray:
+        """For each difference r a member d of the cover with d + r also in it."""
+        out = np.full(self.modulus, -1)
+        for d in self.cover:
+            for e in self.cover:
+                out[(e - d) % self.modulus] = d
+        assert (out >= 0).all()
+        return out
+
+
+# Perfect difference sets modulo 31 and modulo 7.
+BYTES = Symbols(1, 31, (1, 5, 11, 24, 25, 27), (0, 8, 16, 24), 8)
+WORDS = Symbols(8, 7, (1, 2, 4), (0, 1, 2, 3, 4, 5, 6), 1)
 
 _KEY = "doc_id", "__th"
 
@@ -59,14 +103,14 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n - w + 1], ahead[w - 1:n])
 
 
-def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM, kind: Symbols = BYTES):
     """(row, first window, number of windows, bucket) of every stretch of a
-    block; window positions count from the start of the block."""
+    block of symbols; window positions count from the start of the block."""
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
         return none, none, none, np.zeros(0, np.uint64)
-    prefix = B.prefix_hash(data, B.letter_values(False))
+    prefix = B.prefix_sums(kind.values(data))
     _, inv = B.powers(len(prefix))
     m = len(data) - gram + 1
     h = B.mix64((prefix[gram:] - prefix[:-gram]) * inv[:m])
@@ -103,28 +147,10 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: in
     return row[lo], lo, hi - lo + 1, low[lo]
 
 
-def _cover_table() -> np.ndarray:
-    """For each difference r a member d of the cover with d + r also in it."""
-    out = np.full(COVER_MOD, -1)
-    for d in COVER:
-        for e in COVER:
-            out[(e - d) % COVER_MOD] = d
-    assert (out >= 0).all()
-    return out
-
-
-def _words(text: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one big-endian number."""
-    out = np.zeros(len(text) - 8, dtype=np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | text[i:len(text) - 8 + i]
-    return out
-
-
-def _group_ids(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the positions by their first 32 bytes, and which of the ordered
-    start a new 32-byte string."""
-    cols = [words[at + 8 * i] for i in range(4)]
+def _group_ids(words: np.ndarray, at: np.ndarray, kind: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the positions by their leading keys, and which of the ordered
+    start a new string of them."""
+    cols = [words[at + i] for i in kind.lead]
     order = np.lexsort(cols[::-1])
     new = np.zeros(len(at), dtype=bool)
     new[:1] = True
@@ -134,16 +160,16 @@ def _group_ids(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, new
 
 
-def sample_ranks(words: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """Ranks of the difference-cover suffixes of a text of ``size`` bytes by
-    their first ``depth`` bytes at least, at their positions (0 elsewhere).
+def sample_ranks(words: np.ndarray, size: int, depth: int, kind: Symbols = BYTES) -> np.ndarray:
+    """Ranks of the difference-cover suffixes of a text of ``size`` symbols by
+    their first ``depth`` symbols at least, at their positions (0 elsewhere).
     Ranks double their depth each round: two suffixes a multiple of the modulus
     apart are both in the sample."""
-    at = np.concatenate([np.arange(d, size, COVER_MOD) for d in COVER])
-    order, new = _group_ids(words, at)
-    rank = np.zeros(size + depth + 2 * COVER_MOD, dtype=np.int64)
+    at = np.concatenate([np.arange(d, size, kind.modulus) for d in kind.cover])
+    order, new = _group_ids(words, at, kind)
+    rank = np.zeros(size + depth + 2 * kind.modulus, dtype=np.int64)
     rank[at[order]] = np.cumsum(new)
-    step, top = COVER_MOD, int(new.sum())
+    step, top = kind.modulus, int(new.sum())
     while step < depth and top < len(at):
         key = rank[at] * np.int64(len(at) + 1) + np.where(at + step < size, rank[np.minimum(at + step, size)], 0)
         vals, inverse = np.unique(key, return_inverse=True)
@@ -152,11 +178,11 @@ def sample_ranks(words: np.ndarray, size: int, depth: int) -> np.ndarray:
     return rank
 
 
-def _settle_ties(at: np.ndarray, first: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _settle_ties(at: np.ndarray, first: np.ndarray, size: np.ndarray, rank: np.ndarray, kind: Symbols) -> np.ndarray:
     """Sort each tie group (laid end to end; ``first`` and ``size`` per entry)
     by suffix order with Batcher's merge exchange, all groups at once: a
     comparison of two suffixes is one of two sample ranks."""
-    table = _cover_table()
+    table = kind.shifts()
     x = np.arange(len(at)) - first
     most = int(size.max(initial=0))
     p = 1
@@ -166,7 +192,7 @@ def _settle_ties(at: np.ndarray, first: np.ndarray, size: np.ndarray, rank: np.n
             lead = k % p
             left = np.flatnonzero((x >= lead) & ((x - lead) % (2 * k) < k) & (x + k < size) & (x // (2 * p) == (x + k) // (2 * p)))
             a, b = at[left], at[left + k]
-            shift = (table[(b - a) % COVER_MOD] - a) % COVER_MOD
+            shift = (table[(b - a) % kind.modulus] - a) % kind.modulus
             swap = rank[a + shift] > rank[b + shift]
             at[left[swap]], at[left[swap] + k] = b[swap], a[swap]
             k //= 2
@@ -174,16 +200,17 @@ def _settle_ties(at: np.ndarray, first: np.ndarray, size: np.ndarray, rank: np.n
     return at
 
 
-def repeated_windows(texts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, which of its first ``counts`` windows of ``length`` bytes
-    equal another window of the block."""
-    size = sum(map(len, texts))
-    text = np.frombuffer(b"".join(texts) + bytes(length + 64), dtype=np.uint8)
-    starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
+def repeated_windows(texts: list[bytes], counts: np.ndarray, length: int = LENGTH, kind: Symbols = BYTES) -> list[np.ndarray]:
+    """For each text, which of its first ``counts`` windows of ``length``
+    symbols equal another window of the block."""
+    sizes = [len(t) // kind.width for t in texts]
+    size = sum(sizes)
+    text = kind.array(b"".join(texts) + bytes((length + 64) * kind.width))
+    starts = np.cumsum([0] + sizes[:-1])
     ends = np.cumsum(counts)
     at = np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
-    words = _words(text)
-    order, new = _group_ids(words, at)
+    words = kind.keys(text)
+    order, new = _group_ids(words, at, kind)
     sorted_at = at[order]
     group_first = np.flatnonzero(new)
     group_size = np.diff(np.append(group_first, len(at)))
@@ -193,13 +220,13 @@ def repeated_windows(texts: list[bytes], counts: np.ndarray, length: int = LENGT
         sub = sorted_at[tied]
         gs = group_size[group_size > 1]
         gf = np.cumsum(gs) - gs
-        rank = sample_ranks(words, size, length + COVER_MOD)
-        sub = _settle_ties(sub.copy(), np.repeat(gf, gs), np.repeat(gs, gs), rank)
+        rank = sample_ranks(words, size, length + kind.modulus, kind)
+        sub = _settle_ties(sub.copy(), np.repeat(gf, gs), np.repeat(gs, gs), rank, kind)
         pair = np.ones(len(sub), dtype=bool)
         pair[gf] = False
         i = np.flatnonzero(pair)
-        for off in range(0, length, 8):
-            off = min(off, length - 8)
+        for off in range(0, length, kind.step):
+            off = min(off, length - kind.step)
             i = i[words[sub[i] + off] == words[sub[i - 1] + off]]
         hit[sub[i]] = True
         hit[sub[i - 1]] = True
@@ -212,23 +239,27 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.withColumn("__th", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, __th, lo, hi): byte ranges of documents covered by a repeated
-    ``length``-byte string; __th is xxhash64 of the text."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES, gram: int = GRAM) -> DataFrame:
+    """(doc_id, __th, lo, hi): symbol ranges of documents covered by a repeated
+    string of ``length`` symbols; __th is xxhash64 of the text. With
+    :data:`WORDS` the text column holds word hashes (:func:`word_codes`)."""
     spark = docs.sparkSession
     jobs.prepare(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    src = _keyed(docs.select("doc_id", "text"))
+    width = symbols.width
+    src = docs.select(*_KEY, "text") if "__th" in docs.columns else _keyed(docs.select("doc_id", "text"))
+    src = src.select("doc_id", "text", "__th")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in B.utf8_blocks(batch.column(1)):
-                row, first, count, bucket = stretches(data, offs, length)
                 raw = memoryview(data)
-                digest = b"".join(hashlib.blake2b(raw[s:s + c + length - 1], digest_size=16).digest()
+                data, offs = symbols.array(raw), offs // width
+                row, first, count, bucket = stretches(data, offs, length, gram, symbols)
+                digest = b"".join(hashlib.blake2b(raw[s * width:(s + c + length - 1) * width], digest_size=16).digest()
                                   for s, c in zip(first.tolist(), count.tolist()))
                 d = np.frombuffer(digest, dtype=np.int64).reshape(-1, 2)
                 take = pa.array(row + lo)
@@ -247,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = shared.groupBy("bucket", "d1", "d2").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "__th", "first", "count")).alias("at"))
     texts = jobs.table(texts, "texts")
-    copied = shared.join(texts.where("copies > 1").select("d1", "d2", "bucket"), ["bucket", "d1", "d2"])
+    copied = shared.join(texts.where("copies > 1"), ["bucket", "d1", "d2"], "left_semi")
     sizes = jobs.table(texts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
     todo = texts.join(sizes, "bucket").select("at.*", "bucket", "k", "copies")
     listed = todo.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "count", "bucket", "k", "copies")).alias("want"))
@@ -262,7 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 take = pa.array(np.full(len(want), i))
                 yield pa.record_batch(
                     [ids.take(take), ths.take(take)] + [pa.array([w[c] for w in want], pa.int64()) for c in ("first", "count", "bucket", "k", "copies")]
-                    + [pa.array([text[w["first"]:w["first"] + w["count"] + length - 1] for w in want], pa.binary())],
+                    + [pa.array([text[w["first"] * width:(w["first"] + w["count"] + length - 1) * width] for w in want], pa.binary())],
                     names=["doc_id", "__th", "first", "count", "bucket", "k", "copies", "part"])
 
     def bundle(rows):
@@ -297,7 +328,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if not tab.num_rows:
                 return
             first, count, copies = (tab[c].to_numpy() for c in ("first", "count", "copies"))
-            flags = repeated_windows(tab["part"].to_pylist(), count, length)
+            flags = repeated_windows(tab["part"].to_pylist(), count, length, symbols)
             ids, ths = tab["doc_id"].combine_chunks(), tab["__th"].combine_chunks()
             for i, f in enumerate(flags):
                 if copies[i] == 1 and f.any():
@@ -324,10 +355,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in B.utf8_blocks(batch.column(7), 1 << 18):
+                data, offs = symbols.array(memoryview(data)), offs // width
                 count = batch.column(3).to_numpy()[lo:hi]
                 at = np.arange(count.sum()) + np.repeat(offs[:-1] - (np.cumsum(count) - count), count)
                 row = np.repeat(np.arange(lo, hi), count)
-                hashes = [B.as_long(B.range_hash(B.prefix_hash(data, B.letter_values(False, s)), at, at + length)) for s in (7, 8)]
+                hashes = [B.as_long(B.range_hash(B.prefix_sums(symbols.values(data, s)), at, at + length)) for s in (7, 8)]
                 take = pa.array(row)
                 yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take),
                                        pa.array(batch.column(2).to_numpy()[row] + at - offs[row - lo]),
@@ -353,38 +385,74 @@ def merge_spans(pairs: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, replace: bool = False) -> DataFrame:
+def word_codes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, __th): each text as the 64-bit hashes of its words (runs of
+    bytes other than 0x20 and 0x09-0x0D), laid end to end; __th is the key of the
+    text itself."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in B.utf8_blocks(batch.column(1)):
+                starts, ends, rows = B.word_spans(data, offs, B.space_words())
+                h = B.range_hash(B.prefix_hash(data, B.letter_values(False)), starts, ends)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), B.binary_column(h, 8 * B.row_bounds(rows, hi - lo)),
+                                       batch.column(2).slice(lo, hi - lo)], names=["doc_id", "text", "__th"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _keyed(docs.select("doc_id", "text")).mapInArrow(code, f"doc_id {kind}, text binary, __th long")
+
+
+def _byte_runs(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as the bytes from the first word's start to the last one's end."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    starts, ends, _ = B.word_spans(data, np.array([0, len(data)]), B.space_words())
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in runs]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, replace: bool = False, words: int | None = None) -> DataFrame:
     """The documents' columns plus kept (binary: the text's bytes that no
-    repeated string covers), spans (the removed byte runs) and n_bytes. With
-    ``replace``, only the documents' columns: text becomes the kept bytes,
-    without the pieces of a character that a cut left (null stays null)."""
+    repeated string covers), spans (the removed byte runs) and n_bytes; input
+    columns of these names give way to them. With ``replace``, only the
+    documents' columns: text becomes the kept bytes, without the pieces of a
+    character that a cut left (null stays null). With ``words``, strings are that
+    many consecutive words in place of ``length`` bytes, and the white space
+    between two covered words goes with them."""
+    if not replace:
+        docs = docs.drop("kept", "spans", "n_bytes")
     src = _keyed(docs)
-    spans = jobs.table(repeated_spans(docs, length), "spans")
+    if words:
+        found = repeated_spans(word_codes(docs), words, WORDS, max(1, words // 6))
+    else:
+        found = repeated_spans(docs, length)
+    spans = jobs.table(found, "spans")
     per = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("__cut"))
     joined = src.join(per, jobs.same(src, per, *_KEY), "left").select(*[src[c] for c in docs.columns], "__cut")
     names = [f.name for f in docs.schema]
     text_at = names.index("text")
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
+        """(text, kept bytes, removed byte runs) of each row."""
+        raw = batch.column(text_at).cast(pa.binary())
+        for text, pairs in zip(raw.to_pylist(), batch.column(len(names)).to_pylist()):
+            text = text or b""
+            runs = merge_spans(pairs or [])
+            if runs and words:
+                runs = _byte_runs(text, runs)
+            edges = [0, *[e for r in runs for e in r], len(text)]
+            yield text, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else text, runs
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         for batch in batches:
-            raw = batch.column(text_at).cast(pa.binary())
-            kept, spans_out, sizes = [], [], []
-            for text, pairs in zip(raw.to_pylist(), batch.column(len(names)).to_pylist()):
-                text = text or b""
-                runs = merge_spans(pairs or [])
-                edges = [0, *[e for r in runs for e in r], len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else text)
-                spans_out.append([{"lo": a, "hi": b} for a, b in runs])
-                sizes.append(len(text))
-            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.record_batch([*batch.columns[:len(names)], pa.array(kept, pa.binary()), pa.array(spans_out, kind), pa.array(sizes, pa.int64())],
+            rows = list(pieces(batch))
+            yield pa.record_batch([*batch.columns[:len(names)], pa.array([kept for _, kept, _ in rows], pa.binary()),
+                                   pa.array([[{"lo": a, "hi": b} for a, b in runs] for _, _, runs in rows], kind),
+                                   pa.array([len(text) for text, _, _ in rows], pa.int64())],
                                   names=[*names, "kept", "spans", "n_bytes"])
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches):
+        for batch in batches:
             known = batch.column(text_at).is_valid().to_pylist()
-            text = pa.array([kept.decode("utf-8", "ignore") if k else None
-                             for kept, k in zip(batch.column(len(names)).to_pylist(), known)], pa.string())
+            text = pa.array([kept.decode("utf-8", "ignore") if k else None for (_, kept, _), k in zip(pieces(batch), known)], pa.string())
             yield pa.record_batch([*batch.columns[:text_at], text, *batch.columns[text_at + 1:len(names)]], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,38 @@ def test_window_rows_for_hot_buckets(odd_docs, monkeypatch):
 
 def test_empty_table(no_docs):
     assert S.remove_repeats(no_docs).count() == 0
+    assert S.remove_repeats(no_docs, words=50).count() == 0
+
+
+def brute_words(texts, words):
+    """What is left of each text without its repeated strings of words."""
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    grams = lambda t, sp: [tuple(t[a:b] for a, b in sp[i:i + words]) for i in range(len(sp) - words + 1)]
+    seen = Counter(g for t, sp in zip(texts, spans) for g in grams(t, sp))
+    out = []
+    for t, sp in zip(texts, spans):
+        hit = {j for i, g in enumerate(grams(t, sp)) if seen[g] > 1 for j in range(i, i + words)}
+        gone = bytearray(len(t))
+        for j in hit:   # a covered word, and the white space up to a covered next one
+            a, b = sp[j][0], sp[j + 1][0] if j + 1 in hit else sp[j][1]
+            gone[a:b] = b"\x01" * (b - a)
+        out.append(bytes(x for x, y in zip(t, gone) if not y))
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_words_of_odd_documents(odd_docs, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(S, "BUCKET_STRETCHES", 1)
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in odd_docs.collect()]
+    want = sorted((i is None, i or 0, k) for (i, _), k in zip(rows, brute_words([t for _, t in rows], 50)))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["kept"])) for r in S.remove_repeats(odd_docs, words=50).collect()) == want
+
+
+def test_columns_named_like_the_output(spark):
+    docs = spark.createDataFrame([(1, "x" * 500, 7, 8), (2, "x" * 500, 7, 8)], "doc_id long, text string, kept int, spans int")
+    assert [bytes(r["kept"]) for r in S.remove_repeats(docs).collect()] == [b"", b""]
+    assert [(r["kept"], r["spans"], r["text"]) for r in S.remove_repeats(docs, replace=True).collect()] == [(7, 8, "")] * 2
 
 
 def test_given_documents(spark):
