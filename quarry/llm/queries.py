@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import chat, cover_tree, decontaminate, jobs, licenses, minhash_dedup, orc_tokens, packing, quality, substring_dedup, wrappers
+from quarry.llm import (chat, cover_tree, decontaminate, exact_dedup, importance, jobs, licenses, minhash_dedup, orc_tokens, packing, quality,
+                        substring_dedup, vector_codes, wrappers)
 from quarry.llm.registry import read, register
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -158,6 +159,69 @@ def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@register("op11_exact_dedup", sql=r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM n""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def _crc_steps() -> list[int]:
+    """CRC-32 of each single byte, from the polynomial."""
+    return importance.crc().step.tolist()
+
+
+@register("op12_importance_resampling", sql=f"""
+    WITH w AS (SELECT row_number() OVER () AS row, doc_id, {_sql_words("coalesce(text, '')", _ALNUM)} AS ws FROM documents),
+    i AS (SELECT {_sql_words("coalesce(text, '')", _ALNUM)} AS ws FROM benchmark),
+    g AS (SELECT row, array_to_string(ws[a:a + n - 1], ' ') AS f, count(*) AS c FROM w, range(1, 4) o(n), unnest(range(1, len(ws) - n + 2)) u(a) GROUP BY ALL),
+    j AS (SELECT array_to_string(ws[a:a + n - 1], ' ') AS f, count(*) AS c FROM i, range(1, 4) o(n), unnest(range(1, len(ws) - n + 2)) u(a) GROUP BY ALL),
+    d AS (SELECT f, hex(f) AS h FROM (SELECT f FROM g UNION SELECT f FROM j)),
+    k AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda p: CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT))),
+              lambda r, b: xor(r >> 8, {_crc_steps()}[(xor(r, b) & 255) + 1])), 4294967295) % 10000 AS b FROM d),
+    s AS (SELECT b, sum(c) AS s FROM g JOIN k USING (f) GROUP BY b),
+    t AS (SELECT b, sum(c) AS t FROM j JOIN k USING (f) GROUP BY b),
+    z AS (SELECT (SELECT sum(s) FROM s)::DOUBLE + 10000 AS s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000 AS t),
+    v AS (SELECT s.b, floor(1000 * ln((coalesce(t.t, 0)::DOUBLE + 1) * z.s / ((s.s::DOUBLE + 1) * z.t))) AS gain FROM s LEFT JOIN t USING (b), z),
+    q AS (SELECT row, sum(c * gain) AS weight, sum(c) AS n FROM g JOIN k USING (f) JOIN v USING (b) GROUP BY row),
+    e AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN q USING (row)),
+    r AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score FROM e),
+    l AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM r)
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+           CASE WHEN n_words >= 20 AND rank <= 5 * n // 100 THEN rank END AS rank FROM l""")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _sql_codes(parts: int, entries: int, rounds: int) -> str:
+    """The same rounds as plain SQL: every part against every entry."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    x AS MATERIALIZED (SELECT row, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) t(p)),
+    b0 AS MATERIALIZED (SELECT p, e, x AS c FROM x JOIN (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < {entries}) USING (row))"""]
+    nearest = """SELECT row, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+          SELECT row, x.p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN b{r} b ON x.p = b.p) GROUP BY row, p"""
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({nearest.format(r=r)}),
+    b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m, c) AS c FROM b{r} b LEFT JOIN (
+          SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+            SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM x JOIN a{r} USING (row, p), range(1, 2000) t(i) WHERE i <= len(x) GROUP BY p, e, i) GROUP BY p, e) u USING (p, e))""")
+    steps.append(f"a{rounds} AS MATERIALIZED ({nearest.format(r=rounds)})")
+    steps.append(f"""o AS (SELECT row, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM b{rounds})""")
+    return "WITH " + ",\n    ".join(steps) + """
+    SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM v JOIN o USING (row), h"""
+
+
+@register("op13_pivot_vector_codes", sql=_sql_codes(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS))
+def op13_pivot_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return codes.rows.withColumn("codebooks_sha256", F.lit(codes.sha256()))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -39,7 +39,7 @@ def test_no_cross_join_in_the_last_plan(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["op5_license_scan", "op7_chat_windows"])
+@pytest.mark.parametrize("name", ["op5_license_scan", "op7_chat_windows", "op11_exact_dedup"])
 def test_native_operators_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "MapInArrow", "Pandas", "FlatMapGroups"))
