@@ -74,6 +74,10 @@ class Bm25Index:
             self.doc_stats = with_path_ordinal(self.lengths)
         return self.doc_stats
 
+    def leading(self, n: int) -> DataFrame:
+        """(path, prank) of the first ``n`` documents in path order."""
+        return self.ordinal().select("path", "prank").filter(F.col("prank") <= F.lit(n))
+
     @classmethod
     def from_forward(cls, forward: DataFrame) -> "Bm25Index":
         """Postings, lengths and term statistics of a forward table."""
@@ -279,7 +283,7 @@ def leading_paths(index: Bm25Index, n: int) -> DataFrame:
     """(path, prank) of the first ``n`` documents in path order. A literal
     bound: on a stored index (sorted by prank) the filter is pushed into the
     scan and skips all but the first row groups."""
-    return index.ordinal().select("path", "prank").filter(F.col("prank") <= F.lit(n))
+    return index.leading(n)
 
 
 def _nonzero(scored: DataFrame, digits: int) -> DataFrame:

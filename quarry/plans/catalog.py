@@ -46,6 +46,7 @@ def load_all() -> None:
         queries_runs,
         queries_experiments,
         queries_index,
+        queries_segments,
         queries_misc,
     )
 
