@@ -7,8 +7,9 @@ join on path) by metadata alone:
 * ``added``    - only in the current listing,
 * ``removed``  - only in the previous manifest,
 * ``unchanged`` - same ``mtime_ns`` and ``size`` (or same hash with
-  ``compare="hash"``) and its postings are there (or it has none to have),
-* ``repaired`` - unchanged on disk but its postings are missing,
+  ``compare="hash"``) and its postings are all there (or it has none to have),
+* ``repaired`` - unchanged on disk but some of its postings are missing: the
+  counts that the postings table holds don't add up to the document's length,
 * ``changed``  - anything else.
 
 Texts are read of added, changed and repaired documents only (few of them are
@@ -95,6 +96,13 @@ def diff(prev_manifest: DataFrame, current: DataFrame, have_tokens: DataFrame,
     return j.select("path", status.alias("status"))
 
 
+def intact(index: bm25.Bm25Index) -> DataFrame:
+    """(path) of the documents whose postings are all there: their counts add
+    up to the document's length."""
+    held = index.postings.groupBy("path").agg(F.sum("tf").alias("_held"))
+    return index.lengths.join(held, "path").where("dl = _held").select("path")
+
+
 def _term_stats_from_df(df: DataFrame, lengths: DataFrame) -> DataFrame:
     n, _ = bm25.corpus_stats(lengths)
     raw = df.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -103,7 +111,7 @@ def _term_stats_from_df(df: DataFrame, lengths: DataFrame) -> DataFrame:
                       .otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def _touched(corpus: DataFrame, changes: DataFrame) -> DataFrame | None:
+def touched_rows(corpus: DataFrame, changes: DataFrame) -> DataFrame | None:
     """The corpus rows to read again; None if there are none. Few paths become
     a filter of the scan, many a semi-join."""
     touched = changes.filter(F.col("status").isin(*TOUCHED)).select("path")
@@ -131,8 +139,8 @@ def refresh(prev: KeywordIndexState, corpus: DataFrame, config: dict | None = No
         cur = cur.join(corpus.select("path", content_hash("text").alias("hash")), "path")
     # The change table feeds the fresh build, the dropped postings, the df
     # deltas and the manifest: computed once (one row per path).
-    changes = cut_lineage(diff(prev.manifest, cur, prev.index.lengths.select("path"), compare))
-    new_docs = _touched(corpus, changes)
+    changes = cut_lineage(diff(prev.manifest, cur, intact(prev.index), compare))
+    new_docs = touched_rows(corpus, changes)
     fresh = read = None
     if new_docs is not None:
         # One pass tokenises the touched documents, one hashes them.
@@ -151,6 +159,11 @@ def _apply(prev: KeywordIndexState, changes: DataFrame, fresh: bm25.Bm25Index |
     old = prev.index.postings.select("term", "path", "dl", "tf")
     postings = old.join(gone, "path", "left_anti").select("term", "path", "dl", "tf")
     lengths = prev.index.lengths.join(gone, "path", "left_anti")
+    if changes.filter("status = 'repaired'").limit(1).count():
+        # What lost postings had counted can't be told from those left: count anew.
+        postings = postings.unionByName(fresh.postings)
+        lengths = lengths.unionByName(fresh.lengths)
+        return bm25.Bm25Index(postings, None, bm25.term_stats_of(postings, lengths), lengths)
     # Document frequency: previous df - postings dropped + postings added.
     minus = old.join(gone, "path", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_minus"))
     df = prev.index.term_stats.select("term", "df").join(minus, "term", "full_outer")
@@ -193,7 +206,7 @@ _UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "
                "is not a Parquet file", "CANNOT_MERGE_SCHEMAS")
 
 
-def _or_none(read):
+def or_none(read):
     """The result of ``read``; None where the files are missing or corrupt. Any
     other failure (network, memory, code) is raised."""
     try:
@@ -208,12 +221,12 @@ def _or_none(read):
 
 def current_version(spark: SparkSession, base: str) -> str | None:
     """Folder of the version saved last."""
-    row = _or_none(lambda: spark.read.schema("version string, at long").parquet(f"{base}/current")
+    row = or_none(lambda: spark.read.schema("version string, at long").parquet(f"{base}/current")
                    .orderBy(F.desc("at"), "version").first())
     return f"{base}/{row['version']}" if row is not None else None
 
 
-def _publish(spark: SparkSession, base: str, version: str) -> None:
+def publish(spark: SparkSession, base: str, version: str) -> None:
     (spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1)
      .write.mode("append").parquet(f"{base}/current"))
 
@@ -227,7 +240,7 @@ def write_state(state: KeywordIndexState, base: str) -> KeywordIndexState:
     idx = state.index.write(f"{folder}/index", mode="errorifexists")
     (spark.createDataFrame([(json.dumps(state.config, sort_keys=True),)], "config string")
      .write.parquet(f"{folder}/config"))
-    _publish(spark, base, version)
+    publish(spark, base, version)
     return KeywordIndexState(spark.read.schema(schemas.MANIFEST).parquet(f"{folder}/manifest"), idx, state.config)
 
 
@@ -243,7 +256,7 @@ def read_state(spark: SparkSession, base: str) -> KeywordIndexState:
         manifest = spark.read.schema(schemas.MANIFEST).parquet(f"{folder}/manifest")
         return KeywordIndexState(manifest, bm25.read_index(spark, f"{folder}/index"), cfg)
 
-    state = _or_none(read) if folder else None
+    state = or_none(read) if folder else None
     return state if state is not None else empty_state(spark)
 
 
@@ -260,7 +273,7 @@ def drop_old_versions(spark: SparkSession, base: str) -> int:
 def vector_registry(spark: SparkSession, base: str) -> dict | None:
     """embedder, dimension and version of the stored vector index."""
     folder = current_version(spark, base)
-    row = _or_none(lambda: spark.read.parquet(f"{folder}/registry").first()) if folder else None
+    row = or_none(lambda: spark.read.parquet(f"{folder}/registry").first()) if folder else None
     return row.asDict() if row is not None else None
 
 
@@ -285,7 +298,7 @@ def ensure_vector_index(spark: SparkSession, base: str, corpus: DataFrame, embed
     reg = vector_registry(spark, base) if folder else None
     kept = stored = None
     if reg is not None and (reg["embedder"], reg["dimension"], reg["version"]) == want:
-        stored = _or_none(lambda: spark.read.parquet(f"{folder}/vectors"))
+        stored = or_none(lambda: spark.read.parquet(f"{folder}/vectors"))
     if stored is not None:
         before = spark.read.schema("path string, stamp string").parquet(f"{folder}/manifest")
         change = cut_lineage(before.withColumnRenamed("stamp", "old").join(now, "path", "full_outer")
@@ -303,5 +316,5 @@ def ensure_vector_index(spark: SparkSession, base: str, corpus: DataFrame, embed
     now.write.parquet(f"{base}/{version}/manifest")
     (spark.createDataFrame([want], "embedder string, dimension int, version int")
      .write.parquet(f"{base}/{version}/registry"))
-    _publish(spark, base, version)
+    publish(spark, base, version)
     return spark.read.parquet(f"{base}/{version}/vectors")

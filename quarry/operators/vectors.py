@@ -10,6 +10,7 @@ or computed again, and a block's lists are written before the next is taken.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +38,36 @@ def append_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
     return index.unionByName(new)
 
 
+def _stored_version(spark, path: str) -> str | None:
+    """Folder of the contents saved last; the pointer rows lie in a folder that
+    readers of ``path`` itself pass over."""
+    from quarry.operators.index import current_version
+    named = current_version(spark, f"{path}/_store")
+    return f"{path}/version={named.rsplit('/', 1)[1]}" if named else None
+
+
 def save_vectors(index: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``overwrite`` replaces the index content, ``append`` adds to it."""
-    index.write.mode(mode).parquet(path)
+    """``overwrite`` replaces the index content, ``append`` adds to it. Each
+    content is a version folder named by a pointer row, so an index can be
+    loaded, changed and saved to the folder it came from."""
+    from quarry.operators.index import publish
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    spark = index.sparkSession
+    folder = _stored_version(spark, path) if mode == "append" else None
+    if folder:
+        index.write.mode("append").parquet(folder)
+        return
+    version = f"v-{uuid.uuid4().hex}"
+    index.write.parquet(f"{path}/version={version}")
+    publish(spark, f"{path}/_store", version)
 
 
 def load_vectors(spark, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(_stored_version(spark, path) or path)
     # The id/vector count check of a positional store becomes "no null id or vector".
     return df.withColumn("id", F.when(F.col("id").isNotNull() & F.col("embedding").isNotNull(), F.col("id"))
-                         .otherwise(F.raise_error(F.lit("identifier count does not match index entries"))))
+                         .otherwise(F.raise_error(F.lit("a stored row lacks its id or its vector"))))
 
 
 def _normalise(mat: np.ndarray) -> np.ndarray:
@@ -56,8 +77,8 @@ def _normalise(mat: np.ndarray) -> np.ndarray:
 def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[list, np.ndarray]]:
     """Blocks of query ids and normalised vectors, one in memory at a time."""
     ids, rows = [], []
-    for r in queries.select("qid", "embedding").toLocalIterator():
-        if r[1] is None or len(r[1]) != dim:
+    for r in queries.select("qid", "embedding").where("embedding is not null").toLocalIterator():
+        if len(r[1]) != dim:
             raise ValueError(f"vector dimension mismatch: expected {dim}")
         ids.append(r[0])
         rows.append(np.asarray(r[1], dtype=np.float64))
@@ -85,8 +106,6 @@ def _partial_topk_fn(qids, qmat_bc, k: int, dim: int, qid_type, id_type):
             for lo in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(lo, ROW_BLOCK)
                 emb = part.column(1)
-                if emb.null_count:
-                    raise ValueError("null embedding")
                 offsets = np.asarray(emb.offsets)
                 if not np.all(np.diff(offsets) == dim):
                     raise ValueError(f"vector dimension mismatch: expected {dim}")
@@ -115,11 +134,12 @@ def _partial_topk_fn(qids, qmat_bc, k: int, dim: int, qid_type, id_type):
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int | None = None,
                   id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(qid, id, score, rank): cosine of normalised vectors, score descending,
-    ties by id; at most k per query (fewer when the index is smaller)."""
+    ties by id; at most k per query (fewer when the index is smaller). Rows and
+    queries without a vector take no part; one of another length is an error."""
     if k <= 0:
         raise ValueError(f"topk must be positive, received {k}")
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")).where("embedding is not null")
     if dim is None:
         first = v.select(F.size("embedding")).first()
         if first is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
+from quarry.operators import pivots
 from quarry.operators.index import ensure_vector_index, vector_registry
 from quarry.operators.semantic import HashingEmbedder, semantic_search
 from quarry.operators.vectors import append_vectors, build_vectors, load_vectors, save_vectors, vector_search
@@ -174,3 +175,37 @@ def a8_vector_store_round_trip(spark, sf_dir):
     save_vectors(build_vectors(emb.filter(F.col("label") < 5), DIM, id_col="vec_id"), path)
     save_vectors(build_vectors(emb, DIM, id_col="vec_id"), path, mode="overwrite")
     return _search(spark, sf_dir, 10, load_vectors(spark, path))
+
+
+@register("a8_vector_store_in_place", _sql_topk(10))
+def a8_vector_store_in_place(spark, sf_dir):
+    """An index loaded, added to and saved to the folder it came from."""
+    emb = build_vectors(table(spark, sf_dir, "embeddings"), DIM, id_col="vec_id")
+    path = scratch_path(spark, "vectors")
+    save_vectors(emb.where("id % 3 = 0"), path)
+    save_vectors(append_vectors(load_vectors(spark, path), emb.where("id % 3 = 1")), path)
+    save_vectors(emb.where("id % 3 = 2"), path, mode="append")
+    return _search(spark, sf_dir, 10, load_vectors(spark, path))
+
+
+def _pivot_search(spark, sf_dir, queries, k):
+    emb = table(spark, sf_dir, "embeddings")
+    index = pivots.build(emb, scratch_path(spark, "pivots"), DIM, id_col="vec_id")
+    return pivots.search(index, queries(emb), k).hits
+
+
+@register("k4_pivot_topk", _sql_topk(10))
+def k4_pivot_topk(spark, sf_dir):
+    """The label queries over stored pivot partitions."""
+    return _pivot_search(spark, sf_dir, label_queries, 10)
+
+
+@register("c5_every_vector_topk", f"""WITH {SQL_NORMED},
+scored AS (SELECT a.vec_id AS qid, n.vec_id AS id, round(list_sum(list_transform(list_zip(a.v, n.v), lambda p: p[1] * p[2])), 6) AS score
+           FROM normed a CROSS JOIN normed n)
+SELECT qid, id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored)
+WHERE rank <= 5""")
+def c5_every_vector_topk(spark, sf_dir):
+    """Every vector as a query, all in one plan: its five nearest by cosine."""
+    return _pivot_search(spark, sf_dir, lambda emb: emb.select(F.col("vec_id").alias("qid"), "embedding"), 5)

@@ -118,3 +118,24 @@ def test_config_change_invalidates(spark):
     cfg = IX.default_config(max_file_bytes=100)
     _, ch = IX.refresh(state, s1, config=cfg)
     assert [r.status for r in ch.collect()] == ["added"]
+
+
+def test_a_lost_bucket_of_a_stored_index_is_repaired(spark):
+    """Postings are looked at themselves, not the list of documents."""
+    import os
+    import shutil
+
+    from quarry.session import scratch_path
+    docs = {f"f{i:02d}.txt": " ".join(f"w{(i * 7 + j) % 23}" for j in range(i % 6 + 1)) for i in range(20)}
+    corpus = snapshot(spark, docs, dict.fromkeys(docs, 1))
+    base = scratch_path(spark, "state").replace("file:", "")
+    state = IX.write_state(IX.refresh(IX.empty_state(spark), corpus)[0], base)
+    folder = f"{IX.current_version(spark, base)}/index/postings".replace("file:", "")
+    lost = sorted(b for b in os.listdir(folder) if b.startswith("bucket="))[0]
+    terms = {r["term"] for r in spark.read.parquet(f"{folder}/{lost}").select("term").distinct().collect()}
+    shutil.move(f"{folder}/{lost}", f"{base}/lost")
+    again, changes = IX.refresh(IX.read_state(spark, base), corpus)
+    want = {p: "repaired" if terms & set(t.split()) else "unchanged" for p, t in docs.items()}
+    assert "repaired" in want.values() and {r["path"]: r["status"] for r in changes.collect()} == want
+    assert tables(again.index) == tables(bm25.build_index(corpus))
+    assert state.config == again.config

@@ -176,3 +176,25 @@ def test_vector_search_limits_per_task_before_shuffle(spark):
     idx = V.build_vectors(vec_df(spark, [(f"v{i}", [float(i), 1.0]) for i in range(50)]), 2)
     plan = V.vector_search(idx, q_df(spark, [(0, [1, 0])]), 3, dim=2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan and "MapInArrow" in plan
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "qid long, embedding array<float>")
+    got = [(r["qid"], r["id"], r["rank"]) for r in V.vector_search(v, q, 5).collect()]
+    assert sorted(got) == [(7, 1, 1), (7, 3, 2)]
+    assert V.vector_search(v.where("id = 2"), q, 5).count() == 0
+
+
+def test_store_is_loaded_changed_and_saved_in_place(spark):
+    from quarry.operators.vectors import append_vectors, build_vectors, load_vectors, save_vectors
+    from quarry.session import scratch_path
+    path = scratch_path(spark, "vectors")
+    one = build_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>"), 2)
+    save_vectors(one, path)
+    two = build_vectors(spark.createDataFrame([(2, [0.0, 1.0])], "id long, embedding array<float>"), 2)
+    save_vectors(append_vectors(load_vectors(spark, path), two), path)
+    save_vectors(load_vectors(spark, path).where("id = 2"), path, mode="append")
+    assert sorted(r["id"] for r in load_vectors(spark, path).collect()) == [1, 2, 2]
+    save_vectors(load_vectors(spark, path).where("id = 1"), path)
+    assert [r["id"] for r in load_vectors(spark, path).collect()] == [1]
