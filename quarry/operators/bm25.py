@@ -78,6 +78,10 @@ class Bm25Index:
         """(path, prank) of the first ``n`` documents in path order."""
         return self.ordinal().select("path", "prank").filter(F.col("prank") <= F.lit(n))
 
+    def best_scores(self, queries: DataFrame, k: int, digits: int, n_terms: int, tokenizer) -> DataFrame:
+        """(qid, path, score) that hold every query's ``k`` best among others."""
+        return bm25_scores(self, queries, query_rows=n_terms, tokenizer=tokenizer)
+
     @classmethod
     def from_forward(cls, forward: DataFrame) -> "Bm25Index":
         """Postings, lengths and term statistics of a forward table."""
@@ -324,7 +328,7 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
     # One count bounds every query-side broadcast below.
     n_terms = query_terms(q, tokenizer=tokenizer).count()
-    all_scores = bm25_scores(index, q, query_rows=n_terms, tokenizer=tokenizer)
+    all_scores = index.best_scores(q, k, digits, n_terms, tokenizer)
     top = cut_lineage(_nonzero(all_scores.select("qid", "path", "score"), digits)
                       .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                       .select("qid", "path", "score"))
