@@ -47,6 +47,7 @@ def load_all() -> None:
         queries_experiments,
         queries_index,
         queries_segments,
+        queries_hybrid,
         queries_misc,
     )
 
