@@ -48,6 +48,7 @@ def load_all() -> None:
         queries_index,
         queries_segments,
         queries_hybrid,
+        queries_sources,
         queries_misc,
     )
 

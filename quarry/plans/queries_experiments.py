@@ -13,6 +13,7 @@ from quarry.plans.catalog import sql_tokens
 from quarry.plans.queries_keyword import BENCH_QUERIES_SQL, SQL_INDEX, _sql_scores
 from quarry.plans.queries_keyword import _sql_topk as _sql_kw_topk
 from quarry.plans.queries_vectors import _search, _sql_topk as _sql_vec_topk, label_queries
+from quarry.session import cut_lineage
 from quarry.sources.tables import documents_corpus, table
 
 # The sample tuning space (baseline and two dimensions).
@@ -152,7 +153,8 @@ def _rankings(spark, sf_dir, depth=20):
     idx = bm25.build_index(documents_corpus(spark, sf_dir)).materialize()
     q = _bench_queries(spark, sf_dir)
     a = bm25.bm25_search(idx, q, k=depth).withColumnRenamed("path", "id")
-    b = bm25.overlap_search(idx, q, depth).withColumnRenamed("path", "id")
+    # (Fusion reads the list twice: k rows a query, written once.)
+    b = cut_lineage(bm25.overlap_search(idx, q, depth).withColumnRenamed("path", "id"))
     return a, b
 
 
@@ -314,7 +316,7 @@ def k8_fusion_weight_sweep(spark, sf_dir):
     idx = bm25.build_index(corpus).materialize()
     q = _bench_queries(spark, sf_dir)
     a = bm25.bm25_search(idx, q, k=20).withColumnRenamed("path", "id")
-    b = bm25.overlap_search(idx, q, 20).withColumnRenamed("path", "id")
+    b = cut_lineage(bm25.overlap_search(idx, q, 20).withColumnRenamed("path", "id"))
     grid = FU.fuse_weight_grid(a, b, 10, SWEEP_WEIGHTS, "minmax")
     qrels = _passage_qrels(spark, sf_dir, corpus, idx).withColumnRenamed("path", "id")
     per = EV.evaluate(grid.select("trial_id", "qid", "id", "rank"), qrels, [10], by=["trial_id"])

@@ -190,6 +190,7 @@ def with_text(corpus: DataFrame) -> DataFrame:
 
 def root_status(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Per root: ok flag and ``root-missing`` error (batch form of A2)."""
-    rows = [(r, os.path.isdir(r)) for r in roots]
+    from quarry.sources.listing import is_folder
+    rows = [(r, is_folder(r)) for r in roots]
     return spark.createDataFrame(rows, "root string, ok boolean").withColumn(
         "error", F.when(~F.col("ok"), F.lit("root-missing")))
