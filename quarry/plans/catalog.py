@@ -49,6 +49,7 @@ def load_all() -> None:
         queries_segments,
         queries_hybrid,
         queries_sources,
+        queries_regex,
         queries_misc,
     )
 
