@@ -78,8 +78,10 @@ def signatures(vals: np.ndarray, bounds: np.ndarray, hashes: int, bits: int) ->
     lead = np.ones(len(vals), dtype=bool)
     lead[1:] = (bin_of[1:] != bin_of[:-1]) | (owner[1:] != owner[:-1])
     where = (B.mix64(vals[lead]) % np.uint64(bits)).astype(np.int64)
-    flat = np.bincount(owner[lead] * bits + where, minlength=len(full) * bits)
-    return sig, np.packbits((flat & 1).astype(np.uint8).reshape(len(full), bits), axis=1)
+    at = owner[lead] * bits + where
+    odd = np.zeros(len(full) * bits // 8, dtype=np.uint8)
+    np.bitwise_xor.at(odd, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    return sig, odd.reshape(len(full), bits // 8)
 
 
 def most_bits(total: np.ndarray, percent: int, bits: int) -> np.ndarray:
