@@ -1,8 +1,10 @@
 """Main-text extraction with inferred page wrappers (union-free expressions).
 
-Pages of one host come from few templates. A page's token stream is read into
-elements (a signature is the tag with its class, id and role); for each host a
-wrapper is inferred by aligning the streams of its pages one after another:
+Pages of one host come from a number of templates. A page's token stream is
+read into elements (a signature is the tag with its class, id and role); its
+*template* is its host and its skeleton, the signature paths of its elements
+down to ``SKELETON_DEPTH`` outside of furniture. For each template a wrapper is
+inferred by aligning the streams of all its pages one after another:
 
 * equal runs of siblings become one *repeated* group, merged inside,
 * siblings that one side lacks become *optional* groups (longest common
@@ -11,10 +13,15 @@ wrapper is inferred by aligning the streams of its pages one after another:
 
 The wrapper tells which group holds the article - the smallest that holds all
 text of the template's own article and main elements, else the smallest that
-holds all of the slots' text outside of links and page furniture - and each page of the host is cut along
-it. Wrappers are fitted on ``SAMPLE_PAGES`` pages a host at most (by hash
-order); every page is extracted. Pages without a fitted group fall back to
-their own text.
+holds all of the slots' text outside of links and page furniture - and each page
+of the template is cut along it.
+
+Every page takes part. A task folds its pages into partial wrappers (it hands
+them on when it holds ``HELD_WRAPPERS``), partial wrappers of a template are
+merged by aligning them with each other, first in ``MERGE_SHARES`` shares, so a
+host with a third of all pages is a few partial wrappers a task. Constants are
+kept as hashes. A template of one page tells no constants from slots: its
+wrapper is that page's own.
 
 Main text leaves out menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments. Character references are decoded, white
@@ -26,17 +33,19 @@ rows, other columns pass.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import blocks as B, jobs
 
-SAMPLE_PAGES = 16
+SKELETON_DEPTH = 4
+HELD_WRAPPERS, MERGE_SHARES = 1024, 32
 BROADCAST_CHARS = 32 << 20
 MAX_DEPTH = 200  # what is nested deeper hangs on the element at that depth
 
@@ -47,6 +56,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot
     th thead tr ul""".split())
+# Elements that frame a page (headings, paragraphs, tables and lists are content).
+FRAME = frozenset("html body div section main article center td".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button head header".split())
 FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment
     comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter
@@ -76,7 +87,7 @@ class Element:
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.kids, self.closed = tag, attrs, [], True
-        self.sig = " ".join([tag, *(f"{k}={attrs[k]}" for k in ("class", "id", "role") if attrs.get(k))])[:120]
+        self.sig = " ".join([tag, *(f"{k}={attrs[k]}" for k in ("class", "id", "role") if attrs.get(k))])
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -198,7 +209,7 @@ def is_main(el: Element) -> bool:
 
 class Group:
     """A node of a wrapper: a signature with its inner expression. ``text`` is
-    the constant text directly inside (None once it differed: a slot)."""
+    a hash of the constant text directly inside (None once it differed: a slot)."""
     __slots__ = ("sig", "main", "furniture", "link", "repeated", "optional", "text", "slot_chars", "kids")
 
     def __init__(self, sig: str):
@@ -215,7 +226,7 @@ def _fold(el: Element, within: bool = False) -> Group:
     g.main, g.furniture, g.link = is_main(el), is_furniture(el, within), el.tag == "a"
     within = within or g.main and not g.furniture
     words = " ".join(" ".join(k.split()) for k in el.kids if isinstance(k, str)).strip()
-    g.text, g.slot_chars = words, len(words)
+    g.text, g.slot_chars = hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if words else "", len(words)
     for kid in el.kids:
         if isinstance(kid, Element) and not is_dropped(kid):
             one = _fold(kid, within)
@@ -258,8 +269,38 @@ def _align(a: Group, b: Group) -> Group:
     return out
 
 
+def pack(g: Group) -> list:
+    """A wrapper as nested lists."""
+    flags = sum(1 << i for i, x in enumerate((g.main, g.furniture, g.link, g.repeated, g.optional)) if x)
+    return [g.sig, flags, g.text, g.slot_chars, [pack(k) for k in g.kids]]
+
+
+def unpack(row: list) -> Group:
+    g = Group(row[0])
+    g.main, g.furniture, g.link, g.repeated, g.optional = (bool(row[1] >> i & 1) for i in range(5))
+    g.text, g.slot_chars, g.kids = row[2], row[3], [unpack(k) for k in row[4]]
+    return g
+
+
+def skeleton(page: Element) -> str:
+    """The page's template within its host: a hash of its different signature
+    paths near the root, without furniture and what lies in an article."""
+    paths = set()
+
+    def walk(e: Element, path: str, depth: int) -> None:
+        for kid in e.kids:
+            if isinstance(kid, Element) and not is_furniture(kid) and kid.tag in FRAME:
+                here = f"{path}>{kid.sig}"
+                paths.add(here)
+                if depth < SKELETON_DEPTH and not is_main(kid):
+                    walk(kid, here, depth + 1)
+
+    walk(page, "", 1)
+    return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def infer(pages: list[str | None]) -> Group:
-    """Align the pages of one host into a wrapper."""
+    """Align the pages of one template into a wrapper."""
     out = _fold(parse(pages[0]))
     for page in pages[1:]:
         out = _align(out, _fold(parse(page)))
@@ -347,8 +388,11 @@ def blocks_of(el: Element) -> list[str]:
 
 
 def extract(source: str | None, path: list[str] | None) -> str:
-    """Main text of a page along the path of its host's wrapper."""
-    page = parse(source)
+    """Main text of a page along the path of its template's wrapper."""
+    return _cut(parse(source), path)
+
+
+def _cut(page: Element, path: list[str] | None) -> str:
     spots = _along(page, path) if path else []
     if not spots:
         own = main_path(_fold(page), 1)
@@ -360,48 +404,98 @@ def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, n_pages, path): the wrapper of every host, by the path of its
-    main group as JSON. Pages are sampled by the hash of their row, so a host
-    with a third of all pages gives as few as any other."""
-    keys = pages.select(_host(F.col("url")).alias("host"), "page_id", "url",
-                        F.xxhash64("page_id", "url").alias("h")).distinct()
-    order = W.partitionBy("host").orderBy("h", "page_id")
-    chosen = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("host", "page_id", "url")
-    chosen = jobs.table(chosen, "sample")
-    few = chosen.agg(F.coalesce(F.sum(F.length("url") + 64), F.lit(0))).collect()[0][0] <= BROADCAST_CHARS
-    right = F.broadcast(chosen) if few else chosen
-    picked = pages.join(right, pages["page_id"].eqNullSafe(chosen["page_id"]) & pages["url"].eqNullSafe(chosen["url"]))
-
-    def fit(tab: pa.Table) -> pa.Table:
-        sources = sorted(set(tab["html"].to_pylist()), key=lambda s: (s is not None, s or ""))[:sample]
-        path = main_path(infer(sources), len(sources))
-        return pa.table({"host": [tab["host"][0].as_py()], "n_pages": pa.array([len(sources)], pa.int32()), "path": [json.dumps(path)]})
-
-    return picked.select("host", pages["html"]).groupBy("host").applyInArrow(fit, "host string, n_pages int, path string")
-
-
-def main_text(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, template, n_pages, path): the wrapper of every template, by the
+    path of its main group as JSON."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.release()
+        held: dict[tuple[str, str], list] = {}
+        for batch in batches:
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
+                page = parse(source.as_py())
+                key = host, skeleton(page)
+                one = _fold(page)
+                if key in held:
+                    held[key] = [_align(held[key][0], one), held[key][1] + 1]
+                else:
+                    held[key] = [one, 1]
+                if len(held) >= HELD_WRAPPERS:
+                    yield partial(held)
+                    held = {}
+        yield partial(held)
+
+    def partial(held) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()),
+                                pa.array([n for _, n in held.values()], pa.int64()), pa.array([json.dumps(pack(g)) for g, _ in held.values()], pa.string())],
+                               names=["host", "template", "n_pages", "wrapper"])
+
+    def merged(tab: pa.Table) -> tuple[Group, int]:
+        rows = sorted(zip(tab["wrapper"].to_pylist(), tab["n_pages"].to_pylist()))
+        out = unpack(json.loads(rows[0][0]))
+        for w, _ in rows[1:]:
+            out = _align(out, unpack(json.loads(w)))
+        return out, sum(n for _, n in rows)
+
+    def share(tab: pa.Table) -> pa.Table:
+        g, n = merged(tab)
+        return pa.table({"host": [tab["host"][0].as_py()], "template": [tab["template"][0].as_py()], "n_pages": pa.array([n], pa.int64()), "wrapper": [json.dumps(pack(g))]})
+
+    def finish(tab: pa.Table) -> pa.Table:
+        g, n = merged(tab)
+        return pa.table({"host": [tab["host"][0].as_py()], "template": [tab["template"][0].as_py()], "n_pages": pa.array([n], pa.int64()),
+                         "path": [json.dumps(main_path(g, n))]})
+
+    kind = "host string, template string, n_pages long, wrapper string"
+    parts = jobs.table(pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(fold, kind), "partial")
+    some = (parts.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_SHARES)))
+            .groupBy("host", "template", "share").applyInArrow(share, kind))
+    return some.groupBy("host", "template").applyInArrow(finish, "host string, template string, n_pages long, path string")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """The pages' columns without html, plus text (the main text)."""
     spark = pages.sparkSession
     jobs.prepare(spark)
-    fitted = jobs.table(wrappers(pages.select("page_id", "url", "html"), sample).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "wrappers")
-    few = fitted.agg(F.coalesce(F.sum(F.length("__host") + F.length("__path") + 64), F.lit(0))).collect()[0][0] <= BROADCAST_CHARS
-    joined = pages.join(F.broadcast(fitted) if few else fitted, _host(pages["url"]) == fitted["__host"], "left")
+    # (A template of one page is cut by its own path anyway.)
+    fitted = jobs.table(wrappers(pages.select("url", "html")).where("n_pages > 1"), "wrappers")
+    size = fitted.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 96), F.lit(0))).collect()[0][0]
+    known = None
+    if size <= BROADCAST_CHARS:
+        rows = fitted.select("host", "template", "path").toArrow().to_pylist()
+        known = spark.sparkContext.broadcast({(r["host"], r["template"]): json.loads(r["path"]) for r in rows})
     keep = [f for f in pages.schema if f.name not in ("html", "text")]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    names = [f.name for f in keep]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         B.release()
-        known: dict[str | None, list[str] | None] = {None: None}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = []
-                for source, path in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
-                    if path not in known:
-                        known[path] = json.loads(path)
-                    texts.append(extract(source, known[path]))
-                yield pa.record_batch([*part.columns[:len(keep)], pa.array(texts, pa.string())], names=[*[f.name for f in keep], "text"])
+                yield batch.slice(lo, 256)
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
-    return joined.select(*[pages[f.name] for f in keep], pages["html"], "__path").mapInArrow(cut, schema + "text string")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = []
+            for source, host in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
+                page = parse(source)
+                texts.append(_cut(page, known.value.get((host, skeleton(page)))))
+            yield pa.record_batch([*part.columns[:len(keep)], pa.array(texts, pa.string())], names=[*names, "text"])
+
+    def name_template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [skeleton(parse(source)) for source in part.column(len(keep)).to_pylist()]
+            yield pa.record_batch([*part.columns, pa.array(found, pa.string())], names=[*names, "html", "__host", "__template"])
+
+    def cut_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [extract(source, json.loads(path) if path is not None else None)
+                     for source, path in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist())]
+            yield pa.record_batch([*part.columns[:len(keep)], pa.array(texts, pa.string())], names=[*names, "text"])
+
+    rows = pages.select(*names, "html", _host(F.col("url")).alias("__host"))
+    if known is not None:
+        return rows.mapInArrow(cut, schema + "text string")
+    named = rows.mapInArrow(name_template, schema + "html string, __host string, __template string")
+    paths = fitted.select(F.col("host").alias("__h"), F.col("template").alias("__t"), F.col("path").alias("__path"))
+    joined = named.join(paths, (F.col("__host") == F.col("__h")) & (F.col("__template") == F.col("__t")), "left")
+    return joined.select(*names, "html", "__path").mapInArrow(cut_joined, schema + "text string")

@@ -100,3 +100,39 @@ def test_unclosed_and_self_closed_elements_cut_nothing_else(odd, want):
       "related-work search-method notice-period social-history ad-hoc form-factor header".split())])
 def test_all_of_the_main_text(source, want):
     assert X.extract(f"<body>{source}</body>", None) == "\n\n".join(want if isinstance(want, list) else want.split())
+
+
+FRAMES = ['<div id="wrap"><div class="lead">{s}</div><div class="body-{t}">{b}</div></div>',
+          '<section class="top"><p>{s}</p></section><section class="s{t}"><div class="text">{b}</div></section>',
+          '<div class="grid"><div class="cell"><div class="copy{t}">{b}</div></div><div class="cell side">{s}</div></div>',
+          '<center>{s}</center><div class="text{t}">{b}</div>',
+          '<div class="only{t}"><div class="teaser">{s}</div><div class="long">{b}</div></div>']
+
+
+def framed(t, i):
+    body = "".join(f"<p>Sentence {k} number {i} of template {t} goes on for a while &amp; ends.</p>" for k in range(2 + i % 4))
+    return f"<html><body><nav>Menu</nav>{FRAMES[t].format(s='Same slogan on every page', t=t, b=body)}<footer>End</footer></body></html>"
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_five_templates_of_one_host_without_article_elements(spark, monkeypatch, joined):
+    """One of them on 1 % of the pages; each page is cut by its own template."""
+    if joined:
+        monkeypatch.setattr(X, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(X, "HELD_WRAPPERS", 3)
+    which = [4 if i % 100 == 7 else i % 4 for i in range(400)]
+    rows = [(i, f"http://one.example/{i}", framed(t, i)) for i, t in enumerate(which)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = X.wrappers(df).collect()
+    assert sorted(r["n_pages"] for r in found) == sorted(which.count(t) for t in range(5))
+    got = {r["page_id"]: r["text"] for r in X.main_text(df).collect()}
+    for i, t in enumerate(which):
+        assert got[i] == "\n\n".join(f"Sentence {k} number {i} of template {t} goes on for a while & ends." for k in range(2 + i % 4))
+
+
+def test_merged_wrappers_equal_one_alignment_of_all_pages():
+    sources = [page(i) for i in range(12)]
+    left, right = X.infer(sources[:5]), X.infer(sources[5:])
+    both = X._align(X.unpack(X.pack(left)), X.unpack(X.pack(right)))
+    assert X.pack(both) == X.pack(X.infer(sources))
+    assert X.main_path(both, 12) == X.main_path(X.infer(sources), 12)
