@@ -117,14 +117,16 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     plain = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     short = _short_qrels(indexable_documents(plain), counted.filter(F.size("t") < 3).select("qid", "text"))
     interior = F.slice("t", 2, F.size("t") - 2)
-    n_passages = passages.count()
+    # Texts are counted in bytes and travel once, by qid.
+    held = passages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("b")).first()
+    n_passages = held["n"]
     # Interior tokens of the passages (counted), broadcast against the
     # vocabulary-sized term_stats when within the bound.
-    interior_terms = toks.select("qid", "text", F.explode(F.array_distinct(interior)).alias("term"))
+    interior_terms = toks.select("qid", F.explode(F.array_distinct(interior)).alias("term"))
     cand_terms = bounded_broadcast(interior_terms).join(term_stats.select("term", "df"), "term")
     w = Window.partitionBy("qid").orderBy(F.asc("df"), F.asc("term"))
     key = (cand_terms.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-           .select("qid", "term", "df", F.col("text").alias("passage")))
+           .select("qid", "term", "df"))
     # Candidate pairs = sum of the key terms' document frequencies (exact, read
     # from the small key table, no postings scan to count them).
     n_cands = key.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
@@ -134,7 +136,8 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     # to the corpus scan by broadcast when their counted size allows, so the
     # corpus text is never shuffled; above the bound a shuffle join is used.
     docs = corpus.select(F.col(path_col).alias("path"), F.col(text_col).alias("doc"))
-    found = (docs.join(bounded_broadcast(cands.select("qid", "path", "passage"), known_rows=int(n_cands)), "path")
+    whole = bounded_broadcast(toks.select("qid", F.col("text").alias("passage")), known_rows=n_passages, known_bytes=int(held["b"]))
+    found = (docs.join(bounded_broadcast(cands.select("qid", "path"), known_rows=int(n_cands)), "path").join(whole, "qid")
              .filter(F.instr(F.col("doc"), F.col("passage")) > 0)
              .select("qid", "path", F.lit(1).alias("rel")))
     for part in short:

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side (in rows) this library ever hints as broadcast. Above it the
-# join is left to the planner (sort-merge, AQE may still switch at runtime).
+# Largest side this library ever hints as broadcast: in rows, for sides of a few
+# short columns (ids, terms, numbers), and in bytes, for sides that hold texts.
+# Above it the join is left to the planner (sort-merge, AQE may still switch at
+# runtime).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
+                      known_rows: int | None = None, known_bytes: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows (and, where the
+    caller says how many bytes it holds, ``BROADCAST_MAX_BYTES``), else ``df``
+    unchanged.
 
     ``known_rows`` skips the count when the caller already knows the size
     (for example a literal list built on the driver). Otherwise the side is
     counted once; callers pass small, cheap-to-count inputs (query or pattern
     tables), never a corpus-sized side.
     """
+    if known_bytes is not None and known_bytes > BROADCAST_MAX_BYTES:
+        return df
     n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
 
