@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
-from quarry.operators import pivots
+from quarry.operators import embed_store, pivots
 from quarry.operators.index import ensure_vector_index, vector_registry
 from quarry.operators.semantic import HashingEmbedder, semantic_search
 from quarry.operators.vectors import append_vectors, build_vectors, load_vectors, save_vectors, vector_search
@@ -155,6 +155,18 @@ def i3_vector_refresh(spark, sf_dir):
     return vecs.select(F.col("id").alias("path"), total.cast("long").alias("n_tokens"))
 
 
+@register("i3_embedding_store", f"""WITH {SQL_SNAP}
+SELECT path, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS BIGINT) AS n_tokens FROM cur""")
+def i3_embedding_store(spark, sf_dir):
+    """Vectors by content hash: snapshot 1, then snapshot 2 (contents that were
+    seen before are not embedded again)."""
+    base = scratch_path(spark, "embeddings")
+    embed_store.refresh(spark, base, snapshot_prev(spark, sf_dir), HashingEmbedder(64))
+    vecs = embed_store.refresh(spark, base, snapshot_cur(spark, sf_dir), HashingEmbedder(64))
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
+    return vecs.select(F.col("id").alias("path"), total.cast("long").alias("n_tokens"))
+
+
 @register("a9_vector_registry", """
 SELECT 'hashing-sha1-64' AS embedder, CAST(64 AS INTEGER) AS dimension, count(*) AS n_vectors FROM documents""")
 def a9_vector_registry(spark, sf_dir):
