@@ -35,6 +35,36 @@ def required(pattern: str) -> list[list[str]]:
     return sorted((c for c in clauses if c and all(c)), key=lambda c: (-min(map(len, c)), len(c)))
 
 
+def leading(pattern: str) -> str:
+    """What every text begins with that an anchored pattern is found in; empty
+    if the pattern isn't anchored at the start or requires nothing there."""
+    if _parser is None or "[:" in pattern:
+        return ""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    items = list(tree)
+    if not items or tree.state.flags & (re.IGNORECASE | re.MULTILINE) or str(items[0][1]) not in ("AT_BEGINNING", "AT_BEGINNING_STRING"):
+        return ""
+    out = ""
+    for op, arg in items[1:]:
+        if str(op) == "LITERAL":
+            out += chr(arg)
+        elif str(op) == "SUBPATTERN" and not arg[1] and not arg[2] and all(str(o) == "LITERAL" for o, _ in arg[3]):
+            out += "".join(chr(a) for _, a in arg[3])
+        else:
+            break
+    return out
+
+
+def glob_leading(glob: str) -> str:
+    """What every path begins with that a glob matches."""
+    return re.split(r"[*?\[]", glob, maxsplit=1)[0]
+
+
 def _clauses(tree) -> list[list[str]]:
     """Clauses of a sequence: runs of literals, and what its parts require."""
     out, run = [], ""

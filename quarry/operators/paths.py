@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.literals import glob_leading, leading
 from quarry.functions.text import any_glob_match, java_regex
 
 # The entry types find accepts, and the default file globs per
@@ -39,7 +43,9 @@ def find_paths(entries: DataFrame, pattern: str | None = None, type_filter: str
 
     Null or empty pattern = all; ``type_filter`` is file, directory or None;
     any other value is an error, as is an invalid pattern. The cheap type test
-    is applied before the regex.
+    is applied before the regex, and so is what an anchored pattern or the globs
+    begin with: on a listing stored in path order (:func:`write_listing`) these
+    reach the scan and skip the row groups of other paths.
     """
     if type_filter is not None and type_filter not in SUPPORTED_TYPES:
         raise ValueError(f"invalid-type: {type_filter}")
@@ -47,13 +53,27 @@ def find_paths(entries: DataFrame, pattern: str | None = None, type_filter: str
     if type_filter is not None:
         out = out.filter(F.col("type") == type_filter)
     if pattern:
-        out = out.filter(F.col("path").rlike(java_regex(pattern)))
+        java, start = java_regex(pattern), leading(pattern)
+        if start:
+            out = out.filter(F.col("path").startswith(start))
+        out = out.filter(F.col("path").rlike(java))
     if globs:
+        starts = {glob_leading(g) for g in globs}
+        if all(starts):
+            out = out.filter(reduce(or_, [F.col("path").startswith(s) for s in sorted(starts)]))
         out = out.filter(any_glob_match("path", globs))
     out = out.select("path")
     return out.orderBy("path") if sort else out
 
 
+def write_listing(entries: DataFrame, folder: str, row_group_bytes: int = 8 << 20) -> DataFrame:
+    """Store (path, type) in path order, in row groups of a bounded size."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    (entries.select("path", "type").repartitionByRange(parts, "path").sortWithinPartitions("path")
+     .write.option("parquet.block.size", str(row_group_bytes)).parquet(folder))
+    return entries.sparkSession.read.schema("path string, type string").parquet(folder)
+
+
 def select_language_files(entries: DataFrame, languages: list[str],
                           language_globs: dict[str, list[str]] | None = None) -> DataFrame:
     """(language, path): files of each requested language, each path once per language.

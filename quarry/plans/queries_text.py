@@ -8,6 +8,7 @@ from quarry.functions.text import decode_utf8_ignore, glob_match, relative_path,
 from quarry.operators import grep as G
 from quarry.operators import paths as P
 from quarry.plans.catalog import SQL_DOC_PATH, register
+from quarry.session import scratch_path
 from quarry.sources.tables import documents_corpus, table
 
 # SQL: lines of a text split at \n, one final \n stripped, empty text -> none.
@@ -174,6 +175,15 @@ def b1_find_regex(spark, sf_dir):
     return P.find_paths(_entries(spark, sf_dir), "^fr/src1[0-9]?(/|$)")
 
 
+@register("b1_stored_prefix_range", f"""WITH {SQL_ENTRIES}
+SELECT path FROM entries WHERE regexp_matches(path, '^fr/src1[0-9]?(/|$)')""")
+def b1_stored_prefix_range(spark, sf_dir):
+    """The same search of a listing stored in path order: its literal start is a
+    range of the scan."""
+    stored = P.write_listing(_entries(spark, sf_dir), scratch_path(spark, "listing"))
+    return P.find_paths(stored, "^fr/src1[0-9]?(/|$)")
+
+
 @register("b2_find_type_file", f"""WITH {SQL_ENTRIES}
 SELECT path FROM entries WHERE type = 'file' AND regexp_matches(path, '0[.]txt$')""")
 def b2_find_type_file(spark, sf_dir):

@@ -6,7 +6,7 @@ import re
 import pytest
 from conftest import corpus_df
 
-from quarry.functions.literals import required
+from quarry.functions.literals import glob_leading, leading, required
 from quarry.operators import grep as G
 from quarry.operators import regex_index as R
 from quarry.session import scratch_path
@@ -81,3 +81,27 @@ def test_a_selective_pattern_reads_few_documents(spark, monkeypatch):
     assert R.matching_documents(index, r"\d\d").count() == 1000
     monkeypatch.setattr(R, "PUSHED_DOCS", 2)
     assert R.search(index, r"needle\d+").count() == 5
+
+
+@pytest.mark.parametrize("pattern,start", [
+    ("^en/src1.*", "en/src1"), ("^(en/)x", "en/x"), ("^a|b", ""), ("^ab?", "a"), ("en/", ""), ("(?i)^en/", ""), ("(?m)^en", ""), ("^", ""), (r"\Aen/", "en/"),
+    ("^[[:alpha:]]", ""), ("(^en|^de)", ""), ("^é/", "é/")])
+def test_literal_start_of_anchored_patterns(pattern, start):
+    assert leading(pattern) == start
+    assert glob_leading("src/*.py") == "src/" and glob_leading("*.py") == "" and glob_leading("a[b]") == "a"
+
+
+def test_prefix_ranges_skip_row_groups_of_a_stored_listing(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import paths as P
+    entries = spark.range(200_000).select(F.format_string("%s/%06d.txt", F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]),
+                                                                                      (F.col("id") % 4 + 1).cast("int")), "id").alias("path"), F.lit("file").alias("type"))
+    stored = P.write_listing(entries, scratch_path(spark, "listing"), row_group_bytes=1 << 16)
+    for how in (dict(pattern=r"^en/0000\d\d\.txt$"), dict(globs=["en/00001*.txt", "en/00002*"])):
+        found = P.find_paths(stored, sort=False, **how)
+        got = sorted(r["path"] for r in found.collect())
+        assert got and got == sorted(r["path"] for r in P.find_paths(entries, sort=False, **how).collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        assert "StringStartsWith(path,en/0000" in plan.toString()
+        assert plan.collectLeaves().head().metrics().apply("numOutputRows").value() < 60_000
