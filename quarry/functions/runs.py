@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 SANITISE_PATTERN = "[^A-Za-z0-9_.-]+"
 SANITISE_STRIP = "._"
 
+# Why a run id is refused (callers compare these texts).
+ID_EMPTY = "run_id must be a non-empty string"
+ID_SEPARATOR = "run_id must not contain path separators"
+ID_DOTS = "run_id must not contain '..'"
+ID_NOTHING_LEFT = "run_id contains no valid characters after sanitisation"
+
 
 def _col(c):
     return F.col(c) if isinstance(c, str) else c
@@ -18,10 +24,10 @@ def _col(c):
 def run_id_problem(run_id: Column | str) -> Column:
     """Null for a valid run id, else the reason it is refused."""
     r = _col(run_id)
-    return (F.when(r.isNull() | (r == ""), F.lit("run_id must be a non-empty string"))
-            .when(r.contains("/") | r.contains("\\"), F.lit("run_id must not contain path separators"))
-            .when(r.contains(".."), F.lit("run_id must not contain '..'"))
-            .when(sanitise_run_id(r) == "", F.lit("run_id contains no valid characters after sanitisation")))
+    return (F.when(r.isNull() | (r == ""), F.lit(ID_EMPTY))
+            .when(r.contains("/") | r.contains("\\"), F.lit(ID_SEPARATOR))
+            .when(r.contains(".."), F.lit(ID_DOTS))
+            .when(sanitise_run_id(r) == "", F.lit(ID_NOTHING_LEFT)))
 
 
 def sanitise_run_id(run_id: Column | str) -> Column:
