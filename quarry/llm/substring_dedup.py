@@ -10,6 +10,8 @@ bucket, and consecutive windows of one bucket form a *stretch* of text.
    128-bit digest of their text (about 0.6 % of the text positions).
 2. Buckets met once hold no repeat and go. A digest met twice means that every
    window of those stretches is repeated: exact copies end here, however many.
+   Hot buckets and digests (``HOT_COPIES``), of which there can't be more than
+   ``HOT_KEYS``, are told to the tasks; the others are joined.
 3. Of the other stretches one text per digest is fetched and whole buckets are
    sorted a block at a time (:func:`repeated_windows`): sample suffixes at
    difference-cover positions are ranked first, the block's suffixes are sorted
@@ -45,6 +47,9 @@ LENGTH = 400
 GRAM = 64
 BUCKET_STRETCHES = 2000
 SORT_BYTES = 1 << 19
+#: A bucket or text met this often is hot, and at least so often that no more
+#: than HOT_KEYS of them can be.
+HOT_COPIES, HOT_KEYS = 1000, 100_000
 
 
 
@@ -272,13 +277,60 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, symbols: Symbols = BYT
     every = jobs.table(src.select("doc_id", "text", "__th").mapInArrow(scan, cols), "stretches")
     # (Written before the join: with a plain table on either side, a hot bucket's
     # partition can be split.)
-    met = jobs.table(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "met")
-    shared = jobs.table(every.join(met, "bucket"), "shared")
+    met = jobs.table(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "met")
+    total = met.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).collect()[0]["n"]
+    # What is met this often or more is HOT_KEYS keys at most. Such keys are told
+    # to the tasks, so that the rows of one key never go to one task.
+    often = max(2, HOT_COPIES, -(-total // HOT_KEYS))
+    hot = F.broadcast(met.where(F.col("c") >= often).select("bucket"))
+    shared = jobs.table(every.join(hot, "bucket").unionByName(
+        every.join(hot, "bucket", "left_anti").join(met.where(F.col("c") < often).select("bucket"), "bucket")), "shared")
     # One row per stretch text; copies are settled by their number alone.
     texts = shared.groupBy("bucket", "d1", "d2").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "__th", "first", "count")).alias("at"))
     texts = jobs.table(texts, "texts")
-    copied = shared.join(texts.where("copies > 1"), ["bucket", "d1", "d2"], "left_semi")
+    most = texts.where(F.col("copies") >= often).select("d1", "d2").toArrow()
+    known = np.unique(np.stack([most["d1"].to_numpy(), most["d2"].to_numpy()], axis=1), axis=0)
+
+    pairs = set(map(tuple, known.tolist()))
+
+    def is_hot(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        flag = np.isin(d1, known[:, 0])
+        at = np.flatnonzero(flag)   # (the other half of the digest, for the few whose first half is known)
+        flag[at] = [p in pairs for p in zip(d1[at].tolist(), d2[at].tolist())]
+        return flag
+
+    def hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hot stretches as ranges: a document's stretches lie in order in the
+        scan's table, so neighbours are merged here."""
+        for batch in batches:
+            at = np.flatnonzero(is_hot(batch.column(3).to_numpy(), batch.column(4).to_numpy()))
+            if not len(at):
+                continue
+            some = batch.take(pa.array(at))
+            ids = some.column(0).dictionary_encode().indices.fill_null(-1).to_numpy()
+            th, lo = some.column(1).to_numpy(), some.column(5).to_numpy()
+            hi = lo + some.column(6).to_numpy() - 1 + length
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]) | (lo[1:] > hi[:-1]) | (lo[1:] < lo[:-1])
+            start = np.flatnonzero(new)
+            last = np.append(start[1:], len(at)) - 1
+            yield pa.record_batch([some.column(0).take(pa.array(start)), some.column(1).take(pa.array(start)), pa.array(lo[start]), pa.array(hi[last])],
+                                  names=["doc_id", "__th", "lo", "hi"])
+
+    def not_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~is_hot(batch.column(3).to_numpy(), batch.column(4).to_numpy())))
+
+    spans_type = f"doc_id {kind}, __th long, lo long, hi long"
+    order = ["doc_id", "__th", "bucket", "d1", "d2", "first", "count"]
+    others = shared.select(*order)
+    if len(known):
+        others = others.mapInArrow(not_hot, cols)
+    rare = others.join(texts.where((F.col("copies") > 1) & (F.col("copies") < often)), ["bucket", "d1", "d2"], "left_semi")
+    copied = rare.select(*_KEY, F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1 + length).alias("hi"))
+    if len(known):
+        copied = copied.unionByName(every.select(*order).mapInArrow(hot_spans, spans_type))
     sizes = jobs.table(texts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
     todo = texts.join(sizes, "bucket").select("at.*", "bucket", "k", "copies")
     listed = todo.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "count", "bucket", "k", "copies")).alias("want"))
@@ -348,7 +400,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, symbols: Symbols = BYT
         if pending:
             yield from flush()
 
-    spans_type = f"doc_id {kind}, __th long, lo long, hi long"
     near = (parts.where(F.col("k") <= BUCKET_STRETCHES).repartition(jobs.partitions(spark), "bucket").sortWithinPartitions("bucket")
             .mapInArrow(lambda b: bundle(sort_blocks(b)), spans_type))
 
@@ -370,8 +421,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, symbols: Symbols = BYT
         explode, f"doc_id {kind}, __th long, lo long, copies long, w1 long, w2 long")
     twice = wins.groupBy("w1", "w2").agg(F.sum("copies").alias("c")).where("c > 1").select("w1", "w2")
     wide = wins.where("copies = 1").join(twice, ["w1", "w2"]).select(*_KEY, "lo", (F.col("lo") + length).alias("hi"))
-    return (copied.select(*_KEY, F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1 + length).alias("hi"))
-            .unionByName(near).unionByName(wide))
+    return copied.unionByName(near).unionByName(wide)
 
 
 def merge_spans(pairs: list[dict]) -> list[tuple[int, int]]:

@@ -47,6 +47,12 @@ def test_window_rows_for_hot_buckets(odd_docs, monkeypatch):
     assert result(S.remove_repeats(odd_docs)) == expected(odd_docs)
 
 
+@pytest.mark.parametrize("often", [1, 3])
+def test_hot_buckets_and_digests(odd_docs, monkeypatch, often):
+    monkeypatch.setattr(S, "HOT_COPIES", often)
+    assert result(S.remove_repeats(odd_docs)) == expected(odd_docs)
+
+
 def test_empty_table(no_docs):
     assert S.remove_repeats(no_docs).count() == 0
     assert S.remove_repeats(no_docs, words=50).count() == 0
