@@ -21,6 +21,12 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once per row, however often the
+    body names it (a column expression is otherwise copied to each place)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def run_id_problem(run_id: Column | str) -> Column:
     """Null for a valid run id, else the reason it is refused."""
     r = _col(run_id)
@@ -58,7 +64,8 @@ def mark_bare(text: Column) -> Column:
             p = F.regexp_replace(p, bare, f'"{BARE}{name}"')
         return p
 
-    fixed = F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(mark(p)))
+    fixed = F.transform(parts, lambda p: F.when(
+        ~p.startswith('"') & (p.contains("NaN") | p.contains("Infinity")), mark(p)).otherwise(p))
     return F.when(text.rlike("NaN|Infinity"), F.array_join(fixed, "")).otherwise(text)
 
 
@@ -85,11 +92,12 @@ def text_to_double(s: Column) -> Column:
 def variant_to_double(v: Column) -> Column:
     """float(value) of the reference: numbers and booleans convert, strings
     when they parse as a float, everything else (null, objects, arrays) is null."""
-    t = _vtype(v)
-    s = F.try_variant_get(v, "$", "string")
-    return (F.when(_is_number_type(t) | (t == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
-            .when((t == "STRING") & s.startswith(BARE), F.substr(s, F.lit(2)).try_cast("double"))
-            .when(t == "STRING", text_to_double(s)))
+    def convert(t: Column) -> Column:
+        text = _once(F.try_variant_get(v, "$", "string"), lambda s: F.when(
+            s.startswith(BARE), F.substr(s, F.lit(2)).try_cast("double")).otherwise(text_to_double(s)))
+        return F.when(_is_number_type(t) | (t == "BOOLEAN"), F.try_variant_get(v, "$", "double")).when(t == "STRING", text)
+
+    return _once(_vtype(v), convert)
 
 
 def coerce_metrics(text: Column | str) -> Column:
@@ -101,33 +109,47 @@ def coerce_metrics(text: Column | str) -> Column:
 def float_text(d: Column) -> Column:
     """A double as Python's ``str`` writes it: the shortest digits, positional
     from 1e-4 to below 1e16, else with an exponent of two digits at least."""
-    # Older JVMs write a needless last digit of some doubles: fewer digits that
-    # still read back as the same value are taken instead.
-    long_form = d.cast("string")
-    tries = F.array(*[F.format_string(f"%.{k}E", d) for k in (14, 15)])
-    fewer = F.get(F.filter(tries, lambda t: t.try_cast("double") == d), 0)
-    trimmed = F.regexp_replace(F.regexp_replace(fewer, r"(\.[0-9]*?)0+E", "$1E"), r"\.E", ".0E")
-    trimmed = F.regexp_replace(F.regexp_replace(trimmed, r"E\+", "E"), r"E(-?)0+([0-9])", "E$1$2")
-    wordy = F.length(F.regexp_replace(F.regexp_extract(long_form, r"^-?([0-9.]+)", 1), "[.]", "")) > 16
-    s = F.when(wordy & long_form.contains("E") & trimmed.isNotNull(), trimmed).otherwise(long_form)
+    return _once(d, lambda x: _once(_shortest(x), lambda s: F.when(F.isnan(x), F.lit("nan"))
+                 .when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
+                 .when(~s.contains("E"), s).otherwise(_python_exponent(s))))
+
+
+def _shortest(d: Column) -> Column:
+    """The text of a double with no needless last digit, which older JVMs write
+    for some: fewer digits that still read back as the same value are taken."""
+    def fewer_digits(long_form: Column) -> Column:
+        tries = F.array(*[F.format_string(f"%.{k}E", d) for k in (14, 15)])
+        fewer = F.get(F.filter(tries, lambda t: t.try_cast("double") == d), 0)
+        trimmed = F.regexp_replace(F.regexp_replace(fewer, r"(\.[0-9]*?)0+E", "$1E"), r"\.E", ".0E")
+        trimmed = F.regexp_replace(F.regexp_replace(trimmed, r"E\+", "E"), r"E(-?)0+([0-9])", "E$1$2")
+        wordy = F.length(F.regexp_replace(F.regexp_extract(long_form, r"^-?([0-9.]+)", 1), "[.]", "")) > 16
+        return F.when(long_form.contains("E") & wordy, F.coalesce(trimmed, long_form)).otherwise(long_form)
+
+    return _once(d.cast("string"), fewer_digits)
+
+
+def _python_exponent(s: Column) -> Column:
+    """A number's text with an exponent, as Python writes that number."""
     sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)E", 1), r"\.0$", "")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    exp = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
-    n = F.length(digits)
-    zeros = lambda k: F.repeat(F.lit("0"), k)
-    whole = F.when(n <= exp + 1, F.concat(digits, zeros(exp + 1 - n), F.lit(".0"))).otherwise(
-        F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2)))
-    small = F.concat(F.lit("0."), zeros(-exp - 1), digits)
-    power = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), F.greatest(F.length(F.abs(exp).cast("string")), F.lit(2)), F.lit("0")))
-    wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)),
-                    F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")), F.lit("e"), power)
-    return (F.when(F.isnan(d), F.lit("nan"))
-            .when(d == float("inf"), F.lit("inf")).when(d == float("-inf"), F.lit("-inf"))
-            .when(~s.contains("E"), s)
-            .when((exp >= 0) & (exp < 16), F.concat(sign, whole))
-            .when((exp < 0) & (exp >= -4), F.concat(sign, small))
-            .otherwise(F.concat(sign, wide)))
+    parts = F.struct(sign.alias("sign"), F.replace(mantissa, F.lit("."), F.lit("")).alias("digits"),
+                     F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int").alias("exp"))
+
+    def written(c: Column) -> Column:
+        sign, digits, exp = c["sign"], c["digits"], c["exp"]
+        n = F.length(digits)
+        zeros = lambda k: F.repeat(F.lit("0"), k)
+        whole = F.when(n <= exp + 1, F.concat(digits, zeros(exp + 1 - n), F.lit(".0"))).otherwise(
+            F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2)))
+        small = F.concat(F.lit("0."), zeros(-exp - 1), digits)
+        power = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), F.greatest(F.length(F.abs(exp).cast("string")), F.lit(2)), F.lit("0")))
+        wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)),
+                        F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")), F.lit("e"), power)
+        return (F.when((exp >= 0) & (exp < 16), F.concat(sign, whole))
+                .when((exp < 0) & (exp >= -4), F.concat(sign, small))
+                .otherwise(F.concat(sign, wide)))
+
+    return _once(parts, written)
 
 
 def metric_text(metrics: Column | str) -> Column:
@@ -141,23 +163,26 @@ def summary_text(result_summary: Column | str, items: int = 3) -> Column:
     """First ``items`` scalar entries of a JSON object as ``k=v`` joined by
     ``, ``; nested values and nulls are skipped; booleans print as True/False,
     numbers as Python prints the int or float that was written."""
-    kinds = json_object(result_summary)
     # The text of each value as it was written: a number with a point or an
     # exponent is a float.
-    raw = F.coalesce(F.from_json(mark_bare(_col(result_summary)), "map<string,string>"), F.create_map().cast("map<string,string>"))
-
-    def fmt(e):
-        t = _vtype(e["value"])
-        text = F.btrim(F.try_element_at(raw, e["key"]), F.lit('"'))
-        value = F.try_variant_get(e["value"], "$", "string")
-        shown = (F.when(t == "BOOLEAN", F.initcap(text))
-                 .when(_is_number_type(t) & text.rlike("[.eEfN]"), float_text(text.try_cast("double")))
-                 .when(_is_number_type(t), text)
-                 .when((t == "STRING") & value.startswith(BARE), F.substr(value, F.lit(2)))
-                 .when(t == "STRING", value))
-        return F.concat(e["key"], F.lit("="), shown)
-
-    picked = F.filter(F.transform(F.map_entries(kinds), fmt), lambda x: x.isNotNull())
+    as_written = F.coalesce(F.from_json(mark_bare(_col(result_summary)), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+    def fmt(e: Column, raw: Column) -> Column:
+        parts = F.struct(_vtype(e["value"]).alias("t"), F.btrim(F.try_element_at(raw, e["key"]), F.lit('"')).alias("text"),
+                         F.try_variant_get(e["value"], "$", "string").alias("value"))
+
+        def shown(p: Column) -> Column:
+            t, text, value = p["t"], p["text"], p["value"]
+            return (F.when(t == "BOOLEAN", F.initcap(text))
+                    .when(_is_number_type(t) & text.rlike("[.eEfN]"), float_text(text.try_cast("double")))
+                    .when(_is_number_type(t), text)
+                    .when((t == "STRING") & value.startswith(BARE), F.substr(value, F.lit(2)))
+                    .when(t == "STRING", value))
+
+        return F.concat(e["key"], F.lit("="), _once(parts, shown))
+
+    entries = F.map_entries(json_object(result_summary))
+    picked = _once(as_written, lambda raw: F.filter(F.transform(entries, lambda e: fmt(e, raw)), lambda x: x.isNotNull()))
     return F.array_join(F.slice(picked, 1, items), ", ")
 
 
@@ -177,13 +202,12 @@ _INTEGRAL = r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"
 
 def _latency_ok(v: Column) -> Column:
     """Integers, integral floats, booleans and text of integral numbers."""
-    t = _vtype(v)
     s = F.try_variant_get(v, "$", "string")
     d = F.try_variant_get(v, "$", "double")
-    return F.coalesce(
+    return F.coalesce(_once(_vtype(v), lambda t: (
         t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "BOOLEAN")
         | ((t.startswith("DECIMAL") | (t == "DOUBLE")) & (d == F.floor(d)) & (F.abs(d) < 9.3e18))
-        | ((t == "STRING") & s.rlike(_INTEGRAL)), F.lit(False))
+        | ((t == "STRING") & s.rlike(_INTEGRAL)))), F.lit(False))
 
 
 def latency_value(raw: Column) -> Column:
@@ -202,13 +226,13 @@ def _call_ok(c: Column) -> Column:
     g = lambda p: F.try_variant_get(c, p, "variant")
     return (_is_object(c) & F.coalesce(_vtype(g("$.name")) == "STRING", F.lit(False))
             & _is_object(g("$.params")) & _is_object(g("$.result_summary"))
-            & _latency_ok(g("$.latency_ms")))
+            & _once(g("$.latency_ms"), _latency_ok))
 
 
 def call_is_valid(call_json: Column | str) -> Column:
     """One ToolCall object (JSON text) against its rules: name string, params
     and result_summary objects, integral latency (booleans and numeric text accepted)."""
-    return F.coalesce(_call_ok(lenient_variant(call_json)), F.lit(False))
+    return F.coalesce(_once(lenient_variant(call_json), _call_ok), F.lit(False))
 
 
 def trace_is_valid(trace: Column | str) -> Column:
@@ -219,13 +243,15 @@ def trace_is_valid(trace: Column | str) -> Column:
     a wrong type, a call missing any field, a non-integral latency or a
     non-numeric metric make the whole trace invalid.
     """
-    v = lenient_variant(trace)
-    rid = F.try_variant_get(v, "$.run_id", "variant")
-    calls = F.try_variant_get(v, "$.calls", "variant")
-    calls_arr = F.try_variant_get(v, "$.calls", "array<variant>")
-    mets = F.try_variant_get(v, "$.metrics", "variant")
-    mets_map = F.try_variant_get(v, "$.metrics", "map<string,variant>")
-    calls_ok = calls.isNull() | (calls_arr.isNotNull() & F.forall(calls_arr, _call_ok))
-    mets_ok = mets.isNull() | (_is_object(mets) & F.forall(
-        F.map_values(mets_map), lambda x: variant_to_double(x).isNotNull()))
-    return F.coalesce(_is_object(v) & (_vtype(rid) == "STRING") & calls_ok & mets_ok, F.lit(False))
+    def valid(v: Column) -> Column:
+        rid = F.try_variant_get(v, "$.run_id", "variant")
+        calls = F.try_variant_get(v, "$.calls", "variant")
+        mets = F.try_variant_get(v, "$.metrics", "variant")
+        mets_map = F.try_variant_get(v, "$.metrics", "map<string,variant>")
+        calls_ok = calls.isNull() | _once(F.try_variant_get(v, "$.calls", "array<variant>"),
+                                          lambda each: each.isNotNull() & F.forall(each, _call_ok))
+        mets_ok = mets.isNull() | (_is_object(mets) & F.forall(
+            F.map_values(mets_map), lambda x: variant_to_double(x).isNotNull()))
+        return _is_object(v) & (_vtype(rid) == "STRING") & calls_ok & mets_ok
+
+    return F.coalesce(_once(lenient_variant(trace), valid), F.lit(False))

@@ -214,3 +214,13 @@ def test_latest_in_one_logged_batch(spark, tmp_path):
     rows = [("r 1", '{"n": %d}' % i, "{}", '{"run_id":"r 1"}') for i in range(20)]
     RO.log_runs(runs_df(spark, rows).coalesce(1), path)
     assert RO.latest_runs(RO.read_run_files(spark, path)).first().params == '{"n": 19}'
+
+
+def test_texts_are_parsed_once_a_row(spark):
+    """Display text and validity name a parsed value in many places; the plan has it in one."""
+    rows = spark.createDataFrame([('{"x":1e15,"n":7,"b":true,"bad":NaN}',)], "s string")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(R.summary_text("s")).count("from_json(") == 2       # variants, and text as written
+    assert plan(R.trace_is_valid(F.col("s"))).count("regexp_extract_all(") == 1
+    assert plan(R.float_text(F.col("s").cast("double"))).count("cast(s#") == 1
+    assert rows.select(R.summary_text("s", 4)).first()[0] == "x=1000000000000000.0, n=7, b=True, bad=nan"
