@@ -113,3 +113,14 @@ def test_worst_span_and_repeats():
         assert abs(Q.worst_spans(total, bounds)[i] - want) < 1e-9
         windows = [code[j:min(j + Q.WINDOW, hi)] for j in [*range(lo, hi - Q.WINDOW + 1, Q.WINDOW), max(lo, hi - Q.WINDOW)]]
         assert Q.repeat_shares(code, bounds)[i] == max((len(w) - len(set(w.tolist()))) / (Q.WINDOW if hi - lo >= Q.WINDOW else max(hi - lo, Q.SPAN)) for w in windows)
+
+
+def test_every_trusted_document_trains_the_model(spark, monkeypatch):
+    docs = spark.range(160_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    kept = {}
+    whole = Q.log_probabilities
+    monkeypatch.setattr(Q, "log_probabilities", lambda counts: kept.update(n=counts.agg(F.sum("trained")).first()[0]) or whole(counts))
+    Q.fit(docs, labels)
+    n = Q.trusted_ids(labels).where(~Q.held_out()).count()
+    assert n > 100_000 and kept["n"] == 2 * n
