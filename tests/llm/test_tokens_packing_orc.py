@@ -134,3 +134,15 @@ def test_extra_columns_and_nulls_keep_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (1, None, 5), (None, "x", 6)], "doc_id long, text string, length long")
     assert packing.pack_documents(docs).count() == 3
     assert jobs.partitions(spark) > 0
+
+
+def test_encoders_forget_whole_generations_and_give_the_same_ids():
+    enc = tokens.PieceEncoder(tokens.public_path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)]
+    want = enc.encode_all(texts)
+    small = tokens.encoder(tokens.public_path("byte_bpe_50k.json"), cache_pieces=100)
+    got = []
+    for t in texts:
+        got.append(small.encode(t))
+        assert len(small.pieces) + len(small.pieces.old) <= 2 * (100 + 80)
+    assert got == want
