@@ -3,7 +3,7 @@
 Index tables (all plain DataFrames, storable as Parquet):
 
 * ``forward(path, dl, terms)`` - one row per document with its term counts,
-  counted inside the row (sort, run ends), so building needs no shuffle.
+  counted inside the row, so building needs no shuffle.
 * ``postings(term, path, tf, dl)`` - the forward table exploded, or the stored
   table partitioned by a hash bucket of the term.
 * ``doc_stats(path, dl, prank)`` - documents with at least one token and
@@ -11,10 +11,11 @@ Index tables (all plain DataFrames, storable as Parquet):
 * ``term_stats(term, df, idf)`` - document frequency and floored idf.
 * N, the mean document length and the mean raw idf, stored as one row.
 
-A materialised index keeps the forward rows hash-partitioned by path (a
-reliable checkpoint keeps that partitioning), so the scores of a (query,
-document) pair are summed without another exchange and only the best k rows of
-each query and task travel.
+A materialised index keeps the forward rows hash-partitioned and sorted by path
+(a reliable checkpoint keeps that). Documents are scored where their rows lie, a
+block of documents against all query terms at a time: pairs of queries and
+documents are neither rows nor groups, and only the best k of each query and
+task travel. More queries than ``RANKED_ROWS`` allows are joined with postings.
 
 Scoring follows the Okapi BM25 variant with an idf floor: ``idf =
 ln(N - df + 0.5) - ln(df + 0.5)``; negative values are replaced by
@@ -25,8 +26,15 @@ the ranking; ties are broken by path ascending.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +53,11 @@ DEFAULT_K = 50
 TERM_BUCKETS = 64
 PUSHED_TERMS = 1000
 
+# Most rows (queries x k) of a task's ranked lists, and how many (posting, query)
+# and (document, query) numbers a task holds at a time.
+RANKED_ROWS = 1_000_000
+SCORE_BLOCK = 1 << 20
+
 
 @dataclass
 class Bm25Index:
@@ -56,6 +69,7 @@ class Bm25Index:
     stored: bool = False                   # postings carry their bucket, doc_stats their ordinal
     n_docs: int | None = None              # N and avgdl as literals once known
     avgdl: float | None = None
+    clustered: bool = False                # forward rows lie sorted by path, a path in one partition
 
     def stats(self) -> tuple[Column, Column]:
         """(N, avgdl): literals where known, scalar subqueries otherwise."""
@@ -80,8 +94,24 @@ class Bm25Index:
 
     def best_scores(self, queries: DataFrame, k: int, digits: int, n_terms: int, tokenizer) -> DataFrame:
         """(qid, path, score) that hold every query's ``k`` best among others."""
+        if self.avgdl is not None:
+            terms = _asked_terms(query_terms(queries, tokenizer=tokenizer), n_terms, k)
+            if self.forward is not None and terms is not None:
+                weighted = terms.join(self.term_stats.select("term", "idf"), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+                return _ranked(self, weighted, k, digits, self.avgdl)
         return bm25_scores(self, queries, query_rows=n_terms, tokenizer=tokenizer)
 
+    def by_path(self) -> DataFrame:
+        """The forward rows sorted by path, all rows of a path in one partition."""
+        return self.forward if self.clustered else self.forward.repartition("path").sortWithinPartitions("path")
+
+    def of_paths(self, paths: DataFrame) -> "Bm25Index":
+        """Postings of some documents; the statistics stay those of all."""
+        if self.forward is None:
+            return replace(self, postings=self.postings.join(paths, "path", "left_semi"))
+        some = Bm25Index.from_forward(self.forward.join(paths, "path", "left_semi"))
+        return replace(self, postings=some.postings, forward=None)
+
     @classmethod
     def from_forward(cls, forward: DataFrame) -> "Bm25Index":
         """Postings, lengths and term statistics of a forward table."""
@@ -101,19 +131,24 @@ class Bm25Index:
         else:
             ensure_checkpoint_dir(spark)
             parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-            forward = _checkpoint_partitioned(self.forward.repartition(parts, "path"))
+            forward = _checkpoint_partitioned(self.forward.repartition(parts, "path").sortWithinPartitions("path"))
             base = Bm25Index.from_forward(forward)
             postings, lengths = base.postings, base.doc_lengths
         n_docs, avgdl = _known_stats(lengths)
         term_stats = cut_lineage(term_stats_of(postings, lengths, n_docs=n_docs))
-        return Bm25Index(postings, None, term_stats, lengths, forward, n_docs=n_docs, avgdl=avgdl)
+        return Bm25Index(postings, None, term_stats, lengths, forward, n_docs=n_docs, avgdl=avgdl, clustered=forward is not None)
 
     def write(self, base: str, mode: str = "overwrite") -> "Bm25Index":
         """Persist the tables. Postings are partitioned by a hash bucket of the
         term and sorted by term inside each file, so a search reads the query's
         buckets and, by row-group statistics, little else; a term of a large
         share of all documents is spread over many tasks and files by path."""
+        from quarry.session import cut_lineage
         spark = self.postings.sparkSession
+        if self.forward is not None and not self.clustered:
+            # Texts are tokenised once: postings, lengths and counts read the written rows.
+            base_rows = Bm25Index.from_forward(cut_lineage(self.forward))
+            return replace(base_rows, doc_stats=self.doc_stats, forward=None, n_docs=self.n_docs, avgdl=self.avgdl).write(base, mode)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         (self.postings.select("term", "path", "tf", "dl", term_bucket("term").alias("bucket"))
          .repartition(parts, "bucket", F.pmod(F.xxhash64("path"), F.lit(max(1, parts // TERM_BUCKETS))))
@@ -189,19 +224,47 @@ def doc_tokens(corpus: DataFrame, path_col: str = "path", text_col: str = "text"
             .where(F.size("tokens") > 0).withColumn("dl", F.size("tokens")))
 
 
+FORWARD = "path string, dl int, terms array<struct<term:string,tf:int>>"
+COUNT_BYTES = 1 << 20
+_TOKEN = re.compile(TOKEN_PATTERN.encode())
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term counts of (path, text as UTF-8 bytes), about ``COUNT_BYTES`` of text
+    at a time. Tokens are ASCII, and so is lower-casing bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COUNT_BYTES, side="right")))
+            tokens = [_TOKEN.findall(t.lower()) if t else [] for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            counts = [Counter(t) for t in tokens]
+            terms = pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.binary()).cast(pa.string()),
+                                                pa.array([n for c in counts for n in c.values()], pa.int32())], names=["term", "tf"])
+            rows = pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in tokens], pa.int32()),
+                                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), terms)], names=["path", "dl", "terms"])
+            yield rows.filter(pc.greater(rows.column(1), 0))
+            lo = hi
+
+
 def build_index(corpus: DataFrame, path_col: str = "path", text_col: str = "text",
                 tokenizer=tokenize, check_unique: bool = False, max_bytes: int | None = None,
                 token_pattern: str = TOKEN_PATTERN) -> Bm25Index:
     """Lazy index over a corpus; call ``materialize()`` (or ``write``) before
     running several queries on it.
 
-    A document's tokens are sorted in its row and counted by their run ends:
-    tokenising and counting are one narrow pass. (``explode`` of a one-element
-    array keeps a value from being worked out again for each use.)
+    Tokenising and counting are one narrow pass: over Arrow batches for the
+    built-in tokens, else a document's tokens are sorted in its row and counted
+    by their run ends. (``explode`` of a one-element array keeps a value from
+    being worked out again for each use.)
     """
     if check_unique:   # paths are the document key: two rows of one path would merge
         from quarry.sources.tables import require_unique_paths
         require_unique_paths(corpus, path_col)
+    if tokenizer is tokenize and token_pattern == TOKEN_PATTERN:
+        docs = spread_small_input(indexable_documents(corpus, path_col, text_col, max_bytes))
+        path = F.col(path_col).alias("path")
+        return Bm25Index.from_forward(docs.select(path, F.col(text_col).cast("binary").alias("text")).mapInArrow(_count_terms, FORWARD))
     toks = doc_tokens(corpus, path_col, text_col, tokenizer, max_bytes, token_pattern)
     rows = toks.select("path", "dl", F.explode(F.array(F.sort_array("tokens"))).alias("s"))
     new = F.filter(F.sequence(F.lit(0), F.col("dl") - 1),
@@ -280,6 +343,137 @@ def _pushed(qterms: DataFrame, n_terms: int) -> tuple[list[int], list[str] | Non
     return sorted(r[0] for r in qterms.select(term_bucket("term")).distinct().collect()), None
 
 
+def _asked_terms(qterms: DataFrame, n_terms: int, k: int) -> DataFrame | None:
+    """The (qid, term, qtf) rows if they and ``k`` rows a query fit a task."""
+    if n_terms > RANKED_ROWS or qterms.select("qid").distinct().count() * k > RANKED_ROWS:
+        return None
+    return bounded_broadcast(qterms, known_rows=n_terms)
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """``F.round``: halves of the shortest decimal form go away from zero."""
+    scale = 10.0 ** digits
+    low = np.floor(x * scale)
+    over = x * scale - low
+    out = (low + (over > 0.5)) / scale
+    for i in zip(*np.nonzero(np.abs(over - 0.5) < 1e-4)):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _query_sums(asked: pa.Table, gain: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """A function of forward batches sorted by path that yields (paths, sums):
+    per document and query of ``asked`` (q, term, weight) the sum of ``gain(tf,
+    dl) * weight`` over the terms they share. Rows of one path are one document."""
+    words = asked["term"].combine_chunks().dictionary_encode()
+    order = np.argsort(words.indices.to_numpy(), kind="stable")
+    q, weight = asked["q"].to_numpy()[order], asked["weight"].to_numpy()[order]
+    vocabulary = words.dictionary
+    first = np.searchsorted(words.indices.to_numpy()[order], np.arange(len(vocabulary) + 1))
+    width = int(q.max()) + 1 if len(q) else 0
+
+    def documents(paths: pa.Array, dl: np.ndarray, terms: pa.Array) -> Iterator[tuple[list, np.ndarray]]:
+        starts = np.asarray(terms.offsets) - terms.offsets[0].as_py()
+        entries = terms.flatten()
+        at = pc.index_in(entries.field("term"), value_set=vocabulary)
+        hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        word = at.take(pa.array(hit)).to_numpy()
+        doc = np.searchsorted(starts, hit, side="right") - 1
+        tf = entries.field("tf").take(pa.array(hit)).to_numpy()
+        times = first[word + 1] - first[word]
+        part = gain(tf, dl[doc])
+        per_doc = np.bincount(doc, weights=times, minlength=len(paths)) + width
+        bounds = np.concatenate([[0], np.cumsum(per_doc)])
+        lo = 0
+        while lo < len(paths):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SCORE_BLOCK, side="right")) - 1)
+            a, b = np.searchsorted(doc, [lo, hi])
+            n = times[a:b]
+            slot = np.repeat(first[word[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows = np.repeat(doc[a:b] - lo, n)
+            sums = np.bincount(rows * width + q[slot], weights=np.repeat(part[a:b], n) * weight[slot], minlength=(hi - lo) * width)
+            yield paths[lo:hi].to_pylist(), sums.reshape(hi - lo, width)
+            lo = hi
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+        last, held = None, None        # the document at the end, whose rows may go on
+        for batch in batches:
+            for paths, sums in documents(batch.column(0), batch.column(1).to_numpy(), batch.column(2)):
+                new = np.array([p != o for p, o in zip(paths, [last, *paths[:-1]])])
+                if last is not None:
+                    paths, sums, new = [last, *paths], np.concatenate([held, sums]), np.concatenate([[True], new])
+                begins = np.flatnonzero(new)
+                if len(begins) < len(paths):
+                    sums = np.add.reduceat(sums, begins, axis=0)
+                    paths = [paths[i] for i in begins]
+                last, held = paths[-1], sums[-1:].copy()
+                if len(paths) > 1:
+                    yield paths[:-1], sums[:-1]
+        if last is not None:
+            yield [last], held
+
+    return scan
+
+
+def _numbered(asked: DataFrame) -> tuple[pa.Table, pa.Array]:
+    """The (qid, term, weight) rows with queries numbered, and the queries' ids."""
+    rows = asked.toArrow()      # (as many as a broadcast of them would hold)
+    ids = rows["qid"].combine_chunks()
+    coded = ids.dictionary_encode(null_encoding="encode")
+    return pa.table({"q": coded.indices, "term": rows["term"], "weight": rows["weight"].cast(pa.float64())}), coded.dictionary
+
+
+def _ranked(index: Bm25Index, asked: DataFrame, k: int, digits: int, avgdl: float | None) -> DataFrame:
+    """(qid, path, score): each task's ``k`` best documents of every query with a
+    score other than 0, ties by path. Without ``avgdl`` a document's score is
+    the sum of the weights alone."""
+    rows, ids = _numbered(asked)
+    qid = asked.schema["qid"].dataType.simpleString()
+
+    def gain(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return np.ones(len(tf)) if avgdl is None else tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * dl / avgdl))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        score = names = None            # (at most k, queries), the best first
+        for paths, sums in _query_sums(rows, gain)(batches):
+            new = rounded(sums, digits)
+            new[new == 0] = -np.inf
+            label = np.broadcast_to(np.array(paths, dtype=object)[:, None], new.shape)
+            if score is not None:
+                new, label = np.concatenate([score, new]), np.concatenate([names, label])
+            # (Paths rise from row to row, so a stable order ranks ties by path.)
+            top = np.argsort(-new, axis=0, kind="stable")[:k]
+            score, names = np.take_along_axis(new, top, axis=0), np.take_along_axis(label, top, axis=0)
+        if score is not None:
+            at, q = np.nonzero(score > -np.inf)
+            yield pa.record_batch([ids.take(pa.array(q)), pa.array(names[at, q], pa.string()), pa.array(score[at, q])], names=["qid", "path", "score"])
+
+    return index.by_path().select("path", "dl", "terms").mapInArrow(best, f"qid {qid}, path string, score double")
+
+
+def matched_documents(index: Bm25Index, queries: DataFrame, qid_col: str = "qid", query_col: str = "query") -> DataFrame:
+    """(qid, matched): how many documents hold a term of the query; queries that
+    match none have no row. Paths that several rows have count once."""
+    asked = query_terms(queries, qid_col, query_col)
+    if index.forward is None or asked.count() > RANKED_ROWS:
+        return (index.postings.select("term", "path").join(asked.select("qid", "term"), "term")
+                .select("qid", "path").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("matched")))
+    rows, ids = _numbered(asked.select("qid", "term", F.lit(1.0).alias("weight")))
+    qid = asked.schema["qid"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            n = np.zeros(len(ids), dtype=np.int64)
+            for _, sums in _query_sums(rows, lambda tf, dl: np.ones(len(tf)))(batches):
+                n += (sums > 0).sum(axis=0)
+            yield pa.record_batch([ids.filter(pa.array(n > 0)), pa.array(n[n > 0])], names=["qid", "matched"])
+
+    return (index.by_path().select("path", "dl", "terms").mapInArrow(count, f"qid {qid}, matched long")
+            .groupBy("qid").agg(F.sum("matched").alias("matched")))
+
+
 FILL_CHUNK = 4096
 
 
@@ -336,6 +530,9 @@ def bm25_search(corpus_or_index: DataFrame | Bm25Index, queries: DataFrame, k: i
     pos = top.groupBy("qid").agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"))
     under = (qids.join(pos, "qid", "left").select("qid", F.coalesce("n_pos", F.lit(0)).alias("n_pos"))
              .filter(F.col("n_pos") < k))
+    if not under.limit(1).count():
+        return (top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))
     under_scores = bm25_scores(index, q.join(under.select("qid"), "qid", "left_semi"),
                                query_rows=n_terms, tokenizer=tokenizer)
     taken = _nonzero(under_scores.select("qid", "path", "score"), digits).select("qid", "path")
@@ -367,9 +564,12 @@ def overlap_search(index: Bm25Index, queries: DataFrame, k: int, qid_col: str =
     """Second, simpler ranking: number of distinct query terms a document
     holds (matched documents only), ties by path; ``(qid, path, score, rank)``."""
     qterms = query_terms(queries, qid_col, query_col)
-    qt = bounded_broadcast(qterms.select("qid", "term"), known_rows=qterms.count())
-    s = (index.postings.select("term", "path").join(qt, "term")
-         .groupBy("path", "qid").agg(F.count(F.lit(1)).cast("double").alias("score")))
+    n_terms = qterms.count()
+    if index.forward is not None and _asked_terms(qterms, n_terms, k) is not None:
+        s = _ranked(index, qterms.select("qid", "term", F.lit(1.0).alias("weight")), k, 0, None)
+    else:
+        s = (index.postings.select("term", "path").join(bounded_broadcast(qterms.select("qid", "term"), known_rows=n_terms), "term")
+             .groupBy("path", "qid").agg(F.count(F.lit(1)).cast("double").alias("score")))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("path"))
     return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("qid", "path", "score", F.col("rank").cast("int").alias("rank")))

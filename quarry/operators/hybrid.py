@@ -117,7 +117,8 @@ def _both_sides(index: bm25.Bm25Index, vectors: DataFrame, queries: DataFrame, q
     both = keyword.select("qid", "id", "a").join(near.select("qid", "id", "b"), ["qid", "id"], "full_outer")
     lack_a = both.where("a is null").select("qid", F.col("id").alias("path"))
     # (Seen items: at most two lists of the round's depth a query.)
-    scores = bm25.bm25_scores(index, queries).join(bounded_broadcast(lack_a), ["qid", "path"], "left_semi")
+    asked = bounded_broadcast(lack_a)
+    scores = bm25.bm25_scores(index.of_paths(asked.select("path")), queries).join(asked, ["qid", "path"], "left_semi")
     found_a = scores.select("qid", F.col("path").alias("id"), F.round("score", 6).alias("fa"))
     lack_b = both.where("b is null").select("qid", "id")
     pairs = bounded_broadcast(lack_b).join(vectors.select("id", F.col("embedding").alias("v")), "id").join(qv.withColumnRenamed("embedding", "q"), "qid")

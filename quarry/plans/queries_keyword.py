@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quarry.functions.text import content_hash, is_hidden_path, tokenize
 from quarry.operators import bm25
 from quarry.plans.catalog import SQL_DOC_PATH, register, sql_tokens
-from quarry.plans.sizing import bounded_broadcast
 from quarry.sources.tables import documents_corpus, duplicate_paths, table
 
 # Query set used by the literal-query entries: a common-word query, a
@@ -231,8 +230,7 @@ def d6_result_counts(spark, sf_dir):
     n_docs, _ = bm25.corpus_stats(idx.lengths)
     qt = q.select("qid", F.explode(tokenize("query")).alias("term"))
     nq = qt.groupBy("qid").agg(F.count(F.lit(1)).alias("query_tokens"))
-    matched = (idx.postings.select("term", "path").join(bounded_broadcast(qt.distinct()), "term")
-               .select("qid", "path").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("matched")))
+    matched = bm25.matched_documents(idx, q)
     return nq.join(matched, "qid", "left").select(
         "qid", n_docs.alias("documents"), "query_tokens",
         F.coalesce("matched", F.lit(0)).alias("matched_documents"))
