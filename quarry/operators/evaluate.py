@@ -8,6 +8,11 @@ count as zeros).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,22 +150,98 @@ def containment_qrels(postings: DataFrame, term_stats: DataFrame, corpus: DataFr
     return found
 
 
-SHORT_BLOCK = 500
+SHORT_BLOCK = 10_000
+SHORT_BYTES = 1 << 20
 
 
 def _short_qrels(docs: DataFrame, short: DataFrame) -> list[DataFrame]:
-    """One scan of the texts per block of short passages; a scan tries each of
-    its passages on each text, and only matches become rows."""
+    """One scan of the texts per block of short passages; a scan looks for all of
+    them at once in about ``SHORT_BYTES`` of text, and only matches become rows."""
     out, block = [], []
+    qid = short.schema["qid"].dataType.simpleString()
+    texts = docs.select("path", F.col("text").cast("binary").alias("text"))
 
     def scan(rows):
-        known = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(t).alias("text")) for q, t in rows])
-        hits = F.filter(known, lambda p: F.instr(F.col("text"), p["text"]) > 0)
-        return docs.select("path", F.explode(hits).alias("p")).select("p.qid", "path", F.lit(1).alias("rel"))
+        ids = short.sparkSession.createDataFrame([(q,) for q, _ in rows], f"qid {qid}").toArrow()["qid"].combine_chunks()
+        find = _finder([bytes(t) for _, t in rows])
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, passage = find(batch.column(1))
+                yield pa.record_batch([ids.take(pa.array(passage)), batch.column(0).take(pa.array(doc)), pa.array(np.ones(len(doc), np.int32))],
+                                      names=["qid", "path", "rel"])
+
+        return texts.mapInArrow(hits, f"qid {qid}, path string, rel int")
 
-    for r in short.toLocalIterator():
+    for r in short.select("qid", F.col("text").cast("binary").alias("text")).toLocalIterator():
         block.append((r["qid"], r["text"]))
         if len(block) == SHORT_BLOCK:
             out.append(scan(block))
             block = []
     return out + ([scan(block)] if block else [])
+
+
+def _grams(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (1, 2, 4 or 8) bytes at each place as a number."""
+    out, have = data.astype(np.uint64), 1
+    while have < size:
+        out = out[:-have] | out[have:] << np.uint64(8 * have)
+        have *= 2
+    return out
+
+
+def _finder(passages: list[bytes]):
+    """A function of a binary column that gives (row, passage) of every passage
+    that occurs in a row's bytes. Passages are found by their first 1, 2, 4 or 8
+    bytes, then compared as a whole."""
+    by_size: dict[int, dict[int, list[int]]] = {}
+    for i, p in enumerate(passages):
+        size = 1 << min(3, len(p).bit_length() - 1)
+        by_size.setdefault(size, {}).setdefault(int.from_bytes(p[:size], "little"), []).append(i)
+    spread = np.uint64(0x9E3779B97F4A7C15)
+    tables = []
+    for size, keys in by_size.items():
+        known = np.array(sorted(keys), dtype=np.uint64)
+        maybe = np.zeros(1 << 16, dtype=bool)
+        maybe[known * spread >> np.uint64(48)] = True
+        tables.append((size, known, maybe, [keys[int(k)] for k in known]))
+
+    def find(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, b"")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        rows, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        lo = 0
+        while lo < len(texts):
+            start = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, start + SHORT_BYTES, side="right")))
+            data = np.frombuffer(b"".join(texts.slice(lo, hi - lo).to_pylist()), dtype=np.uint8)
+            stop = ends[lo:hi] - start
+            for size, known, maybe, owners in tables:
+                if len(data) < size:
+                    continue
+                grams = _grams(data, size)
+                at = np.flatnonzero(maybe[grams * spread >> np.uint64(48)])
+                key = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
+                same = known[key] == grams[at]
+                at, key = at[same], key[same]
+                order = np.argsort(key, kind="stable")
+                at, bounds = at[order], np.searchsorted(key[order], np.arange(len(known) + 1))
+                for k in np.flatnonzero(np.diff(bounds)):
+                    places = at[bounds[k]:bounds[k + 1]]
+                    row = np.searchsorted(stop, places, side="right")
+                    for i in owners[k]:
+                        p = passages[i]
+                        fits = places + len(p) <= stop[row]
+                        left, of = places[fits], row[fits]
+                        for j in range(size, len(p)):
+                            if not len(left):
+                                break
+                            equal = data[left + j] == p[j]
+                            left, of = left[equal], of[equal]
+                        found = np.unique(of) + lo
+                        rows.append(found)
+                        which.append(np.full(len(found), i))
+            lo = hi
+        return np.concatenate(rows), np.concatenate(which)
+
+    return find
