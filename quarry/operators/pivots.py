@@ -8,11 +8,15 @@ longer than w, <q, u> <= (|q|^2 + w^2 - distance^2) / 2.
 
 1. Each query is sent to its nearest chunks that hold k vectors together; its
    k-th best score there is its threshold.
-2. It is sent to every other chunk whose bound reaches the threshold, and to no
-   other: those chunks cannot hold one of its k best.
+2. It is held against every other chunk whose bound reaches the threshold, and
+   against no other: those chunks cannot hold one of its k best. Near chunks lie
+   together in groups of up to ``CHUNK_BYTES``; a query travels once to a group
+   that has chunks for it, which the group's task tells from the bounds again.
 
 Queries are rows: they meet the chunks in a cogroup, in blocks of
-``QUERY_ROWS``, and only the k best of a query and chunk leave it. Nothing but
+``QUERY_ROWS`` (groups: ``GROUP_ROWS``), and only the k best of a query and
+chunk or group leave it. So what travels grows with the pairs of a group and a
+block, not with those of a query and a chunk. Nothing but
 the pivots (``MAX_PIVOTS`` at most) and chunk bounds passes through the driver.
 Pivots are fitted on a bounded sample (``SAMPLE`` rows a pivot, by hash of the
 id); every vector is indexed, and results are exact whatever the pivots.
@@ -37,6 +41,8 @@ from quarry.functions.vectors import NORM_EPS, checked_vector
 MAX_PIVOTS, SAMPLE, STEPS = 1024, 16, 4
 CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 8192
 QUERY_ROWS = 4096
+#: Most rows of a group of chunks and of a block of its queries, and how many groups a small index has.
+GROUP_ROWS, GROUPS = 32768, 16
 #: Chunk bounds that are sent to the tasks; more are joined.
 CHUNKS_SENT = 200_000
 DIGITS = 6
@@ -136,17 +142,24 @@ def search(index: PivotIndex, queries: DataFrame, k: int) -> PivotSearch:
     table = index.chunks.orderBy("cell", "chunk").toArrow()   # a row per chunk of up to 16 MB of vectors
     cell, chunk, n = (table[c].to_numpy() for c in ("cell", "chunk", "n"))
     low, high, wide = (table[c].to_numpy() for c in ("low", "high", "wide"))
+    order, group = _groups(pivots, cell, n, index.dim)
+    cell, chunk, n, low, high, wide = (a[order] for a in (cell, chunk, n, low, high, wide))
+    firsts = np.flatnonzero(np.diff(group, prepend=-1))
     scale = 10 ** DIGITS
 
-    def send(batches, choose):
+    def parts(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows if len(cell) else 0, 256):
                 part = batch.slice(lo, 256)
                 x = normalised(part.column(1))
-                row, col = choose(part, x, distances(x, pivots)[:, cell])
-                yield pa.record_batch([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                                       pa.array(cell[col].astype(np.int32)), pa.array(chunk[col].astype(np.int32))],
-                                      names=["qid", "embedding", "cell", "chunk"])
+                yield part, x, distances(x, pivots)[:, cell]
+
+    def send(batches, choose):
+        for part, x, t in parts(batches):
+            row, col = np.nonzero(choose(part, x, t))
+            yield pa.record_batch([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
+                                   pa.array(cell[col].astype(np.int32)), pa.array(chunk[col].astype(np.int32))],
+                                  names=["qid", "embedding", "cell", "chunk"])
 
     def nearest(t: np.ndarray) -> np.ndarray:
         """Which chunks, the nearest pivots' first, hold k vectors together."""
@@ -157,13 +170,25 @@ def search(index: PivotIndex, queries: DataFrame, k: int) -> PivotSearch:
         return first
 
     def start(batches):
-        return send(batches, lambda part, x, t: np.nonzero(nearest(t)))
+        return send(batches, lambda part, x, t: nearest(t))
 
     def others(part, x, t):
         apart = np.maximum(0.0, np.maximum(t - high, low - t))
         reach = ((x * x).sum(axis=1)[:, None] + wide * wide - apart * apart) / 2 * scale + 1
         least = part.column(2).fill_null(np.iinfo(np.int64).min).to_numpy()
-        return np.nonzero(~nearest(t) & (reach >= least[:, None]))
+        return ~nearest(t) & (reach >= least[:, None])
+
+    def to_groups(batches):
+        for part, x, t in parts(batches):
+            row, col = np.nonzero(np.logical_or.reduceat(others(part, x, t), firsts, axis=1))
+            yield pa.record_batch([*(part.column(c).take(pa.array(row)) for c in range(3)), pa.array(col.astype(np.int32))],
+                                  names=["qid", "embedding", "least", "grp"])
+
+    def wanted(part, grp):
+        """Which rows of a group's queries are held against which of its chunks."""
+        x = normalised(part.column(1))
+        mine = group == grp
+        return others(part, x, distances(x, pivots)[:, cell])[:, mine], x
 
     kind = f"qid {qid}, embedding {asked.schema['embedding'].dataType.simpleString()}"
     first = cut_lineage(asked.mapInArrow(start, kind + ", cell int, chunk int"))
@@ -171,13 +196,79 @@ def search(index: PivotIndex, queries: DataFrame, k: int) -> PivotSearch:
     by = Window.partitionBy("qid").orderBy(F.desc("score"))
     least = (found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") == k)
              .select("qid", F.round(F.col("score") * scale).cast("long").alias("least")))
-    rest = cut_lineage(asked.join(least, "qid", "left").select("qid", "embedding", "least")
-                       .mapInArrow(lambda b: send(b, others), kind + ", cell int, chunk int"))
-    every = found.unionByName(_meet(index, rest, k))
+    bounded = asked.join(least, "qid", "left").select("qid", "embedding", "least")
+    rest = cut_lineage(bounded.mapInArrow(to_groups, kind + ", least long, grp int"))
+    places = spark.createDataFrame([(int(c), int(h), int(g), i) for i, (c, h, g) in enumerate(zip(cell, chunk, group))], "cell int, chunk int, grp int, place int")
+    every = found.unionByName(_meet_groups(index, rest, places, wanted, k))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
     hits = (every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("qid", "id", "score", F.col("rank").cast("int").alias("rank")))
-    return PivotSearch(hits, first.select("qid", "cell", "chunk").unionByName(rest.select("qid", "cell", "chunk")))
+    pairs = bounded.mapInArrow(lambda b: send(b, others), kind + ", cell int, chunk int")
+    return PivotSearch(hits, first.select("qid", "cell", "chunk").unionByName(pairs.select("qid", "cell", "chunk")))
+
+
+def _groups(pivots: np.ndarray, cell: np.ndarray, n: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the chunks, near cells side by side, and their group in that
+    order: stretches of about as many rows as a group may have."""
+    if not len(cell):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = distances(pivots, pivots[:2 * GROUPS]).argmin(axis=1)
+    order = np.lexsort((cell, near[cell]))
+    most = max(1, min(GROUP_ROWS, CHUNK_BYTES // (8 * max(dim, 1)), max(CHUNK_ROWS // 4, int(n.sum()) // GROUPS)))
+    return order, np.unique((np.cumsum(n[order]) - n[order]) // most, return_inverse=True)[1]
+
+
+def _meet_groups(index: PivotIndex, sent: DataFrame, places: DataFrame, wanted, k: int) -> DataFrame:
+    """(qid, id, score): the k best of each query among the chunks of the group
+    it was sent to that may hold some. ``places`` (cell, chunk, grp, place) lists
+    the chunks in the order of ``wanted``'s columns."""
+    blocks = sent.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("blocks"))
+    few = places.join(F.broadcast(blocks), "grp")
+    few = F.broadcast(few) if index.chunks.count() <= CHUNKS_SENT else few
+    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    data = index.rows.join(few, ["cell", "chunk"]).select("grp", "place", "id", "embedding", block)
+    asks = (sent.join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+            .select("grp", "block", "qid", "embedding", "least"))
+    qid, vid = sent.schema["qid"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString()
+    scale = 10 ** DIGITS
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, qids = left["id"].combine_chunks(), right["qid"].combine_chunks()
+        picked = [(np.zeros(0, np.int64),) * 3]
+        if left.num_rows and right.num_rows:
+            # By chunk, then by id, which is the order of ties.
+            rank = np.empty(len(ids), dtype=np.int64)
+            rank[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(len(ids))
+            place = left["place"].to_numpy()
+            order = np.lexsort((rank, place))
+            rank, bounds = rank[order], np.flatnonzero(np.diff(place[order], prepend=-1, append=-1))
+            u = normalised(left["embedding"].combine_chunks())[order]
+            asked = right.select(["qid", "embedding", "least"]).combine_chunks().to_batches()[0]
+            for lo in range(0, len(qids), 1024):
+                part = asked.slice(lo, 1024)
+                need, q = wanted(part, right["grp"][0].as_py())
+                least = part.column(2).fill_null(np.iinfo(np.int64).min).to_numpy()
+                got = [(np.zeros(0, np.int64),) * 3]
+                for at, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    rows = np.flatnonzero(need[:, at])
+                    if not len(rows):
+                        continue
+                    s = (q[rows] @ u[a:b].T) * scale
+                    row, col = np.nonzero(s >= least[rows, None] - 1)
+                    if len(row) > 2 * k * len(rows):
+                        whole = np.rint(s).astype(np.int64)
+                        best = np.argpartition(-(whole * (b - a) - np.arange(b - a)), min(k, b - a) - 1, axis=1)[:, :k]
+                        row, col = np.repeat(np.arange(len(rows)), best.shape[1]), best.ravel()
+                    got.append((rows[row], a + col, np.rint(s[row, col]).astype(np.int64)))
+                row, col, score = (np.concatenate(x) for x in zip(*got))
+                by = np.lexsort((rank[col], -score, row))
+                row, col, score = row[by], col[by], score[by]
+                head = np.arange(len(row)) - np.searchsorted(row, row) < k
+                picked.append((row[head] + lo, order[col[head]], score[head]))
+        row, at, score = (np.concatenate(x) for x in zip(*picked))
+        return pa.table({"qid": qids.take(pa.array(row)), "id": ids.take(pa.array(at)), "score": pa.array(score / scale, pa.float64())})
+
+    return data.groupBy("grp", "block").cogroup(asks.groupBy("grp", "block")).applyInArrow(pair, f"qid {qid}, id {vid}, score double")
 
 
 def _meet(index: PivotIndex, sent: DataFrame, k: int) -> DataFrame:
