@@ -2,8 +2,9 @@
 
 An embedder is any object with ``name``, ``dimension`` and
 ``embed(texts: list[str]) -> array (n, dimension)``. It runs on executors,
-one Arrow batch at a time (``mapInArrow``); the engine checks every vector's
-dimension. ``HashingEmbedder`` is a deterministic, dependency-free embedder
+about ``EMBED_BYTES`` of text at a time (``mapInArrow``), so the memory of a
+worker is that of a block whatever a batch holds; the engine checks every
+vector's dimension. ``HashingEmbedder`` is a deterministic, dependency-free embedder
 for tests and offline use.
 """
 
@@ -15,6 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ from quarry.operators.bm25 import indexable_documents
 from quarry.operators.vectors import vector_search
 from quarry.plans.sizing import spread_small_input
 
+EMBED_BYTES = 1 << 20
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -59,13 +62,18 @@ def embed_texts(df: DataFrame, embedder: Embedder, id_col: str, text_col: str) -
 
     def fn(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            vecs = np.asarray(embedder.embed(texts), dtype=np.float32)
-            if vecs.ndim != 2 or vecs.shape != (len(texts), dim):
-                raise ValueError(f"vector dimension mismatch: expected {dim}, received {vecs.shape}")
-            emb = pa.FixedSizeListArray.from_arrays(pa.array(vecs.reshape(-1)), dim).cast(
-                pa.list_(pa.field("item", pa.float32(), nullable=False)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), emb], names=["id", "embedding"])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + EMBED_BYTES, side="right")))
+                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+                vecs = np.asarray(embedder.embed(texts), dtype=np.float32)
+                if vecs.ndim != 2 or vecs.shape != (len(texts), dim):
+                    raise ValueError(f"vector dimension mismatch: expected {dim}, received {vecs.shape}")
+                emb = pa.FixedSizeListArray.from_arrays(pa.array(vecs.reshape(-1)), dim).cast(
+                    pa.list_(pa.field("item", pa.float32(), nullable=False)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), emb], names=["id", "embedding"])
+                lo = hi
 
     return spread_small_input(df.select(F.col(id_col), F.col(text_col))).mapInArrow(fn, schema)
 
