@@ -124,3 +124,45 @@ def test_every_trusted_document_trains_the_model(spark, monkeypatch):
     Q.fit(docs, labels)
     n = Q.trusted_ids(labels).where(~Q.held_out()).count()
     assert n > 100_000 and kept["n"] == 2 * n
+
+
+def test_grams_are_of_true_characters(spark):
+    """Letters, capitals, signs and digits that shared a class once are apart,
+    in few characters and in many (over 161 a block), and none is cut to 16 bits."""
+    few = [None, "", "aä aü AB AC", "x-y?z!{ 1 2", "\u4e00\u4e8c\U0001f600\U0001f601\u0416\u0417"]
+    for texts in (few, [*few, "".join(chr(c) for c in range(0x4e00, 0x4f00)) * 2]):
+        want = Counter()
+        for t in texts:
+            s = [0] * 3 + [ord(c) + 1 for c in t or ""]
+            want.update((s[i - 3] << 42 | s[i - 2] << 21 | s[i - 1], s[i]) for i in range(3, len(s)))
+        code, bounds = Q.grams(texts)
+        assert bounds.tolist() == np.cumsum([0, *[len(t or "") for t in texts]]).tolist() and len(set(code.tolist())) == len(want)
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = Q.gram_counts(docs, docs.select("doc_id").distinct()).collect()
+        assert {(r["head"], r["last"]): r["trained"] for r in got} == want
+
+
+def test_unlike_characters_score_differently_and_any_character_has_a_score(spark):
+    """A model that has met one of two characters finds it likelier than the
+    other; characters that it hasn't met score by the prior, whatever they are."""
+    rows = [(i, "caf\u00e9 \u4e2d\u6587 7-7.", "en") for i in range(40)]
+    odd = [(100, "caf\u00e9 \u4e2d\u6587 7-7."), (101, "caf\u00e8 \u4e2d\u6587 7-7."), (102, "caf\u00e9 \u4e2d\u6588 7-7."), (103, "caf\u00e9 \u4e2d\u6587 7?7."),
+           (104, "caf\u00e9 \u4e2d\u6587 8-7."), (105, "caf\u00e9 \u4e2d\U0001f600 7-7."), (None, "caf\u00e9 \u4e2d\u6587 7-7."), (106, None)]
+    docs = spark.createDataFrame(rows + [(i, t, "en") for i, t in odd], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in Q.fit(docs, labels).score(docs.where("doc_id >= 100 or doc_id is null")).collect()}
+    assert all(got[i]["__nll"] > got[100]["__nll"] + 1 and math.isfinite(got[i]["__nll"]) for i in range(101, 106))
+    assert got[None]["__nll"] == got[100]["__nll"] and (got[106]["__n"], got[106]["__nll"]) == (0, 0.0)
+    low = Q.CHARACTERS + 1 - (Q.SYMBOLS - 1)
+    some = spark.createDataFrame([(66,), (0x1f601,)], "last int").select(Q.prior().alias("p")).collect()
+    assert abs((Q.SYMBOLS - 1) * some[0]["p"] + low * some[1]["p"] - 1) < 1e-9
+
+
+def test_no_text_is_shuffled_and_no_model_gathered(tables):
+    docs, labels = tables
+    scored = Q.fit(docs, labels).score(docs.select("doc_id", "text"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert not any("Exchange" in line and "text" in line for line in plan.splitlines())
+    cogroup = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert cogroup.index("FileScan") < cogroup.index("Exchange"), plan
