@@ -93,8 +93,10 @@ def variant_to_double(v: Column) -> Column:
     """float(value) of the reference: numbers and booleans convert, strings
     when they parse as a float, everything else (null, objects, arrays) is null."""
     def convert(t: Column) -> Column:
-        text = _once(F.try_variant_get(v, "$", "string"), lambda s: F.when(
-            s.startswith(BARE), F.substr(s, F.lit(2)).try_cast("double")).otherwise(text_to_double(s)))
+        # (The three names are compared: to cast them costs an exception each.)
+        text = _once(F.try_variant_get(v, "$", "string"), lambda s: F.when(s == BARE + "nan", F.lit(float("nan")))
+                     .when(s == BARE + "inf", F.lit(float("inf"))).when(s == BARE + "-inf", F.lit(float("-inf")))
+                     .when(s.startswith(BARE), F.substr(s, F.lit(2)).try_cast("double")).otherwise(text_to_double(s)))
         return F.when(_is_number_type(t) | (t == "BOOLEAN"), F.try_variant_get(v, "$", "double")).when(t == "STRING", text)
 
     return _once(_vtype(v), convert)
@@ -193,7 +195,8 @@ def call_label(step: Column, name: Column, latency_ms: Column, summary: Column)
 
 
 def _is_object(v: Column) -> Column:
-    return F.coalesce(_vtype(v).startswith("OBJECT"), F.lit(False))
+    # (An object alone is a map; the name of its type would be that of all it holds.)
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 # Text of an integral number: surrounding space, digit groups, a zero fraction.
@@ -212,9 +215,10 @@ def _latency_ok(v: Column) -> Column:
 
 def latency_value(raw: Column) -> Column:
     """The latency of a valid call, from its raw JSON text, as a long."""
-    plain = F.regexp_replace(F.trim(raw), "_", "")
-    return (F.when(F.lower(plain) == "true", F.lit(1)).when(F.lower(plain) == "false", F.lit(0))
-            .otherwise(F.coalesce(plain.try_cast("long"), plain.try_cast("double").cast("long"))).cast("long"))
+    # (No long has a point or an exponent; to cast such a text costs an exception.)
+    return _once(F.regexp_replace(F.trim(raw), "_", ""), lambda plain: (
+        F.when(F.lower(plain) == "true", F.lit(1)).when(F.lower(plain) == "false", F.lit(0))
+        .otherwise(F.coalesce(F.when(~plain.rlike("[.eE]"), plain.try_cast("long")), plain.try_cast("double").cast("long"))).cast("long")))
 
 
 def lenient_variant(text: Column | str) -> Column:
@@ -243,6 +247,11 @@ def trace_is_valid(trace: Column | str) -> Column:
     a wrong type, a call missing any field, a non-integral latency or a
     non-numeric metric make the whole trace invalid.
     """
+    return marked_trace_is_valid(mark_bare(_col(trace)))
+
+
+def marked_trace_is_valid(marked: Column | str) -> Column:
+    """:func:`trace_is_valid` of JSON text that :func:`mark_bare` has gone over."""
     def valid(v: Column) -> Column:
         rid = F.try_variant_get(v, "$.run_id", "variant")
         calls = F.try_variant_get(v, "$.calls", "variant")
@@ -254,4 +263,4 @@ def trace_is_valid(trace: Column | str) -> Column:
             F.map_values(mets_map), lambda x: variant_to_double(x).isNotNull()))
         return _is_object(v) & (_vtype(rid) == "STRING") & calls_ok & mets_ok
 
-    return F.coalesce(_once(lenient_variant(trace), valid), F.lit(False))
+    return F.coalesce(_once(F.try_parse_json(_col(marked)), valid), F.lit(False))

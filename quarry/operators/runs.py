@@ -50,21 +50,22 @@ def read_run_files(spark, path: str) -> DataFrame:
 
 def parse_runs(runs: DataFrame) -> DataFrame:
     """Parsed run rows; rows with a null/empty run id or an invalid trace are dropped (B12)."""
-    t = F.col("trace")
-    parsed = runs.select(
+    # (``explode`` of a one-element array keeps the text from being marked for each use.)
+    t = F.col("_marked")
+    parsed = runs.select("*", F.explode(F.array(R.mark_bare(F.col("trace")))).alias("_marked")).select(
         "*",
-        R.trace_is_valid(t).alias("_valid"),
+        R.marked_trace_is_valid(t).alias("_valid"),
         # from_json keeps nested objects as their raw text (stored key order),
         # which the first-three-items summary depends on; VARIANT sorts keys.
-        F.from_json(R.mark_bare(t), f"struct<calls:{TRACE_CALLS}>")["calls"].alias("_calls"))
+        F.from_json(t, f"struct<calls:{TRACE_CALLS}>")["calls"].alias("_calls"))
     calls = F.transform(F.coalesce("_calls", F.array().cast(TRACE_CALLS)), lambda c: F.struct(
         c["name"].alias("name"), c["params"].alias("params"), c["result_summary"].alias("result_summary"),
         R.latency_value(c["latency_ms"]).alias("latency_ms")))
     return (parsed.filter(F.col("run_id").isNotNull() & (F.col("run_id") != "") & F.col("_valid"))
             .withColumn("calls", calls)
             .withColumn("metrics_map", R.coerce_metrics("metrics"))
-            .withColumn("trace_metrics", R.coerce_metrics(F.get_json_object(R.mark_bare(t), "$.metrics")))
-            .drop("_valid", "_calls"))
+            .withColumn("trace_metrics", R.coerce_metrics(F.get_json_object(t, "$.metrics")))
+            .drop("_valid", "_calls", "_marked"))
 
 
 def load_runs(spark, path: str) -> DataFrame:

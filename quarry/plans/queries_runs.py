@@ -20,6 +20,8 @@ from quarry.functions.text import split_lines
 from quarry.operators import runs as RO
 from quarry.plans.catalog import register
 from quarry.plans.ordinal import group_ordinal
+from quarry.plans.sizing import spread_small_input
+from quarry.session import cut_lineage
 from quarry.sources.tables import table
 
 
@@ -276,7 +278,8 @@ SQL_PYTHON_FLOATS = ["0.0001", "1.234e-05", "1234567.0", "12345678.0", "10000000
 def odd_runs(spark, sf_dir):
     """One run per event: its float by event id, a NaN metric, three calls with
     latencies "50.0", true and the event id as a float."""
-    e = table(spark, sf_dir, "events")
+    # (A few bytes of an event become JSON that takes long to parse.)
+    e = spread_small_input(table(spark, sf_dir, "events").select("event_id"))
     value = F.element_at(F.array(*map(F.lit, ODD_FLOATS)), (F.col("event_id") % len(ODD_FLOATS) + 1).cast("int"))
     rid = F.concat(F.lit("e"), F.col("event_id").cast("string"))
     call = lambda latency: F.concat(F.lit('{"name":"t","params":{},"result_summary":{"x":'), value,
@@ -295,7 +298,8 @@ def _sql_float() -> str:
 SELECT 'e' || CAST(event_id AS VARCHAR) AS run_id, CAST(3 AS INTEGER) AS calls, CAST(51 + event_id AS BIGINT) AS total_latency_ms FROM events""")
 def h16_odd_traces_kept(spark, sf_dir):
     """No run with NaN metrics or latencies "50.0", true, 7.0 is lost."""
-    parsed = RO.parse_runs(odd_runs(spark, sf_dir))
+    # Runs and calls are joined and summed three times, and parsed once.
+    parsed = cut_lineage(RO.parse_runs(odd_runs(spark, sf_dir)).select("run_id", "metrics_map", "calls"))
     calls = RO.call_rows(parsed)
     overview = RO.run_overview(parsed, calls).select("run_id", "calls")
     return overview.join(RO.latency_totals(calls), "run_id")

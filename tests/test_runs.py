@@ -224,3 +224,31 @@ def test_texts_are_parsed_once_a_row(spark):
     assert plan(R.trace_is_valid(F.col("s"))).count("regexp_extract_all(") == 1
     assert plan(R.float_text(F.col("s").cast("double"))).count("cast(s#") == 1
     assert rows.select(R.summary_text("s", 4)).first()[0] == "x=1000000000000000.0, n=7, b=True, bad=nan"
+
+
+def test_a_trace_is_marked_and_parsed_once(spark, tmp_path, monkeypatch):
+    runs = runs_df(spark, [row("run-1", TRACE), row("run-2", '{"run_id":"run-2","metrics":{"m":NaN}}'), row("run-3", None), row("run-4", "{NaN")])
+    parsed = RO.parse_runs(runs)
+    assert sorted(r.run_id for r in parsed.collect()) == ["run-1", "run-2"]
+    plan = parsed.select("run_id", "calls")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    # The query's three uses of the runs read parsed rows.
+    from quarry.plans.queries_runs import h16_odd_traces_kept
+    spark.createDataFrame([(1,), (2,), (2,)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    out = h16_odd_traces_kept(spark, str(tmp_path))
+    assert "parse" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    # (Rows of one run id are counted together, and each row of it is joined.)
+    assert sorted(tuple(r) for r in out.collect()) == [("e1", 3, 52), ("e2", 6, 106), ("e2", 6, 106)]
+
+
+def test_latency_and_metric_texts_keep_their_values(spark):
+    texts = ["50.0", "true", "False", "7", " 7 ", "\t8", "1_000", "1e3", "2E2", "9.5", "-3", "", "x", "1.", ".5", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["v"] for r in df.select("i", R.latency_value(F.col("t")).alias("v")).sort("i").collect()]
+    assert got == [50, 1, 0, 7, 7, 8, 1000, 1000, 200, 9, -3, None, None, 1, 0, None]
+    odd = '{"a":NaN,"b":Infinity,"c":-Infinity,"d":"nan","e":"x","f":"1_0","g":true,"h":{},"i":[1],"j":null}'
+    m = spark.createDataFrame([(odd,)], "t string").select(R.coerce_metrics("t").alias("m")).first()["m"]
+    assert [str(v) for v in m.values()] == ["nan", "inf", "-inf", "nan", "10.0", "1.0"] and list(m) == list("abcdfg")
+    kinds = ["{}", '{"a":1}', "[]", "[{}]", "1", '"x"', "null", "true", "{", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(kinds)], "i int, t string")
+    assert [r["o"] for r in df.select("i", R._is_object(F.try_parse_json("t")).alias("o")).sort("i").collect()] == [True, True, *[False] * 8]
